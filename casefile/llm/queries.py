@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import links, mixing
+from . import bpe, links, mixing, nearest, topk, warc
 from .words import n_words
 
 
@@ -25,14 +25,42 @@ def op2_link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"), n_words(F.col("text")), quality=quality_weights(read(spark, sf_dir, "labels")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents")
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.pack_and_read(read(spark, sf_dir, "pages"), payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_link_filter": op2_link_filter,
-    "op7_mix_sources": op7_mix_sources,
+    f.__name__: f
+    for f in (
+        op2_link_filter,
+        op5_nearest_neighbours,
+        op6_exact_top_k,
+        op7_mix_sources,
+        op8_bpe_round_trip,
+        op10_warc_round_trip,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
