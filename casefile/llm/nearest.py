@@ -47,6 +47,26 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int, seed: int) -> np.
     return centroids
 
 
+def probes_for(sample: np.ndarray, points: np.ndarray, asked: np.ndarray, centroids: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
+    """The least number of nearest lists that hold ``recall`` of the true k neighbours within the sample.
+
+    sample: original vectors; points, asked: the same rows turned as candidates and as queries. Neighbours within a
+    sample are farther than those among all rows, so the number errs on the large side.
+    """
+    half = (centroids**2).sum(1)
+    own = (half - 2 * points @ centroids.T).argmin(1)
+    who = np.arange(min(queries, len(sample)))
+    order = np.argsort(half - 2 * asked[who] @ centroids.T, axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
+    scores = sample[who] @ sample.T
+    scores[who, who] = -np.inf
+    top = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    if not top.size:
+        return len(centroids)
+    return int(np.quantile(place[who[:, None], own[top]], recall, method="higher")) + 1
+
+
 def scan(originals: np.ndarray, columns: list[np.ndarray], ids: np.ndarray, query: np.ndarray, rotated: np.ndarray, own: int, k: int, epsilon: float, warm: int) -> tuple[np.ndarray, np.ndarray, int]:
     """One query over one chunk: scores and ids of what the tests leave, and the number of components read."""
     dim, n = len(rotated), len(ids)
@@ -80,11 +100,11 @@ def neighbours(
     vec_col: str = "embedding",
     k: int = 20,
     query_every: int = 20,
-    probe_share: float = 0.4,
+    recall: float = 0.97,
     max_lists: int = 4_096,
     sample_rows: int = 20_000,
     block_columns: int = 8,
-    epsilon: float = 2.1,
+    epsilon: float = 0.7,
     warm: int = 40,
     seed: int = 7,
 ) -> DataFrame:
@@ -92,8 +112,8 @@ def neighbours(
 
     Queries are the rows whose id is divisible by ``query_every``; candidates are all rows but the query's own id.
     Centroids (about the square root of the rows, at most ``max_lists``) are fitted on at most ``sample_rows`` rows
-    with the least hashes; a query reads the nearest ``probe_share`` of the lists, and more, if those hold fewer than
-    2k rows. Rows that take no part and repeated ids: see ``vectors.usable``; zero vectors take no part either.
+    with the least hashes; a query reads as many of the nearest lists as hold ``recall`` of the true neighbours within
+    that sample, and more, if those hold fewer than 2k rows. Rows that take no part and repeated ids: see ``vectors.usable``; zero vectors take no part either.
     Fewer than k candidates give all of them, an empty table none.
     """
     rows = written(usable(vectors, id_col, vec_col, allow_zero=False), "ann-rows")
@@ -113,7 +133,8 @@ def neighbours(
         return np.column_stack([x, last]) @ turn
 
     centroids = fit_centroids(turned(sample), min(max_lists, max(1, round(n**0.5))), 8, seed)
-    probes = max(1, round(probe_share * len(centroids)))
+    asked_sample = np.column_stack([sample, np.zeros(len(sample))]) @ turn
+    probes = probes_for(sample, turned(sample), asked_sample, centroids, k, recall)
     half = (centroids**2).sum(1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
