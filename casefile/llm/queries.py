@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, links, mixing, nearest, topk, warc
+from . import bpe, langid, links, mixing, nearest, topk, warc
 from .words import n_words
 
 
@@ -25,6 +25,13 @@ def op2_link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    out = langid.learn_and_identify(docs, fold != 0)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "phrases_per_symbol")
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(read(spark, sf_dir, "embeddings"))
 
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_link_filter,
+        op3_language_id,
         op5_nearest_neighbours,
         op6_exact_top_k,
         op7_mix_sources,
