@@ -3,8 +3,8 @@
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, which makes the largest inner product
 the least distance; then they are rotated at random, so that any first d components hold d/D of a squared distance
 but for chance. They are dealt to inverted lists by the nearest centroid; centroids are fitted on a bounded sample,
-every vector is in a list. A list is kept in chunks of bounded size, stored by blocks of columns. A query scans its
-nearest lists: per chunk it takes the first columns of all candidates, and after each block drops those whose
+every vector is in a list. Every list is dealt evenly over chunks of bounded size, stored by blocks of columns, so a
+full list burdens no task. A query scans its nearest lists: per chunk it takes the first columns of all candidates, and after each block drops those whose
 partial distance, extrapolated and less a margin of ``epsilon`` / sqrt(d), is beyond its k-th best so far. What is
 left is scored exactly, in double precision, on the original vectors.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .vectors import matrix, part_of, ranked, tiled, usable
+from .vectors import matrix, ranked, tiled, tiles, usable
 
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -67,17 +67,26 @@ def probes_for(sample: np.ndarray, points: np.ndarray, asked: np.ndarray, centro
     return int(np.quantile(place[who[:, None], own[top]], recall, method="higher")) + 1
 
 
-def scan(originals: np.ndarray, columns: list[np.ndarray], ids: np.ndarray, query: np.ndarray, rotated: np.ndarray, own: int, k: int, epsilon: float, warm: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """One query over one chunk: scores and ids of what the tests leave, and the number of components read."""
-    dim, n = len(rotated), len(ids)
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The row numbers of several ranges, in the ranges' order."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def scan(
+    originals: np.ndarray, columns: list[np.ndarray], ids: np.ndarray, rows: np.ndarray, query: np.ndarray, rotated: np.ndarray, own: int, k: int, epsilon: float, warm: int
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """One query over ``rows`` of a chunk, nearest lists first: scores and ids of the k best, components read.
+
+    The first ``warm`` rows are read whole and give the first bound.
+    """
+    dim = len(rotated)
     edges = np.concatenate([[0], np.cumsum([c.shape[1] for c in columns])])
-    first = np.arange(min(n, warm))
-    dist = sum(((c[: len(first)] - rotated[a:b]) ** 2).sum(1) for c, a, b in zip(columns, edges, edges[1:], strict=False))
+    rows = rows[ids[rows] != own]
+    first, alive = rows[:warm], rows[warm:]
+    dist = sum(((c[first] - rotated[a:b]) ** 2).sum(1) for c, a, b in zip(columns, edges, edges[1:], strict=False))
     read = len(first) * dim
-    mine = ids[first] != own
-    near = np.sort(dist[mine])
-    limit = near[k - 1] if len(near) >= k else np.inf
-    alive, partial = np.arange(len(first), n), np.zeros(n - len(first))
+    limit = np.partition(dist, k - 1)[k - 1] if len(first) >= k else np.inf
+    partial = np.zeros(len(alive))
     for c, a, b in zip(columns, edges, edges[1:], strict=False):
         if not len(alive):
             break
@@ -86,9 +95,7 @@ def scan(originals: np.ndarray, columns: list[np.ndarray], ids: np.ndarray, quer
         if b < dim:
             keep = partial * (dim / b) <= limit * (1 + epsilon / np.sqrt(b)) ** 2
             alive, partial = alive[keep], partial[keep]
-    good = partial <= limit * (1 + 1e-9)
-    kept = np.concatenate([first[mine], alive[good]])
-    kept = kept[ids[kept] != own]
+    kept = np.concatenate([first, alive[partial <= limit * (1 + 1e-9)]])
     scores = (originals[kept] * query).sum(1)
     best = np.lexsort((ids[kept], -scores))[:k]
     return scores[best], ids[kept][best], read
@@ -105,7 +112,9 @@ def neighbours(
     sample_rows: int = 20_000,
     block_columns: int = 8,
     epsilon: float = 0.7,
-    warm: int = 40,
+    warm: int = 200,
+    max_chunk: int = 16_384,
+    max_queries: int = 8_192,
     seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest inner products found, ties to the smaller vec_id.
@@ -144,50 +153,32 @@ def neighbours(
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32())], ["vec_id", "vec", "list"])
 
     dealt = written(rows.mapInArrow(deal, "vec_id long, vec array<double>, list int"), "ann-lists")
-    sizes = {r["list"]: r["count"] for r in dealt.groupBy("list").count().collect()}  # at most max_lists rows
-    chunk_rows = max(256, -(-n // max_lists))
-    chunks = np.array([-(-sizes.get(c, 0) // chunk_rows) for c in range(len(centroids))])
-    held = np.array([sizes.get(c, 0) for c in range(len(centroids))])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each query, list it probes and chunk of the list."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = turned_query(matrix(batch.column(1)))
-            order = np.argsort(half - 2 * x @ centroids.T, axis=1, kind="stable")
-            enough = np.cumsum(held[order], axis=1) - held[order] < 2 * k
-            wanted = enough | (np.arange(order.shape[1]) < probes)
-            for at in range(0, batch.num_rows, 64):
-                row, col = np.nonzero(wanted[at : at + 64])
-                lists = order[at + row, col]
-                times = chunks[lists]
-                row, lists = np.repeat(at + row, times), np.repeat(lists, times)
-                part = np.arange(len(lists)) - np.repeat(np.cumsum(times) - times, times)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.int32()), pa.array(part, pa.int32())], ["vec_id", "vec", "list", "chunk"])
+    docs, asked = tiles(dealt, n, query_every, max_chunk, max_queries)
 
     def turned_query(x: np.ndarray) -> np.ndarray:
         return np.column_stack([x, np.zeros(len(x))]) @ turn
 
-    counts = spark.createDataFrame([(c, int(m)) for c, m in enumerate(chunks) if m], "c_list int, chunks int")
-    docs = dealt.join(F.broadcast(counts), F.col("list") == F.col("c_list"))  # at most max_lists rows
-    docs = docs.select("vec_id", "vec", "list", part_of("vec_id", F.col("chunks")).alias("chunk"))
-    asked = rows.filter(F.col("vec_id") % query_every == 0).mapInArrow(ask, "vec_id long, vec array<double>, list int, chunk int")
-
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
-            ids, originals = left["vec_id"].to_numpy(), matrix(left["vec"])
+            lists = left["list"].to_numpy()
+            order = np.argsort(lists, kind="stable")
+            ids, originals = left["vec_id"].to_numpy()[order], matrix(left["vec"])[order]
+            first = np.searchsorted(lists[order], np.arange(len(centroids) + 1))
             x = turned(originals)
             columns = [np.ascontiguousarray(x[:, a : a + block_columns]) for a in range(0, x.shape[1], block_columns)]
             queries = matrix(right["vec"])
             rotated = turned_query(queries)
+            near = np.argsort(half - 2 * rotated @ centroids.T, axis=1, kind="stable")
             for i, own in enumerate(right["vec_id"].to_numpy()):
-                s, v, _ = scan(originals, columns, ids, queries[i], rotated[i], own, k, epsilon, warm)
+                sizes = np.diff(first)[near[i]]
+                wanted = (np.arange(len(near[i])) < probes) | (np.cumsum(sizes) - sizes < 2 * k)
+                some = near[i][wanted]
+                rows = ranges(first[some], sizes[wanted])
+                s, v, _ = scan(originals, columns, ids, rows, queries[i], rotated[i], own, k, epsilon, warm)
                 out_q.append(np.full(len(v), own))
                 out_v.append(v)
                 out_s.append(s)
         return pa.table({"query_id": np.concatenate(out_q).astype(np.int64), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
-    return ranked(tiled(docs, asked, ["list", "chunk"], work, SCHEMA), k)
+    return ranked(tiled(docs, asked, ["chunk", "block"], work, SCHEMA), k)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .vectors import matrix, part_of, ranked, tiled, usable
+from .vectors import matrix, ranked, tiled, tiles, usable
 
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -88,14 +88,7 @@ def top_k(
     rows = usable(vectors, id_col, vec_col, allow_zero=True)
     rows = rows.select("vec_id", F.transform("vec", lambda x: F.floor(F.lit(scale) * x)).cast("array<long>").alias("vec"))
     rows = written(rows, "topk-rows")
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % query_every == 0)).first()
-    # Sixteen chunks and four query blocks until either reaches its largest size.
-    chunk = min(max_chunk, max(256, -(-n // 16)))
-    block = min(max_queries, max(64, -(-n_queries // 4)))
-    chunks, blocks = max(1, -(-n // chunk)), max(1, -(-n_queries // block))
-    docs = rows.withColumn("chunk", part_of("vec_id", F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.filter(F.col("vec_id") % query_every == 0)
-    asked = asked.withColumn("block", part_of("vec_id", F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    docs, asked = tiles(rows, rows.count(), query_every, max_chunk, max_queries)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

@@ -41,6 +41,21 @@ def part_of(id_col: str, parts: Column) -> Column:
     return F.pmod(F.xxhash64(id_col), parts).cast("int")
 
 
+def tiles(rows: DataFrame, n: int, query_every: int, max_chunk: int, max_queries: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates and queries of ``n`` rows with the keys (chunk, block) of their tiles.
+
+    A tile is a chunk of the candidates and a block of the queries. There are sixteen chunks and four blocks until
+    either reaches its largest size.
+    """
+    queries = rows.filter(F.col("vec_id") % query_every == 0)
+    n_queries = queries.count()
+    chunks = max(1, -(-n // min(max_chunk, max(256, -(-n // 16)))))
+    blocks = max(1, -(-n_queries // min(max_queries, max(64, -(-n_queries // 4)))))
+    docs = rows.withColumn("chunk", part_of("vec_id", F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.withColumn("block", part_of("vec_id", F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return docs, asked
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The best k of (query_id, vec_id, score): query_id, rank, vec_id, score; ties to the smaller vec_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
