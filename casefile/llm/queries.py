@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, langid, links, mixing, nearest, topk, warc
+from . import bpe, extract, jaccard, langid, links, mixing, nearest, topk, warc
 from .words import n_words
 
 
@@ -21,6 +21,10 @@ def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> D
     return best.select("doc_id", F.when(F.col("quality") > 0, good).otherwise(bad).alias("quality_weight"))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op2_link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -65,6 +69,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard,
         op2_link_filter,
         op3_language_id,
         op5_nearest_neighbours,
