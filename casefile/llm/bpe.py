@@ -7,7 +7,7 @@ has come and the tokens of the prefix before it, back to where all open places a
 steps in the trie; where a token ends it may follow its prefix if the merges would leave the pair apart, and
 exactly one place fits. Tokens on which all open places agree are put out. No place stays open longer than the
 longest vocabulary entry, which bounds the lookahead. States and arcs are kept by their content, up to
-``max_states``; then the table starts afresh, which costs time and changes nothing.
+``max_states``; what comes later is worked out each time, which costs time and changes nothing.
 
 Decoding joins the bytes of ids in blocks and runs an incremental UTF-8 machine over them, so a character may
 straddle blocks.
@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 
 #: Ids that are decoded at a time.
 BLOCK = 4096
+#: Pieces per generation of a codec's memory.
+HELD_PIECES = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,9 +43,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces; ``encode_piece`` gives the ids that merging by rank gives."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks = ranks
-        self.max_states, self.max_pieces = max_states, max_pieces
+        self.max_states = max_states
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
@@ -59,12 +61,8 @@ class Transducer:
                 node = step
             self.ends[node] = i
         self.apart: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.fresh()
-
-    def fresh(self) -> None:
-        """The start state alone: one open place at the root with nothing before it."""
-        start = ((0, ()),)
+        # The start state: one open place at the root, nothing before it.
+        start = ((0, ()), -1)
         self.ids: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
         self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
@@ -105,25 +103,30 @@ class Transducer:
 
         A place is (trie node, tokens since all places agreed); ``last`` is the token before those, -1 for none.
         """
-        places, full = [], None
+        places, full, children, ends = [], None, self.children, self.ends
         for node, since in state:
-            to = self.children[node].get(byte)
+            to = children[node].get(byte)
             if to is None:
                 continue
-            if self.children[to]:
+            if children[to]:
                 places.append((to, since))
-            token = self.ends[to]
+            token = ends[to]
             if token >= 0 and full is None:
                 before = since[-1] if since else last
                 if self.alone(token) if before < 0 else self.may_follow(before, token):
                     full = (*since, token)
         if full is None:
             raise ValueError("the ranks do not cover every byte")
-        places.append((0, full))
-        agreed = 0
-        shortest = min(len(since) for _, since in places)
-        while agreed < shortest and len({since[agreed] for _, since in places}) == 1:
+        agreed, shortest = 0, len(full)
+        for _, since in places:
+            if len(since) < shortest:
+                shortest = len(since)
+        while agreed < shortest:
+            token = full[agreed]
+            if any(since[agreed] != token for _, since in places):
+                break
             agreed += 1
+        places.append((0, full))
         out = full[:agreed]
         # What came before all open tokens matters only while a place has none open.
         last = -2 if agreed < shortest else out[-1] if out else last
@@ -131,41 +134,32 @@ class Transducer:
 
     def run(self, piece: bytes) -> tuple[int, ...]:
         out: list[int] = []
-        if len(self.states) > self.max_states:
-            self.fresh()
-        state = 0
+        arcs, state, content = self.arcs, 0, self.states[0]
         for b in piece:
-            arc = self.arcs[state].get(b)
+            arc = arcs[state].get(b) if state >= 0 else None
             if arc is None:
-                # The token before the open ones decides what may follow, so it is part of a state's name.
+                # The token before the open ones decides what may follow, so it is part of a state's content.
+                to, tokens, last = self.step(content[:-1], content[-1], b)
+                content = (*to, last)
+                n = self.ids.get(content, -1)
+                if n < 0 and len(self.states) < self.max_states:
+                    n = self.ids[content] = len(self.states)
+                    self.states.append(content)
+                    arcs.append({})
+                if state >= 0 and n >= 0:
+                    arcs[state][b] = (n, tokens)
+                state = n
+            else:
+                state, tokens = arc
                 content = self.states[state]
-                places, last = (content[:-1], content[-1]) if state else (content, -1)
-                to, tokens, last = self.step(places, last, b)
-                name = (*to, last)
-                n = self.ids.get(name)
-                if n is None:
-                    n = self.ids[name] = len(self.states)
-                    self.states.append(name)
-                    self.arcs.append({})
-                arc = self.arcs[state][b] = (n, tokens)
-            state, tokens = arc
             if tokens:
                 out.extend(tokens)
-        content = self.states[state]
-        places = content[:-1] if state else content
-        out.extend(places[-1][1])  # the place that is at the root has all tokens of the piece
+        out.extend(content[-2][1])  # the place that is at the root has all tokens of the piece
         return tuple(out)
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        found = self.pieces.get(piece)
-        if found is None:
-            whole = self.ranks.get(piece)
-            found = (whole,) if whole is not None else self.run(piece)
-            if len(piece) <= 64:
-                if len(self.pieces) >= self.max_pieces:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        whole = self.ranks.get(piece)
+        return (whole,) if whole is not None else self.run(piece)
 
 
 class Codec:
@@ -174,20 +168,26 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.by_text: dict[str, tuple[int, ...]] = {}
+        # Short pieces already encoded, in two generations of bounded size: when the new one is full it becomes the old.
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def look_up(self, piece: str) -> tuple[int, ...]:
+        """A piece that is not in the new generation."""
+        found = self.old.get(piece)
+        if found is None:
+            found = self.transducer.encode_piece(piece.encode("utf-8"))
+        if len(piece) <= 32:
+            if len(self.new) >= HELD_PIECES:
+                self.old, self.new = self.new, {}
+            self.new[piece] = found
+        return found
 
     def encode(self, text: str) -> array.array:
         ids = array.array("I")
-        known, encode_piece, extend = self.by_text, self.transducer.encode_piece, ids.extend
+        extend = ids.extend
         for piece in self.find(text):
-            found = known.get(piece)
-            if found is None:
-                found = encode_piece(piece.encode("utf-8"))
-                if len(piece) <= 32:
-                    if len(known) >= 400_000:
-                        known.clear()
-                    known[piece] = found
-            extend(found)
+            extend(self.new.get(piece) or self.look_up(piece))
         return ids
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
