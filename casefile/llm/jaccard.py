@@ -12,7 +12,8 @@ Equal sets are one node. For the rest the join is exact and works in these steps
    sorted by size; a tile over ``TILE`` sets is cut into size bands and those into blocks, a tile for each pair. In a
    tile only sets of different components and of compatible sizes meet; bits that differ between two bitmaps
    bound the shingles that differ from below, and so the overlap from above. What the bound leaves are candidates.
-5. Candidates are verified on the sorted sets of their texts, and the components are joined.
+5. Candidates are verified on the sorted sets of their texts. In rounds every node tries its best candidate in another
+   component, which joins dense groups with few pairs; when a round joins nothing, all candidates left are tried.
 
 Nothing is dropped for being frequent: frequent shingles merely come last in the order.
 """
@@ -125,10 +126,9 @@ def possible(na: Column, nb: Column, bits: Column, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * (na + nb - bits) >= percent * (na + nb + bits))
 
 
-def verified(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked, by intersection of the sorted sets of their texts."""
-    pairs = written(pairs, "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def texts_of(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, text) for the wanted nodes. One pass over the texts lets through those whose ids hit a filter of fixed
+    size, so that few texts are exchanged; more nodes make the filter let through more, never less."""
     wanted = written(wanted.join(nodes.select("node", "label", "d1", "d2"), "node"), "jaccard-wanted")
     place = F.pmod(F.xxhash64("label"), F.lit(FETCH_BITS))
     held = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
@@ -152,8 +152,11 @@ def verified(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pair
     place_of = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FETCH_BITS))
     found = ids.select(F.col(text_col).alias("text"), ((F.bitmap_bucket_number(place_of) - 1) * 32768 + F.bitmap_bit_position(place_of)).alias("place"))
     found = found.mapInArrow(fetch, "text string, d1 long, d2 long")
-    texts = wanted.join(found, ["d1", "d2"]).groupBy("node").agg(F.min("text").alias("text"))
-    texts = written(texts, "jaccard-texts")
+    return written(wanted.join(found, ["d1", "d2"]).groupBy("node").agg(F.min("text").alias("text")), "jaccard-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked, by intersection of the sorted sets of their texts."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -197,25 +200,34 @@ def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(possible(F.col("na"), F.col("nb"), differing(F.col("ma"), F.col("mb")), percent)).select("a", "b")
 
 
-def tile_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidates between different roots: all pairs under a common prefix shingle that sizes and bitmaps allow."""
-    posting = nodes.select("node", "root", "n", "bitmap", F.explode("prefix").alias("token"))
+def tiles(nodes: DataFrame, percent: int) -> DataFrame:
+    """(tile, n, node, bitmap): every node under each of its live prefix shingles."""
+    posting = nodes.select("node", "root", F.explode("prefix").alias("token"))
     live = posting.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
     live = live.filter("low <> high").select("token", "members")
-    rows = posting.join(live, "token")
+    rows = posting.select("token", "node").join(live, "token").join(nodes.select("node", "n", "bitmap"), "node")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int")
     bands = F.when(F.col("members") <= TILE, F.array(F.lit(-1))).otherwise(F.array(band, band - 1))
-    rows = rows.select("token", "node", "root", "n", "bitmap", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"), F.explode(bands).alias("band"))
+    rows = rows.select("token", "node", "n", "bitmap", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"), F.explode(bands).alias("band"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("tile", F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")))
-    spark = nodes.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("tile", "n", "node", "root", "bitmap").repartition(tasks, "tile").sortWithinPartitions("tile", "n", "node")
+    return rows.select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "n", "node", "bitmap")
+
+
+def tile_pairs(rows: DataFrame, roots: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Candidates (a, b, diff) between different roots under a live shingle that sizes and bitmaps allow.
 
-    def meet(tile: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    roots: (r_node, r_root) of nodes that are not their own root. Without ``every`` a row of a tile gives the pair that
+    differs in the fewest bits, and of those a node gives one, so there are no more pairs than nodes.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.join(roots, F.col("node") == F.col("r_node"), "left").select("tile", "n", "node", F.coalesce("r_root", "node").alias("root"), "bitmap")
+    rows = rows.repartition(tasks, "tile").sortWithinPartitions("tile", "n", "node")
+
+    def meet(tile: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
         """Pairs of rows at growing distance while tiles agree and sizes allow; rows are sorted by tile and size."""
-        left, right = [], []
+        found = [[np.zeros(0, np.int64)] for _ in range(3)]
+        best, partner = np.full(len(tile), 1 << 30), np.zeros(len(tile), np.int64)
         at, gap = np.arange(len(tile) - 1), 1
         while len(at):
             at = at[at + gap < len(tile)]
@@ -228,11 +240,19 @@ def tile_pairs(nodes: DataFrame, percent: int) -> DataFrame:
                 diff = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
                 both = n[a] + n[b]
                 fits = 100 * (both - diff) >= percent * (both + diff)
-                left.append(node[a[fits]])
-                right.append(node[b[fits]])
+                a, b, diff = a[fits], b[fits], diff[fits]
+                if every:
+                    for out, x in zip(found, (node[a], node[b], diff), strict=True):
+                        out.append(x)
+                else:
+                    for x, y in ((a, b), (b, a)):
+                        less = diff < best[x]
+                        best[x[less]], partner[x[less]] = diff[less], node[y[less]]
             gap += 1
-        empty = np.zeros(0, np.int64)
-        return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+        if not every:
+            has = best < 1 << 30
+            return [node[has], partner[has], best[has]]
+        return [np.concatenate(x) for x in found]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -240,9 +260,8 @@ def tile_pairs(nodes: DataFrame, percent: int) -> DataFrame:
         def pairs_of(table: pa.Table) -> pa.RecordBatch:
             cols = [table[c].to_numpy().astype(np.int64, copy=False) for c in ("tile", "n", "node", "root")]
             bits = table["bitmap"].combine_chunks().flatten().to_numpy().reshape(-1, BITMAP_WORDS).view(np.uint64)
-            a, b = meet(*cols, bits)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs = np.unique(np.stack(meet(*cols, bits), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], ["a", "b", "diff"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -257,7 +276,18 @@ def tile_pairs(nodes: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield pairs_of(held)
 
-    return rows.mapInArrow(work, "a long, b long").distinct()
+    pairs = rows.mapInArrow(work, "a long, b long, diff long")
+    if not every:
+        pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("diff", "b")).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def rooted(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -276,11 +306,24 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = records.filter("n > 0 and doc_id is not null")
     nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("n", "bitmap", "prefix", "stars")))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    links = verified(docs, id_col, text_col, nodes, star_pairs(nodes, percent), k, percent)
-    roots = components(links).select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
-    rooted = nodes.join(roots, nodes.node == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node"))
-    links = links.unionByName(verified(docs, id_col, text_col, nodes, tile_pairs(rooted, percent), k, percent))
-    roots = components(links).select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
+    pairs = written(star_pairs(nodes, percent), "jaccard-pairs")
+    links = verified(pairs, texts_of(docs, id_col, text_col, nodes, ends(pairs), k), k, percent)
+    roots = rooted(links)
+    now = nodes.join(roots, nodes.node == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node"))
+    rows = written(tiles(now, percent), "jaccard-tiles")
+    texts = None
+    while True:
+        # As in Boruvka's algorithm: every node tries its best candidate until a round joins nothing.
+        pairs = written(tile_pairs(rows, roots, percent, every=False), "jaccard-pairs")
+        if texts is None:  # a node without a candidate now has none later
+            texts = texts_of(docs, id_col, text_col, nodes, ends(pairs), k)
+        new = verified(pairs, texts, k, percent)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        roots = rooted(links)
+    links = links.unionByName(verified(tile_pairs(rows, roots, percent, every=True), texts, k, percent))
+    roots = rooted(links)
     member = roots.join(nodes.select("node", "label"), F.col("r_node") == F.col("node"))
     lowest = member.groupBy("r_root").agg(F.min("label").alias("component"))
     member = roots.join(lowest, "r_root").select(F.col("r_node"), "component")
