@@ -131,8 +131,9 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, want
     size, so that few texts are exchanged; more nodes make the filter let through more, never less."""
     wanted = written(wanted.join(nodes.select("node", "label", "d1", "d2"), "node"), "jaccard-wanted")
     place = F.pmod(F.xxhash64("label"), F.lit(FETCH_BITS))
-    held = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    sieve = np.zeros(FETCH_BITS // 8 + 8192, np.uint8)
+    # Bitmap functions number positions from 1.
+    held = wanted.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+    sieve = np.zeros(FETCH_BITS // 8, np.uint8)
     for r in held.collect():  # at most FETCH_BITS bits
         at = (r["bucket"] - 1) * 4096
         sieve[at : at + 4096] |= np.frombuffer(r["bits"], np.uint8)
@@ -150,7 +151,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, want
 
     ids = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     place_of = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FETCH_BITS))
-    found = ids.select(F.col(text_col).alias("text"), ((F.bitmap_bucket_number(place_of) - 1) * 32768 + F.bitmap_bit_position(place_of)).alias("place"))
+    found = ids.select(F.col(text_col).alias("text"), place_of.alias("place"))
     found = found.mapInArrow(fetch, "text string, d1 long, d2 long")
     return written(wanted.join(found, ["d1", "d2"]).groupBy("node").agg(F.min("text").alias("text")), "jaccard-texts")
 

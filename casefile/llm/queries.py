@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, jaccard, langid, links, mixing, nearest, topk, warc
+from . import bpe, extract, jaccard, langid, links, mixing, nearest, substrings, topk, warc
 from .words import n_words
 
 
@@ -36,6 +36,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "phrases_per_symbol")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(read(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_ngram_jaccard,
         op2_link_filter,
         op3_language_id,
+        op4_substring_dedup,
         op5_nearest_neighbours,
         op6_exact_top_k,
         op7_mix_sources,
