@@ -126,8 +126,20 @@ def possible(na: Column, nb: Column, bits: Column, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * (na + nb - bits) >= percent * (na + nb + bits))
 
 
+def pack(text: pa.Buffer) -> bytes:
+    """A text for the exchange: its length and its compressed bytes."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def unpack(packed: pa.Buffer) -> pa.Array:
+    """The text of ``pack`` as a column of one row."""
+    size = int.from_bytes(packed[:8].to_pybytes(), "little")
+    data = pa.decompress(packed[8:], decompressed_size=size, codec="zstd") if size else pa.py_buffer(b"")
+    return pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int32)), data)
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, text) for the wanted nodes. One pass over the texts lets through those whose ids hit a filter of fixed
+    """(node, packed text) for the wanted nodes. One pass over the texts lets through those whose ids hit a filter of fixed
     size, so that few texts are exchanged; more nodes make the filter let through more, never less."""
     wanted = written(wanted.join(nodes.select("node", "label", "d1", "d2"), "node"), "jaccard-wanted")
     place = F.pmod(F.xxhash64("label"), F.lit(FETCH_BITS))
@@ -147,30 +159,31 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, want
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 > 0))
             digests = [set_digest(s) for s in sets_of(batch.column(0), k)]
             d1, d2 = ([d[i] for d in digests] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["text", "d1", "d2"])
+            packed = [pack(x.as_buffer()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["packed", "d1", "d2"])
 
     ids = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     place_of = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FETCH_BITS))
     found = ids.select(F.col(text_col).alias("text"), place_of.alias("place"))
-    found = found.mapInArrow(fetch, "text string, d1 long, d2 long")
-    return written(wanted.join(found, ["d1", "d2"]).groupBy("node").agg(F.min("text").alias("text")), "jaccard-texts")
+    found = found.mapInArrow(fetch, "packed binary, d1 long, d2 long")
+    return written(wanted.join(found, ["d1", "d2"]).groupBy("node").agg(F.min("packed").alias("packed")), "jaccard-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are linked, by intersection of the sorted sets of their texts."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, np.ndarray] = OrderedDict()
         size = 0
 
-        def get(node: int, text: str) -> np.ndarray:
+        def get(node: int, packed: pa.BinaryScalar) -> np.ndarray:
             nonlocal size
             s = known.get(node)
             if s is None:
-                s = next(iter(sets_of(pa.array([text], pa.string()), k)))
+                s = next(iter(sets_of(unpack(packed.as_buffer()), k)))
                 known[node] = s
                 size += len(s)
                 while size > 2_000_000 and len(known) > 2:
@@ -180,7 +193,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                a, b = (get(batch.column(j)[i].as_py(), batch.column(j + 2)[i].as_py()) for j in (0, 1))
+                a, b = (get(batch.column(j)[i].as_py(), batch.column(j + 2)[i]) for j in (0, 1))
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -202,27 +215,29 @@ def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def tiles(nodes: DataFrame, percent: int) -> DataFrame:
-    """(tile, n, node, bitmap): every node under each of its live prefix shingles."""
-    posting = nodes.select("node", "root", F.explode("prefix").alias("token"))
-    live = posting.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
+    """(tile, node): every node under each of its live prefix shingles."""
+    posting = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    rooted = nodes.select("root", F.explode("prefix").alias("token"))
+    live = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
     live = live.filter("low <> high").select("token", "members")
-    rows = posting.select("token", "node").join(live, "token").join(nodes.select("node", "n", "bitmap"), "node")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int")
+    rows = posting.join(live, "token")
     bands = F.when(F.col("members") <= TILE, F.array(F.lit(-1))).otherwise(F.array(band, band - 1))
-    rows = rows.select("token", "node", "n", "bitmap", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"), F.explode(bands).alias("band"))
+    rows = rows.select("token", "node", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"), F.explode(bands).alias("band"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "n", "node", "bitmap")
+    return rows.select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node")
 
 
-def tile_pairs(rows: DataFrame, roots: DataFrame, percent: int, every: bool) -> DataFrame:
+def tile_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, every: bool) -> DataFrame:
     """Candidates (a, b, diff) between different roots under a live shingle that sizes and bitmaps allow.
 
     roots: (r_node, r_root) of nodes that are not their own root. Without ``every`` a row of a tile gives the pair that
     differs in the fewest bits, and of those a node gives one, so there are no more pairs than nodes.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.join(roots, F.col("node") == F.col("r_node"), "left").select("tile", "n", "node", F.coalesce("r_root", "node").alias("root"), "bitmap")
+    about = nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", "n", F.coalesce("r_root", "node").alias("root"), "bitmap")
+    rows = rows.join(about, "node").select("tile", "n", "node", "root", "bitmap")
     rows = rows.repartition(tasks, "tile").sortWithinPartitions("tile", "n", "node")
 
     def meet(tile: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
@@ -312,18 +327,18 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = rooted(links)
     now = nodes.join(roots, nodes.node == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node"))
     rows = written(tiles(now, percent), "jaccard-tiles")
-    texts = None
-    while True:
-        # As in Boruvka's algorithm: every node tries its best candidate until a round joins nothing.
-        pairs = written(tile_pairs(rows, roots, percent, every=False), "jaccard-pairs")
-        if texts is None:  # a node without a candidate now has none later
-            texts = texts_of(docs, id_col, text_col, nodes, ends(pairs), k)
-        new = verified(pairs, texts, k, percent)
-        if new.isEmpty():
-            break
+    # As in Boruvka's algorithm every node tries its best candidate, until a round joins nothing.
+    pairs = written(tile_pairs(rows, nodes, roots, percent, every=False), "jaccard-pairs")
+    open_nodes = written(ends(pairs), "jaccard-open")  # a node without a candidate now has none later
+    texts = texts_of(docs, id_col, text_col, nodes, open_nodes, k)
+    rows = written(rows.join(open_nodes, "node", "left_semi"), "jaccard-tiles")
+    nodes_open = written(nodes.select("node", "n", "bitmap").join(open_nodes, "node", "left_semi"), "jaccard-open-nodes")
+    new = verified(pairs, texts, k, percent)
+    while not new.isEmpty():
         links = links.unionByName(new)
         roots = rooted(links)
-    links = links.unionByName(verified(tile_pairs(rows, roots, percent, every=True), texts, k, percent))
+        new = verified(tile_pairs(rows, nodes_open, roots, percent, every=False), texts, k, percent)
+    links = links.unionByName(verified(tile_pairs(rows, nodes_open, roots, percent, every=True), texts, k, percent))
     roots = rooted(links)
     member = roots.join(nodes.select("node", "label"), F.col("r_node") == F.col("node"))
     lowest = member.groupBy("r_root").agg(F.min("label").alias("component"))
