@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, extract, jaccard, langid, links, mixing, nearest, substrings, topk, warc
@@ -21,6 +21,11 @@ def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> D
     return best.select("doc_id", F.when(F.col("quality") > 0, good).otherwise(bad).alias("quality_weight"))
 
 
+def fold_of(doc_id: Column) -> Column:
+    """0 to 4: crc32 of the id as text; fold 0 is held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -31,7 +36,7 @@ def op2_link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    fold = fold_of(F.col("doc_id"))
     out = langid.learn_and_identify(docs, fold != 0)
     return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "phrases_per_symbol")
 
