@@ -11,7 +11,8 @@ Equal sets are one node. For the rest the join is exact and works in these steps
 4. Tiles: prefix shingles that occur in more than one component are live. The sets under a live shingle form a tile,
    sorted by size; a tile over ``TILE`` sets is cut into size bands and those into blocks, a tile for each pair. In a
    tile only sets of different components and of compatible sizes meet; bits that differ between two bitmaps
-   bound the shingles that differ from below, and so the overlap from above. What the bound leaves are candidates.
+   bound the shingles that differ from below, and so the overlap from above; the shingle's place in both orders bounds
+   it too, and for large sets a wider bitmap. What the bounds leave are candidates.
 5. Candidates are verified on the sorted sets of their texts. In rounds every node tries its best candidate in another
    component, which joins dense groups with few pairs; when a round joins nothing, all candidates left are tried.
 
@@ -84,33 +85,45 @@ def frequent(docs: DataFrame, text_col: str, k: int) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, marks: bytes) -> DataFrame:
-    """doc_id, n, d1, d2, bitmap, prefix, stars for every text; empty sets have no prefix."""
+    """doc_id, n, d1, d2, bitmap, wide, prefix, stars for every text; empty sets have no prefix.
+
+    wide: a second bitmap of at least n / 2 bits for sets that are too large for the first to tell apart, else empty.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(marks, np.uint8)
         for batch in batches:
-            n, d1, d2, maps, prefixes, stars = [], [], [], [], [], []
+            n, d1, d2, maps, wide, prefixes, stars = [], [], [], [], [], [], []
             for s in sets_of(batch.column(1), k):
                 a, b = set_digest(s)
-                bits = np.bincount((s & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+                width = 1 << (len(s) // 2).bit_length() if len(s) > 128 * BITMAP_WORDS else 0
                 bucket = (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
                 late = (often[bucket >> 3] >> (bucket & 7)) & 1 > 0
                 size = len(s) + (100 - percent * len(s)) // 100 if len(s) else 0  # len - ceil(percent * len / 100) + 1
                 n.append(len(s))
                 d1.append(a)
                 d2.append(b)
-                maps.append(np.packbits(bits.astype(bool), bitorder="little").view(np.int64))
+                maps.append(parity(s, 64 * BITMAP_WORDS))
+                wide.append(parity(s, width))
                 prefixes.append(np.concatenate([s[~late], s[late]])[:size].view(np.int64))
                 stars.append(s[:STARS].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(maps), lists(prefixes), lists(stars)],
-                ["doc_id", "n", "d1", "d2", "bitmap", "prefix", "stars"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(maps), lists(wide), lists(prefixes), lists(stars)],
+                ["doc_id", "n", "d1", "d2", "bitmap", "wide", "prefix", "stars"],
             )
 
-    schema = "doc_id long, n int, d1 long, d2 long, bitmap array<long>, prefix array<long>, stars array<long>"
+    schema = "doc_id long, n int, d1 long, d2 long, bitmap array<long>, wide array<long>, prefix array<long>, stars array<long>"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(work, schema)
 
 
+def parity(s: np.ndarray, width: int) -> np.ndarray:
+    """``width`` bits, each flipped by the hashes that end in its number."""
+    if not width:
+        return np.zeros(0, np.int64)
+    bits = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
+
+
 def lists(values: list[np.ndarray]) -> pa.ListArray:
     sizes = np.fromiter(map(len, values), np.int64, len(values))
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *values]))
@@ -121,6 +134,22 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def folded(a: Column, b: Column) -> Column:
+    """A bitmap twice as wide as the other, folded to its width: the bits of its halves that differ."""
+    half = F.floor(F.size(a) / 2).cast("int")
+    return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(a)
+
+
+def sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the wide bitmaps of large sets leave; sizes of a pair differ by less than a doubling."""
+    about = nodes.select("node", "n", F.when(F.size("wide") > 0, F.col("wide")).alias("wide"))
+    left = about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    right = about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    both = pairs.join(left, "a").join(right, "b")
+    bits = differing(folded(F.col("wa"), F.col("wb")), folded(F.col("wb"), F.col("wa")))
+    return both.filter(F.col("wa").isNull() | F.col("wb").isNull() | possible(F.col("na"), F.col("nb"), bits, percent)).select("a", "b")
+
+
 def possible(na: Column, nb: Column, bits: Column, percent: int) -> Column:
     """Whether sets of these sizes can be linked if at least ``bits`` shingles differ."""
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * (na + nb - bits) >= percent * (na + nb + bits))
@@ -215,18 +244,18 @@ def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def tiles(nodes: DataFrame, percent: int) -> DataFrame:
-    """(tile, node): every node under each of its live prefix shingles."""
-    posting = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    """(tile, node, pos): every node under each of its live prefix shingles, with the shingle's place in the order."""
+    posting = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     rooted = nodes.select("root", F.explode("prefix").alias("token"))
     live = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
     live = live.filter("low <> high").select("token", "members")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int")
     rows = posting.join(live, "token")
     bands = F.when(F.col("members") <= TILE, F.array(F.lit(-1))).otherwise(F.array(band, band - 1))
-    rows = rows.select("token", "node", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"), F.explode(bands).alias("band"))
+    rows = rows.select("token", "node", "pos", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"), F.explode(bands).alias("band"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node")
+    return rows.select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node", "pos")
 
 
 def tile_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -237,11 +266,15 @@ def tile_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     about = nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", "n", F.coalesce("r_root", "node").alias("root"), "bitmap")
-    rows = rows.join(about, "node").select("tile", "n", "node", "root", "bitmap")
+    rows = rows.join(about, "node").select("tile", "n", "node", "root", "pos", "bitmap")
     rows = rows.repartition(tasks, "tile").sortWithinPartitions("tile", "n", "node")
 
-    def meet(tile: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
-        """Pairs of rows at growing distance while tiles agree and sizes allow; rows are sorted by tile and size."""
+    def meet(tile: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+        """Pairs of rows at growing distance while tiles agree and sizes allow; rows are sorted by tile and size.
+
+        If this shingle is the first that a pair shares, all it shares lies from here on in both orders; a pair for
+        which that is too little shares an earlier one and is met there, or is no link.
+        """
         found = [[np.zeros(0, np.int64)] for _ in range(3)]
         best, partner = np.full(len(tile), 1 << 30), np.zeros(len(tile), np.int64)
         at, gap = np.arange(len(tile) - 1), 1
@@ -250,8 +283,9 @@ def tile_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int
             to = at + gap
             near = (tile[at] == tile[to]) & (100 * n[at] >= percent * n[to])
             at, to = at[near], to[near]
-            apart = root[at] != root[to]
-            a, b = at[apart], to[apart]
+            need = percent * (n[at] + n[to])
+            able = (root[at] != root[to]) & ((100 + percent) * (n[at] - pos[at]) >= need) & ((100 + percent) * (n[to] - pos[to]) >= need)
+            a, b = at[able], to[able]
             if len(a):
                 diff = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
                 both = n[a] + n[b]
@@ -274,7 +308,7 @@ def tile_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int
         held: pa.Table | None = None
 
         def pairs_of(table: pa.Table) -> pa.RecordBatch:
-            cols = [table[c].to_numpy().astype(np.int64, copy=False) for c in ("tile", "n", "node", "root")]
+            cols = [table[c].to_numpy().astype(np.int64, copy=False) for c in ("tile", "n", "node", "root", "pos")]
             bits = table["bitmap"].combine_chunks().flatten().to_numpy().reshape(-1, BITMAP_WORDS).view(np.uint64)
             pairs = np.unique(np.stack(meet(*cols, bits), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], ["a", "b", "diff"])
@@ -320,7 +354,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = frequent(docs, text_col, k)
     records = written(signatures(docs, id_col, text_col, k, percent, marks), "jaccard-signatures")
     full = records.filter("n > 0 and doc_id is not null")
-    nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("n", "bitmap", "prefix", "stars")))
+    nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("n", "bitmap", "wide", "prefix", "stars")))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     pairs = written(star_pairs(nodes, percent), "jaccard-pairs")
     links = verified(pairs, texts_of(docs, id_col, text_col, nodes, ends(pairs), k), k, percent)
@@ -332,13 +366,15 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_nodes = written(ends(pairs), "jaccard-open")  # a node without a candidate now has none later
     texts = texts_of(docs, id_col, text_col, nodes, open_nodes, k)
     rows = written(rows.join(open_nodes, "node", "left_semi"), "jaccard-tiles")
-    nodes_open = written(nodes.select("node", "n", "bitmap").join(open_nodes, "node", "left_semi"), "jaccard-open-nodes")
-    new = verified(pairs, texts, k, percent)
+    nodes_open = written(nodes.select("node", "n", "bitmap", "wide").join(open_nodes, "node", "left_semi"), "jaccard-open-nodes")
+    new = verified(sifted(pairs, nodes_open, percent), texts, k, percent)
     while not new.isEmpty():
         links = links.unionByName(new)
         roots = rooted(links)
-        new = verified(tile_pairs(rows, nodes_open, roots, percent, every=False), texts, k, percent)
-    links = links.unionByName(verified(tile_pairs(rows, nodes_open, roots, percent, every=True), texts, k, percent))
+        pairs = tile_pairs(rows, nodes_open, roots, percent, every=False)
+        new = verified(sifted(pairs, nodes_open, percent), texts, k, percent)
+    pairs = tile_pairs(rows, nodes_open, roots, percent, every=True)
+    links = links.unionByName(verified(sifted(pairs, nodes_open, percent), texts, k, percent))
     roots = rooted(links)
     member = roots.join(nodes.select("node", "label"), F.col("r_node") == F.col("node"))
     lowest = member.groupBy("r_root").agg(F.min("label").alias("component"))
