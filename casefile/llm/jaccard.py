@@ -356,7 +356,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = records.filter("n > 0 and doc_id is not null")
     nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("n", "bitmap", "wide", "prefix", "stars")))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    pairs = written(star_pairs(nodes, percent), "jaccard-pairs")
+    pairs = written(sifted(star_pairs(nodes, percent), nodes, percent), "jaccard-pairs")
     links = verified(pairs, texts_of(docs, id_col, text_col, nodes, ends(pairs), k), k, percent)
     roots = rooted(links)
     now = nodes.join(roots, nodes.node == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node"))
