@@ -20,7 +20,6 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .held import held
+
 #: Ids that are decoded at a time.
 BLOCK = 4096
 #: Pieces per generation of a codec's memory.
-HELD_PIECES = 300_000
+HELD_PIECES = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +44,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces; ``encode_piece`` gives the ids that merging by rank gives."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks = ranks
         self.max_states = max_states
         self.bytes_of = {i: b for b, i in ranks.items()}
@@ -200,10 +201,9 @@ class Codec:
         yield machine.decode(b"", final=True)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One per worker process."""
-    return Codec(load_ranks(path), pattern)
+    return held(("bpe", path, pattern), lambda: Codec(load_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import LOWER, batches_of, set_digest, shingle_set, text_bytes, word_hashes
+from .held import drop
 from .scratch import written
 
 BUCKET_BITS, BITMAP_WORDS, STARS, TILE = 20, 16, 8, 1024
@@ -40,7 +41,7 @@ SEGMENTS, FANS = 64, 64
 #: Filter bits for the ids of texts to fetch.
 FETCH_BITS = 1 << 23
 #: Bytes of text whose sets are made together.
-HELD = 4 << 20
+HELD = 1 << 20
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -56,6 +57,7 @@ def frequent(docs: DataFrame, text_col: str, k: int) -> bytes:
     """A bit per counter: set where many more texts than on average have one of its shingles."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()
         total = np.zeros(1 << BUCKET_BITS, np.uint32)
         seen = False
         for batch in batches:
@@ -91,6 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()
         often = np.frombuffer(marks, np.uint8)
         for batch in batches:
             n, d1, d2, maps, wide, prefixes, stars = [], [], [], [], [], [], []
@@ -205,6 +208,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()
         known: OrderedDict[int, np.ndarray] = OrderedDict()
         size = 0
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .held import held
+
 #: Bytes of a lane, and lanes that step together.
-LANE, LANES = 1024, 4096
+LANE, LANES = 1024, 2048
 #: Characters that a worker holds as symbols at a time, besides one text.
-HELD = 4 << 20
+HELD = 1 << 20
 BLANK = 32
 
 
@@ -139,10 +140,9 @@ class Parser:
             counts[:, j] += np.bincount(owner, found, len(counts)).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
 def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
     """One per worker process."""
-    return Parser(samples)
+    return held(("langid", samples), lambda: Parser(samples))
 
 
 def has_letter(text: str) -> bool:

@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import BASE, batches_of, powers, text_bytes, windows, word_hashes
+from .held import drop
 from .scratch import written
 
 #: Words of a minimizer, bits of a filter, windows that are cut into fragments together, bytes of text at a time.
-MINIMIZER, FILTER_BITS, BLOCK, HELD = 6, 26, 1 << 19, 4 << 20
+MINIMIZER, FILTER_BITS, BLOCK, HELD = 6, 26, 1 << 17, 1 << 20
 #: A coordinate is doc_id * 2**24 + word; longs hold doc_ids below 2**39.
 WORD_BITS = 24
 ID_LIMIT = 1 << 39
@@ -119,6 +120,7 @@ def read_fragments(rows: DataFrame, k: int, kind: str, bits: np.ndarray | None =
     raw = None if bits is None else bits.tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()
         table = None if raw is None else np.frombuffer(raw, np.uint8)
         for batch in batches:
             for a, b in batches_of(batch.column(0), HELD):
@@ -208,6 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([T.StructField("_id", joined.schema["_id"].dataType), T.StructField("_keep", joined.schema["_keep"].dataType), *T._parse_datatype_string(out).fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()
         for batch in batches:
             for begin, end in batches_of(batch.column(0), HELD):
                 part = batch.slice(begin, end - begin)
