@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, extract, jaccard, langid, links, mixing, nearest, substrings, topk, warc
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .words import n_words
 
 
@@ -90,5 +91,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_warc_round_trip,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}

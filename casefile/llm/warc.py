@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import new_path, written
+from .scratch import new_path, qualified, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of archives that a task reads, about.
@@ -160,7 +160,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     seen = raw.filter(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("copies"))
     copied = written(seen.filter("copies > 1").select(F.col("sha").alias("c_sha"), "response"), "warc-copies")
     rows = raw.join(copied, F.col("sha") == F.col("c_sha"), "left").drop("c_sha", "sha")
-    base = new_path(spark, "warc")
+    base = qualified(spark, new_path(spark, "warc"))
     fs, path = open_fs(base)
     fs.create_dir(path, recursive=True)
 
