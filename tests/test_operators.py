@@ -9,8 +9,8 @@ from decimal import Decimal
 import pandas as pd
 import pytest
 from casefile.functions import text as X
-from casefile.operators import bank, graph, procurement, screening, trail
-from casefile.plans import registry
+from casefile.operators import bank, cases, graph, grid, procurement, screening, trail
+from casefile.plans import registry, registry_cases  # noqa: F401  (registers its queries)
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -170,6 +170,26 @@ def test_authenticity(spark):
     assert [(r.score, r.level) for r in got] == [(0, "HIGH_RISK_TAMPERED"), (100, "AUTHENTIC"), (75, "SUSPICIOUS")]
 
 
+def test_cases_by_hand(spark):
+    raw = spark.createDataFrame([(1, '["Cash", " cash ", "Gift"]'), (2, "a, A ,b,"), (3, None)], "id int, raw string")
+    assert {r.id: r.keywords for r in cases.normalise_keywords(raw, "id", "raw").collect()} == {1: ["Cash", "Gift"], 2: ["a", "b"], 3: []}
+    profiles = spark.createDataFrame([(1, ["Cash"]), (2, None)], "id int, keywords array<string>")
+    new = spark.createDataFrame([(1, "CASH"), (1, "gift"), (2, "x")], "id int, keyword string")
+    assert {r.id: r.keywords for r in cases.add_keywords(profiles, new, "id").collect()} == {1: ["Cash", "gift"], 2: ["x"]}
+    texts = [("kw", "Employee: P One (12) | Nominee: P Two | Relationship: Wife"), ("kw", "Name: P | Department: Stores"), ("kw", "Point of contact: Mark Lee"), ("P Two", "wife of Arun Das"), ("kw", None)]
+    got = cases.infer(spark.createDataFrame(texts, "k string, s string"), "k", "s").collect()
+    assert [(r.category, r.inference) for r in got] == [("KINSHIP", "P Two is Wife of P One"), ("EMPLOYMENT", "P, Stores"), ("VENDOR", "Contact: Mark Lee"), ("KINSHIP", "P Two is wife of Arun Das"), ("", "")]
+
+
+def test_grid_by_hand(spark):
+    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(10)], "id int, v double")
+    got = grid.page_of(rows, [F.desc("v"), F.asc("id")], 2, 4).collect()
+    assert [(r.id, r.row, r.total, r.last_page, r.page) for r in got] == [(4, 5, 10, 3, 2), (7, 6, 10, 3, 2), (0, 7, 10, 3, 2), (3, 8, 10, 3, 2)]
+    assert grid.page_of(rows.limit(0), [F.asc("id")], 1, 4).collect() == []
+    paths = spark.createDataFrame([("C:\\Windows\\a.txt",), ("C:/x/.git/b",), ("c:/x/c.DLL",), ("c:/x/d.txt",)], "p string")
+    assert [r.x for r in paths.select(grid.excluded_path("p", ["c:/windows"], [".git"], [".dll"]).alias("x")).collect()] == [True, True, True, False]
+
+
 EDGES = [("A", "B", 5.0, 1), ("B", "C", 4.0, 2), ("C", "A", 3.0, 1), ("B", "A", 9.0, 3), ("C", "D", 1.0, 1)]
 
 
