@@ -2,8 +2,8 @@
 
 Equal sets are one node. For the rest the join is exact and works in these steps:
 
-1. Frequencies: every shingle adds to one of 2**20 counters, over all texts; a counter far above the mean marks
-   its shingles as frequent. The marks (128 KB) only order shingles: rare ones first, then by hash.
+1. Frequencies: every shingle adds to one of 2**20 counters, over all texts. Their levels (one byte each, 1 MB) only
+   order shingles: those of low counters first, then by hash.
 2. Signatures: per set its size, a parity bitmap of 1,024 bits (each shingle flips one) and its prefix in that
    order. Two sets that are similar enough share a shingle of both prefixes, whatever the order is.
 3. Stars: sets that share one of their smallest hashes are compared with two members of that group, and links
@@ -16,7 +16,8 @@ Equal sets are one node. For the rest the join is exact and works in these steps
 5. Candidates are verified on the sorted sets of their texts. In rounds every node tries its best candidate in another
    component, which joins dense groups with few pairs; when a round joins nothing, all candidates left are tried.
 
-Nothing is dropped for being frequent: frequent shingles merely come last in the order.
+Nothing is dropped for being frequent: frequent shingles merely come last in the order, and so leave the prefixes of
+all sets that have enough others.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield shingle_set(words[at[i] : at[i + 1]], k)
 
 
-def frequent(docs: DataFrame, text_col: str, k: int) -> bytes:
-    """A bit per counter: set where many more texts than on average have one of its shingles."""
+def levels_of(docs: DataFrame, text_col: str, k: int) -> bytes:
+    """A byte per counter: how many texts have one of its shingles, in eighths of a standard deviation about the mean."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop()
@@ -83,10 +84,10 @@ def frequent(docs: DataFrame, text_col: str, k: int) -> bytes:
         size = len(total) // SEGMENTS
         total[r[0] * size : (r[0] + 1) * size] = np.frombuffer(r[1], np.uint32)
     mean = total.mean()
-    return np.packbits(total > mean + 6 * mean**0.5 + 16, bitorder="little").tobytes()
+    return np.clip(64 + 8 * (total - mean) / max(1.0, mean**0.5), 0, 255).astype(np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, marks: bytes) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, levels: bytes) -> DataFrame:
     """doc_id, n, d1, d2, bitmap, wide, prefix, stars for every text; empty sets have no prefix.
 
     wide: a second bitmap of at least n / 2 bits for sets that are too large for the first to tell apart, else empty.
@@ -94,21 +95,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop()
-        often = np.frombuffer(marks, np.uint8)
+        level = np.frombuffer(levels, np.uint8)
         for batch in batches:
             n, d1, d2, maps, wide, prefixes, stars = [], [], [], [], [], [], []
             for s in sets_of(batch.column(1), k):
                 a, b = set_digest(s)
                 width = 1 << (len(s) // 2).bit_length() if len(s) > 128 * BITMAP_WORDS else 0
                 bucket = (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                late = (often[bucket >> 3] >> (bucket & 7)) & 1 > 0
                 size = len(s) + (100 - percent * len(s)) // 100 if len(s) else 0  # len - ceil(percent * len / 100) + 1
                 n.append(len(s))
                 d1.append(a)
                 d2.append(b)
                 maps.append(parity(s, 64 * BITMAP_WORDS))
                 wide.append(parity(s, width))
-                prefixes.append(np.concatenate([s[~late], s[late]])[:size].view(np.int64))
+                prefixes.append(s[np.argsort(level[bucket], kind="stable")[:size]].view(np.int64))
                 stars.append(s[:STARS].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(maps), lists(wide), lists(prefixes), lists(stars)],
@@ -355,8 +355,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and have no component. Repeated rows are equal sets; rows that repeat an id with other texts are sets of their
     own that share the id. An empty table gives an empty result; other columns are not read.
     """
-    marks = frequent(docs, text_col, k)
-    records = written(signatures(docs, id_col, text_col, k, percent, marks), "jaccard-signatures")
+    levels = levels_of(docs, text_col, k)
+    records = written(signatures(docs, id_col, text_col, k, percent, levels), "jaccard-signatures")
     full = records.filter("n > 0 and doc_id is not null")
     nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("n", "bitmap", "wide", "prefix", "stars")))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
