@@ -9,8 +9,8 @@ from decimal import Decimal
 import pandas as pd
 import pytest
 from casefile.functions import text as X
-from casefile.operators import bank, cases, graph, grid, procurement, screening, trail
-from casefile.plans import registry, registry_cases  # noqa: F401  (registers its queries)
+from casefile.operators import bank, cases, graph, grid, naming, procurement, screening, trail
+from casefile.plans import registry, registry_cases, registry_names  # noqa: F401  (register their queries)
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -181,6 +181,21 @@ def test_cases_by_hand(spark):
     assert [(r.category, r.inference) for r in got] == [("KINSHIP", "P Two is Wife of P One"), ("EMPLOYMENT", "P, Stores"), ("VENDOR", "Contact: Mark Lee"), ("KINSHIP", "P Two is wife of Arun Das"), ("", "")]
 
 
+@pytest.mark.parametrize(
+    ("narration", "want"),
+    [("UPI/428912/john.doe@okaxis/pay", "JOHN DOE"), ("NEFT/N123456/ABC LOGISTICS CORP/HDFC0001234", "ABC LOGISTICS CORP"), ("POS-RESTAURANT 1234 GREEN", "RESTAURANT GREEN"), ("", "Internal Transfer"),
+     ("UPI/1/99887@bank/Mark Lee", "MARK LEE"), ("IMPS 1234 TO SOME BODY ELSE HERE", "TO SOME BODY"), ("123 / 456", "Other Account Operations")],
+)
+def test_tracking_names(spark, narration, want):
+    assert one(spark, naming.tracking_name(F.col("n")), n=narration) == want
+
+
+def test_parties(spark):
+    rows = spark.createDataFrame([("OPENING BALANCE", "x"), ("-/Acme Pvt Ltd/", "UPI"), ("SAL", "SAL/Good House/Jan"), (None, None)], "p string, n string")
+    got = rows.select(naming.is_balance_marker(F.col("p"), F.col("n")).alias("m"), naming.counterparty(F.col("p"), F.col("n")).alias("c")).collect()
+    assert [(r.m, r.c) for r in got] == [(True, "OPENING BALANCE"), (False, "Acme Pvt Ltd"), (False, "Good House"), (False, "Unknown Counterparty")]
+
+
 def test_grid_by_hand(spark):
     rows = spark.createDataFrame([(i, float(i % 3)) for i in range(10)], "id int, v double")
     got = grid.page_of(rows, [F.desc("v"), F.asc("id")], 2, 4).collect()
