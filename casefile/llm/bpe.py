@@ -32,7 +32,7 @@ from .held import held
 #: Ids that are decoded at a time.
 BLOCK = 4096
 #: Pieces per generation of a codec's memory.
-HELD_PIECES = 200_000
+HELD_PIECES = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +44,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces; ``encode_piece`` gives the ids that merging by rank gives."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks = ranks
         self.max_states = max_states
         self.bytes_of = {i: b for b, i in ranks.items()}
@@ -87,7 +87,7 @@ class Transducer:
         key = (before, token)
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) >= 1_000_000:
+            if len(self.apart) >= 250_000:
                 self.apart.clear()
             known = self.apart[key] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
         return known
