@@ -2,8 +2,8 @@
 
 Hosts are nodes. A page's absolute links and its host's place in the domain tree (a host and the nearest host
 above it that has pages) are edges. Hosts on an allow rule seed trust, which flows along edges as a
-personalised PageRank; hosts on a block rule seed distrust, which flows against them. Masses are whole numbers
-of 10**12 parts, so sums do not depend on the order in which Spark adds them. A host that no rule decides is
+personalised PageRank; hosts on a block rule seed distrust, which flows against them. Masses are whole numbers:
+all hosts together have 10**15 parts to give, so sums neither overflow nor depend on the order in which Spark adds. A host that no rule decides is
 blocked when its distrust exceeds its trust by ``margin``. All of it is DataFrame operations: links and paths
 never leave the JVM, pages are reduced to distinct edges per host by partial aggregation, and every round
 exchanges host rows only.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: Parts of one unit of rank.
-UNIT = 10**12
+#: Parts of rank that all hosts share.
+UNIT = 10**15
 
 
 @dataclass(frozen=True)
@@ -119,10 +119,12 @@ def judge_urls(
         F.count_if(F.col("_rule.verdict") == "allow").alias("allowed"), F.count_if(F.col("_rule.verdict") == "block").alias("blocked"), F.count(F.lit(1)).alias("n")
     )
     hosts = written(per_host.filter(F.col("host") != ""), "link-hosts")
+    share = UNIT // max(1, hosts.count())
+    seed = lambda part: F.expr(f"({share} div n) * {part} + (({share} % n) * {part}) div n")  # noqa: E731  share * part / n, rounded down
     edges = written(host_edges(pages.select(url_col, html_col), hosts, url_col, html_col), "link-edges")
-    trust = spread(edges, hosts.filter("allowed > 0").select("host", F.expr(f"({UNIT} * allowed) div n").alias("seed")), rounds, damping_percent)
+    trust = spread(edges, hosts.filter("allowed > 0").select("host", seed("allowed").alias("seed")), rounds, damping_percent)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = spread(back, hosts.filter("blocked > 0").select("host", F.expr(f"({UNIT} * blocked) div n").alias("seed")), rounds, damping_percent)
+    distrust = spread(back, hosts.filter("blocked > 0").select("host", seed("blocked").alias("seed")), rounds, damping_percent)
     scores = trust.withColumnRenamed("mass", "trust").join(distrust.withColumnRenamed("mass", "distrust"), "host", "full_outer")
     scores = written(scores.select(F.col("host").alias("s_host"), F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust")), "link-scores")
     judged = slim.join(scores, F.col("host") == F.col("s_host"), "left")

@@ -41,7 +41,7 @@ def links_sql(rounds: int = 6, damping: int = 85) -> str:
     for name, a, b, seed in (("t", "src", "dst", "allowed"), ("d", "dst", "src", "blocked")):
         out.append(f"{name}deg AS (SELECT {a} AS src, count(*) AS degree FROM e GROUP BY 1)")
         out.append(f"{name}out AS (SELECT e.{a} AS src, e.{b} AS dst, degree FROM e JOIN {name}deg g ON g.src = e.{a})")
-        out.append(f"{name}seed AS (SELECT host, CAST({UNIT} AS BIGINT) * {seed} // n AS seed FROM h WHERE {seed} > 0)")
+        out.append(f"{name}seed AS (SELECT host, CAST(CAST({UNIT} // (SELECT count(*) FROM h) AS HUGEINT) * {seed} // n AS BIGINT) AS seed FROM h WHERE {seed} > 0)")
         out.append(f"{name}0 AS (SELECT host, seed AS mass FROM {name}seed)")
         for i in range(1, rounds + 1):
             out.append(

@@ -33,8 +33,9 @@ def test_propagation_by_hand(spark):
     rows = [page(1, "good.net", "/de/", "a.info"), page(2, "a.info", "/", "b.info"), page(3, "b.info", "/"), page(4, "c.info", "/", "bad.org", "bad.org"), page(5, "bad.org", "/es/1"), page(6, "z.info", "/"), (7, None, None, "", ""), (7, "x", "", "", "")]
     got = {(r.page_id, r.host): r for r in links.judge_urls(spark.createDataFrame(rows, PAGES), rounds=2, damping_percent=50).collect()}
     assert len(got) == 7
-    assert (got[2, "a.info"].trust, got[3, "b.info"].trust) == (links.UNIT // 4, links.UNIT // 4)
-    assert got[4, "c.info"].distrust == links.UNIT // 4 and got[4, "c.info"].verdict == "block"
+    quarter = (links.UNIT // 6 // 2) // 2
+    assert (got[2, "a.info"].trust, got[3, "b.info"].trust) == (quarter, quarter)
+    assert got[4, "c.info"].distrust == quarter and got[4, "c.info"].verdict == "block"
     assert {got[k].verdict for k in ((1, "good.net"), (2, "a.info"), (3, "b.info"), (6, "z.info"), (7, ""))} == {"allow"}
     assert links.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
 
