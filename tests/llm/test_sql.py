@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 from casefile.llm import queries
 
@@ -19,7 +20,7 @@ def duck():
 
 
 def plain(v):
-    return None if v is None or v != v else round(float(v), 6) if not isinstance(v, str) else v
+    return None if pd.isna(v) else v if isinstance(v, str) else round(float(v), 6)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
