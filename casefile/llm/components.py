@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import Workspace, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,6 +15,12 @@ def components(edges: DataFrame) -> DataFrame:
     until no label changes. Every table is written to the shared folder, which cuts the lineage. Labels of a node
     with many neighbours are reduced by partial aggregation.
     """
+    with Workspace() as w:
+        return w.keep(spread_labels(edges)).select("node", "root")
+
+
+def spread_labels(edges: DataFrame) -> DataFrame:
+    """The last table of labels."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "cc-0")
     while True:
@@ -23,5 +29,4 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("at"), F.col("root").alias("further"))
         labels = written(step.join(jump, F.col("root") == F.col("at")).select("node", "old", F.least("root", "further").alias("root")), "cc")
         if not labels.filter("old <> root").limit(1).count():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+            return labels

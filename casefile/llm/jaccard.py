@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .hashing import LOWER, batches_of, set_digest, shingle_set, text_bytes, word_hashes
 from .held import drop
-from .scratch import written
+from .scratch import Workspace, written
 
 BUCKET_BITS, BITMAP_WORDS, STARS, TILE = 20, 16, 8, 1024
 #: Counters travel in this many segments; partial sums meet in this many groups.
@@ -355,36 +355,38 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and have no component. Repeated rows are equal sets; rows that repeat an id with other texts are sets of their
     own that share the id. An empty table gives an empty result; other columns are not read.
     """
-    levels = levels_of(docs, text_col, k)
-    records = written(signatures(docs, id_col, text_col, k, percent, levels), "jaccard-signatures")
-    full = records.filter("n > 0 and doc_id is not null")
-    nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("n", "bitmap", "wide", "prefix", "stars")))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    pairs = written(sifted(star_pairs(nodes, percent), nodes, percent), "jaccard-pairs")
-    links = verified(pairs, texts_of(docs, id_col, text_col, nodes, ends(pairs), k), k, percent)
-    roots = rooted(links)
-    now = nodes.join(roots, nodes.node == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node"))
-    rows = written(tiles(now, percent), "jaccard-tiles")
-    # As in Boruvka's algorithm every node tries its best candidate, until a round joins nothing.
-    pairs = written(tile_pairs(rows, nodes, roots, percent, every=False), "jaccard-pairs")
-    open_nodes = written(ends(pairs), "jaccard-open")  # a node without a candidate now has none later
-    texts = texts_of(docs, id_col, text_col, nodes, open_nodes, k)
-    rows = written(rows.join(open_nodes, "node", "left_semi"), "jaccard-tiles")
-    nodes_open = written(nodes.select("node", "n", "bitmap", "wide").join(open_nodes, "node", "left_semi"), "jaccard-open-nodes")
-    new = verified(sifted(pairs, nodes_open, percent), texts, k, percent)
-    while not new.isEmpty():
-        links = links.unionByName(new)
+    with Workspace() as w:
+        levels = levels_of(docs, text_col, k)
+        records = written(signatures(docs, id_col, text_col, k, percent, levels), "jaccard-signatures")
+        ids = w.keep(written(records.select("doc_id", "n", "d1", "d2"), "jaccard-ids"))
+        full = records.filter("n > 0 and doc_id is not null")
+        nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("n", "bitmap", "wide", "prefix", "stars")))
+        nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+        pairs = written(sifted(star_pairs(nodes, percent), nodes, percent), "jaccard-pairs")
+        links = verified(pairs, texts_of(docs, id_col, text_col, nodes, ends(pairs), k), k, percent)
         roots = rooted(links)
-        pairs = tile_pairs(rows, nodes_open, roots, percent, every=False)
+        now = nodes.join(roots, nodes.node == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node"))
+        rows = written(tiles(now, percent), "jaccard-tiles")
+        # As in Boruvka's algorithm every node tries its best candidate, until a round joins nothing.
+        pairs = written(tile_pairs(rows, nodes, roots, percent, every=False), "jaccard-pairs")
+        open_nodes = written(ends(pairs), "jaccard-open")  # a node without a candidate now has none later
+        texts = texts_of(docs, id_col, text_col, nodes, open_nodes, k)
+        rows = written(rows.join(open_nodes, "node", "left_semi"), "jaccard-tiles")
+        nodes_open = written(nodes.select("node", "n", "bitmap", "wide").join(open_nodes, "node", "left_semi"), "jaccard-open-nodes")
         new = verified(sifted(pairs, nodes_open, percent), texts, k, percent)
-    pairs = tile_pairs(rows, nodes_open, roots, percent, every=True)
-    links = links.unionByName(verified(sifted(pairs, nodes_open, percent), texts, k, percent))
-    roots = rooted(links)
-    member = roots.join(nodes.select("node", "label"), F.col("r_node") == F.col("node"))
-    lowest = member.groupBy("r_root").agg(F.min("label").alias("component"))
-    member = roots.join(lowest, "r_root").select(F.col("r_node"), "component")
-    classes = nodes.select("node", "d1", "d2", "label").join(member, F.col("node") == F.col("r_node"), "left")
-    classes = written(classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "label").alias("component")), "jaccard-classes")
-    joined = records.select("doc_id", "n", "d1", "d2").join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
+        while not new.isEmpty():
+            links = links.unionByName(new)
+            roots = rooted(links)
+            pairs = tile_pairs(rows, nodes_open, roots, percent, every=False)
+            new = verified(sifted(pairs, nodes_open, percent), texts, k, percent)
+        pairs = tile_pairs(rows, nodes_open, roots, percent, every=True)
+        links = links.unionByName(verified(sifted(pairs, nodes_open, percent), texts, k, percent))
+        roots = rooted(links)
+        member = roots.join(nodes.select("node", "label"), F.col("r_node") == F.col("node"))
+        lowest = member.groupBy("r_root").agg(F.min("label").alias("component"))
+        member = roots.join(lowest, "r_root").select(F.col("r_node"), "component")
+        classes = nodes.select("node", "d1", "d2", "label").join(member, F.col("node") == F.col("r_node"), "left")
+        classes = w.keep(written(classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "label").alias("component")), "jaccard-classes"))
+    joined = ids.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return joined.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _local: list[str] = []
+_open: list[Workspace] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,4 +44,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].tables.append((table, path))
+    return table
+
+
+class Workspace:
+    """``with Workspace() as w``: tables written within go when it ends, but for those given to ``w.keep``.
+
+    What is kept must be all that later plans read. Kept tables belong to the workspace around this one, if any.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.kept: list[DataFrame] = []
+
+    def __enter__(self) -> Workspace:
+        _open.append(self)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table)
+        return table
+
+    def __exit__(self, *failed: object) -> None:
+        _open.remove(self)
+        for table, path in self.tables:
+            if any(table is k for k in self.kept) and not failed[0]:
+                if _open:
+                    _open[-1].tables.append((table, path))
+            else:
+                hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .hashing import BASE, batches_of, powers, text_bytes, windows, word_hashes
 from .held import drop
-from .scratch import written
+from .scratch import Workspace, written
 
 #: Words of a minimizer, bits of a filter, windows that are cut into fragments together, bytes of text at a time.
 MINIMIZER, FILTER_BITS, BLOCK, HELD = 6, 26, 1 << 17, 1 << 20
@@ -200,9 +200,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document, and only an earlier place counts. Ids of 2**39 or more raise. An empty table gives an empty result; other
     columns are not read.
     """
-    found = repeated_fragments(docs, id_col, text_col, k)
-    lists = found.groupBy("id", "h").agg(F.collect_list("at").alias("ats"), F.collect_list("mask").alias("masks"))
-    lists = lists.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), "ats", "masks")
+    with Workspace() as w:
+        found = repeated_fragments(docs, id_col, text_col, k)
+        lists = found.groupBy("id", "h").agg(F.collect_list("at").alias("ats"), F.collect_list("mask").alias("masks"))
+        lists = w.keep(written(lists.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), "ats", "masks"), "spans-lists"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_h"), F.struct(*(F.col(c) for c in keep), F.lit(0).alias("_none")).alias("_keep"))
     joined = rows.join(lists, (F.col("_id").cast("long") == F.col("r_id")) & (F.col("_h") == F.col("r_h")), "left")
     joined = joined.select("_text", "ats", "masks", "_id", "_keep")
