@@ -172,3 +172,18 @@ def test_pipeline_runs_and_repeats(spark):
     d = "/root/testdata/sf0.001"
     a, b = (sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, d).select("doc_id", "ids_sha256").collect()) for _ in range(2))
     assert a == b and len(a) > 50
+
+
+def test_workspace_deletes_what_is_not_kept(spark):
+    import glob
+
+    with scratch.Workspace() as outer:
+        with scratch.Workspace() as inner:
+            a = inner.keep(scratch.written(spark.range(3), "kept"))
+            b = scratch.written(spark.range(2), "gone")
+        assert a.count() == 3
+        paths = [p for _, p in outer.tables]
+        assert len(paths) == 1 and glob.glob(paths[0].removeprefix("file://"))
+        gone = b.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert not glob.glob(gone)
+    assert not glob.glob(paths[0].removeprefix("file://"))
