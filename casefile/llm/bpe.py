@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .held import held
+from .held import held, tidy
 
 #: Ids that are decoded at a time.
 BLOCK = 4096
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_path, pattern)
-        for batch in batches:
+        for batch in tidy(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n, lists, id_sha, out_sha, same = [], [], [], [], []

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from . import gbt, htmlpages
 from .dom import HIDDEN, TAGS, TOKEN_NAMES, Page, parse
+from .held import drop, tidy
 
 #: Pages and seed of the training set.
 TRAIN_PAGES, SEED = 1200, 11
@@ -125,7 +126,8 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
     n_keep = len(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        drop()
+        for batch in tidy(batches):
             at = 0
             while at < batch.num_rows:
                 some, held = [], 0

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import LOWER, batches_of, set_digest, shingle_set, text_bytes, word_hashes
-from .held import drop
+from .held import drop, tidy
 from .scratch import Workspace, written
 
 BUCKET_BITS, BITMAP_WORDS, STARS, TILE = 20, 16, 8, 1024
@@ -61,7 +61,7 @@ def levels_of(docs: DataFrame, text_col: str, k: int) -> bytes:
         drop()
         total = np.zeros(1 << BUCKET_BITS, np.uint32)
         seen = False
-        for batch in batches:
+        for batch in tidy(batches):
             for s in sets_of(batch.column(0), k):
                 seen = True
                 np.add.at(total, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.uint32(1))
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop()
         level = np.frombuffer(levels, np.uint8)
-        for batch in batches:
+        for batch in tidy(batches):
             n, d1, d2, maps, wide, prefixes, stars = [], [], [], [], [], [], []
             for s in sets_of(batch.column(1), k):
                 a, b = set_digest(s)
@@ -186,7 +186,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, want
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts whose ids may be wanted, with the digests of their sets."""
         bits = np.frombuffer(sieve_bytes, np.uint8)
-        for batch in batches:
+        for batch in tidy(batches):
             at = batch.column(1).to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 > 0))
             digests = [set_digest(s) for s in sets_of(batch.column(0), k)]
@@ -223,7 +223,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                     size -= len(known.popitem(last=False)[1])
             return s
 
-        for batch in batches:
+        for batch in tidy(batches):
             keep = []
             for i in range(batch.num_rows):
                 a, b = (get(batch.column(j)[i].as_py(), batch.column(j + 2)[i]) for j in (0, 1))
@@ -317,7 +317,7 @@ def tile_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int
             pairs = np.unique(np.stack(meet(*cols, bits), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], ["a", "b", "diff"])
 
-        for batch in batches:
+        for batch in tidy(batches):
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             tiles = held["tile"].to_numpy()

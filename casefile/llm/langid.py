@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .held import held
+from .held import held, tidy
 
 #: Bytes of a lane, and lanes that step together.
 LANE, LANES = 1024, 2048
@@ -183,7 +183,7 @@ def identify(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(samples) if samples else None
-        for batch in batches:
+        for batch in tidy(batches):
             sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(n_keep)), 0).to_numpy(zero_copy_only=False)) // HELD
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(sizes)) + 1, [batch.num_rows]])
             for at, end in zip(cuts, cuts[1:], strict=False):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import BASE, batches_of, powers, text_bytes, windows, word_hashes
-from .held import drop
+from .held import drop, tidy
 from .scratch import Workspace, written
 
 #: Words of a minimizer, bits of a filter, windows that are cut into fragments together, bytes of text at a time.
@@ -122,7 +122,7 @@ def read_fragments(rows: DataFrame, k: int, kind: str, bits: np.ndarray | None =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop()
         table = None if raw is None else np.frombuffer(raw, np.uint8)
-        for batch in batches:
+        for batch in tidy(batches):
             for a, b in batches_of(batch.column(0), HELD):
                 ids, h = (batch.column(i).slice(a, b - a).to_numpy() for i in (1, 2))
                 data, offsets = text_bytes(batch.column(0).slice(a, b - a))
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop()
-        for batch in batches:
+        for batch in tidy(batches):
             for begin, end in batches_of(batch.column(0), HELD):
                 part = batch.slice(begin, end - begin)
                 n, removed, sha, kept_text, spans = [], [], [], [], []
