@@ -414,7 +414,7 @@ RING = "ring AS (SELECT src, dst FROM edge WHERE CAST(substr(dst, 8) AS INTEGER)
 
 def ring(spark, d):
     number = lambda c: F.substring(c, 8, 10).cast("int")
-    return views.edge(spark, d).filter((number("dst") - number("src")).isin(5, -15)).select("src", "dst")
+    return views.region_edge(spark, d).filter((number("dst") - number("src")).isin(5, -15)).select("src", "dst")
 
 
 @query(
@@ -435,7 +435,7 @@ def bfs(spark, d):
     (views.EDGE,),
 )
 def paths(spark, d):
-    return graph.paths(views.edge(spark, d), "src", "dst", "NATION_0", "NATION_10", 3)
+    return graph.paths(views.region_edge(spark, d), "src", "dst", "NATION_0", "NATION_10", 3)
 
 
 @query(
@@ -447,7 +447,7 @@ def paths(spark, d):
     (views.EDGE,),
 )
 def cycles(spark, d):
-    return graph.cycles(views.edge(spark, d), "src", "dst", 4)
+    return graph.cycles(views.region_edge(spark, d), "src", "dst", 4)
 
 
 @query(

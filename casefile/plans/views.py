@@ -65,10 +65,18 @@ def flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge(spark: SparkSession, d: str) -> DataFrame:
-    """Totals between nations of a region: lines are summed per supplier and customer nation key before names are joined."""
+    """Totals from supplier nation to customer nation, self flows too: lines are summed per nation keys before names are joined."""
+    return _edges(spark, d).select("src", "dst", "transfers", "amount")
+
+
+def region_edge(spark: SparkSession, d: str) -> DataFrame:
+    """The edges between different nations of a region, for paths, cycles and neighbourhoods."""
+    return _edges(spark, d).filter((F.col("src_region") == F.col("dst_region")) & (F.col("src") != F.col("dst"))).select("src", "dst", "transfers", "amount")
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     sums = rows.groupBy("s_nationkey", "c_nationkey").agg(F.count(F.lit(1)).alias("transfers"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"))
     a, b = (table(spark, d, "nation").select(F.col("n_nationkey").alias(f"{x}_key"), F.col("n_name").alias(x), F.col("n_regionkey").alias(f"{x}_region")) for x in ("src", "dst"))
-    named = sums.join(a, F.col("s_nationkey") == F.col("src_key")).join(b, F.col("c_nationkey") == F.col("dst_key"))
-    return named.filter((F.col("src_region") == F.col("dst_region")) & (F.col("src") != F.col("dst"))).select("src", "dst", "transfers", "amount")
+    return sums.join(a, F.col("s_nationkey") == F.col("src_key")).join(b, F.col("c_nationkey") == F.col("dst_key"))

@@ -16,3 +16,25 @@ def test_every_line_is_scored(spark):
     assert {r.level: r.n for r in registry.QUERIES["risk_distribution"](spark, SF).collect()} == by_level
     low = {r.level: (r.low, r.worst) for r in scored.groupBy("level").agg(F.count_if(F.col("score") < 50).alias("low"), F.min("score").alias("worst")).collect()}
     assert {r.level: (r.low, r.worst) for r in registry.QUERIES["level_summary"](spark, SF).collect()} == low
+
+
+def nation_flows(spark):
+    """(src, dst): lines, straight from the tables."""
+    of = {r.n_nationkey: r.n_name for r in table(spark, SF, "nation").collect()}
+    lines = table(spark, SF, "lineitem").join(table(spark, SF, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, SF, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, SF, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return {(of[r.s_nationkey], of[r.c_nationkey]): r["count"] for r in lines.groupBy("s_nationkey", "c_nationkey").count().collect()}
+
+
+def test_edges_cross_regions_and_join_a_nation_to_itself(spark):
+    want = nation_flows(spark)
+    matrix = {(r.sender, r.recipient): r.transfers for r in registry.QUERIES["pair_matrix"](spark, SF).collect()}
+    assert len(matrix) == 625 and {k: n for k, n in matrix.items() if n} == want
+    assert any(a == b for a, b in want)
+    pairs = {tuple(sorted(k)) for k in want}
+    assert tuple(registry.QUERIES["unordered_pairs"](spark, SF).first()) == (len(pairs), len(want))
+    merged = {(r.a, r.b): r.evidence for r in registry.QUERIES["merged_edges"](spark, SF).collect()}
+    assert merged == {(a, b): want.get((a, b), 0) + (want.get((b, a), 0) if a != b else 0) for a, b in pairs}
+    trips = {(r.a, r.b) for r in registry.QUERIES["round_trips"](spark, SF).collect()}
+    assert trips == {(a, b) for a, b in want if a != b and (b, a) in want}
+    assert registry.QUERIES["sankey"](spark, SF).count() == len(want)
