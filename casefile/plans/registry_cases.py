@@ -57,8 +57,8 @@ def keyword_normalise(spark, d):
 def one_sided_match(spark, d):
     # Names differ in their number only, so the number is the token that tells them apart.
     number = F.regexp_replace("party", "_", "")
-    names = table(spark, d, "nation").filter("n_nationkey between 10 and 14").select(F.regexp_replace("n_name", "_", "").alias("n_name"))
-    got = cases.one_sided(views.txn(spark, d).withColumn("party", number), names, "n_name", "party", ["txn_id"], least=400_000.0)
+    names = table(spark, d, "nation").select(F.regexp_replace("n_name", "_", "").alias("n_name"))
+    got = cases.one_sided(views.txn(spark, d).withColumn("party", number), names, "n_name", "party", ["txn_id"])
     return got.withColumn("person", F.regexp_replace("person", "NATION", "NATION_"))
 
 
@@ -131,7 +131,7 @@ def cascade_delete(spark, d):
 def case_graph(spark, d):
     nations = table(spark, d, "nation").withColumn("name", F.col("n_name"))
     risk = nations.select("name", (F.col("n_nationkey") * 3 % 10).cast("int").alias("risk"))
-    return cases.graph_of(views.edge(spark, d).filter("transfers % 2 = 0"), nations.filter("n_nationkey in (1, 8)"), "src", "dst", "name", risk, 6)
+    return cases.graph_of(views.edge(spark, d), nations.filter("n_nationkey in (1, 8)"), "src", "dst", "name", risk)
 
 
 @query("SELECT 'bank' AS module, count(*) AS n, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day FROM orders UNION ALL SELECT 'events', count(*), strftime(max(ts), '%Y-%m-%d') FROM events UNION ALL SELECT 'verify', count(*), NULL FROM documents")

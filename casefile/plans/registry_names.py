@@ -39,7 +39,7 @@ def tracking_names(spark, d):
 @query("SELECT txn_id, greatest(debit, credit) AS amount FROM txn WHERE greatest(debit, credit) >= 490000 OR contains(lower(party), 'nation_2') OR contains(narration, '@okbank/1-')", (views.TXN,))
 def worth_linking(spark, d):
     rows = views.txn(spark, d).withColumn("amount", F.greatest("debit", "credit")).withColumn("risk", F.when(F.col("narration").contains("@okbank/1-"), 60).otherwise(0))
-    return naming.worth_linking(rows, ["NATION_2", "x"], "amount", "risk", "party", "narration", 490_000.0).select("txn_id", "amount")
+    return naming.worth_linking(rows, ["NATION_2", "x"], "amount", "risk", "party", "narration").select("txn_id", "amount")
 
 
 CLASSES = (("suspicious", ("que", "burn")), ("financial", ("la", "que", "the")), ("identity", ("of", "und")))
@@ -84,7 +84,7 @@ def master_enrichment(spark, d):
 
 @query(f"SELECT cost_ctr, {dec_sum('amount_lc')} AS amount FROM prpo WHERE vendor <= 50 GROUP BY cost_ctr ORDER BY amount DESC, cost_ctr LIMIT 5", (views.PRPO,))
 def top_sloc(spark, d):
-    return procurement.top_by_amount(views.prpo(spark, d).filter("vendor <= 50"), "cost_ctr", "amount_lc")
+    return procurement.top_by_amount(views.prpo(spark, d), "cost_ctr", "amount_lc")
 
 
 @query(HOPS + f" SELECT count(*) AS hops, count(DISTINCT account) AS conduits, {dec_sum('out_amount')} AS volume, {dec_sum('retained')} AS retained, count(*) FILTER (tier = 'RAPID_LAYERING') AS rapid, min(gap_seconds) AS fastest FROM hops", (views.FLOW,))

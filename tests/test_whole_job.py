@@ -1,6 +1,6 @@
 """Queries take all rows of their tables: expected values come from the tables themselves."""
 
-from casefile.plans import registry, registry_cases, registry_names  # noqa: F401  (register their queries)
+from casefile.plans import registry, registry_cases, registry_names, views  # noqa: F401  (register their queries)
 from casefile.session import table
 from pyspark.sql import functions as F
 
@@ -38,3 +38,26 @@ def test_edges_cross_regions_and_join_a_nation_to_itself(spark):
     trips = {(r.a, r.b) for r in registry.QUERIES["round_trips"](spark, SF).collect()}
     assert trips == {(a, b) for a, b in want if a != b and (b, a) in want}
     assert registry.QUERIES["sankey"](spark, SF).count() == len(want)
+
+
+def test_case_graph_walks_all_edges(spark):
+    near = {}
+    for a, b in nation_flows(spark):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    ring = {"NATION_1": 0, "NATION_8": 0}
+    for h in (1, 2):
+        for node in {b for a in list(ring) for b in near.get(a, ())}:
+            ring.setdefault(node, h)
+    assert {r.node: r.ring for r in registry.QUERIES["case_graph"](spark, SF).collect()} == ring
+
+
+def test_all_vendors_names_and_amounts_count(spark):
+    hundred = SF.replace("0.001", "0.01")
+    sums = {r.cost_ctr: float(r.s) for r in views.prpo(spark, hundred).groupBy("cost_ctr").agg(F.sum(F.col("amount_lc").cast("decimal(18,2)")).alias("s")).collect()}
+    assert {r.cost_ctr: r.amount for r in registry.QUERIES["top_sloc"](spark, hundred).collect()} == sums
+    txns = {r.txn_id: (r.party, max(r.debit, r.credit), r.narration) for r in views.txn(spark, SF).collect()}
+    got = {r.txn_id: r.person for r in registry.QUERIES["one_sided_match"](spark, SF).collect()}
+    assert got == {k: party for k, (party, amount, _) in txns.items() if amount >= 1000}
+    linked = {r.txn_id for r in registry.QUERIES["worth_linking"](spark, SF).collect()}
+    assert linked == {k for k, (party, amount, text) in txns.items() if amount >= 50_000 or "NATION_2" in party or "@okbank/1-" in text}
