@@ -17,8 +17,13 @@ def upsert_edges(findings: DataFrame, keys: Sequence[str], evidence: str, weight
     return once.groupBy(*keys).agg(total(weight).alias("weight"), F.max(confidence).alias("confidence"), F.count(F.lit(1)).alias("evidence"))
 
 
-def neighbourhood(edges: DataFrame, src: str, dst: str, start: str, hops: int) -> DataFrame:
-    """name, hop of everything within ``hops`` of ``start``, direction ignored; a frontier join per hop."""
+def neighbourhood(edges: DataFrame, src: str, dst: str, start: str, hops: int, confidence: str | None = None, least: float = 0.5) -> DataFrame:
+    """name, hop of everything within ``hops`` of ``start``, direction ignored; a frontier join per hop.
+
+    With ``confidence``, only edges from ``least`` on are walked.
+    """
+    if confidence:
+        edges = edges.filter(F.col(confidence) >= least)
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).distinct()
     seen = edges.sparkSession.createDataFrame([(start, 0)], "name string, hop int")
     front = seen
@@ -28,8 +33,13 @@ def neighbourhood(edges: DataFrame, src: str, dst: str, start: str, hops: int) -
     return seen
 
 
-def paths(edges: DataFrame, src: str, dst: str, start: str, end: str, hops: int) -> DataFrame:
-    """All directed simple paths of at most ``hops`` edges: path, length."""
+def paths(edges: DataFrame, src: str, dst: str, start: str, end: str, hops: int, edge: Column | None = None) -> DataFrame:
+    """All simple paths of at most ``hops`` edges: path, length.
+
+    With ``edge``, an id, edges are walked both ways and parallel ones make paths of their own: path, length, edges.
+    """
+    if edge is not None:
+        return _paths_both_ways(edges, src, dst, start, end, hops, edge)
     step = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
     walk = edges.sparkSession.createDataFrame([([start],)], "path array<string>")
     found = None
@@ -41,6 +51,20 @@ def paths(edges: DataFrame, src: str, dst: str, start: str, end: str, hops: int)
     return found
 
 
+def _paths_both_ways(edges: DataFrame, src: str, dst: str, start: str, end: str, hops: int, edge: Column) -> DataFrame:
+    each = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), edge.cast("string").alias("id")).filter("a <> b")
+    step = each.unionByName(each.select(F.col("b").alias("a"), F.col("a").alias("b"), "id"))
+    walk = edges.sparkSession.createDataFrame([([start], [])], "path array<string>, ids array<string>")
+    found = None
+    for h in range(1, hops + 1):
+        walk = walk.join(step, F.element_at("path", -1) == F.col("a")).filter(~F.array_contains("path", F.col("b")))
+        walk = walk.select(F.array_append("path", F.col("b")).alias("path"), F.array_append("ids", F.col("id")).alias("ids"))
+        done = walk.filter(F.element_at("path", -1) == end).select(F.array_join("path", ">").alias("path"), F.lit(h).alias("length"), F.col("ids").alias("edges"))
+        found = done if found is None else found.unionByName(done)
+        walk = walk.filter(F.element_at("path", -1) != end)
+    return found
+
+
 def cycles(edges: DataFrame, src: str, dst: str, longest: int = 5) -> DataFrame:
     """One cycle per set of nodes, of 2 to ``longest`` nodes: members (sorted), cycle (its least spelling), nodes."""
     step = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b").distinct()

@@ -412,11 +412,6 @@ def unordered_pairs(spark, d):
 RING = "ring AS (SELECT src, dst FROM edge WHERE CAST(substr(dst, 8) AS INTEGER) - CAST(substr(src, 8) AS INTEGER) IN (5, -15))"
 
 
-def ring(spark, d):
-    number = lambda c: F.substring(c, 8, 10).cast("int")
-    return views.region_edge(spark, d).filter((number("dst") - number("src")).isin(5, -15)).select("src", "dst")
-
-
 @query(
     """, u AS (SELECT src AS a, dst AS b FROM ring UNION SELECT dst, src FROM ring), h1 AS (SELECT DISTINCT b FROM u WHERE a = 'NATION_0'),
     h2 AS (SELECT DISTINCT u.b FROM h1 JOIN u ON u.a = h1.b WHERE u.b <> 'NATION_0' AND u.b NOT IN (SELECT b FROM h1))
@@ -424,7 +419,7 @@ def ring(spark, d):
     (views.EDGE, RING),
 )
 def bfs(spark, d):
-    return graph.neighbourhood(ring(spark, d), "src", "dst", "NATION_0", 2)
+    return graph.neighbourhood(views.region_edge(spark, d), "src", "dst", "NATION_0", 2)
 
 
 @query(
@@ -435,7 +430,7 @@ def bfs(spark, d):
     (views.EDGE,),
 )
 def paths(spark, d):
-    return graph.paths(views.region_edge(spark, d), "src", "dst", "NATION_0", "NATION_10", 3)
+    return graph.paths(views.region_edge(spark, d), "src", "dst", "NATION_0", "NATION_10", 3, F.concat_ws(">", "src", "dst")).select("path", "length")
 
 
 @query(
@@ -447,7 +442,7 @@ def paths(spark, d):
     (views.EDGE,),
 )
 def cycles(spark, d):
-    return graph.cycles(views.region_edge(spark, d), "src", "dst", 4)
+    return graph.cycles(views.region_edge(spark, d), "src", "dst")
 
 
 @query(

@@ -1,5 +1,9 @@
 """Queries take all rows of their tables: expected values come from the tables themselves."""
 
+from collections import Counter
+from itertools import permutations
+
+from casefile.operators import graph
 from casefile.plans import registry, registry_cases, registry_names, views  # noqa: F401  (register their queries)
 from casefile.session import table
 from pyspark.sql import functions as F
@@ -61,3 +65,36 @@ def test_all_vendors_names_and_amounts_count(spark):
     assert got == {k: party for k, (party, amount, _) in txns.items() if amount >= 1000}
     linked = {r.txn_id for r in registry.QUERIES["worth_linking"](spark, SF).collect()}
     assert linked == {k for k, (party, amount, text) in txns.items() if amount >= 50_000 or "NATION_2" in party or "@okbank/1-" in text}
+
+
+def test_cycles_paths_and_neighbours_on_all_region_edges(spark):
+    hundred = SF.replace("0.001", "0.01")
+    e = {(r.src, r.dst) for r in views.region_edge(spark, hundred).select("src", "dst").collect()}
+    nodes = sorted({a for a, _ in e})
+    groups = [[b for b in nodes if b == a or (a, b) in e or (b, a) in e] for a in nodes]
+    rings = {p for g in groups for n in range(2, 6) for p in permutations(g, n) if p[0] == min(p) and all(x in e for x in zip(p, p[1:] + p[:1], strict=True))}
+    got = {(r.members, r.nodes) for r in registry.QUERIES["cycles"](spark, hundred).collect()}
+    assert got == {(",".join(sorted(p)), len(p)) for p in rings} and max(n for _, n in got) == 5
+    first = {b for a, b in e | {(b, a) for a, b in e} if a == "NATION_0"}
+    second = {b for a, b in e | {(b, a) for a, b in e} if a in first} - first - {"NATION_0"}
+    want = {("NATION_0", 0)} | {(b, 1) for b in first} | {(b, 2) for b in second}
+    assert {tuple(r) for r in registry.QUERIES["bfs"](spark, hundred).collect()} == want
+    ways = Counter(a for x in e for a in (x, x[::-1]))
+    walks = Counter()
+    for n in range(4):
+        for mid in permutations([x for x in nodes if x not in ("NATION_0", "NATION_10")], n) if n < 3 else ():
+            p = ("NATION_0", *mid, "NATION_10")
+            count = 1
+            for x in zip(p, p[1:], strict=False):
+                count *= ways[x]
+            if count:
+                walks[">".join(p)] += count
+    assert Counter(r.path for r in registry.QUERIES["paths"](spark, hundred).collect()) == walks and walks
+
+
+def test_paths_use_edges_both_ways_and_parallel_ones(spark):
+    rows = [(1, "A", "B", 0.9), (2, "B", "A", 0.4), (3, "C", "B", 0.5), (4, "B", "C", 0.1), (5, "D", "A", 0.2)]
+    e = spark.createDataFrame(rows, "id int, s string, d string, c double")
+    got = [(r.path, r.length, tuple(r.edges)) for r in graph.paths(e, "s", "d", "A", "C", 3, F.col("id")).collect()]
+    assert sorted(got) == [("A>B>C", 2, (x, y)) for x in "12" for y in "34"]
+    assert {tuple(r) for r in graph.neighbourhood(e, "s", "d", "A", 2, "c").collect()} == {("A", 0), ("B", 1), ("C", 2)}
