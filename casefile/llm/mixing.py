@@ -4,7 +4,8 @@ Every source gets a word budget: its share by weight of the whole, at most ``max
 the excess going to the other sources by weight (water filling, in closed form). A budget is met by complete
 epochs over the source first; the rest is a weighted sample without replacement: each document draws an
 exponential key -ln(u)/w with u from a hash of its id and w its quality weight, and documents are taken in key
-order while their running size fits the rest; one more, the best fit, closes the gap. The running sum never needs a source in one task: keys are
+order while their running size fits the rest. Documents that fit what is then missing go on in key order, in
+rounds until none fits; one more, the best fit, closes the gap. The running sum never needs a source in one task: keys are
 binned, bins are summed with partial aggregation, whole bins are taken or left, and only the one bin per
 source in which the budget ends is sorted.
 """
@@ -49,6 +50,26 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return per.select("source", "source_size", "target")
 
 
+def taken_in_order(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """rows (source, size, key, bin, id, row) with ``picked``: in key order while the running size fits the source's ``rest``.
+
+    budgets: one row per source: source, rest.
+    """
+    binned = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    binned = binned.withColumn("bin_before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
+    bins_of = binned.alias("b").join(budgets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
+        F.col("b.source").alias("b_source"), F.col("b.bin").alias("b_bin"), "bin_before", *(F.col(f"t.{c}") for c in budgets.columns if c != "source"),
+        F.when(F.col("bin_before") + F.col("bin_size") <= F.col("rest"), "all").when(F.col("bin_before") >= F.col("rest"), "none").otherwise("part").alias("fit"),
+    )
+    out = rows.join(bins_of, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin")))
+    out = written(out.drop("b_source", "b_bin"), "mix-bins")
+    inside = Window.partitionBy("source", "bin").orderBy("key", F.col("id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    part = out.filter(F.col("fit") == "part").withColumn("picked", F.col("bin_before") + F.sum("size").over(inside) <= F.col("rest"))
+    whole = out.filter(F.col("fit") != "part").withColumn("picked", F.col("fit") == "all")
+    return written(whole.unionByName(part).withColumn("picked", F.col("picked") & (F.col("size") > 0)).drop("fit", "bin_before"), "mix-cut")
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -70,7 +91,7 @@ def mix(
 
     Null ids draw the key of an empty string, null sources are one source of their own, null texts have size 0 and
     are never picked. Repeated rows draw equal keys and are taken in order of size; equal rows are interchangeable.
-    Documents are taken while they fit whole; of those left, the one whose size comes nearest to the words still
+    Documents are taken in key order while they fit whole, then those that still fit what is missing; of those left, the one whose size comes nearest to the words still
     missing is added if it brings the source nearer to its budget. An empty table gives an empty result.
     """
     key_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -87,21 +108,32 @@ def mix(
     targets = source_targets(slim, weights, share, max_repeats)
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(max_repeats), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    binned = slim.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    binned = binned.withColumn("bin_before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-    bins_of = binned.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("b.source").alias("b_source"), F.col("b.bin").alias("b_bin"), "bin_before", "source_size", "target", "epochs", "rest",
-        F.when(F.col("bin_before") + F.col("bin_size") <= F.col("rest"), "all").when(F.col("bin_before") >= F.col("rest"), "none").otherwise("part").alias("fit"),
-    )
-    rows = slim.join(bins_of, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin")))
-    rows = written(rows.drop("b_source", "b_bin"), "mix-bins")
-    inside = Window.partitionBy("source", "bin").orderBy("key", F.col("id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    part = rows.filter(F.col("fit") == "part").withColumn("picked", F.col("bin_before") + F.sum("size").over(inside) <= F.col("rest"))
-    whole = rows.filter(F.col("fit") != "part").withColumn("picked", F.col("fit") == "all")
-    cut = written(whole.unionByName(part).withColumn("picked", F.col("picked") & (F.col("size") > 0)), "mix-cut")
-
+    cut = taken_in_order(slim, targets.select("source", "source_size", "target", "epochs", "rest"))
     gaps = cut.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0))).alias("gap"))
+    gaps = written(gaps, "mix-gaps")
+    open_rows = written(cut.filter(~F.col("picked") & (F.col("size") > 0)).select("id", "source", "size", "key", "row"), "mix-open")
+    more = None
+    while True:
+        # What fits now goes on in key order; what does not fit now never will, as gaps only shrink. The bins are spread over
+        # the keys that are left, so that the bin in which a gap ends stays small.
+        fits = open_rows.join(gaps.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source"))).filter(F.col("size") <= F.col("gap"))
+        fits = written(fits.drop("g_source", "gap"), "mix-fits")
+        low = written(fits.groupBy("source").agg(F.min("key").alias("low"), F.max("key").alias("high")), "mix-low")
+        if low.isEmpty():
+            break
+        spread = fits.join(low.withColumnRenamed("source", "l_source"), F.col("source").eqNullSafe(F.col("l_source")))
+        place = (F.lit(1.0) - F.exp(F.col("low") - F.col("key"))) / F.greatest(F.lit(1.0) - F.exp(F.col("low") - F.col("high")), F.lit(1e-300))
+        spread = spread.withColumn("bin", F.floor(place * F.lit(bins)).cast("int")).select("id", "source", "size", "key", "bin", "row")
+        taken = taken_in_order(spread, gaps.withColumnRenamed("gap", "rest"))
+        picked = written(taken.filter("picked").select("source", "size", "row"), "mix-more")
+        more = picked if more is None else more.unionByName(picked)
+        used = picked.groupBy(F.col("source").alias("u_source")).agg(F.sum("size").alias("used"))
+        gaps = gaps.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
+        gaps = written(gaps.select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "mix-gaps")
+        open_rows = taken.filter(~F.col("picked")).select("id", "source", "size", "key", "row")
+    if more is not None:
+        added = more.select(F.col("row").alias("added_row"))
+        cut = written(cut.join(added, F.col("row") == F.col("added_row"), "left").withColumn("picked", F.col("picked") | F.col("added_row").isNotNull()).drop("added_row"), "mix-filled")
     left = cut.filter(~F.col("picked") & (F.col("size") > 0)).alias("c").join(gaps.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")))
     off = F.abs(F.col("gap") - F.col("size"))
     last = left.filter(off < F.col("gap")).groupBy("c.source").agg(F.min(F.struct(off.alias("off"), F.col("key"), F.col("row").alias("row"))).alias("best"))
