@@ -29,8 +29,8 @@ _rng = np.random.default_rng(20240501)
 #: A random value per byte, and the odd base whose powers weigh places in a word.
 BYTE_VALUE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Random odd weights of the places in a shingle.
-PLACE = _rng.integers(1, 2**64, 64, dtype=np.uint64) | np.uint64(1)
+#: Random odd weights of the places in a shingle; their number is the longest shingle.
+PLACE = _rng.integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
 _powers = [np.ones(1, np.uint64)]
 
 

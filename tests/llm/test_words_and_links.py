@@ -28,7 +28,7 @@ def corpus(seed=5, n=60):
     r = random.Random(seed)
     vocab = [f"{a}{b}" for a in ("Ka", "lo", "mi", "né", "st") for b in ("ra", "n", "tu", "ö")]
     say = lambda m: " ".join(r.choice(vocab) for _ in range(m))
-    passage = say(30)
+    passage = say(95)
     rows = []
     for i in range(n):
         kind = i % 6
@@ -125,7 +125,7 @@ def brute_repeats(rows, k=20):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("k", "seed"), [(20, 5), (20, 8), (5, 9), (3, 1)])
+@pytest.mark.parametrize(("k", "seed"), [(20, 5), (20, 8), (6, 9), (2, 1), (36, 4), (60, 3)])
 def test_passages_equal_brute_force(spark, k, seed):
     rows = corpus(seed)
     got = substrings.remove_repeats(spark.createDataFrame(rows, DOCS), k=k, keep=("n", "label"))
@@ -137,6 +137,33 @@ def test_passages_equal_brute_force(spark, k, seed):
         assert r.n_removed == 0 or hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_passages_wide_ids_long_texts_and_paths(spark, monkeypatch):
+    """Ids of any size, a text over many source blocks, copies of it with gaps, and rows that repeat."""
+    monkeypatch.setattr(substrings, "SOURCE_BLOCK", 64)
+    r = random.Random(6)
+    long = [f"w{r.randrange(300)}" for _ in range(3000)]
+    cut = long[:500] + ["odd"] + long[501:1700] + ["x", "y"] + long[1650:]
+    rows = [(2**62, " ".join(long)), (-(2**63), " ".join(long[700:900])), (2**63 - 1, " ".join(cut)), (2**40, " ".join(cut[100:])), (2**40, " ".join(cut[100:])), (5, " ".join(long[2000:2500] * 2))]
+    rows = [(i, t, "", "", "", "") for i, t in rows]
+    for k in (5, 20):
+        got = substrings.remove_repeats(spark.createDataFrame(rows, DOCS), k=k).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows, k)
+
+
+def test_repeated_paths_compact_to_one_unitig(spark, monkeypatch):
+    """Two copies of a text share one path over all blocks of the source; a branch cuts it."""
+    monkeypatch.setattr(substrings, "SOURCE_BLOCK", 16)
+    schema = "mm long, c long, first struct<id:long,word:int>, len int, head long, tail long"
+    chain = [(i, i, (7, 5 * i), 5, i, i + 1) for i in range(40)]
+    far = [(100, 100, (9, 3), 5, 900, 901)]
+    nothing = spark.createDataFrame([], "head long, tail long")
+    roots = {r.c: (r.first.id, r.root) for r in substrings.unitigs(spark.createDataFrame(chain + far, schema), nothing).collect()}
+    assert roots == {**{i: (7, 0) for i in range(40)}, 100: (9, 3)}
+    branch = spark.createDataFrame([(20, 555)], "head long, tail long")
+    roots = {r.c: r.root for r in substrings.unitigs(spark.createDataFrame(chain, schema), branch).collect()}
+    assert roots == {i: 0 if i < 20 else 100 for i in range(40)}
+
+
 def test_passages_null_ids_negative_ids_and_empty(spark):
     text = " ".join(map(str, range(25)))
     got = substrings.remove_repeats(spark.createDataFrame([(None, text, "", "", "", ""), (-5, text, "", "", "", ""), (-9, text, "", "", "", "")], DOCS))
