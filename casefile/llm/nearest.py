@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by inner product with an adaptive dimension scan.
 
-Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, which makes the largest inner product
-the least distance; then they are rotated at random, so that any first d components hold d/D of a squared distance
-but for chance. They are dealt to inverted lists by the nearest centroid; centroids are fitted on a bounded sample,
-every vector is in a list. Every list is dealt evenly over chunks of bounded size, stored by blocks of columns, so a
-full list burdens no task. A query scans its nearest lists: per chunk it takes the first columns of all candidates, and after each block drops those whose
-partial distance, extrapolated and less a margin of ``epsilon`` / sqrt(d), is beyond its k-th best so far. What is
-left is scored exactly, in double precision, on the original vectors.
+Vectors get one more component, sqrt(M^2 - |x|^2) with M a bound of the norms, and queries are scaled to the norm M,
+which makes the largest inner product the least distance; then both are rotated at random, so that any first d
+components hold d/D of a squared distance but for chance. Vectors are dealt to inverted lists by the nearest centroid;
+centroids are fitted on a bounded sample, every vector is in a list. M is twice the largest norm of that sample; the few
+vectors beyond it are a list of their own, which every query reads whole. A query reads its nearest lists. In a list it
+takes the first columns of all candidates, and after each block of columns drops those whose partial distance,
+extrapolated and less a margin of ``epsilon`` / sqrt(d), is beyond its k-th best so far. What is left is scored exactly,
+in double precision, on the original vectors.
+
+Lists are stored in groups (see ``vectors``). A query reads the group of its nearest list first; the k-th best distance
+found there goes with it to the groups of its other lists.
 """
 
 from __future__ import annotations
@@ -18,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
-from .vectors import matrix, ranked, tiled, tiles, usable
+from .scratch import Workspace, written
+from .vectors import fit_centroids, in_groups, layout, list_facts, matrix, near_order, ranked, read_groups, sample_of, usable
 
-SCHEMA = "query_id long, vec_id long, score double"
+SCHEMA = "row long, query_id long, vec_id long, score double, limit double"
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -29,22 +33,19 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def fit_centroids(sample: np.ndarray, lists: int, rounds: int, seed: int) -> np.ndarray:
-    """k-means on the sample; a centroid that loses all points moves to the point worst served."""
-    rng = np.random.default_rng(seed)
-    centroids = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)].copy()
-    for _ in range(rounds):
-        near = (centroids**2).sum(1) - 2 * sample @ centroids.T
-        own = near.argmin(1)
-        cost = near[np.arange(len(sample)), own] + (sample**2).sum(1)
-        sums, counts = np.zeros_like(centroids), np.bincount(own, minlength=len(centroids))
-        np.add.at(sums, own, sample)
-        full = counts > 0
-        centroids[full] = sums[full] / counts[full, None]
-        worst = iter(np.argsort(-cost))
-        for c in np.flatnonzero(~full):
-            centroids[c] = sample[next(worst)]
-    return centroids
+class Space:
+    """The turned space of candidates and queries."""
+
+    def __init__(self, dim: int, reach: float, seed: int):
+        self.reach, self.turn = reach, rotation(dim + 1, seed)
+
+    def candidates(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x, np.sqrt(np.maximum(0.0, self.reach**2 - (x**2).sum(1)))]) @ self.turn
+
+    def queries(self, x: np.ndarray) -> np.ndarray:
+        x = x / np.abs(x).max(1, keepdims=True)  # no norm overflows
+        x = x * (self.reach / np.sqrt((x**2).sum(1, keepdims=True)))
+        return np.column_stack([x, np.zeros(len(x))]) @ self.turn
 
 
 def probes_for(sample: np.ndarray, points: np.ndarray, asked: np.ndarray, centroids: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
@@ -72,20 +73,18 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def scan(
-    originals: np.ndarray, columns: list[np.ndarray], ids: np.ndarray, rows: np.ndarray, query: np.ndarray, rotated: np.ndarray, own: int, k: int, epsilon: float, warm: int
-) -> tuple[np.ndarray, np.ndarray, int]:
-    """One query over ``rows`` of a chunk, nearest lists first: scores and ids of the k best, components read.
+def scan(columns: list[np.ndarray], rows: np.ndarray, rotated: np.ndarray, k: int, epsilon: float, warm: int, limit: float) -> tuple[np.ndarray, float, int]:
+    """One query over ``rows``, nearest lists first: the rows left, the k-th best distance, components read.
 
-    The first ``warm`` rows are read whole and give the first bound.
+    limit: the k-th best distance so far. Without one the first ``warm`` rows are read whole and give the first.
     """
     dim = len(rotated)
     edges = np.concatenate([[0], np.cumsum([c.shape[1] for c in columns])])
-    rows = rows[ids[rows] != own]
-    first, alive = rows[:warm], rows[warm:]
-    dist = sum(((c[first] - rotated[a:b]) ** 2).sum(1) for c, a, b in zip(columns, edges, edges[1:], strict=False))
+    whole = lambda some: sum(((c[some] - rotated[a:b]) ** 2).sum(1) for c, a, b in zip(columns, edges, edges[1:], strict=False))
+    first, alive = (rows[:warm], rows[warm:]) if np.isinf(limit) else (rows[:0], rows)
     read = len(first) * dim
-    limit = np.partition(dist, k - 1)[k - 1] if len(first) >= k else np.inf
+    if len(first) >= k:
+        limit = np.partition(whole(first), k - 1)[k - 1]
     partial = np.zeros(len(alive))
     for c, a, b in zip(columns, edges, edges[1:], strict=False):
         if not len(alive):
@@ -96,9 +95,17 @@ def scan(
             keep = partial * (dim / b) <= limit * (1 + epsilon / np.sqrt(b)) ** 2
             alive, partial = alive[keep], partial[keep]
     kept = np.concatenate([first, alive[partial <= limit * (1 + 1e-9)]])
-    scores = (originals[kept] * query).sum(1)
+    if len(kept) >= k:
+        limit = min(limit, np.partition(whole(kept), k - 1)[k - 1])
+    return kept, float(limit), read
+
+
+def best_of(originals: np.ndarray, ids: np.ndarray, kept: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact scores and ids of the k best of ``kept``."""
+    with np.errstate(all="ignore"):
+        scores = (originals[kept] * query).sum(1)
     best = np.lexsort((ids[kept], -scores))[:k]
-    return scores[best], ids[kept][best], read
+    return scores[best], ids[kept][best]
 
 
 def neighbours(
@@ -113,72 +120,103 @@ def neighbours(
     block_columns: int = 8,
     epsilon: float = 0.7,
     warm: int = 200,
-    max_chunk: int = 16_384,
-    max_queries: int = 8_192,
+    group_bytes: int = 1 << 24,
+    max_queries: int = 16_384,
     seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest inner products found, ties to the smaller vec_id.
 
-    Queries are the rows whose id is divisible by ``query_every``; candidates are all rows but the query's own id.
-    Centroids (about the square root of the rows, at most ``max_lists``) are fitted on at most ``sample_rows`` rows
-    with the least hashes; a query reads as many of the nearest lists as hold ``recall`` of the true neighbours within
-    that sample, and more, if those hold fewer than 2k rows. Rows that take no part and repeated ids: see ``vectors.usable``; zero vectors take no part either.
-    Fewer than k candidates give all of them, an empty table none.
+    Queries are the rows whose id is divisible by ``query_every``; candidates are all rows but the query's own row: of
+    rows that share an id each is a query and a candidate of its own. Rows that take no part, and vectors of different
+    lengths: see ``vectors.usable``; zero and empty vectors take no part either. Centroids (about the square root of the
+    rows, at most ``max_lists``) are fitted on at most ``sample_rows`` rows with the least hashes; a query reads as many
+    of the nearest lists as hold ``recall`` of the true neighbours within that sample, and more, if those hold fewer than
+    2k rows. Fewer than k candidates give all of them, an empty table none. Products beyond the range of a double are
+    infinite and rank as such.
     """
-    rows = written(usable(vectors, id_col, vec_col, allow_zero=False), "ann-rows")
-    spark = rows.sparkSession
-    norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    n, largest, dim = rows.agg(F.count(F.lit(1)), F.max(norm2), F.max(F.size("vec"))).first()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = min(1.0, 2.0 * sample_rows / n)
-    picked = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    picked = picked.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows)
-    sample = np.array([r[0] for r in picked.select("vec").collect()], dtype=np.float64)
-    turn = rotation(dim + 1, seed)
-
-    def turned(x: np.ndarray) -> np.ndarray:
-        last = np.sqrt(np.maximum(0.0, largest - (x**2).sum(1)))
-        return np.column_stack([x, last]) @ turn
-
-    centroids = fit_centroids(turned(sample), min(max_lists, max(1, round(n**0.5))), 8, seed)
-    asked_sample = np.column_stack([sample, np.zeros(len(sample))]) @ turn
-    probes = probes_for(sample, turned(sample), asked_sample, centroids, k, recall)
-    half = (centroids**2).sum(1)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own = (half - 2 * turned(matrix(batch.column(1))) @ centroids.T).argmin(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32())], ["vec_id", "vec", "list"])
-
-    dealt = written(rows.mapInArrow(deal, "vec_id long, vec array<double>, list int"), "ann-lists")
-    docs, asked = tiles(dealt, n, query_every, max_chunk, max_queries)
-
-    def turned_query(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([x, np.zeros(len(x))]) @ turn
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            lists = left["list"].to_numpy()
-            order = np.argsort(lists, kind="stable")
-            ids, originals = left["vec_id"].to_numpy()[order], matrix(left["vec"])[order]
-            first = np.searchsorted(lists[order], np.arange(len(centroids) + 1))
-            x = turned(originals)
-            columns = [np.ascontiguousarray(x[:, a : a + block_columns]) for a in range(0, x.shape[1], block_columns)]
-            queries = matrix(right["vec"])
-            rotated = turned_query(queries)
-            near = np.argsort(half - 2 * rotated @ centroids.T, axis=1, kind="stable")
-            for i, own in enumerate(right["vec_id"].to_numpy()):
-                sizes = np.diff(first)[near[i]]
-                wanted = (np.arange(len(near[i])) < probes) | (np.cumsum(sizes) - sizes < 2 * k)
-                some = near[i][wanted]
-                rows = ranges(first[some], sizes[wanted])
-                s, v, _ = scan(originals, columns, ids, rows, queries[i], rotated[i], own, k, epsilon, warm)
-                out_q.append(np.full(len(v), own))
-                out_v.append(v)
-                out_s.append(s)
-        return pa.table({"query_id": np.concatenate(out_q).astype(np.int64), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-    return ranked(tiled(docs, asked, ["chunk", "block"], work, SCHEMA), k)
+    with Workspace() as w:
+        rows = usable(vectors, id_col, vec_col, allow_zero=False)
+        spark = rows.sparkSession
+        n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+        if not n:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        sample = sample_of(rows, n, sample_rows, dim, seed)
+        norms = np.sqrt(np.minimum((np.clip(sample, -1e150, 1e150) ** 2).sum(1), 1e300))
+        # Few rows lie beyond twice the sample's bulk; an odd sample row must not squeeze all others together.
+        reach = 2.0 * float(min(norms.max(), 4 * np.quantile(norms, 0.99)))
+        sample = sample[norms <= reach]
+        space = Space(dim, reach, seed)
+        points, asked = space.candidates(sample), space.queries(sample)
+        centroids = fit_centroids(points, min(max_lists, max(1, round(n**0.5))), 8, seed)
+        probes = probes_for(sample, points, asked, centroids, k, recall)
+        half, far = (centroids**2).sum(1), len(centroids)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = matrix(batch.column(2), dim)
+                with np.errstate(over="ignore"):
+                    beyond = (x**2).sum(1) > reach**2
+                x = np.where(beyond[:, None], 0, x)
+                own = (half - 2 * space.candidates(x) @ centroids.T).argmin(1) if len(x) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(beyond, far, own), pa.int32())], ["row", "vec_id", "vec", "list"])
+
+        dealt = written(rows.mapInArrow(deal, "row long, vec_id long, vec array<double>, list int"), "ann-lists")
+        sizes = np.zeros(far + 1, np.int64)
+        for r in dealt.groupBy("list").count().collect():  # one row per list
+            sizes[r[0]] = r[1]
+        most = max(256, min(group_bytes // (8 * dim), -(-n // 16)))
+        plan = layout(sizes, np.append(near_order(centroids, seed), far), most)
+        candidates, queries = in_groups(dealt, plan), dealt.filter(F.col("vec_id") % query_every == 0).select("row", "vec_id", "vec")
+
+        def lists_of(rotated: np.ndarray) -> np.ndarray:
+            """The lists that a query reads, the nearest first; the far one last."""
+            near = np.argsort(half - 2 * centroids @ rotated, kind="stable")
+            held = sizes[near]
+            near = near[((np.arange(len(near)) < probes) | (np.cumsum(held) - held < 2 * k)) & (held > 0)]
+            return np.append(near, far) if sizes[far] else near
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind = pa.list_(pa.struct([("grp", pa.int32()), ("lists", pa.list_(pa.int32()))]))
+            for batch in batches:
+                first, rest = [], []
+                for rotated in space.queries(matrix(batch.column(1), dim)):
+                    reads: dict[int, list[int]] = {}
+                    for at in lists_of(rotated).tolist():
+                        for g in range(plan.base[at], plan.base[at] + plan.cuts[at]):
+                            reads.setdefault(g, []).append(at)
+                    parts = [{"grp": g, "lists": lists} for g, lists in reads.items()]
+                    first.append(parts[:1])
+                    rest.append(parts[1:])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, kind), pa.array(rest, kind)], ["row", "first", "rest"])
+
+        def work(left: pa.Table, right: pa.Table) -> pa.Table:
+            out: list[list] = [[], [], [], [], []]
+            if left.num_rows and right.num_rows:
+                lists = left["list"].to_numpy()
+                order = np.argsort(lists, kind="stable")
+                lists, ids, row_of = lists[order], left["vec_id"].to_numpy()[order], left["row"].to_numpy()[order]
+                originals = matrix(left["vec"], dim)[order]
+                first = np.searchsorted(lists, np.arange(far + 2))
+                x = space.candidates(np.where((lists == far)[:, None], 0, originals))
+                columns = [np.ascontiguousarray(x[:, a : a + block_columns]) for a in range(0, x.shape[1], block_columns)]
+                limits = right["limit"].to_pylist() if "limit" in right.column_names else [None] * right.num_rows
+                queries = matrix(right["vec"], dim)
+                facts = (right["row"].to_numpy(), right["vec_id"].to_numpy(), right["lists"].to_pylist(), limits)
+                for query, rotated, own, name, reads, limit in zip(queries, space.queries(queries), *facts, strict=True):
+                    near = np.array([at for at in reads if at != far], np.int64)
+                    some = ranges(first[near], first[near + 1] - first[near])
+                    some = some[row_of[some] != own]
+                    kept, limit, _ = scan(columns, some, rotated, k, epsilon, warm, np.inf if limit is None else limit)
+                    beyond = np.arange(first[far], first[far + 1]) if far in reads else np.zeros(0, np.int64)
+                    s, v = best_of(originals, ids, np.concatenate([kept, beyond[row_of[beyond] != own]]), query, k)
+                    for column, values in zip(out, ([own] * len(v), [name] * len(v), v, s, [limit] * len(v)), strict=True):
+                        column.extend(values)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["row", "query_id", "vec_id", "score", "limit"])
+
+        routes = written(queries.select("row", "vec").mapInArrow(route, "row long, first array<struct<grp:int,lists:array<int>>>, rest array<struct<grp:int,lists:array<int>>>"), "ann-routes")
+        found = written(read_groups(candidates, queries, routes.select("row", F.col("first").alias("grps")), work, SCHEMA, max_queries), "ann-first")
+        limits = found.groupBy("row").agg(F.min("limit").alias("limit")).select(F.col("row").alias("l_row"), "limit")
+        more = routes.select("row", F.col("rest").alias("grps")).join(limits, F.col("row") == F.col("l_row"), "left").drop("l_row")
+        rest = written(read_groups(candidates, queries, more, work, SCHEMA, max_queries), "ann-rest")
+        return ranked(w.keep(found).unionByName(w.keep(rest)).select("row", "query_id", "vec_id", "score"), k)
