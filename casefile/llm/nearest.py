@@ -118,7 +118,7 @@ def neighbours(
     max_lists: int = 4_096,
     sample_rows: int = 20_000,
     block_columns: int = 8,
-    epsilon: float = 0.7,
+    epsilon: float = 1.5,
     warm: int = 200,
     group_bytes: int = 1 << 24,
     max_queries: int = 16_384,

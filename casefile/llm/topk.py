@@ -113,6 +113,9 @@ def search(block: Block, own: int, query: np.ndarray, bounds: np.ndarray, k: int
         rows = np.concatenate([np.arange(block.starts[r], block.ends[r]) for r in now])
         rows = rows[block.rows[rows] != own]
         s = block.scores(rows, query, top)
+        if kth is not None:
+            reach = s >= kth
+            rows, s = rows[reach], s[reach]
         kept_s, kept_v = np.concatenate([kept_s, s]), np.concatenate([kept_v, block.ids[rows]])
         if len(kept_s) > k:
             best = np.lexsort((kept_v, -kept_s))[:k] if kept_s.dtype != object else np.array(sorted(range(len(kept_s)), key=lambda i: (-kept_s[i], kept_v[i]))[:k])  # noqa: B023

@@ -203,11 +203,11 @@ def test_early_abandoning_reads_less():
     columns = [np.ascontiguousarray(x[:, a : a + 8]) for a in range(0, 64, 8)]
     order = np.argsort(((x - x[0]) ** 2).sum(1))
     some = order[np.argsort(order % 7, kind="stable")]
-    kept, limit, read = nearest.scan(columns, some[some != 0], x[0], 10, 0.7, 200, np.inf)
+    kept, limit, read = nearest.scan(columns, some[some != 0], x[0], 10, 1.5, 200, np.inf)
     near = set(order[1:11].tolist())
-    assert len(near & set(kept.tolist())) >= 8 and read < 0.6 * 3000 * 64
-    again, same, less = nearest.scan(columns, some[some != 0], x[0], 10, 0.7, 200, limit)
-    assert same == limit and less < read and len(near & set(again.tolist())) >= 8
+    assert len(near & set(kept.tolist())) == 10 and read < 0.6 * 3000 * 64
+    again, same, less = nearest.scan(columns, some[some != 0], x[0], 10, 1.5, 200, limit)
+    assert same == limit and less < read and len(near & set(again.tolist())) == 10
 
 
 def test_ranges():
