@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .links import RULES, UNIT
+from .links import LEAST, RULES, UNIT
 
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -21,14 +21,14 @@ def jaccard_sql(k: int, percent: int) -> str:
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.r, d.doc_id)) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
-def links_sql(rounds: int = 6, damping: int = 85) -> str:
-    """Rules, the domain tree as edges (pages link to no other host), both walks in whole numbers."""
+def links_sql(damping: int = 85) -> str:
+    """Rules, links and the domain tree as edges, both walks in whole numbers until nothing is passed on."""
     rules = sorted(RULES, key=lambda r: (-len(r.text), r.text))
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in rules) + " END"
     verdict = "CASE " + " ".join(f"WHEN rule = '{r.text}' THEN '{r.verdict}'" for r in rules) + " END"
     out = [
-        f"""WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+        f"""WITH RECURSIVE p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
         CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ELSE '' END AS path, html FROM pages)""",
         f"j AS (SELECT page_id, host, path, html, {rule} AS rule FROM p)",
         f"v AS (SELECT *, {verdict} AS decided FROM j)",
@@ -38,20 +38,18 @@ def links_sql(rounds: int = 6, damping: int = 85) -> str:
         SELECT host, lower(regexp_extract(link, '//(.*)$', 1)) FROM (SELECT host, unnest(regexp_extract_all(html, 'href\\s*=\\s*["'']?\\s*((https?:)?//[^"''\\s>/?#]+)', 1)) AS link FROM v))
         WHERE src <> dst AND src <> '' AND dst IN (SELECT host FROM h))""",
     ]
+    share = f"({UNIT} // (SELECT count(*) FROM h))"
     for name, a, b, seed in (("t", "src", "dst", "allowed"), ("d", "dst", "src", "blocked")):
         out.append(f"{name}deg AS (SELECT {a} AS src, count(*) AS degree FROM e GROUP BY 1)")
         out.append(f"{name}out AS (SELECT e.{a} AS src, e.{b} AS dst, degree FROM e JOIN {name}deg g ON g.src = e.{a})")
-        out.append(f"{name}seed AS (SELECT host, CAST(CAST({UNIT} // (SELECT count(*) FROM h) AS HUGEINT) * {seed} // n AS BIGINT) AS seed FROM h WHERE {seed} > 0)")
-        out.append(f"{name}0 AS (SELECT host, seed AS mass FROM {name}seed)")
-        for i in range(1, rounds + 1):
-            out.append(
-                f"""{name}{i} AS (SELECT host, CAST(sum(mass) AS BIGINT) AS mass FROM (SELECT o.dst AS host, r.mass * {damping} // (100 * degree) AS mass FROM {name}{i - 1} r JOIN {name}out o ON o.src = r.host
-                UNION ALL SELECT host, seed * {100 - damping} // 100 FROM {name}seed) GROUP BY host HAVING sum(mass) > 0)"""
-            )
+        out.append(f"""{name}walk AS (SELECT 0 AS round, host, CAST(CAST({share} AS HUGEINT) * {seed} // n AS BIGINT) AS moving FROM h WHERE {seed} > 0
+            UNION ALL SELECT any_value(r.round) + 1, o.dst, CAST(sum(r.moving * {damping} // (100 * degree)) AS BIGINT) FROM {name}walk r JOIN {name}out o ON o.src = r.host
+            WHERE r.moving > greatest(1, {share} // {LEAST}) GROUP BY o.dst)""")
+        out.append(f"{name}mass AS (SELECT host, CAST(sum(moving * {100 - damping} // 100) AS BIGINT) AS mass FROM {name}walk GROUP BY host)")
     return (
         ", ".join(out)
-        + f""" SELECT page_id, v.host, path, rule, coalesce(decided, CASE WHEN coalesce(d.mass, 0) - coalesce(t.mass, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict, coalesce(t.mass, 0) AS trust, coalesce(d.mass, 0) AS distrust
-        FROM v LEFT JOIN t{rounds} t ON t.host = v.host LEFT JOIN d{rounds} d ON d.host = v.host"""
+        + """ SELECT page_id, v.host, path, rule, coalesce(decided, CASE WHEN coalesce(d.mass, 0) - coalesce(t.mass, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict, coalesce(t.mass, 0) AS trust, coalesce(d.mass, 0) AS distrust
+        FROM v LEFT JOIN tmass t ON t.host = v.host LEFT JOIN dmass d ON d.host = v.host"""
     )
 
 
