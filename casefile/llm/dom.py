@@ -2,6 +2,10 @@
 
 Elements that only format text (b, em, a, ...) are no nodes; their text belongs to the node around them. A block is
 the text between two starts or ends of block elements.
+
+Time is in proportion to the length of the text, whatever it holds: a tag is read once, up to the first > outside of quoted
+values or, as the standard has it, up to the end; where an end tag or a start tag closes others, the place of the last open
+element of each name is at hand.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 SIBLING_ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tbody thead", "tbody": "tbody thead"}
-SIBLING_STOPS = frozenset("ul ol dl table".split())
+SIBLING_STOPS = "ul ol dl table"
 
 #: Words of class, id, role and the like, by what they speak for.
 TOKENS = {
@@ -44,9 +48,14 @@ HIDDEN = 1 << len(TOKEN_NAMES)
 TAGS = tuple("other html head body div section article main p h1 h2 h3 h4 ul ol li table tr td nav header footer aside form blockquote pre figure figcaption span dl button input".split())
 TAG_ID = {t: i for i, t in enumerate(TAGS)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: What stands in a tag up to its end. Quotes count after an equals sign if they are closed.
+BODY = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+""")
+ATTR = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?", re.S)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
+#: Attribute texts up to this length are kept with their bits.
+SHORT = 500
 
 _bits: dict[str, int] = {}
 
@@ -63,9 +72,10 @@ def attribute_bits(raw: str) -> int:
                     known |= TOKEN_BIT.get(word.lower(), 0)
             elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "") or name == "aria-hidden" and value == "true":
                 known |= HIDDEN
-        if len(_bits) > 50_000:
+        if len(_bits) > 20_000:
             _bits.clear()
-        _bits[raw] = known
+        if len(raw) <= SHORT:
+            _bits[raw] = known
     return known
 
 
@@ -119,10 +129,19 @@ def parse(html: str) -> Page:
         page.attrs.append(raw)
         return n
 
-    stack: list[tuple[str, int]] = []
-    stack.append(("#root", open_node("html", "")))
+    # Open elements: name, node, and the place of the last one that is no span; and the places of each name.
+    stack: list[tuple[str, int, int]] = []
+    places: dict[str, list[int]] = {}
+    unclosed: set[str] = set()
     block, in_link, pos, size = 0, 0, 0, len(html)
 
+    def push(name: str, node: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, node, stack[-1][2] if name == "span" and stack else len(stack)))
+
+    def last(names: str) -> int:
+        return max((places[x][-1] for x in names.split() if places.get(x)), default=-1)
+
     def say(raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
         node = stack[-1][1]
@@ -135,37 +154,51 @@ def parse(html: str) -> Page:
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
-            node = stack.pop()[1]
+            name, node, _ = stack.pop()
+            places[name].pop()
             if not stack or stack[-1][1] != node:  # a span without attributes stands for the node around it
                 page.end[node] = len(page.tag)
 
+    push("#root", open_node("html", ""))
     while pos < size:
-        m = TOKEN.search(html, pos)
-        if m is None:
+        start = html.find("<", pos)
+        if start < 0:
             say(html[pos:])
             break
-        if m.start() > pos:
-            say(html[pos : m.start()])
-        pos = m.end()
-        name = m.group(2)
-        if name is None:
+        closing = html.startswith("/", start + 1)
+        m = NAME.match(html, start + 1 + closing)
+        other = html[start + 1 : start + 2]
+        if m is None and other not in ("!", "?"):  # no tag; the sign is text
+            end = html.find("<", start + 1)
+            say(html[pos : end if end > 0 else size])
+            pos = end if end > 0 else size
+            continue
+        if start > pos:
+            say(html[pos:start])
+        if m is None:
+            mark = "-->" if html.startswith("<!--", start) else ">"
+            end = html.find(mark, start + (4 if len(mark) == 3 else 2))
+            pos = end + len(mark) if end >= 0 else size
             continue
-        name = name.lower()
-        if m.group(1):
+        body = BODY.match(html, m.end())
+        pos = body.end() + 1
+        if pos > size:
+            break
+        name, raw = m.group().lower(), body.group()
+        if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
             if name in INLINE:
                 continue
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] == name:
-                    close_to(d)
-                    break
+            if places.get(name):
+                close_to(places[name][-1])
             if name != "span":
                 block += 1
             continue
-        raw = m.group(3)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
+            end = None if name in unclosed else ENDS[name].search(html, pos)
+            if end is None:
+                unclosed.add(name)
             pos = end.end() if end else size if name in ("script", "style") else pos
             continue
         if name == "a":
@@ -178,33 +211,25 @@ def parse(html: str) -> Page:
         if name in INLINE or name in VOID and name not in ("hr", "input"):
             continue
         if name == "span" and not attribute_bits(raw):
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
             continue
         if name != "span":
             block += 1
             in_link = 0 if name in CLOSES_P else in_link
         if name == "hr":
             continue
-        if name in CLOSES_P:
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] == "p":
-                    close_to(d)
-                    break
-                if stack[d][0] not in ("span",):
-                    break
+        if name in CLOSES_P and stack[stack[-1][2]][0] == "p":
+            close_to(stack[-1][2])
         if name in SIBLING_ENDS:
-            ends = SIBLING_ENDS[name].split()
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] in SIBLING_STOPS:
+            stop = last(SIBLING_STOPS)
+            while (depth := last(SIBLING_ENDS[name])) > stop:
+                close_to(depth)
+                if name != "tr":
                     break
-                if stack[d][0] in ends:
-                    close_to(d)
-                    if name != "tr":
-                        break
         n = open_node(name, raw)
-        if name in VOID or raw.endswith("/") and name == "input":
+        if name in VOID:
             page.end[n] = len(page.tag)
         else:
-            stack.append((name, n))
+            push(name, n)
     close_to(0)
     return page

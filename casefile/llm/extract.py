@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ from .held import drop, tidy
 
 #: Pages and seed of the training set.
 TRAIN_PAGES, SEED = 1200, 11
-#: Characters of pages whose nodes are scored together.
-HELD = 1 << 20
+#: Characters of pages that are read together, and nodes that are scored together.
+HELD, ROWS = 1 << 20, 8192
+#: The fitted trees.
+MODEL = Path(__file__).with_name("main_text_model.npz")
 
 
 def subtree(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -33,34 +36,48 @@ def subtree(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return total[end] - total[start]
 
 
-def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
-    """A row per node of all pages, and where each page's nodes start."""
-    starts = np.cumsum([0, *(len(p.tag) for p in pages)])
-
-    def column(name: str) -> np.ndarray:
-        return np.concatenate([np.asarray(getattr(p, name), np.int64) for p in pages])
-
-    shift = np.repeat(starts[:-1], np.diff(starts))
-    tag, depth, bits, above, index = (column(c) for c in ("tag", "depth", "bits", "above", "index"))
-    parent, end, n = column("parent") + shift, column("end") + shift, len(tag)
-    parent[starts[:-1]] = starts[:-1]
-    at = np.arange(n)
-    text, links, marks, anchors = (subtree(column(c), at, end).astype(float) for c in ("text", "links", "marks", "anchors"))
-    nodes = (end - at).astype(float)
-    paragraphs = subtree((tag == TAGS.index("p")).astype(np.int64), at, end).astype(float)
-    page_text = text[np.repeat(starts[:-1], np.diff(starts))] + 1
-    done = np.concatenate([[0], np.cumsum(column("text"))])
-    into = (done[at] - done[shift]) / page_text
-    own = column("text").astype(float)
-    bad = np.array([subtree(((bits >> i) & 1), at, end) / nodes for i in range(len(TOKEN_NAMES))])
-    columns = [
-        tag, tag[parent], column("before"), depth, index, column("children")[parent] - index, column("children"),
-        np.log1p(text), np.log1p(own), links / (text + 1), marks / (text + 1) * 100, text / (nodes + 1), np.log1p(nodes), np.log1p(anchors),
-        paragraphs / nodes, text / (paragraphs + 1), text / page_text, text / (text[parent] + 1), into, links[parent] / (text[parent] + 1),
-        *(((bits >> i) & 1) for i in range(len(TOKEN_NAMES))), *(((above >> i) & 1) for i in range(len(TOKEN_NAMES))),
-        *bad, (bits & HIDDEN) > 0, *((tag == t).astype(float) for t in range(len(TAGS))),
-    ]
-    return np.stack([np.asarray(c, float) for c in columns], axis=1), starts
+class Nodes:
+    """What the model sees of the nodes of some pages; feature rows are made for a few nodes at a time."""
+
+    def __init__(self, pages: list[Page]):
+        self.starts = starts = np.cumsum([0, *(len(p.tag) for p in pages)])
+
+        def column(name: str) -> np.ndarray:
+            return np.concatenate([np.asarray(getattr(p, name), np.int64) for p in pages])
+
+        shift = np.repeat(starts[:-1], np.diff(starts))
+        self.tag, self.before, self.depth, self.bits, self.above, self.index, self.children = (column(c) for c in ("tag", "before", "depth", "bits", "above", "index", "children"))
+        self.parent, self.end, self.n = column("parent") + shift, column("end") + shift, len(self.tag)
+        self.parent[starts[:-1]] = starts[:-1]
+        at = np.arange(self.n)
+        self.own = column("text")
+        self.text, self.links, self.marks, self.anchors = (subtree(column(c), at, self.end) for c in ("text", "links", "marks", "anchors"))
+        self.paragraphs = subtree((self.tag == TAGS.index("p")).astype(np.int64), at, self.end)
+        self.first = shift  # the first node of the node's page
+        self.done = np.concatenate([[0], np.cumsum(self.own)])
+        self.words = [np.concatenate([[0], np.cumsum((self.bits >> i) & 1, dtype=np.int32)]) for i in range(len(TOKEN_NAMES))]
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """The feature rows of nodes a to b."""
+        at = np.arange(a, b)
+        parent, end, tag, bits, above = self.parent[a:b], self.end[a:b], self.tag[a:b], self.bits[a:b], self.above[a:b]
+        text, links, marks, anchors, paragraphs = (x[a:b].astype(float) for x in (self.text, self.links, self.marks, self.anchors, self.paragraphs))
+        nodes = (end - at).astype(float)
+        page_text = self.text[self.first[a:b]] + 1.0
+        into = (self.done[at] - self.done[self.first[a:b]]) / page_text
+        text_above, links_above = self.text[parent].astype(float), self.links[parent].astype(float)
+        columns = [
+            tag, self.tag[parent], self.before[a:b], self.depth[a:b], self.index[a:b], self.children[parent] - self.index[a:b], self.children[a:b],
+            np.log1p(text), np.log1p(self.own[a:b].astype(float)), links / (text + 1), marks / (text + 1) * 100, text / (nodes + 1), np.log1p(nodes), np.log1p(anchors),
+            paragraphs / nodes, text / (paragraphs + 1), text / page_text, text / (text_above + 1), into, links_above / (text_above + 1),
+            *(((bits >> i) & 1) for i in range(len(TOKEN_NAMES))), *(((above >> i) & 1) for i in range(len(TOKEN_NAMES))),
+            *((w[end] - w[at]) / nodes for w in self.words), (bits & HIDDEN) > 0, *((tag == t).astype(float) for t in range(len(TAGS))),
+        ]
+        return np.stack([np.asarray(c, float) for c in columns], axis=1)
+
+    def margins(self, model: gbt.Model) -> np.ndarray:
+        """The model's log-odds of every node."""
+        return np.concatenate([model.margin(self.rows(at, min(self.n, at + ROWS))) for at in range(0, self.n, ROWS)])
 
 
 def labels(page: Page) -> np.ndarray:
@@ -69,15 +86,22 @@ def labels(page: Page) -> np.ndarray:
     return (subtree(own, np.arange(len(own)), np.array(page.end)) > 0).astype(float)
 
 
-@lru_cache(maxsize=1)
-def trained(n_pages: int = TRAIN_PAGES, seed: int = SEED) -> gbt.Model:
-    """The model, fitted once per process; a node counts by the root of its text."""
+def refitted(n_pages: int = TRAIN_PAGES, seed: int = SEED) -> gbt.Model:
+    """The model, fitted anew; a node counts by the root of its text."""
     pages = [parse(h) for h in htmlpages.pages(n_pages, seed)]
-    x, _ = features(pages)
+    nodes = Nodes(pages)
+    x = nodes.rows(0, nodes.n)
     y = np.concatenate([labels(p) for p in pages])
     return gbt.fit(x, y, 1.0 + np.exp(x[:, 7] / 3))
 
 
+@lru_cache(maxsize=1)
+def trained() -> gbt.Model:
+    """The model as ``refitted`` made it and ``python -m casefile.llm.extract`` stored it."""
+    with np.load(MODEL) as stored:
+        return gbt.Model(stored["feature"], stored["threshold"], stored["leaf"], float(stored["base"]))
+
+
 def decode(page: Page, margin: np.ndarray) -> np.ndarray:
     """The nodes kept: the subset closed under parents with the largest sum of log-odds; the root is always in."""
     worth = margin.tolist()
@@ -110,16 +134,17 @@ def extract_texts(htmls: list[str], model: gbt.Model) -> list[str]:
     pages = [parse(h) for h in htmls]
     if not pages:
         return []
-    x, starts = features(pages)
-    margin = model.margin(x)
+    nodes = Nodes(pages)
+    margin, starts = nodes.margins(model), nodes.starts
     return [join_blocks(p, decode(p, margin[a:b])) for p, a, b in zip(pages, starts, starts[1:], strict=False)]
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """``keep`` columns, text, n_chars (its code points) of every page.
 
-    The whole html is read; null is as empty and gives an empty text, so does html without main text. Repeated rows
-    give a row each, an empty table none; other columns are not read.
+    The whole html is read, in time and memory in proportion to its length; null is as empty and gives an empty text, so
+    does html without main text. A tag that is never closed goes on to the end. Repeated rows give a row each, an empty
+    table none; other columns are not read.
     """
     model = trained()
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -141,3 +166,8 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keep)), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
     return pages.select(*keep, html_col).mapInArrow(work, schema)
+
+
+if __name__ == "__main__":
+    new = refitted()
+    np.savez_compressed(MODEL, feature=new.feature.astype(np.int16), threshold=new.threshold, leaf=new.leaf, base=new.base)
