@@ -1,13 +1,15 @@
 """Language identification by cross-parsing entropy.
 
 For every language a suffix automaton is built of labelled text. A text is parsed greedily against it: from where
-the parse stands, the longest run of symbols that occurs in the labelled text is one phrase. The language that
-needs the fewest phrases per symbol wins. Symbols are UTF-8 bytes with A-Z lower-cased and runs of other ASCII
+the parse stands, the longest run of symbols that occurs in the labelled text is one phrase. A sample of n symbols gives
+phrases of about log2(n) / entropy symbols, so phrases times log2(n) per symbol estimate the cross entropy in bits
+whatever the sample's length is; the language with the fewest wins. Symbols are UTF-8 bytes with A-Z lower-cased and runs of other ASCII
 characters that are no letters as one blank, so markup and digits weigh little and no text is too odd to parse.
 
 An automaton with its restarts is one integer table, and a batch of texts steps through it in lanes of
 ``LANE`` bytes: a text longer than a lane goes on in further lanes, each of which starts a phrase of its own.
-Only the labelled sample travels to the workers, which build the tables once per process.
+Only the labelled sample travels to the workers, which build the tables once per process; all tables of a worker
+together take ``table_bytes`` at most, so samples are shorter where there are very many languages.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +91,7 @@ class Parser:
 
     def __init__(self, samples: tuple[tuple[str, bytes], ...]):
         self.languages = [name for name, _ in samples]
+        self.weights = np.log2([max(2.0, len(s)) for _, s in samples])
         used = sorted(set(b"".join(s for _, s in samples)) | {BLANK})
         self.code = np.zeros(256, np.int32)  # 0: a symbol that no sample has
         for i, b in enumerate(used):
@@ -149,36 +152,44 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def labelled_samples(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, sample_bytes: int, rows: int) -> tuple[tuple[str, bytes], ...]:
-    """Per language up to ``sample_bytes`` symbols from at most ``rows`` labelled rows with the least hashes."""
+def labelled_samples(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, sample_bytes: int, rows: int, table_bytes: int) -> tuple[tuple[str, bytes], ...]:
+    """Per language up to ``sample_bytes`` symbols from at most ``rows`` labelled rows with the least hashes.
+
+    Texts become symbols and are cut before they travel, so the driver gets some times ``sample_bytes`` per language.
+    """
+    reduced = F.regexp_replace(F.col(text_col), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", " ")
     labelled = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text")
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.substring(reduced, 1, sample_bytes).alias("text")
     )
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    picked: dict[str, bytes] = {}
-    part = None
-    for lang, n in sizes.items():
-        limit = int(-(2**63) + min(1.0, 2.0 * rows / n) * (2**64 - 1))
-        one = labelled.filter((F.col("lang") == lang) & (F.col("h") <= min(limit, 2**63 - 1))).orderBy("h", F.length("text"), "text").limit(rows)
-        part = one if part is None else part.unionByName(one)
-    for r in sorted(part.collect() if part is not None else [], key=lambda r: (r["lang"], r["h"], len(r["text"]), r["text"])):
-        have = picked.get(r["lang"], b"")
-        if len(have) < sample_bytes:
-            picked[r["lang"]] = (have + symbols(r["text"][: 4 * sample_bytes].encode()).tobytes() + b" ")[:sample_bytes]
-    return tuple(sorted((k, v) for k, v in picked.items() if v.strip()))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n"))
+    limits = sizes.select(F.col("lang").alias("l_lang"), F.when(share >= 0.999, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + share * F.lit(2.0**64)).cast("long")).alias("limit"))
+    picked = labelled.join(F.broadcast(limits), F.col("lang") == F.col("l_lang")).filter(F.col("h") <= F.col("limit"))  # one small row per language
+    order = Window.partitionBy("lang").orderBy("h", F.length("text"), "text")
+    picked = picked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
+    before = F.coalesce(F.sum(F.octet_length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = picked.withColumn("before", before).filter(F.col("before") < sample_bytes).select("lang", "place", "text")
+    texts: dict[str, bytes] = {}
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["place"])):
+        texts[r["lang"]] = (texts.get(r["lang"], b"") + symbols(r["text"].encode()).tobytes() + b" ")[:sample_bytes]
+    texts = {k: v for k, v in texts.items() if v.strip()}
+    # An automaton has at most two states per symbol, a state an entry of four bytes per symbol of the alphabet.
+    width = len(set(b"".join(texts.values()))) + 2
+    most = table_bytes // (8 * width * max(1, len(texts)))
+    return tuple(sorted((k, v[:most]) for k, v in texts.items() if v[:most].strip()))
 
 
 def identify(
     docs: DataFrame, samples: tuple[tuple[str, bytes], ...], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text"
 ) -> DataFrame:
-    """``keep`` columns, lang_pred, score, phrases_per_symbol for every row.
+    """``keep`` columns, lang_pred, score, bits_per_symbol for every row.
 
     lang_pred is ``und`` (score 0) for null texts, texts without a letter and where there are no samples; ties go to
-    the language first by name. score: 1 - best / (best + second) phrases, 0.5 for a tie to nearly 1; 1 with one
+    the language first by name. score: 1 - best / (best + second) bits, 0.5 for a tie to nearly 1; 1 with one
     language. Texts are read whole. Repeated rows give a row each, an empty table none; other columns are not read.
     """
     fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrases_per_symbol", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_symbol", T.DoubleType())])
     n_keep = len(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +205,13 @@ def identify(
                 rows = [i for i, x in enumerate(letters) if x] if p else []
                 if rows:
                     counts, symbols_of = p.phrases([symbols(texts[i].encode()) for i in rows])
-                    best = counts.argmin(1)
-                    for i, c, b, size in zip(rows, counts, best, symbols_of, strict=True):
-                        second = min((c[j] for j in range(len(c)) if j != b), default=math.inf)
+                    bits = counts * p.weights
+                    best = bits.argmin(1)
+                    for i, c, b, size in zip(rows, bits, best, symbols_of, strict=True):
+                        second = np.delete(c, b).min(initial=math.inf)
                         lang[i] = p.languages[b]
-                        score[i] = 1.0 if second == math.inf else 1.0 - float(c[b]) / float(c[b] + second)
-                        rate[i] = float(c[b]) / float(size)
+                        score[i] = 1.0 if second == math.inf else 1.0 - float(c[b] / (c[b] + second))
+                        rate[i] = float(c[b] / size)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(n_keep)), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], schema.names
                 )
@@ -216,9 +228,12 @@ def learn_and_identify(
     lang_col: str = "lang",
     sample_bytes: int = 40_000,
     sample_rows: int = 400,
+    table_bytes: int = 400 << 20,
 ) -> DataFrame:
     """``identify`` with samples from the rows where ``learn`` holds and the label is not null.
 
-    The classifier is fitted on a bounded sample: per language at most ``sample_rows`` rows and ``sample_bytes`` symbols.
+    The classifier is fitted on a bounded sample: per language at most ``sample_rows`` rows and ``sample_bytes`` symbols,
+    fewer where the tables of all languages would take more than ``table_bytes``.
     """
-    return identify(docs, labelled_samples(docs, learn, id_col, text_col, lang_col, sample_bytes, sample_rows), keep, text_col)
+    samples = labelled_samples(docs, learn, id_col, text_col, lang_col, sample_bytes, sample_rows, table_bytes)
+    return identify(docs, samples, keep, text_col)

@@ -39,7 +39,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     fold = fold_of(F.col("doc_id"))
     out = langid.learn_and_identify(docs, fold != 0)
-    return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "phrases_per_symbol")
+    return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "bits_per_symbol")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
