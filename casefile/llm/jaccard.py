@@ -88,7 +88,7 @@ def levels_of(docs: DataFrame, text_col: str, k: int) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, levels: bytes) -> DataFrame:
-    """doc_id, n, d1, d2, bitmap, wide, prefix, stars for every text; empty sets have no prefix.
+    """doc_id, text_hash, n, d1, d2, bitmap, wide, prefix, stars for every text; empty sets have no prefix.
 
     wide: a second bitmap of at least n / 2 bits for sets that are too large for the first to tell apart, else empty.
     """
@@ -111,12 +111,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
                 prefixes.append(s[np.argsort(level[bucket], kind="stable")[:size]].view(np.int64))
                 stars.append(s[:STARS].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(maps), lists(wide), lists(prefixes), lists(stars)],
-                ["doc_id", "n", "d1", "d2", "bitmap", "wide", "prefix", "stars"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(maps), lists(wide), lists(prefixes), lists(stars)],
+                ["doc_id", "text_hash", "n", "d1", "d2", "bitmap", "wide", "prefix", "stars"],
             )
 
-    schema = "doc_id long, n int, d1 long, d2 long, bitmap array<long>, wide array<long>, prefix array<long>, stars array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(work, schema)
+    schema = "doc_id long, text_hash long, n int, d1 long, d2 long, bitmap array<long>, wide array<long>, prefix array<long>, stars array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col, F.xxhash64(F.col(text_col)).alias("text_hash")).mapInArrow(work, schema)
 
 
 def parity(s: np.ndarray, width: int) -> np.ndarray:
@@ -344,8 +344,8 @@ def rooted(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``id_col``, n_shingles, component_id for every row.
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, detail: bool = False) -> DataFrame:
+    """``id_col``, n_shingles, component_id for every row; with ``detail`` also text_hash and group.
 
     Words are runs of non-white-space bytes with A-Z lower-cased; a text's set holds its distinct k-word shingles, a
     shorter text's its whole sequence. Two texts are linked when 100 * intersection >= percent * union. component_id
@@ -353,12 +353,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts and texts without words have an empty set and no links. Rows with a null id are linked with nothing
     and have no component. Repeated rows are equal sets; rows that repeat an id with other texts are sets of their
-    own that share the id. An empty table gives an empty result; other columns are not read.
+    own that share the id: text_hash (xxhash64 of the text) and group (a number per component, null for empty sets and
+    null ids) tell them apart. Texts of any length are read whole, a set is in one task. An empty table gives an empty
+    result; other columns are not read.
     """
     with Workspace() as w:
         levels = levels_of(docs, text_col, k)
         records = written(signatures(docs, id_col, text_col, k, percent, levels), "jaccard-signatures")
-        ids = w.keep(written(records.select("doc_id", "n", "d1", "d2"), "jaccard-ids"))
+        ids = w.keep(written(records.select("doc_id", "text_hash", "n", "d1", "d2"), "jaccard-ids"))
         full = records.filter("n > 0 and doc_id is not null")
         nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("n", "bitmap", "wide", "prefix", "stars")))
         nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
@@ -384,9 +386,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = rooted(links)
         member = roots.join(nodes.select("node", "label"), F.col("r_node") == F.col("node"))
         lowest = member.groupBy("r_root").agg(F.min("label").alias("component"))
-        member = roots.join(lowest, "r_root").select(F.col("r_node"), "component")
+        member = roots.join(lowest, "r_root").select(F.col("r_node"), "r_root", "component")
         classes = nodes.select("node", "d1", "d2", "label").join(member, F.col("node") == F.col("r_node"), "left")
-        classes = w.keep(written(classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "label").alias("component")), "jaccard-classes"))
+        classes = w.keep(written(classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("r_root", "node").alias("group"), F.coalesce("component", "label").alias("component")), "jaccard-classes"))
     joined = ids.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    group = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("group")).alias("group")
+    return joined.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), *(["text_hash", group] if detail else []))

@@ -7,7 +7,8 @@ exponential key -ln(u)/w with u from a hash of its id and w its quality weight,
 order while their running size fits the rest. Documents that fit what is then missing go on in key order, in
 rounds until none fits; one more, the best fit, closes the gap. The running sum never needs a source in one task: keys are
 binned, bins are summed with partial aggregation, whole bins are taken or left, and only the one bin per
-source in which the budget ends is sorted.
+source in which the budget ends is sorted. That is done in ranges of its order, each a task, whose sums are added up
+first, so a bin may hold any number of rows, of one key too. Only the table of sources, a row each, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import Workspace, written
 
 #: Bins of the key range within a source.
 BINS = 4096
@@ -64,8 +65,17 @@ def taken_in_order(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     )
     out = rows.join(bins_of, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin")))
     out = written(out.drop("b_source", "b_bin"), "mix-bins")
-    inside = Window.partitionBy("source", "bin").orderBy("key", F.col("id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    part = out.filter(F.col("fit") == "part").withColumn("picked", F.col("bin_before") + F.sum("size").over(inside) <= F.col("rest"))
+    order = ("key", F.col("id").asc_nulls_first(), "size", "row")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = out.filter(F.col("fit") == "part").repartitionByRange(tasks, "source", "bin", *order)
+    part = written(part.withColumn("range", F.spark_partition_id()), "mix-ranges")
+    sums = part.groupBy("source", "bin", "range").agg(F.sum("size").alias("range_size"))
+    earlier = Window.partitionBy("source", "bin").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("r_source"), F.col("bin").alias("r_bin"), F.col("range").alias("r_range"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("range_before"))
+    part = part.join(sums, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("bin") == F.col("r_bin")) & (F.col("range") == F.col("r_range")))
+    inside = Window.partitionBy("source", "bin", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    part = part.withColumn("picked", F.col("bin_before") + F.col("range_before") + F.sum("size").over(inside) <= F.col("rest"))
+    part = part.select(*out.columns, "picked")
     whole = out.filter(F.col("fit") != "part").withColumn("picked", F.col("fit") == "all")
     return written(whole.unionByName(part).withColumn("picked", F.col("picked") & (F.col("size") > 0)).drop("fit", "bin_before"), "mix-cut")
 
@@ -90,8 +100,8 @@ def mix(
     source), picked (in the fractional rest), repeats = epochs + picked, taken = repeats * size.
 
     Null ids draw the key of an empty string, null sources are one source of their own, null texts have size 0 and
-    are never picked. Repeated rows draw equal keys and are taken in order of size; equal rows are interchangeable.
-    Documents are taken in key order while they fit whole, then those that still fit what is missing; of those left, the one whose size comes nearest to the words still
+    are never picked. Repeated rows, and all null ids, draw equal keys and are taken in order of size; equal rows are
+    interchangeable. Texts of any length are counted whole. Documents are taken in key order while they fit whole, then those that still fit what is missing; of those left, the one whose size comes nearest to the words still
     missing is added if it brings the source nearer to its budget. An empty table gives an empty result.
     """
     key_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -103,44 +113,46 @@ def mix(
         slim = slim.withColumn("quality_weight", F.lit(1.0))
     slim = slim.withColumn("key", -F.log("u") / F.coalesce("quality_weight", F.lit(1.0)))
     slim = slim.withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(bins)).cast("int"))
-    slim = written(slim.select("id", "source", "size", "key", "bin", F.monotonically_increasing_id().alias("row")), "mix-keys")
-
-    targets = source_targets(slim, weights, share, max_repeats)
-    epochs = F.when(F.col("source_size") > 0, F.least(F.lit(max_repeats), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
-    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    cut = taken_in_order(slim, targets.select("source", "source_size", "target", "epochs", "rest"))
-    gaps = cut.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0))).alias("gap"))
-    gaps = written(gaps, "mix-gaps")
-    open_rows = written(cut.filter(~F.col("picked") & (F.col("size") > 0)).select("id", "source", "size", "key", "row"), "mix-open")
-    more = None
-    while True:
-        # What fits now goes on in key order; what does not fit now never will, as gaps only shrink. The bins are spread over
-        # the keys that are left, so that the bin in which a gap ends stays small.
-        fits = open_rows.join(gaps.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source"))).filter(F.col("size") <= F.col("gap"))
-        fits = written(fits.drop("g_source", "gap"), "mix-fits")
-        low = written(fits.groupBy("source").agg(F.min("key").alias("low"), F.max("key").alias("high")), "mix-low")
-        if low.isEmpty():
-            break
-        spread = fits.join(low.withColumnRenamed("source", "l_source"), F.col("source").eqNullSafe(F.col("l_source")))
-        place = (F.lit(1.0) - F.exp(F.col("low") - F.col("key"))) / F.greatest(F.lit(1.0) - F.exp(F.col("low") - F.col("high")), F.lit(1e-300))
-        spread = spread.withColumn("bin", F.floor(place * F.lit(bins)).cast("int")).select("id", "source", "size", "key", "bin", "row")
-        taken = taken_in_order(spread, gaps.withColumnRenamed("gap", "rest"))
-        picked = written(taken.filter("picked").select("source", "size", "row"), "mix-more")
-        more = picked if more is None else more.unionByName(picked)
-        used = picked.groupBy(F.col("source").alias("u_source")).agg(F.sum("size").alias("used"))
-        gaps = gaps.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
-        gaps = written(gaps.select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "mix-gaps")
-        open_rows = taken.filter(~F.col("picked")).select("id", "source", "size", "key", "row")
-    if more is not None:
-        added = more.select(F.col("row").alias("added_row"))
-        cut = written(cut.join(added, F.col("row") == F.col("added_row"), "left").withColumn("picked", F.col("picked") | F.col("added_row").isNotNull()).drop("added_row"), "mix-filled")
-    left = cut.filter(~F.col("picked") & (F.col("size") > 0)).alias("c").join(gaps.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")))
-    off = F.abs(F.col("gap") - F.col("size"))
-    last = left.filter(off < F.col("gap")).groupBy("c.source").agg(F.min(F.struct(off.alias("off"), F.col("key"), F.col("row").alias("row"))).alias("best"))
-    last = last.select(F.col("best.row").alias("last_row"))
-    out = cut.join(last, F.col("row") == F.col("last_row"), "left").withColumn("picked", F.col("picked") | F.col("last_row").isNotNull())
-    repeats = F.col("epochs") + F.col("picked").cast("int")
-    return out.select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target", "epochs", "picked",
-        repeats.alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"),
-    )
+    with Workspace() as w:
+        slim = written(slim.select("id", "source", "size", "key", "bin", F.monotonically_increasing_id().alias("row")), "mix-keys")
+
+        targets = source_targets(slim, weights, share, max_repeats)
+        epochs = F.when(F.col("source_size") > 0, F.least(F.lit(max_repeats), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
+        targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+        cut = taken_in_order(slim, targets.select("source", "source_size", "target", "epochs", "rest"))
+        gaps = cut.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0))).alias("gap"))
+        gaps = written(gaps, "mix-gaps")
+        open_rows = written(cut.filter(~F.col("picked") & (F.col("size") > 0)).select("id", "source", "size", "key", "row"), "mix-open")
+        more = None
+        while True:
+            # What fits now goes on in key order; what does not fit now never will, as gaps only shrink. The bins are spread over
+            # the keys that are left, so that the bin in which a gap ends stays small.
+            fits = open_rows.join(gaps.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source"))).filter(F.col("size") <= F.col("gap"))
+            fits = written(fits.drop("g_source", "gap"), "mix-fits")
+            low = written(fits.groupBy("source").agg(F.min("key").alias("low"), F.max("key").alias("high")), "mix-low")
+            if low.isEmpty():
+                break
+            spread = fits.join(low.withColumnRenamed("source", "l_source"), F.col("source").eqNullSafe(F.col("l_source")))
+            place = (F.lit(1.0) - F.exp(F.col("low") - F.col("key"))) / F.greatest(F.lit(1.0) - F.exp(F.col("low") - F.col("high")), F.lit(1e-300))
+            spread = spread.withColumn("bin", F.floor(place * F.lit(bins)).cast("int")).select("id", "source", "size", "key", "bin", "row")
+            taken = taken_in_order(spread, gaps.withColumnRenamed("gap", "rest"))
+            picked = written(taken.filter("picked").select("source", "size", "row"), "mix-more")
+            more = picked if more is None else more.unionByName(picked)
+            used = picked.groupBy(F.col("source").alias("u_source")).agg(F.sum("size").alias("used"))
+            gaps = gaps.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
+            gaps = written(gaps.select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "mix-gaps")
+            open_rows = taken.filter(~F.col("picked")).select("id", "source", "size", "key", "row")
+        if more is not None:
+            added = more.select(F.col("row").alias("added_row"))
+            cut = written(cut.join(added, F.col("row") == F.col("added_row"), "left").withColumn("picked", F.col("picked") | F.col("added_row").isNotNull()).drop("added_row"), "mix-filled")
+        left = cut.filter(~F.col("picked") & (F.col("size") > 0)).alias("c").join(gaps.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")))
+        off = F.abs(F.col("gap") - F.col("size"))
+        last = left.filter(off < F.col("gap")).groupBy("c.source").agg(F.min(F.struct(off.alias("off"), F.col("key"), F.col("row").alias("row"))).alias("best"))
+        last = last.select(F.col("best.row").alias("last_row"))
+        cut, last = w.keep(cut), w.keep(written(last, "mix-last"))
+        out = cut.join(last, F.col("row") == F.col("last_row"), "left").withColumn("picked", F.col("picked") | F.col("last_row").isNotNull())
+        repeats = F.col("epochs") + F.col("picked").cast("int")
+        return out.select(
+            F.col("id").alias(id_col), "source", "size", "source_size", "target", "epochs", "picked",
+            repeats.alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"),
+        )

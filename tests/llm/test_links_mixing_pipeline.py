@@ -31,15 +31,52 @@ def test_propagation_by_hand(spark):
         return (i, f"http://{host}{path}", "".join(f'<a href="https://{t}/x">t</a> <a HREF=\'/own\'>' for t in to), "", "")
 
     rows = [page(1, "good.net", "/de/", "a.info"), page(2, "a.info", "/", "b.info"), page(3, "b.info", "/"), page(4, "c.info", "/", "bad.org", "bad.org"), page(5, "bad.org", "/es/1"), page(6, "z.info", "/"), (7, None, None, "", ""), (7, "x", "", "", "")]
-    got = {(r.page_id, r.host): r for r in links.judge_urls(spark.createDataFrame(rows, PAGES), rounds=2, damping_percent=50).collect()}
+    got = {(r.page_id, r.host): r for r in links.judge_urls(spark.createDataFrame(rows, PAGES), damping_percent=50).collect()}
     assert len(got) == 7
-    quarter = (links.UNIT // 6 // 2) // 2
-    assert (got[2, "a.info"].trust, got[3, "b.info"].trust) == (quarter, quarter)
-    assert got[4, "c.info"].distrust == quarter and got[4, "c.info"].verdict == "block"
+    share = links.UNIT // 6
+    assert (got[1, "good.net"].trust, got[2, "a.info"].trust, got[3, "b.info"].trust) == (share // 2, share // 2 // 2, share // 2 // 2 // 2)
+    assert got[4, "c.info"].distrust == share // 2 // 2 and got[4, "c.info"].verdict == "block"
     assert {got[k].verdict for k in ((1, "good.net"), (2, "a.info"), (3, "b.info"), (6, "z.info"), (7, ""))} == {"allow"}
     assert links.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_distrust_reaches_far_hosts(spark):
+    """A chain of 30 hosts to a blocked one, and a host that links to a trusted and a blocked one alike."""
+    page = lambda i, host, path, *to: (i, f"http://{host}{path}", "".join(f"<a href='http://{t}/'>" for t in to), "", "")
+    rows = [page(i, f"h{i}.info", "/", f"h{i - 1}.info" if i else "bad.org") for i in range(30)] + [page(50, "bad.org", "/es/")]
+    rows += [page(60, "even.info", "/", "bad.org"), page(61, "good.net", "/de/", "even.info")]
+    rows += [(70, "http://long.info/" + "x" * 300_000, "<a href='http://bad.org/'>" + "<p>y</p>" * 100_000, "", "")]
+    got = {r.page_id: r for r in links.judge_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {got[i].verdict for i in [*range(30), 50, 70]} == {"block"} and got[29].distrust > 0 and len(got[70].path) == 300_001
+    assert got[60].trust > got[60].distrust > 0 and got[60].verdict == got[61].verdict == "allow"
+
+
+def pushed(edges, seeds, damping, least):
+    """The walk by hand, round by round."""
+    moving, mass = dict(seeds), Counter()
+    while moving:
+        nxt = Counter()
+        for host, m in moving.items():
+            mass[host] += m * (100 - damping) // 100
+            to = [b for a, b in edges if a == host]
+            for b in to if m > least else []:
+                nxt[b] += m * damping // (100 * len(to))
+        moving = {h: m for h, m in nxt.items() if m}
+    return {h: m for h, m in mass.items() if m}
+
+
+def test_walks_equal_rounds_by_hand(spark):
+    import random
+
+    r = random.Random(3)
+    edges = {"trust": {(r.randrange(12), r.randrange(12)) for _ in range(30)}, "distrust": {(r.randrange(12), r.randrange(12)) for _ in range(20)}}
+    seeds = {"trust": {1: 10**9, 2: 777}, "distrust": {3: 10**8}}
+    table = spark.createDataFrame([(w, str(a), str(b)) for w, e in edges.items() for a, b in e], "walk string, src string, dst string")
+    given = spark.createDataFrame([(w, str(h), m) for w, s in seeds.items() for h, m in s.items()], "walk string, host string, seed long")
+    got = {(x.walk, int(x.host)): x.mass for x in links.spread(table, given, 85, 100).collect()}
+    assert got == {(w, h): m for w in edges for h, m in pushed(edges[w], seeds[w], 85, 100).items()}
+
+
 def test_domain_tree_edges(spark):
     hosts = spark.createDataFrame([("a.b.c.d",), ("c.d",), ("d.d",), ("b.c.dd",)], "host string")
     pages = spark.createDataFrame([], "url string, html string")
@@ -174,16 +211,76 @@ def test_pipeline_runs_and_repeats(spark):
     assert a == b and len(a) > 50
 
 
+def folder(table):
+    return table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+
+
 def test_workspace_deletes_what_is_not_kept(spark):
-    import glob
+    import os
 
     with scratch.Workspace() as outer:
         with scratch.Workspace() as inner:
             a = inner.keep(scratch.written(spark.range(3), "kept"))
             b = scratch.written(spark.range(2), "gone")
-        assert a.count() == 3
-        paths = [p for _, p in outer.tables]
-        assert len(paths) == 1 and glob.glob(paths[0].removeprefix("file://"))
-        gone = b.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
-        assert not glob.glob(gone)
-    assert not glob.glob(paths[0].removeprefix("file://"))
+            gone = folder(b)
+            path = inner.keep(scratch.new_path(spark, "files"))
+            spark.range(1).write.parquet(path)
+        assert a.count() == 3 and os.path.exists(folder(a))
+        assert len(outer.paths) == 2 and not os.path.exists(gone)
+        kept = folder(a)
+    assert not os.path.exists(kept) and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_workspaces_of_two_threads_are_apart(spark):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    meet = Barrier(2, timeout=120)
+
+    def run(first):
+        with scratch.Workspace() as w:
+            meet.wait()
+            table = w.keep(scratch.written(spark.range(5), "thread"))
+            meet.wait()
+            if not first:
+                meet.wait()
+        if first:
+            meet.wait()
+        return table
+
+    with ThreadPoolExecutor(2) as pool:
+        tables = list(pool.map(run, (True, False)))
+    assert [t.count() for t in tables] == [5, 5] and all(os.path.exists(folder(t)) for t in tables)
+
+
+def test_only_what_results_read_stays(spark):
+    """After each operator the folder holds its result's tables, and nothing after the workspace around it."""
+    import os
+
+    root = scratch.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    for name, most in (("op1_ngram_jaccard", 2), ("op2_link_filter", 1), ("op4_substring_dedup", 1), ("op5_nearest_neighbours", 2), ("op6_exact_top_k", 2), ("op7_mix_sources", 3), ("op10_warc_round_trip", 2)):
+        with scratch.Workspace():
+            got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert len(set(os.listdir(root)) - before) <= most, name
+            assert got.count() > 0
+        assert set(os.listdir(root)) == before
+
+
+def test_a_cluster_names_its_folder():
+    class Conf:
+        def get(self, *_):
+            return ""
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_dir(Session())

@@ -160,6 +160,67 @@ def test_extraction_of_a_page(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_model_is_as_fitted():
+    """The stored trees are those that fitting gives."""
+    new, stored = extract.refitted(), extract.trained()
+    assert (new.feature == stored.feature).all() and new.base == pytest.approx(stored.base)
+    assert np.allclose(new.leaf, stored.leaf) and np.allclose(new.threshold, stored.threshold)
+
+
+def closed_sets(parent):
+    """All sets of nodes that hold the root and the parent of each of their nodes."""
+    for mask in range(1 << (len(parent) - 1)):
+        kept = [True, *(mask >> i & 1 > 0 for i in range(len(parent) - 1))]
+        if all(kept[parent[i]] for i in range(1, len(parent)) if kept[i]):
+            yield kept
+
+
+def test_decoding_equals_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        parent = [-1, *(int(r.integers(0, i)) for i in range(1, int(r.integers(2, 11))))]
+        margin = r.standard_normal(len(parent))
+        page = parse("")
+        page.parent = parent
+        got = extract.decode(page, margin)
+        best = max(closed_sets(parent), key=lambda kept: sum(m for m, k in zip(margin, kept, strict=True) if k))
+        assert got.tolist() == best
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a " * 300_000, "<a x" * 300_000 + '">', "<a '\">" * 100_000, "<div>" * 100_000 + "</x>" * 100_000, "<textarea>" * 100_000, "<span>" * 50_000 + "<div></div>" * 50_000,
+     "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, "<p><object>" + "<span>" * 50_000 + "<div></div>" * 50_000, "<" * 500_000, "<!--" * 200_000, "<a " + "x " * 400_000 + ">", "&" * 300_000, "<a =" + " " * 500_000],
+    ids=range(13),
+)
+def test_reading_takes_time_in_proportion(html):
+    import time
+
+    began = time.perf_counter()
+    extract.extract_texts([html], extract.trained())
+    assert time.perf_counter() - began < 10
+
+
+def test_tags_and_their_ends():
+    text = lambda html: [t for *_, t in parse(html).pieces]
+    assert text("a<b title='x>y'>c</b>d") == ["a", "c", "d"] and text('<p title="a>b>c</p>') == ["b>c"]
+    assert text("1 < 2 <p>x<") == ["1 < 2 ", "x<"] and text("x<!-- <p>y</p> -->z<a href='never") == ["x", "z"]
+    assert text("<a title=it's>x</a>y") == ["x", "y"]
+    page = parse("<table><tr><td>a<td>b<tr><td>c</table><ul><li>x<li>y</ul><p>one<p>two<div>three</div>")
+    assert [extract.TAGS[t] for t in page.tag] == ["html", "table", "tr", "td", "td", "tr", "td", "ul", "li", "li", "p", "p", "div"]
+    assert [page.parent[i] for i in range(1, 13)] == [0, 1, 2, 2, 1, 5, 0, 7, 7, 0, 0, 0]
+
+
+def test_extraction_of_long_deep_and_repeated_pages(spark):
+    article = "<article>" + "<p>A sentence of the article, which goes on for a while, as they do.</p>" * 20_000 + "</article>"
+    deep = "<div>" * 5000 + "<p>Deep text, but text, and text it is, with marks.</p>"
+    rows = [(1, "u", article), (2, "u", deep), (2, "u", deep), (3, "u", "<p>Short text of a page, with marks.</p>")]
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.page_id for r in got) == [1, 2, 2, 3]
+    by = {r.page_id: r for r in got}
+    assert by[1].text.count("\n") == 19_999 and by[1].n_chars == len(by[1].text)
+
+
 def test_decoding_keeps_parents_of_kept_nodes():
     page = parse("<div><section><p>a</p></section><p>b</p></div>")
     kept = extract.decode(page, np.array([1.0, -1.0, -1.0, 3.0, -2.0]))
@@ -184,6 +245,70 @@ def test_warc_round_trip(spark):
     assert warc.pack_and_read(docs.limit(0)).collect() == []
 
 
+def read_warc(raw):
+    """An independent reader: records of a gzipped WARC file as (fields, block), checked for what the format asks."""
+    import gzip
+
+    out, f = [], io.BytesIO(gzip.decompress(raw))
+    while line := f.readline():
+        assert line == b"WARC/1.1\r\n"
+        fields = {}
+        while (line := f.readline()) != b"\r\n":
+            name, _, value = line.decode().removesuffix("\r\n").partition(": ")
+            fields[name] = value
+        block = f.read(int(fields["Content-Length"]))
+        assert f.read(4) == b"\r\n\r\n"
+        assert {"WARC-Type", "WARC-Date", "WARC-Record-ID", "Content-Type"} <= set(fields)
+        out.append((fields, block))
+    return out
+
+
+def test_archives_are_valid_for_other_readers(spark):
+    import base64
+    import json
+    import re
+
+    rows = [(5, "http://a.b/é x", "same"), (9, "http://u:80/?q", "same"), (3, None, "x" * 3_000_000), (4, "no scheme", None), (6, "http://u/[", "")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    (archive,) = warc.write(docs).collect()
+    z = zipfile.ZipFile(archive.archive.removeprefix("file://"))
+    raw = z.read(warc.DATA)
+    info, *records = read_warc(raw)
+    assert info[0]["WARC-Type"] == "warcinfo" and b"format: WARC" in info[1] and len(records) == archive.records == 5
+    ids = {f["X-Page-Id"]: f["WARC-Record-ID"] for f, _ in records}
+    assert len(set(ids.values())) == 5
+    for fields, block in records:
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"])
+        assert re.fullmatch(r"[!-~]+", fields["WARC-Target-URI"]) and fields["Content-Type"].startswith("application/http")
+        head, _, body = block.partition(b"\r\n\r\n")
+        assert head.startswith(b"HTTP/1.1 200 OK\r\n")
+        html = dict((str(i), (h or "").encode()) for i, _, h in rows)[fields["X-Page-Id"]]
+        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(html).digest()).decode()
+        assert body == (b"" if fields["WARC-Type"] == "revisit" else html)
+    kinds = {f["X-Page-Id"]: (f["WARC-Type"], f.get("WARC-Refers-To")) for f, _ in records}
+    assert kinds["5"] == ("revisit", ids["9"]) and kinds["4"] == ("revisit", ids["6"]) and kinds["9"] == ("response", None)
+    lines = z.read(warc.INDEX).decode().splitlines()
+    assert lines == sorted(lines) and len(lines) == 5
+    for line in lines:
+        key, stamp, about = line.split(" ", 2)
+        about = json.loads(about)
+        assert stamp == "20000101000000" and key == warc.surt(about["url"])
+        one = read_warc(raw[int(about["offset"]) : int(about["offset"]) + int(about["length"])])
+        assert len(one) == 1 and one[0][0]["WARC-Target-URI"] == about["url"]
+
+
+def test_uris_and_keys():
+    assert warc.target_uri("http://A.b/é x", 1) == "http://A.b/%C3%A9%20x" and warc.target_uri(None, None) == "urn:page:null" and warc.target_uri("x\ny", 2) == "urn:page:2"
+    assert warc.surt("http://www.Example.com:81/A?b=C") == "com,example,www:81)/a?b=c" and warc.surt("urn:page:3") == "urn:page:3" and warc.surt("http://u/[") == "u)/["
+    assert warc.surt("http://[bad/") == "http://[bad/"
+
+
+def test_index_in_pieces(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 7)
+    data = b"".join(b'k%d 2000 {"n": "%d"}\n' % (i, i) for i in range(20))
+    assert [x["n"] for x in warc.index_lines(io.BytesIO(b"xx" + data), 2, len(data))] == [str(i) for i in range(20)]
+
+
 def test_warc_least_size(spark):
     rows = [(1, "u", "ab", 0), (2, "u", "ab", 0), (3, "u", "abc", 0), (4, "u", "abc", 0)]
     got = warc.pack_and_read(spark.createDataFrame(rows, "page_id long, url string, html string, x int"), min_bytes=3)
