@@ -9,12 +9,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casefile.llm import bpe, jaccard, langid, mixing, substrings
 from casefile.llm.queries import fold_of, quality_weights, read
-from casefile.llm.scratch import new_path
+from casefile.llm.scratch import Workspace, new_path
 from casefile.llm.words import n_words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,12 +29,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id.
 
-    Of equal rows one stays; rows without a doc_id are in no group and stay.
+    Texts that share an id are documents of their own; of those in one group the one with the least hash stays. Of rows
+    that repeat id and text one stays, the first by language and source. Rows without a doc_id are in no group and stay.
     """
-    groups = jaccard.join_components(docs, k=5, percent=80)
-    stays = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    first = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
+    rows = jaccard.join_components(docs, k=5, percent=80, detail=True).filter("doc_id is not null")
+    first = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    stays = first.unionByName(rows.filter("group is null").select("doc_id", "text_hash")).distinct()
+    kept = docs.withColumn("text_hash", F.xxhash64("text")).join(stays, ["doc_id", "text_hash"], "left_semi")
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("lang", "source", "n_chars")
+    kept = kept.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return kept.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +76,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with Workspace():  # what a stage works with goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
