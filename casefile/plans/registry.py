@@ -351,7 +351,7 @@ def conduit_groups(spark, d):
     return trail.conduit_groups(hops(spark, d), "account")
 
 
-@query("SELECT e.src AS a, e.dst AS b, e.amount AS there, f.amount AS back FROM edge e JOIN edge f ON e.src = f.dst AND e.dst = f.src", (views.EDGE,))
+@query("SELECT e.src AS a, e.dst AS b, e.amount AS there, f.amount AS back FROM edge e JOIN edge f ON e.src = f.dst AND e.dst = f.src AND e.src <> e.dst", (views.EDGE,))
 def round_trips(spark, d):
     return trail.round_trips(views.edge(spark, d), "src", "dst", "amount")
 
@@ -409,37 +409,35 @@ def unordered_pairs(spark, d):
     return graph.unordered_pairs(views.edge(spark, d), "src", "dst")
 
 
-RING = "ring AS (SELECT src, dst FROM edge WHERE CAST(substr(dst, 8) AS INTEGER) - CAST(substr(src, 8) AS INTEGER) IN (5, -15))"
-
-
 @query(
-    """, u AS (SELECT src AS a, dst AS b FROM ring UNION SELECT dst, src FROM ring), h1 AS (SELECT DISTINCT b FROM u WHERE a = 'NATION_0'),
+    """, u AS (SELECT src AS a, dst AS b FROM redge UNION SELECT dst, src FROM redge), h1 AS (SELECT DISTINCT b FROM u WHERE a = 'NATION_0'),
     h2 AS (SELECT DISTINCT u.b FROM h1 JOIN u ON u.a = h1.b WHERE u.b <> 'NATION_0' AND u.b NOT IN (SELECT b FROM h1))
     SELECT 'NATION_0' AS name, 0 AS hop UNION ALL SELECT b, 1 FROM h1 UNION ALL SELECT b, 2 FROM h2""",
-    (views.EDGE, RING),
+    (views.EDGE, views.REGION_EDGE),
 )
 def bfs(spark, d):
     return graph.neighbourhood(views.region_edge(spark, d), "src", "dst", "NATION_0", 2)
 
 
 @query(
-    """, e AS (SELECT DISTINCT src, dst FROM edge), w1 AS (SELECT ['NATION_0', dst] AS p FROM e WHERE src = 'NATION_0'),
+    """, e AS (SELECT src, dst, src || '>' || dst AS id FROM redge UNION ALL SELECT dst, src, src || '>' || dst FROM redge), w1 AS (SELECT ['NATION_0', dst] AS p FROM e WHERE src = 'NATION_0'),
     w2 AS (SELECT list_append(p, dst) AS p FROM w1 JOIN e ON e.src = p[-1] WHERE p[-1] <> 'NATION_10' AND NOT list_contains(p, dst)),
     w3 AS (SELECT list_append(p, dst) AS p FROM w2 JOIN e ON e.src = p[-1] WHERE p[-1] <> 'NATION_10' AND NOT list_contains(p, dst))
     SELECT array_to_string(p, '>') AS path, CAST(len(p) - 1 AS INTEGER) AS length FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3) WHERE p[-1] = 'NATION_10'""",
-    (views.EDGE,),
+    (views.EDGE, views.REGION_EDGE),
 )
 def paths(spark, d):
     return graph.paths(views.region_edge(spark, d), "src", "dst", "NATION_0", "NATION_10", 3, F.concat_ws(">", "src", "dst")).select("path", "length")
 
 
 @query(
-    """, e AS (SELECT DISTINCT src, dst FROM edge), w2 AS (SELECT [src, dst] AS p FROM e),
+    """, e AS (SELECT DISTINCT src, dst FROM redge), w2 AS (SELECT [src, dst] AS p FROM e),
     w3 AS (SELECT list_append(p, dst) AS p FROM w2 JOIN e ON e.src = p[-1] WHERE NOT list_contains(p, dst)),
     w4 AS (SELECT list_append(p, dst) AS p FROM w3 JOIN e ON e.src = p[-1] WHERE NOT list_contains(p, dst)),
-    c AS (SELECT p FROM (SELECT p FROM w2 UNION ALL SELECT p FROM w3 UNION ALL SELECT p FROM w4) JOIN e ON e.src = p[-1] AND e.dst = p[1] WHERE p[1] = list_min(p))
+    w5 AS (SELECT list_append(p, dst) AS p FROM w4 JOIN e ON e.src = p[-1] WHERE NOT list_contains(p, dst)),
+    c AS (SELECT p FROM (SELECT p FROM w2 UNION ALL SELECT p FROM w3 UNION ALL SELECT p FROM w4 UNION ALL SELECT p FROM w5) JOIN e ON e.src = p[-1] AND e.dst = p[1] WHERE p[1] = list_min(p))
     SELECT array_to_string(list_sort(p), ',') AS members, min(array_to_string(p, '>')) AS cycle, CAST(any_value(len(p)) AS INTEGER) AS nodes FROM c GROUP BY 1""",
-    (views.EDGE,),
+    (views.EDGE, views.REGION_EDGE),
 )
 def cycles(spark, d):
     return graph.cycles(views.region_edge(spark, d), "src", "dst")
@@ -695,7 +693,7 @@ def custodian_rollup(spark, d):
 
 
 META = f"""meta AS (SELECT l_orderkey, l_linenumber, l_shipdate AS created, o_orderdate AS modified, CASE l_orderkey % 5 WHEN 0 THEN 'Adobe Photoshop' WHEN 1 THEN 'iLovePDF' ELSE 'Writer' END AS software, CAST(l_linenumber % 3 AS INTEGER) AS updates
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 4 = 0),
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     p AS (SELECT *, greatest(0, 100 - (CASE WHEN epoch(created) - epoch(modified) > 60 THEN 35 ELSE 0 END) - (CASE WHEN created > TIMESTAMP '2001-01-02' OR modified > TIMESTAMP '2001-01-02' THEN 30 ELSE 0 END)
     - (CASE WHEN epoch(modified) - epoch(created) > 180 * 86400 THEN 15 ELSE 0 END) - (CASE software WHEN 'Adobe Photoshop' THEN 35 WHEN 'iLovePDF' THEN 25 ELSE 0 END) - least(30, 15 * updates)) AS score FROM meta)"""
 

@@ -51,7 +51,7 @@ def keyword_normalise(spark, d):
 
 @query(
     f"""SELECT txn_id, n_name AS person, CASE WHEN credit > 0 THEN 'IN' ELSE 'OUT' END AS direction, greatest(debit, credit) AS amount FROM txn JOIN nation ON lower(party) = lower(n_name)
-    WHERE greatest(debit, credit) >= 400000 AND n_nationkey BETWEEN 10 AND 14""",
+    WHERE greatest(debit, credit) >= 1000""",
     (views.TXN,),
 )
 def one_sided_match(spark, d):
@@ -122,10 +122,10 @@ def cascade_delete(spark, d):
 
 
 @query(
-    """, u AS (SELECT src AS a, dst AS b FROM edge WHERE transfers % 2 = 0 UNION SELECT dst, src FROM edge WHERE transfers % 2 = 0), t AS (SELECT n_name AS node FROM nation WHERE n_nationkey IN (1, 8)),
+    """, u AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge), t AS (SELECT n_name AS node FROM nation WHERE n_nationkey IN (1, 8)),
     n1 AS (SELECT DISTINCT b AS node FROM t JOIN u ON a = node), n2 AS (SELECT DISTINCT b AS node FROM n1 JOIN u ON a = node),
     r AS (SELECT node, min(ring) AS ring FROM (SELECT node, 0 AS ring FROM t UNION ALL SELECT node, 1 FROM n1 UNION ALL SELECT node, 2 FROM n2) GROUP BY node)
-    SELECT node, CAST(ring AS INTEGER) AS ring, CAST(n_nationkey * 3 % 10 AS INTEGER) AS risk FROM r JOIN nation ON n_name = node ORDER BY (ring <> 0), risk DESC, node LIMIT 6""",
+    SELECT node, CAST(ring AS INTEGER) AS ring, CAST(n_nationkey * 3 % 10 AS INTEGER) AS risk FROM r JOIN nation ON n_name = node ORDER BY (ring <> 0), risk DESC, node LIMIT 120""",
     (views.EDGE,),
 )
 def case_graph(spark, d):

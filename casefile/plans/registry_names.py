@@ -36,7 +36,7 @@ def tracking_names(spark, d):
     return table(spark, d, "orders").select("o_orderkey", naming.tracking_name(n).alias("name"))
 
 
-@query("SELECT txn_id, greatest(debit, credit) AS amount FROM txn WHERE greatest(debit, credit) >= 490000 OR contains(lower(party), 'nation_2') OR contains(narration, '@okbank/1-')", (views.TXN,))
+@query("SELECT txn_id, greatest(debit, credit) AS amount FROM txn WHERE greatest(debit, credit) >= 50000 OR contains(lower(party), 'nation_2') OR contains(narration, '@okbank/1-')", (views.TXN,))
 def worth_linking(spark, d):
     rows = views.txn(spark, d).withColumn("amount", F.greatest("debit", "credit")).withColumn("risk", F.when(F.col("narration").contains("@okbank/1-"), 60).otherwise(0))
     return naming.worth_linking(rows, ["NATION_2", "x"], "amount", "risk", "party", "narration").select("txn_id", "amount")
@@ -82,7 +82,7 @@ def master_enrichment(spark, d):
     return naming.enrich(rows, [(table(spark, d, "nation").filter("n_nationkey < 20"), "nation", "n_nationkey", "n_name")]).select("c_custkey", "nation_label")
 
 
-@query(f"SELECT cost_ctr, {dec_sum('amount_lc')} AS amount FROM prpo WHERE vendor <= 50 GROUP BY cost_ctr ORDER BY amount DESC, cost_ctr LIMIT 5", (views.PRPO,))
+@query(f"SELECT cost_ctr, {dec_sum('amount_lc')} AS amount FROM prpo GROUP BY cost_ctr ORDER BY amount DESC, cost_ctr LIMIT 5", (views.PRPO,))
 def top_sloc(spark, d):
     return procurement.top_by_amount(views.prpo(spark, d), "cost_ctr", "amount_lc")
 

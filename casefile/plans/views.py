@@ -27,8 +27,10 @@ FLOW = """flow AS (
 EDGE = """edge AS (
   SELECT ns.n_name AS src, nc.n_name AS dst, count(*) AS transfers, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation ns ON s_nationkey = ns.n_nationkey JOIN nation nc ON c_nationkey = nc.n_nationkey
-  WHERE ns.n_regionkey = nc.n_regionkey AND ns.n_name <> nc.n_name GROUP BY 1, 2)"""
+  JOIN nation ns ON s_nationkey = ns.n_nationkey JOIN nation nc ON c_nationkey = nc.n_nationkey GROUP BY 1, 2)"""
+
+REGION_EDGE = """redge AS (
+  SELECT src, dst, transfers, amount FROM edge JOIN nation a ON src = a.n_name JOIN nation b ON dst = b.n_name WHERE a.n_regionkey = b.n_regionkey AND src <> dst)"""
 
 
 def prpo(spark: SparkSession, d: str) -> DataFrame:

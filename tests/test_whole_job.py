@@ -3,7 +3,6 @@
 from collections import Counter
 from itertools import permutations
 
-from casefile.llm import mixing
 from casefile.operators import graph
 from casefile.plans import registry, registry_cases, registry_names, views  # noqa: F401  (register their queries)
 from casefile.session import table
@@ -99,25 +98,3 @@ def test_paths_use_edges_both_ways_and_parallel_ones(spark):
     got = [(r.path, r.length, tuple(r.edges)) for r in graph.paths(e, "s", "d", "A", "C", 3, F.col("id")).collect()]
     assert sorted(got) == [("A>B>C", 2, (x, y)) for x in "12" for y in "34"]
     assert {tuple(r) for r in graph.neighbourhood(e, "s", "d", "A", 2, "c").collect()} == {("A", 0), ("B", 1), ("C", 2)}
-
-
-def test_a_very_long_document_does_not_end_its_source(spark):
-    """Greedy in key order: what does not fit is passed over, and the best fit comes last."""
-    sizes = [300 + i % 7 for i in range(400)] + [60_000, 20_000, 5_000, 900]
-    rows = [(i, "ab"[i % 2], n) for i, n in enumerate(sizes)] + [(10_000 + i, "c", 700 + i % 3) for i in range(90)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    keys = {r.doc_id: r.k for r in docs.select("doc_id", (-F.log(mixing.unit(F.col("doc_id").cast("string"), "mix"))).alias("k")).collect()}
-    for bins in (16, 4096):
-        got = mixing.mix(docs, F.col("size"), bins=bins).collect()
-        for source in "abc":
-            mine = sorted((r for r in got if r.source == source), key=lambda r: keys[r.doc_id])
-            gap, picked = mine[0].target - mine[0].epochs * mine[0].source_size, set()
-            for r in mine:
-                if r.size <= gap:
-                    gap -= r.size
-                    picked.add(r.doc_id)
-            rest = [r for r in mine if r.doc_id not in picked and abs(gap - r.size) < gap]
-            if rest:
-                picked.add(min(rest, key=lambda r: (abs(gap - r.size), keys[r.doc_id])).doc_id)
-            assert {r.doc_id for r in mine if r.picked} == picked
-            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 400
