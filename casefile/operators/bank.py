@@ -83,30 +83,32 @@ def risk(rows: DataFrame, rules: Sequence[tuple[str, int]], narration: str = "na
 def repair_order(rows: DataFrame, account: str, seq: str, date: str, balance: str, debit: str = "debit", credit: str = "credit", tolerance: float = 0.05) -> DataFrame:
     """row_order of statements that may be listed newest first.
 
-    Neighbours in listing order vote: forward if the second balance follows from the first, reverse if the first follows
-    from the second. Reverse wins by majority, for the account and then for each of its days; a tie goes by whether the
-    first date is after the last. Rows are numbered by date, then by the order so repaired.
+    Neighbours in listing order vote if both balances are above zero: forward if the second balance follows from the
+    first, reverse if the first follows from the second. Reverse wins by majority; a tie goes by whether the first date of the
+    account is after the last. Then the rows of each day vote among themselves, where a tie keeps the account's order. Rows
+    are numbered by date, those without one first, then by the order so repaired.
     """
     limit = round(tolerance * 100)
-    w = Window.partitionBy(account).orderBy(seq)
-    b, nb = cents(F.col(balance)), F.lead(cents(F.col(balance))).over(w)
-    net = cents(F.col(credit)) - cents(F.col(debit))
-    nnet = F.lead(net).over(w)
-    forward = (F.abs(nb - (b + nnet)) < limit).cast("int")
-    reverse = (F.abs(b - (nb + net)) < limit).cast("int")
     day = F.to_date(date)
-    voted = rows.withColumn("_f", F.coalesce(forward, F.lit(0))).withColumn("_r", F.coalesce(reverse, F.lit(0))).withColumn("_day", day)
-    voted = voted.withColumn("_next_day", F.lead("_day").over(w))
-    per = voted.groupBy(account).agg(
-        F.sum("_f").alias("_af"), F.sum("_r").alias("_ar"), F.min_by(date, seq).alias("_first"), F.max_by(date, seq).alias("_last")
-    )
-    per = per.select(F.col(account).alias("_acc"), ((F.col("_ar") > F.col("_af")) | ((F.col("_ar") == F.col("_af")) & (F.col("_first") > F.col("_last")))).alias("_flip"))
-    same = F.when(F.col("_next_day") == F.col("_day"), 1).otherwise(0)
-    days = voted.groupBy(F.col(account).alias("_dacc"), F.col("_day").alias("_dday")).agg(F.sum(F.col("_f") * same).alias("_df"), F.sum(F.col("_r") * same).alias("_dr"))
-    out = voted.join(per, F.col(account) == F.col("_acc")).join(days, (F.col(account) == F.col("_dacc")) & (F.col("_day") == F.col("_dday")))
-    turned = F.when(F.col("_dr") > F.col("_df"), True).when(F.col("_df") > F.col("_dr"), False).otherwise(F.col("_flip"))
-    key = F.when(turned, -F.col(seq)).otherwise(F.col(seq))
-    order = F.row_number().over(Window.partitionBy(account).orderBy("_day", key))
+    here, net = cents(F.col(balance)), cents(F.col(credit)) - cents(F.col(debit))
+
+    def votes(w: Window, prefix: str) -> tuple[Column, Column]:
+        then, step = F.lead(here).over(w), F.lead(net).over(w)
+        both = (here > 0) & (then > 0)
+        count = lambda test, name: F.coalesce((both & test).cast("int"), F.lit(0)).alias(f"{prefix}{name}")
+        return count(F.abs(then - (here + step)) < limit, "f"), count(F.abs(here - (then + net)) < limit, "r")
+
+    whole, within = Window.partitionBy(account).orderBy(seq), Window.partitionBy(account, day).orderBy(seq)
+    voted = rows.select("*", day.alias("_day"), *votes(whole, "_a"), *votes(within, "_d"))
+    known = F.when(F.col(date).isNotNull(), F.col(seq))
+    per = voted.groupBy(F.col(account).alias("_acc")).agg(F.sum("_af").alias("_f"), F.sum("_ar").alias("_r"), F.min_by(date, known).alias("_first"), F.max_by(date, known).alias("_last"))
+    turned = (F.col("_r") > F.col("_f")) | ((F.col("_r") == F.col("_f")) & F.coalesce(F.col("_first") > F.col("_last"), F.lit(False)))
+    days = voted.groupBy(F.col(account).alias("_dacc"), F.col("_day").alias("_dday")).agg(F.sum("_df").alias("_sf"), F.sum("_dr").alias("_sr"))
+    out = voted.join(per.select("_acc", turned.alias("_flip")), F.col(account) == F.col("_acc"))
+    out = out.join(days, (F.col(account) == F.col("_dacc")) & F.col("_day").eqNullSafe(F.col("_dday")))
+    back = F.when(F.col("_sr") > F.col("_sf"), True).when(F.col("_sf") > F.col("_sr"), False).otherwise(F.col("_flip"))
+    key = F.when(back, -F.col(seq)).otherwise(F.col(seq))
+    order = F.row_number().over(Window.partitionBy(account).orderBy(F.col("_day").asc_nulls_first(), key))
     return out.select(*rows.columns, order.alias("row_order"))
 
 

@@ -258,12 +258,35 @@ def txn_grid_page(spark, d):
     return bank.page(rows, "credit", ["txn_id"], 3, 25)
 
 
-@query(f"SELECT account, txn_id, row_number() OVER (PARTITION BY account ORDER BY txn_date, txn_id) AS row_order FROM txn", (views.TXN,))
+# Statements as they may come: listed forward, newest first, or either with the rows of a month turned; some balances missing or zero.
+LISTED = f""", p AS (SELECT account, txn_id, debit, credit, CAST(date_trunc('month', txn_date) AS DATE) AS day, {BALANCE} AS b, row_number() OVER (PARTITION BY account ORDER BY txn_date, txn_id) AS pos FROM txn),
+    l AS (SELECT account, txn_id, CASE WHEN txn_id % 13 = 0 THEN NULL ELSE day END AS day, CAST(round((credit - debit) * 100) AS BIGINT) AS net,
+    CASE WHEN txn_id % 7 = 0 THEN NULL WHEN txn_id % 11 = 0 THEN 0 ELSE CAST(round(b * 100) AS BIGINT) END AS c,
+    CASE account % 4 WHEN 0 THEN pos WHEN 1 THEN -pos WHEN 2 THEN (year(day) * 12 + month(day)) * 1000 - pos ELSE pos - (year(day) * 12 + month(day)) * 1000 END AS seq FROM p)"""
+
+
+def vote_sql(then: str, step: str, name: str) -> str:
+    return f"""coalesce(c > 0 AND {then} > 0 AND abs({then} - (c + {step})) < 5, false) AS {name}f, coalesce(c > 0 AND {then} > 0 AND abs(c - ({then} + net)) < 5, false) AS {name}r"""
+
+
+@query(
+    LISTED
+    + f""", v AS (SELECT *, {vote_sql('lead(c) OVER a', 'lead(net) OVER a', 'a')}, {vote_sql('lead(c) OVER d', 'lead(net) OVER d', 'd')} FROM l WINDOW a AS (PARTITION BY account ORDER BY seq), d AS (PARTITION BY account, day ORDER BY seq)),
+    per AS (SELECT account, count(*) FILTER (ar) > count(*) FILTER (af) OR count(*) FILTER (ar) = count(*) FILTER (af) AND coalesce(arg_min(day, seq) FILTER (day IS NOT NULL) > arg_max(day, seq) FILTER (day IS NOT NULL), false) AS flip FROM v GROUP BY account),
+    days AS (SELECT account, day, count(*) FILTER (df) AS f, count(*) FILTER (dr) AS r FROM v GROUP BY 1, 2)
+    SELECT v.account, txn_id, row_number() OVER (PARTITION BY v.account ORDER BY v.day NULLS FIRST, CASE WHEN CASE WHEN r > f THEN true WHEN f > r THEN false ELSE flip END THEN -seq ELSE seq END) AS row_order
+    FROM v JOIN per ON per.account = v.account JOIN days ON days.account = v.account AND days.day IS NOT DISTINCT FROM v.day""",
+    (views.TXN,),
+)
 def order_repair(spark, d):
-    # Listed newest first; the balances give the order back. Days hold at most one row per account and listing place.
     rows = bank.running_balance(views.txn(spark, d), "account", ["txn_date", "txn_id"])
-    rows = rows.withColumn("seq", -F.unix_timestamp(F.col("txn_date").cast("timestamp")) * 10_000_000 - F.col("txn_id"))
-    return bank.repair_order(rows, "account", "seq", "txn_date", "balance").select("account", "txn_id", "row_order")
+    pos = F.row_number().over(trail.Window.partitionBy("account").orderBy("txn_date", "txn_id"))
+    rows = rows.withColumn("pos", pos).withColumn("day", F.trunc("txn_date", "month"))
+    month, kind = (F.year("day") * 12 + F.month("day")) * 1000, F.col("account") % 4
+    seq = F.when(kind == 0, F.col("pos")).when(kind == 1, -F.col("pos")).when(kind == 2, month - F.col("pos")).otherwise(F.col("pos") - month)
+    balance = F.when(F.col("txn_id") % 7 == 0, None).when(F.col("txn_id") % 11 == 0, 0.0).otherwise(F.col("balance"))
+    rows = rows.select("account", "txn_id", "debit", "credit", seq.alias("seq"), balance.alias("balance"), F.when(F.col("txn_id") % 13 != 0, F.col("day")).alias("day"))
+    return bank.repair_order(rows, "account", "seq", "day", "balance").select("account", "txn_id", "row_order")
 
 
 @query(
@@ -310,16 +333,14 @@ def direct_utr_match(spark, d):
     (views.TXN,),
 )
 def direct_fallback_match(spark, d):
-    # The last digit stands for the name: each side's party is spelt with it.
+    # A person's name and what a debit says of the other side have the last digit of the holder's name as a token.
     rows = views.txn(spark, d)
-    last = F.substring("holder", -1, 1)
-    d_rows = rows.filter("txn_id % 2 = 1").select(F.concat(F.lit("h"), last).alias("person_key"), "holder", "txn_date", F.floor(F.col("debit") / 1000).cast("double").alias("amount"), F.concat(F.lit("to h"), last).alias("named"), "txn_id")
-    c_rows = rows.filter("txn_id % 2 = 0").select(F.concat(F.lit("h"), last).alias("person_key"), "holder", "txn_date", F.floor(F.col("credit") / 1000).cast("double").alias("amount"), F.concat(F.lit("by h"), last).alias("named"), "txn_id")
-    d_rows = d_rows.withColumn("person", F.concat("person_key", F.lit("/"), "holder")).withColumn("named", F.concat("named", F.lit("/")))
-    c_rows = c_rows.withColumn("person", F.concat("person_key", F.lit("/"), "holder")).withColumn("named", F.concat("named", F.lit("/")))
-    found = d_rows.alias("d").join(c_rows.alias("c"), (F.to_date("d.txn_date") == F.to_date("c.txn_date")) & (F.col("d.amount") == F.col("c.amount")))
-    found = found.filter((F.col("d.holder") != F.col("c.holder")) & F.contains(F.col("d.named"), F.concat(F.col("c.person_key"), F.lit("/"))))
-    return found.select(F.col("d.txn_id").alias("debit_row"), F.col("c.txn_id").alias("credit_row"), F.col("d.amount").alias("amount"))
+    token = F.concat(F.lit("grp"), F.substring("holder", -1, 1))
+    leg = lambda odd, amount, said: rows.filter(F.col("txn_id") % 2 == odd).select(
+        F.concat_ws(" ", token, "holder").alias("person"), F.to_date("txn_date").alias("day"), F.floor(F.col(amount) / 1000).alias("amount"), F.concat(F.lit(said), token).alias("said"), "txn_id"
+    )
+    found = trail.match_fallback(leg(1, "debit", "paid to "), leg(0, "credit", "by "), "person", "day", "amount", "said", "txn_id")
+    return found.select(F.col("debit_row"), F.col("credit_row"), "amount")
 
 
 SEC = "CAST(floor(epoch(ts)) AS BIGINT)"
@@ -356,15 +377,20 @@ def round_trips(spark, d):
     return trail.round_trips(views.edge(spark, d), "src", "dst", "amount")
 
 
+LEG = "SELECT account, event_id, {sec} AS t, amount, CAST(round(amount * 100) AS BIGINT) AS c, lower(trim(coalesce(party, ''))) AS p FROM flow WHERE leg = '{leg}' AND amount >= 1 AND party IS NOT NULL AND party <> holder"
+
+
 @query(
-    f""", o AS (SELECT account, event_id, {SEC} AS t, amount FROM flow WHERE leg = 'OUT'), i AS (SELECT account, event_id, {SEC} AS t, amount FROM flow WHERE leg = 'IN')
-    SELECT account, out_row, out_amount, in_row, in_amount FROM (SELECT o.account, o.event_id AS out_row, o.amount AS out_amount, i.event_id AS in_row, i.amount AS in_amount,
-    row_number() OVER (PARTITION BY o.event_id ORDER BY i.t, i.event_id) AS r FROM o JOIN i ON o.account = i.account AND i.t > o.t AND i.t - o.t <= 2 * 86400) WHERE r = 1""",
+    f""", o AS ({LEG.format(sec=SEC, leg="OUT")}), i AS ({LEG.format(sec=SEC, leg="IN")}),
+    k AS (SELECT o.account, o.event_id AS out_row, i.event_id AS in_row, o.amount AS out_amount, i.amount AS in_amount, greatest(0, o.c - i.c) AS kept, o.c AS oc, i.t - o.t AS gap,
+    row_number() OVER (PARTITION BY o.account, o.t, i.t, o.amount ORDER BY o.event_id, i.event_id) AS place FROM o JOIN i ON o.account = i.account AND i.t >= o.t AND i.t - o.t <= 2 * 86400
+    AND (i.p = o.p OR length(i.p) >= 4 AND contains(o.p, i.p) OR length(o.p) >= 4 AND contains(i.p, o.p)))
+    SELECT account, out_row, in_row, out_amount, in_amount, kept / 100.0 AS retained, CASE WHEN oc > 0 THEN ((2000 * kept + oc) // (2 * oc)) / 10.0 ELSE 0.0 END AS retained_pct, greatest(0.1, ((20 * gap + 3600) // 7200) / 10.0) AS gap_hours FROM k WHERE place = 1""",
     (views.FLOW,),
 )
 def kickback_pairs(spark, d):
     rows = views.flow(spark, d)
-    return trail.kickbacks(rows.filter("leg = 'OUT'"), rows.filter("leg = 'IN'"), "account", "ts", "amount", "event_id", 2)
+    return trail.kickbacks(rows.filter("leg = 'OUT'"), rows.filter("leg = 'IN'"), "account", "ts", "amount", "event_id", "party", 2, 1.0, "holder")
 
 
 @query(
@@ -387,13 +413,12 @@ def beats(spark, d):
 
 @query()
 def rapid_layering(spark, d):
-    rows = views.flow(spark, d).withColumn("party", F.col("event_id") % 7)
-    return trail.rapid_layering(rows, "account", "ts", "amount", "leg", "party", ["event_id"], least=1.0)
+    return trail.rapid_layering(views.flow(spark, d), "account", "ts", "amount", "leg", "party", "event_id", least=1.0, holder="holder")
 
 
 @query()
 def pass_through_patterns(spark, d):
-    return trail.pass_through(views.flow(spark, d), "account", "ts", "amount", "leg")
+    return trail.pass_through(views.flow(spark, d), "account", "ts", "amount", "leg", "party", ["event_id"], least=1.0)
 
 
 # --- graph ------------------------------------------------------------------------------------------------------

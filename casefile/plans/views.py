@@ -21,7 +21,8 @@ TXN = """txn AS (
 
 FLOW = """flow AS (
   SELECT event_id, user_id AS account, ts, value AS amount, event_type,
-         CASE WHEN event_type = 'purchase' THEN 'IN' WHEN event_type = 'click' THEN 'OUT' END AS leg
+         CASE WHEN event_type = 'purchase' THEN 'IN' WHEN event_type = 'click' THEN 'OUT' END AS leg,
+         CASE event_id % 5 WHEN 0 THEN 'Acme Traders' WHEN 1 THEN 'acme' WHEN 2 THEN 'Zed' WHEN 3 THEN 'Account ' || CAST(user_id AS VARCHAR) END AS party, 'Account ' || CAST(user_id AS VARCHAR) AS holder
   FROM events WHERE event_type IN ('purchase', 'click'))"""
 
 EDGE = """edge AS (
@@ -63,7 +64,9 @@ def flow(spark: SparkSession, d: str) -> DataFrame:
     """Money into (purchase) and out of (click) an account."""
     rows = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "click"))
     leg = F.when(F.col("event_type") == "purchase", "IN").otherwise("OUT")
-    return rows.select("event_id", F.col("user_id").alias("account"), "ts", F.col("value").alias("amount"), "event_type", leg.alias("leg"))
+    holder, five = F.concat(F.lit("Account "), F.col("user_id").cast("string")), F.col("event_id") % 5
+    party = F.when(five == 0, "Acme Traders").when(five == 1, "acme").when(five == 2, "Zed").when(five == 3, holder)
+    return rows.select("event_id", F.col("user_id").alias("account"), "ts", F.col("value").alias("amount"), "event_type", leg.alias("leg"), party.alias("party"), holder.alias("holder"))
 
 
 def edge(spark: SparkSession, d: str) -> DataFrame:

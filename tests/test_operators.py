@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import math
 import os
+import random
 from decimal import Decimal
 
 import pandas as pd
@@ -110,30 +111,127 @@ def test_risk(spark):
     assert got == [(40, "Medium", "large cash deposit"), (75, "High", "high value debit; watched: corp"), (0, "Low", "")]
 
 
-def test_allocation_by_hand():
-    """+30000 from P1, then 4000 and 25000 go on to others; a later 5000 has nothing left to go with it."""
-    rows = [(1, "IN", 3_000_000, "P1"), (2, "OUT", 400_000, "P2"), (3, "OUT", 2_500_000, "P3"), (4, "IN", 500_000, "P4")]
-    frame = pd.DataFrame([{"account": 7, "row_order": o, "leg": leg, "cents": c, "party": p, "t": 0} for o, leg, c, p in rows])
-    assert [(r["in_row"], r["out_row"], r["dispatched"]) for r in trail.allocate(frame, 3)] == [(1, 2, 4000.0), (1, 3, 25000.0)]
+FLOW = "k string, id int, ts timestamp, amount double, leg string, party string, holder string"
+
 
+def layered(spark, rows, **kw):
+    df = spark.createDataFrame([(k, i, ts, float(a), leg, party, "Me") for k, i, ts, a, leg, party in rows], FLOW)
+    return trail.rapid_layering(df, "k", "ts", "amount", "leg", "party", "id", holder="holder", **kw)
 
-def test_allocation_conserves_money(spark):
-    d = {r.out_row_key: r.s for r in registry.rapid_layering(spark, SF).groupBy(F.concat_ws("-", "account", "out_row").alias("out_row_key")).agg(F.sum("dispatched").alias("s")).collect()}
-    flow = registry.views.flow(spark, SF)
-    w = trail.Window.partitionBy("account").orderBy("ts", "event_id")
-    amounts = {f"{r.account}-{r.n}": r.amount for r in flow.filter("amount >= 1").withColumn("n", F.row_number().over(w)).collect()}
-    assert d and all(s <= amounts[k] + 0.005 for k, s in d.items())
+
+def test_allocation_by_hand(spark):
+    """+30000 from P1, then 4000 and 25000 go on to others; a later 5000 has nothing left to go with it."""
+    d = day(2024, 1, 1)
+    rows = [("a", 1, d, 30_000, "IN", "P1"), ("a", 2, d, 4_000, "OUT", "P2"), ("a", 3, d, 25_000, "OUT", "P3"), ("a", 4, d, 5_000, "IN", "P4"), ("a", 5, d, 9_000, "OUT", "me"), ("a", 6, d, 7_000, "OUT", "p4")]
+    got = [tuple(r) for r in layered(spark, rows).orderBy("in_row", "out_row").collect()]
+    assert got == [("a", 1, 2, "p1", "p2", 4000.0, 4000.0, 0.0, 0.0, 0.5), ("a", 1, 3, "p1", "p3", 25000.0, 25000.0, 0.0, 0.0, 0.5), ("a", 1, 6, "p1", "p4", 1000.0, 1000.0, 0.0, 0.0, 0.5)]
+    got = [tuple(r) for r in layered(spark, [*rows[:3], ("a", 9, day(2024, 1, 3), 5_000, "IN", "P4")]).orderBy("out_row").collect()]
+    assert got == [("a", 1, 2, "p1", "p2", 4000.0, 4137.93, 137.93, 3.33, 0.5), ("a", 1, 3, "p1", "p3", 25000.0, 25862.07, 862.07, 3.33, 0.5)]
+
+
+def allocated(rows, days):
+    """Inflow by inflow over all outflows of an account, as the rule says it."""
+    rows = sorted((r for r in rows if r[5] and not (r[4] == "OUT" and r[5].lower() == "me")), key=lambda r: (r[0], r[2], r[1]))
+    left, found = {i: round(r[3] * 100) for i, r in enumerate(rows) if r[4] == "OUT"}, []
+    for i, r in enumerate(rows):
+        need = round(r[3] * 100) if r[4] == "IN" else 0
+        for j in range(i + 1, len(rows)):
+            o = rows[j]
+            if need and o[4] == "OUT" and o[0] == r[0] and left[j] and o[5].lower() != r[5].lower() and (not days or (o[2] - r[2]).total_seconds() <= days * 86400):
+                part = min(need, left[j])
+                need, left[j] = need - part, left[j] - part
+                found.append((r[0], r[1], o[1], part / 100))
+    return sorted(found)
+
+
+@pytest.mark.parametrize(("days", "step"), [(3, 7), (1, 30), (0, 20)])
+def test_allocation_equals_brute_force(spark, days, step):
+    r = random.Random(days + step)
+    rows, ts = [], day(2024, 1, 1)
+    for i in range(300):
+        ts += dt.timedelta(hours=r.choice((0, 0, 1, step, 120 if r.random() < 0.05 else 2)))
+        rows.append((r.choice("ab"), i, ts, r.randint(1000, 9000) + r.choice((0, 0.37)), r.choice(("IN", "OUT")), r.choice(("P", "q", "R", "me", None, ""))))
+    got = layered(spark, rows, days=days)
+    assert sorted((x.k, x.in_row, x.out_row, x.forwarded) for x in got.withColumnRenamed("account", "k").collect()) == allocated(rows, days)
+    value = {x[1]: round(x[3] * 100) for x in rows}
+    for x in got.groupBy("in_row").agg(F.sum(F.round(F.col("dispatched") * 100)).alias("s")).collect():
+        assert x.s == value[x.in_row]
+
+
+def test_allocation_keeps_to_amounts(spark):
+    got = registry.rapid_layering(spark, SF).groupBy("out_row").agg(F.sum("forwarded").alias("s"))
+    flow = registry.views.flow(spark, SF).select(F.col("event_id").alias("out_row"), "amount")
+    assert got.count() > 0 and got.join(flow, "out_row").filter("s > amount + 0.005").count() == 0
+
+
+def test_one_account_with_most_rows(spark):
+    """An account with 60,000 rows in one unbroken chain is worked through as a stream."""
+    leg = F.when(F.col("id") % 2 == 0, "IN").otherwise("OUT")
+    rows = spark.range(60_000).select(F.lit("a").alias("k"), "id", F.timestamp_seconds(F.col("id") * 600).alias("ts"), (1000.0 + F.col("id") % 7).alias("amount"), leg.alias("leg"), F.concat(F.lit("p"), F.col("id") % 5).alias("party"))
+    got = trail.rapid_layering(rows, "k", "ts", "amount", "leg", "party", "id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("in_row").alias("ins")).first()
+    assert got.ins >= 29_000 and got.n < 120_000
 
 
 @pytest.mark.parametrize(
     ("legs", "want"),
     [([("IN", 0, 100), ("OUT", 1, 90)], "1-to-1 Pass-Through"), ([("IN", 0, 50), ("IN", 0, 50), ("OUT", 2, 90)], "Merged Funds"), ([("IN", 0, 100), ("OUT", 0, 40), ("OUT", 1, 45)], "Split Funds"),
-     ([("IN", 0, 60), ("IN", 0, 40), ("OUT", 0, 40), ("OUT", 1, 45)], "Merged & Split Funds"), ([("IN", 0, 100), ("OUT", 3, 90)], None), ([("IN", 0, 100), ("OUT", 1, 70)], None)],
+     ([("IN", 0, 60), ("IN", 0, 40), ("OUT", 0, 40), ("OUT", 1, 45)], "Merged & Split Funds"), ([("IN", 0, 100), ("OUT", 3, 90)], None), ([("IN", 0, 100), ("OUT", 1, 70)], None), ([("IN", 0, 100), ("OUT", 1, 1700)], None)],
 )
-def test_pass_through(legs, want):
-    frame = pd.DataFrame([{"account": 1, "leg": leg, "t": d * trail.DAY, "cents": c * 100} for leg, d, c in legs])
-    got = trail.consume(frame, 3, 0.8)
-    assert [r["pattern"] for r in got] == ([want] if want else [])
+def test_pass_through(spark, legs, want):
+    rows = [("a", i, day(2024, 1, 1 + d), c * 1000.0, leg, "P", "Me") for i, (leg, d, c) in enumerate(legs)]
+    got = trail.pass_through(spark.createDataFrame(rows, FLOW), "k", "ts", "amount", "leg", "party", ["id"]).collect()
+    if want:
+        assert [(r.pattern, r.note, r.day) for r in got] == [(want, None, "2024-01-01")]
+    notes = {70: "On 2024-01-01, received ₹100,000.00 from P, but only passed ₹70,000.00 (70.0%) within 3 days.", 1700: "On 2024-01-01, received ₹100,000.00, but passed out significantly more: ₹1,700,000.00 within 3 days."}
+    if not want:
+        assert [(r.pattern, r.note) for r in got] == ([(None, notes[legs[1][2]])] if legs[1][2] in notes else [])
+
+
+def test_pass_through_equals_brute_force(spark):
+    r = random.Random(9)
+    rows = [(r.choice("ab"), i, day(2024, 1, 1) + dt.timedelta(hours=r.randrange(24 * 60)), float(r.choice((1000, 2000, 2500, 900))), r.choice(("IN", "OUT")), "P", "Me") for i in range(160)]
+    want = []
+    for k in "ab":
+        outs = {(x[1], x[2].date()): x[3] for x in rows if x[0] == k and x[4] == "OUT" and x[3] >= 1000}
+        for date in sorted({x[2].date() for x in rows if x[0] == k and x[4] == "IN" and x[3] >= 1000}):
+            ins = [x[3] for x in rows if x[0] == k and x[4] == "IN" and x[2].date() == date and x[3] >= 1000]
+            near = {key: v for key, v in outs.items() if 0 <= (key[1] - date).days <= 2}
+            if 0.8 * sum(ins) <= sum(near.values()) <= sum(ins):
+                want.append((k, str(date), sum(ins), sum(near.values())))
+                outs = {key: v for key, v in outs.items() if key not in near}
+    got = trail.pass_through(spark.createDataFrame(rows, FLOW), "k", "ts", "amount", "leg", "party", ["id"]).filter("pattern is not null")
+    assert sorted((x.account, x.day, x.total_in, x.total_out) for x in got.collect()) == sorted(want) and want
+
+
+def test_kickbacks_by_hand(spark):
+    d = day(2024, 1, 1)
+    rows = [("a", 1, d, 5000.0, "OUT", "Acme Traders", "Me"), ("a", 2, day(2024, 1, 2), 4000.0, "IN", "acme", "Me"), ("a", 3, day(2024, 1, 3), 9000.0, "IN", "ACME TRADERS", "Me"), ("a", 4, d, 5000.0, "IN", "Me", "Me"),
+            ("a", 5, d, 5000.0, "OUT", "Zed", "Me"), ("a", 6, d, 5000.0, "IN", "ze", "Me"), ("a", 7, day(2024, 1, 9), 5000.0, "IN", "acme", "Me"), ("a", 8, d, 5000.0, "OUT", None, "Me"), ("a", 9, d, 5000.0, "IN", "", "Me")]
+    df = spark.createDataFrame(rows, FLOW)
+    got = trail.kickbacks(df.filter("leg = 'OUT'"), df.filter("leg = 'IN'"), "k", "ts", "amount", "id", "party", 3, holder="holder").collect()
+    assert sorted((r.out_row, r.in_row, r.retained, r.retained_pct, r.gap_hours) for r in got) == [(1, 2, 1000.0, 20.0, 24.0), (1, 3, 0.0, 0.0, 48.0)]
+    assert trail.kickbacks(df.filter("leg = 'OUT'"), df.filter("leg = 'IN'"), "k", "ts", "amount", "id", "party", 0, holder="holder").count() == 3
+
+
+def test_fallback_match_by_hand(spark):
+    schema = "person string, day string, amount double, said string, vpa string, row int"
+    debits = spark.createDataFrame([("Mr. Ravi Kumar", "d1", 10.0, "paid to shyam/upi", "ravi@x", 1), ("Ravi", "d1", 20.0, "nothing", "ravi@x", 2), ("Ravi", "d2", 30.0, "gone", None, 3), ("Ravi", "d1", 40.0, "to Shyam", None, 4)], schema)
+    credits = spark.createDataFrame([("Shyam", "d1", 10.0, "", "s@y", 11), ("Shyam", "d1", 20.0, "from RAVI@X", "s@y", 12), ("Shyam", "d2", 30.0, "by Mr", None, 13), ("Shyam", "d1", 40.0, "", None, 14), ("Mr. Ravi Kumar", "d1", 10.0, "shyam", None, 15)], schema)
+    got = trail.match_fallback(debits, credits, "person", "day", "amount", "said", "row", "vpa")
+    assert sorted((r.debit_row, r.credit_row) for r in got.collect()) == [(1, 11), (2, 12), (4, 14)]
+    left = trail.match_fallback(debits, credits, "person", "day", "amount", "said", "row", "vpa", matched=spark.createDataFrame([(4, 14)], "debit_row int, credit_row int"))
+    assert sorted((r.debit_row, r.credit_row) for r in left.collect()) == [(1, 11), (2, 12)]
+
+
+def test_cycle_metrics_by_hand(spark):
+    cycles = spark.createDataFrame([("c1", ["A", "B", "C"])], "cycle string, nodes array<string>")
+    direct = spark.createDataFrame([("A", "B", 100.0, "2024-01-02"), ("A", "B", 50.0, "2024-01-05"), ("C", "A", 30.0, "2024-02-01"), ("X", "Y", 1.0, "2024-01-01")], "sender string, recipient string, amount double, date string")
+    hops = spark.createDataFrame([("A", "B", "Z", 10.0, 8.0, "2024-01-01", "2024-01-03"), ("B", "C", "W", 90.0, 80.5, "2024-01-07", "2024-01-08")], "sender string, recipient string, conduit string, outflow double, inflow double, out_date string, in_date string")
+    legs = trail.cycle_metrics(cycles, "nodes", direct, hops)
+    assert [tuple(r) for r in legs.orderBy("leg").collect()] == [
+        ("c1", 1, "A", "B", 160.0, 158.0, 2.0, "Z", "2024-01-01", "2024-01-05"), ("c1", 2, "B", "C", 90.0, 80.5, 9.5, "W", "2024-01-07", "2024-01-08"), ("c1", 3, "C", "A", 30.0, 30.0, 0.0, "Direct Banking", "2024-02-01", "2024-02-01"),
+    ]
+    assert [tuple(r) for r in trail.cycle_totals(legs).collect()] == [("c1", 160.0, "2024-01-01", 30.0, "2024-02-01", 11.5)]
 
 
 def test_conduits_by_hand(spark):
