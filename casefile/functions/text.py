@@ -60,6 +60,10 @@ def short_inr(amount: Column) -> Column:
     )
 
 
+#: A mail address. It starts where a run of its signs starts, or where the last match ended, so long runs are read once.
+ADDRESS = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
 def file_size(n: Column) -> Column:
     """Bytes in steps of 1024."""
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3

@@ -66,7 +66,7 @@ def voice_intent(rows: DataFrame, text: str, intents=params.VOICE_INTENTS) -> Da
 
 def addresses(rows: DataFrame, text: str) -> Column:
     """All mail addresses of a text, lower-case."""
-    return F.transform(F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), 0), F.lower)
+    return F.transform(F.regexp_extract_all(F.col(text), F.lit(X.ADDRESS), 0), F.lower)
 
 
 def mail_checkpoints(rows: DataFrame, text: str, webmail: Sequence[str] = params.WEBMAIL_DOMAINS, own: Sequence[str] = (), upi: Sequence[str] = params.UPI_DOMAINS, bank: Sequence[str] = params.BANK_KEYWORDS, keywords: Sequence[str] = ()) -> DataFrame:
@@ -76,7 +76,7 @@ def mail_checkpoints(rows: DataFrame, text: str, webmail: Sequence[str] = params
     some = lambda words: reduce(lambda a, w: a | low.contains(w), words, F.lit(False))
     listed = lambda domains: F.exists("_d", lambda d: d.isin(*domains)) if domains else F.lit(False)
     flags = {
-        "is_currency": F.col(text).rlike(params.CURRENCY),
+        "is_currency": F.col(text).rlike(params.money_pattern()),
         "is_personal": listed(webmail),
         "is_external": F.exists("_d", lambda d: ~d.isin(*own)) if own else F.size("_d") > 0,
         "is_bank": some(bank),

@@ -17,10 +17,17 @@ BANK_KEYWORDS = (
     "hdfc", "sbi", "icici", "axis bank", "kotak", "state bank", "bank of baroda", "canara bank", "netbanking",
     "account statement", "neft cr", "rtgs cr", "imps cr",
 )
-CURRENCY = (
-    r"(?i)([₹$€£]\s*[\d,]+(\.\d+)?)|(\b(inr|rs\.?|usd|eur|gbp)\s*[\d,]+(\.\d+)?)"
-    r"|([\d,]+(\.\d+)?\s*(lakhs?|crores?|lacs?|cr\.?|inr|usd|eur|dollars?|rupees?))"
-)
+# What an amount of money looks like: a sign or a code before digits, or digits before a word. Digits are read from where they start.
+CURRENCY_SIGNS, CURRENCY_CODES = "₹$€£", ("inr", "rs.", "rs", "usd", "eur", "gbp")
+AMOUNT_WORDS = ("lakh", "lakhs", "crore", "crores", "lac", "lacs", "cr", "inr", "usd", "eur", "dollar", "dollars", "rupee", "rupees")
+
+
+def money_pattern(signs: str = CURRENCY_SIGNS, codes: tuple[str, ...] = CURRENCY_CODES, words: tuple[str, ...] = AMOUNT_WORDS) -> str:
+    """A pattern for texts that speak of an amount."""
+    listed = lambda names: "|".join(n.replace(".", "\\.") for n in names)
+    return rf"(?i)(?:[{signs}]|\b(?:{listed(codes)}))\s*[\d,]|(?<![\d,])[\d,]++(?:\.\d++)?\s*+(?:{listed(words)})"
+
+
 CHAT_WATCHLIST = (
     ("cash", 70), ("commission", 60), ("bribe", 95), ("cut", 50), ("kickback", 95), ("hawala", 90),
     ("personal account", 80), ("gpay", 50), ("phonepe", 50), ("delete", 65), ("clear chat", 75),
@@ -44,3 +51,36 @@ SOFTWARE_PENALTIES = (
     ("photoshop", 35), ("canva", 30), ("gimp", 35), ("pixelmator", 30), ("snapseed", 30), ("ilovepdf", 25),
     ("smallpdf", 25), ("sejda", 25), ("pdf24", 15), ("sodapdf", 15), ("pdf candy", 25),
 )
+
+# Fixed values of name extraction: titles, words of kin, speech and firms, given names, and what is no name.
+HONORIFICS = ("Shri", "Smt", "Mr.", "Mrs.", "Ms.", "Dr.", "Thiru", "Tmt", "Selvi", "Er.", "Adv.", "Prof.")
+KIN_WORDS = (
+    "wife of", "w/o of", "w/o", "husband of", "son of", "s/o of", "s/o", "daughter of", "d/o of", "d/o", "father of", "mother of", "spouse of",
+    "nominee is", "nominee",
+)
+KIN_ENDS = ("Spouse", "Nominee", "Wife", "Son", "Daughter", "Father", "Mother")
+SPEECH_WORDS = ("talk to", "spoke to", "speak to", "tell", "told", "ask", "asked", "give to", "call", "called", "meet with", "met with", "paid to", "pay to", "send to", "sent to", "transfer to")
+FIRM_WORDS = (
+    "Engineers", "Enterprises", "Traders", "Associates", "Solutions", "Industries", "Agency", "LLP", "Ltd", "Limited", "Private Limited", "Pvt Ltd", "Corp",
+    "Holdings", "Technologies", "Infra",
+)
+UPI_HANDLES = ("okaxis", "okhdfcbank", "oksbi", "icici", "paytm", "ybl", "axl", "ibl", "apl", "upi")
+FILE_ENDS = ("pdf", "docx", "doc", "xlsx", "xls", "csv", "txt", "json", "png", "jpg", "jpeg", "wav", "mp3", "eml", "msg")
+PLACE_WORDS = ("ROAD", "STREET", "NAGAR", "AVENUE", "LANE", "COLONY", "CROSS STREET", "MAIN ROAD", "RELATION SUM", "NET PAY")
+GIVEN_NAMES = (
+    "venkat", "venkatesan", "dhanasekaran", "maharajan", "balamurugan", "senthamilkannan", "pasupathy", "selvi", "monisha", "rajan", "raj", "suresh", "ramesh",
+    "karthik", "rajesh", "sharma", "verma", "gupta", "joseph", "remigius", "silviya", "murugan", "kumar", "balu", "lakshmi", "priya", "anand", "sundar", "nathan",
+    "swaminathan", "palani", "shanthi", "chidambaram", "natarajan", "dhasarathan", "vani", "subramanian", "krishnan", "saravanan", "senthil", "iyer", "iyengar",
+    "nair", "reddy", "rao", "singh", "patel", "mehta", "shah", "bose", "das", "mishra", "pandey", "tiwari", "tripathi", "agarwal", "bansal", "jain", "choudhury",
+)
+NO_NAMES = (
+    "WHATSAPP", "TELEGRAM", "SIGNAL", "OUTLOOK", "GMAIL", "TEAMS", "ZOOM", "MEETING", "CALL", "RECORDING", "AUDIO", "ATTACHMENT", "IMAGE", "VIDEO", "DOCUMENT",
+    "FILE", "FOLDER", "SCAN", "DOWNLOAD", "UPLOAD", "MESSAGE", "CHAT", "TRANSCRIPT", "TODAY", "TOMORROW", "YESTERDAY", "MORNING", "EVENING", "AFTERNOON", "NIGHT",
+    "MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY", "JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST",
+    "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER", "AGREED", "RECEIVED", "APPROVED", "REJECTED", "PENDING", "CONFIRMED", "THANK YOU", "THANKS", "PLEASE", "KINDLY",
+    "REGARDS", "DEAR", "HELLO", "HI", "HEY", "OKAY", "YES", "NO", "FINE", "DONE", "PAYMENT", "INVOICE", "BILL", "RECEIPT", "VOUCHER", "STATEMENT", "ACCOUNT",
+    "AMOUNT", "BALANCE", "CREDIT", "DEBIT", "CASH", "TRANSFER", "RUPEES", "GOVERNMENT OF INDIA", "INDIA NON JUDICIAL", "TAMIL NADU", "TAMIL", "NADU",
+    "NON JUDICIAL", "STAMP VENDOR", "PARTNERSHIP DEED", "DEED OF PARTNERSHIP", "FIRST PARTY", "SECOND PARTY", "THIRD PARTY", "PAGE", "SR.NO", "SR NO",
+    "PROFIT SHARING", "REGISTERED", "TALUK", "DISTRICT", "AADHAR NO", "PAN NUMBER", "DATE", "TOTAL", "SCHEDULE", "EMPLOYEE", "NOMINEE", "NOMINEE SCHEDULE",
+    "EMPLOYEE SCHEDULE", "SANITIZED", "REPORT", "AGREEMENT", "CONTRACT", "SUMMARY", "EXTRACT", "INTERIM", "DRAFT", "FINAL", "AUDIT", "DEVICE", "LOG", "SYSTEM",
+)
