@@ -60,6 +60,72 @@ def short_inr(amount: Column) -> Column:
     )
 
 
+# How narrations name modes and directions, and what is no name there.
+MODES = ("MMT[-/ ]+IMPS", "INF[-/ ]+NEFT", "BIL[-/ ]+IN[-/ ]+UPI", "BIL[-/ ]+UPI", "UPI", "IMPS", "NEFT", "RTGS")
+DIRECTIONS = ("P2A", "P2M", "DR", "CR", "IN", "OUT")
+NO_PARTY = ("IN", "OUT", "DR", "CR", "P2A", "P2M", "UPI", "IMPS", "NEFT", "RTGS", "TFR", "BIL", "INF", "MMT", "TRANSFER", "PAYMENT", "PAY", "NA")
+AFTER_NAME = (r"[a-zA-Z0-9.\-_]+@", "[A-Z]{4}0", r"\d{10,18}", r"[X*]{2,}\d*", "PAYMENT", "ICICI", "HDFC", "AXIS", "SBIN", "SBI", "P2A", "P2M", "UPI", "$")
+MODULE_NAMES = {"core": "Profile", "profile": "Profile"}
+
+
+def account_mask(narration: Column) -> Column:
+    """A masked account number or a bank code in a narration, upper-case; null if there is none."""
+    return F.upper(F.nullif(F.regexp_extract(narration, r"(?i)\b([X*]{2,12}\d{4,6}|[A-Z]{4}0[A-Z0-9]{6})\b", 1), F.lit("")))
+
+
+def counterparty_name(narration: Column, party: Column | None = None) -> Column:
+    """The name between a narration's mode and its references, without lead-in and noise; else the party column; else null."""
+    mode = "|".join(MODES)
+    pattern = (
+        rf"(?i)(?:^|[\s/_-])(?:{mode})(?:[\s/_-]+(?:{'|'.join(DIRECTIONS)}))?(?:[\s/_-]+(?:[A-Z]{{3,4}}[NR][A-Z0-9]+|[NR]?\d{{10,18}}))?[-/]"
+        rf"(?!(?:{'|'.join(NO_PARTY)})\b)([A-Za-z][A-Za-z\s.]{{1,35}}?)(?=[-/](?:{'|'.join(AFTER_NAME)})|$)"
+    )
+    raw = F.regexp_extract(F.trim(F.coalesce(narration, F.lit(""))), pattern, 1)
+    name = F.trim(F.regexp_replace(raw, r"(?i)^(?:SENT TO M[RS]|SENT TO|PAY TO|PAYMENT TO|TRANSFER TO)\s+", ""))
+    name = F.trim(F.regexp_replace(name, r"(?i)\b(?:PAYMENT|PAY|TRF|TRANSFER|NA)\b", ""))
+    fits = lambda c: F.when((c != "") & ~F.upper(c).isin(*NO_PARTY), c)
+    return fits(name) if party is None else F.coalesce(fits(name), fits(F.trim(party)))
+
+
+def group_western(value: Column) -> Column:
+    """A whole number with a comma every three digits; what is no number stays as it is."""
+    number = F.trim(value).try_cast("decimal(38,0)")
+    return F.when(number.isNotNull(), F.format_number(number, 0)).otherwise(value)
+
+
+def initials(name: Column) -> Column:
+    """First letters of the first and last word, two letters of a single one, Q for none."""
+    words = F.split(F.trim(name), r"\s+")
+    first, last = F.element_at(words, 1), F.element_at(words, -1)
+    none = F.coalesce(F.trim(name), F.lit("")) == ""
+    return F.when(none, "Q").when(F.size(words) == 1, F.upper(F.substring(first, 1, 2))).otherwise(F.upper(F.concat(F.substring(first, 1, 1), F.substring(last, 1, 1))))
+
+
+def display_name(name: Column, department: Column) -> Column:
+    return F.when(F.coalesce(department, F.lit("")) != "", F.concat(name, F.lit(" ("), department, F.lit(")"))).otherwise(name)
+
+
+def module_name(code: Column) -> Column:
+    """The short name of a module by its code; unknown codes without their prefix and with a capital."""
+    low = F.lower(F.trim(F.coalesce(code, F.lit(""))))
+    plain = F.replace(low, F.lit("q_"), F.lit(""))
+    out = F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1_000))
+    for key, value in MODULE_NAMES.items():
+        out = F.when(low == key, value).otherwise(out)
+    return out
+
+
+def merged_map(old: Column, new: Column) -> Column:
+    """A map with the other's entries over its own."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    a, b = F.coalesce(old, none), F.coalesce(new, none)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def first_snippets(snippets: Column, n: int = 2) -> Column:
+    return F.array_join(F.slice(snippets, 1, n), " | ")
+
+
 #: A mail address. It starts where a run of its signs starts, or where the last match ended, so long runs are read once.
 ADDRESS = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 

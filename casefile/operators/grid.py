@@ -72,3 +72,54 @@ def in_scope(rows: DataFrame, bridge: DataFrame, key: str, names: Sequence[str],
     """Rows whose key belongs to one of the named cases; no row comes twice."""
     wanted = bridge.filter(F.col(name).isin(*names)).select(F.col(key).alias("_k"))
     return rows.join(wanted, F.col(key) == F.col("_k"), "left_semi")
+
+
+def mail_filter(
+    rows: DataFrame, folder: str | None = None, sender: str | None = None, participant: str | None = None, keyword: str | None = None, first: str | None = None, last: str | None = None,
+    attachment: bool | None = None, least_risk: int | None = None, people: Sequence[str] = ("sender", "sender_name", "recipients", "cc", "bcc"), texts: Sequence[str] = ("subject", "body"),
+) -> DataFrame:
+    """Mails of a grid; a condition that is not given lets everything through."""
+    keep = equals("folder", folder) & within_days("sent", first, last)
+    for term, columns in ((sender, ["sender"]), (participant, people), (keyword, texts)):
+        if term:
+            keep = keep & contains_any([c for c in columns if c in rows.columns], term)
+    if attachment is not None:
+        keep = keep & (F.coalesce(F.col("has_attachment"), F.lit(False)) == attachment)
+    if least_risk is not None:
+        keep = keep & (F.col("risk_score") >= least_risk)
+    return rows.filter(keep)
+
+
+#: Rules of a mail grid by the flag that they read.
+CHECKPOINTS = {"currency": "is_currency", "personal": "is_personal", "external": "is_external", "bank": "is_bank", "upi": "is_upi", "keywords": "is_keyword"}
+
+
+def by_checkpoint(rows: DataFrame, rule: str | None, texts: Sequence[str] = ("text",), profile_keywords: Sequence[str] = ()) -> DataFrame:
+    """Rows that a rule flags, by its name, ``profile`` for the profile's keywords, or any other word as a keyword itself."""
+    if not rule:
+        return rows
+    if rule in CHECKPOINTS:
+        return rows.filter(CHECKPOINTS[rule])
+    words = list(profile_keywords) if rule == "profile" else [rule]
+    return rows.filter(reduce(lambda a, w: a | contains_any(texts, w), words, F.lit(False)))
+
+
+def chat_filter(rows: DataFrame, flagged: bool = False, sender: str | None = None, media: bool | None = None, deleted: bool | None = None, profile_keywords: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """Messages of a grid: flagged ones have a risk of 50 or more, flagged terms or a keyword of the profile."""
+    keep = equals("sender", sender)
+    if flagged:
+        named = reduce(lambda a, w: a | contains_any([text], w), profile_keywords, F.lit(False))
+        keep = keep & ((F.col("risk_score") >= 50) | (F.coalesce("flagged", F.lit("")) != "") | named)
+    for wanted, column in ((media, "has_media"), (deleted, "is_deleted")):
+        if wanted is not None:
+            keep = keep & (F.coalesce(F.col(column), F.lit(False)) == wanted)
+    return rows.filter(keep)
+
+
+def verify_filter(rows: DataFrame, level: str | None = None, mime: str | None = None) -> DataFrame:
+    return rows.filter(equals("level", level) & (contains_any(["mime"], mime) if mime else F.lit(True)))
+
+
+def folder_of(path: str) -> Column:
+    """A path up to its last slash, of either kind."""
+    return F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1)

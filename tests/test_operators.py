@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from casefile.functions import text as X
 from casefile.operators import bank, cases, entities, graph, grid, naming, procurement, screening, trail
-from casefile.plans import registry, registry_cases, registry_graph, registry_names  # noqa: F401  (register their queries)
+from casefile.plans import registry, registry_cases, registry_graph, registry_names, registry_records  # noqa: F401  (register their queries)
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -411,7 +411,7 @@ def test_addresses_in_long_runs(spark):
 
 
 def plain(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
     if isinstance(v, (bool, str)) or hasattr(v, "dtype") and v.dtype == bool:
         return str(v)
