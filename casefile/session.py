@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +25,21 @@ def get_session(app: str = "casefile", cores: str = "*", shuffle_partitions: int
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors see: below spark.checkpoint.dir, or local where the session is."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("files need a folder that all executors share: set spark.checkpoint.dir")
+        root = f"file://{tempfile.gettempdir()}/casefile-files"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, by the file system that Spark uses for the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data))
+    out.close()
