@@ -246,7 +246,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataF
     paths = read_fragments(rows, k, "paths", sieve(at_first, straight), sieve(at_first, branched)).select(
         F.col("mm").alias("p_mm"), F.col("c").alias("p_c"), F.struct("id", "word").alias("p_first"), "head", "tail", "edges"
     )
-    paths = written(paths, "spans-paths").dropDuplicates(["p_mm", "p_c", "p_first"])
+    paths = paths.dropDuplicates(["p_mm", "p_c", "p_first"])
     wanted = straight.withColumn("straight", F.lit(True)).unionByName(branched.withColumn("straight", F.lit(False)))
     same = (F.col("p_mm") == F.col("mm")) & (F.col("p_c") == F.col("c")) & (F.col("p_first") == F.col("first"))
     wanted = written(wanted.join(paths, same).drop("p_mm", "p_c", "p_first"), "spans-wanted")
