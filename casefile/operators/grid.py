@@ -123,3 +123,15 @@ def verify_filter(rows: DataFrame, level: str | None = None, mime: str | None =
 def folder_of(path: str) -> Column:
     """A path up to its last slash, of either kind."""
     return F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, gone_key: str | None = None) -> DataFrame:
+    """Rows whose key is not among those of ``gone``."""
+    return rows.join(gone.select(F.col(gone_key or key).alias("_gone")), F.col(key) == F.col("_gone"), "left_anti")
+
+
+def chat_page(rows: DataFrame, channel: str, order: str, size: int, own: Column, newest_first: bool = True) -> DataFrame:
+    """The first ``size`` messages of each channel with their row and side: right for the custodian's ``own``, else left."""
+    w = Window.partitionBy(channel).orderBy(F.desc(order) if newest_first else F.asc(order))
+    page = rows.withColumn("row", F.row_number().over(w)).filter(F.col("row") <= size)
+    return page.withColumn("side", F.when(own, "right").otherwise("left"))

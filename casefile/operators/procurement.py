@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,3 +102,23 @@ def match_three_ways(rows: DataFrame, keep: Sequence[str], ordered_qty: str, rec
     due = money(F.col(received_qty)) * money(F.col(price))
     off = money(F.col(invoiced)) - due
     return rows.filter(F.abs(off) > F.lit(tolerance).cast("decimal(6,4)") * due).select(*keep, due.cast("double").alias("due"), off.cast("double").alias("variance"))
+
+
+def vendor_slice(rows: DataFrame, **wanted: object) -> DataFrame:
+    """Rows where any of the columns named has the value given; values of None ask for nothing, none at all gives all rows."""
+    asked = [F.col(c) == v for c, v in wanted.items() if v is not None]
+    return rows.filter(reduce(lambda a, t: a | F.coalesce(t, F.lit(False)), asked, F.lit(False))) if asked else rows
+
+
+def with_remainders(rows: DataFrame, ordered: str = "po_qty", received: str = "gr_qty", code: str = "vendor", name: str = "vendor_name") -> DataFrame:
+    """Rows with po_rem (ordered and not received; missing amounts are 0) and vendor_label (code - name; what is missing is none, Not Applicable)."""
+    zero = F.lit(0)
+    label = F.concat_ws(" - ", F.coalesce(F.col(code).cast("string"), F.lit("none")), F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("Not Applicable")))
+    return rows.withColumns({"po_rem": F.coalesce(ordered, zero) - F.coalesce(received, zero), "vendor_label": label})
+
+
+def stagnant_rows(rows: DataFrame, keys: Sequence[str], date: str, days: int = 730, **rest: object) -> DataFrame:
+    """The rows of the groups that ``stagnant_prices`` finds."""
+    groups = stagnant_prices(rows, keys, date, days, **rest).select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_{k}")), keys[1:], F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}")))
+    return rows.join(groups, same, "left_semi")

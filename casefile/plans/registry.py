@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casefile.functions import text as X
-from casefile.operators import bank, graph, procurement, screening, trail
+from casefile.operators import bank, graph, grid, procurement, screening, trail
 from casefile.plans import views
 from casefile.session import table
 
@@ -93,8 +93,7 @@ def typed_spares(spark, d):
 
 @query("SELECT vendor, material, po, line, po_qty, gr_qty, po_qty - gr_qty AS po_rem, CAST(vendor AS VARCHAR) || ' - ' || vendor_name AS vendor_label FROM prpo", (views.PRPO,))
 def material_list(spark, d):
-    rows = views.prpo(spark, d)
-    return rows.select(*RECEIPT, "po_qty", "gr_qty", (F.col("po_qty") - F.col("gr_qty")).alias("po_rem"), F.concat_ws(" - ", F.col("vendor").cast("string"), "vendor_name").alias("vendor_label"))
+    return procurement.with_remainders(views.prpo(spark, d)).select(*RECEIPT, "po_qty", "gr_qty", "po_rem", "vendor_label")
 
 
 @query(
@@ -147,8 +146,16 @@ def cost_gl_crosstab(spark, d):
 
 @query("SELECT vendor, material, po, line FROM prpo WHERE vendor = 7 OR vendor_name = 'Supplier#000000003' OR material = 11", (views.PRPO,))
 def vendor_slice(spark, d):
-    rows = views.prpo(spark, d)
-    return rows.filter((F.col("vendor") == 7) | (F.col("vendor_name") == "Supplier#000000003") | (F.col("material") == 11)).select(RECEIPT)
+    return procurement.vendor_slice(views.prpo(spark, d), vendor=7, vendor_name="Supplier#000000003", material=11, po=None).select(RECEIPT)
+
+
+@query(
+    f"""SELECT p.vendor, p.material, po, line FROM prpo p JOIN (SELECT vendor, material, net_price FROM prpo GROUP BY 1, 2, 3 HAVING {whole_days('max(po_date)', 'min(po_date)')} > 730) g
+    ON p.vendor = g.vendor AND p.material = g.material AND p.net_price = g.net_price""",
+    (views.PRPO,),
+)
+def stagnant_receipts(spark, d):
+    return procurement.stagnant_rows(views.prpo(spark, d), ["vendor", "material", "net_price"], "po_date").select(RECEIPT)
 
 
 @query(
@@ -746,11 +753,11 @@ def risk_distribution(spark, d):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def scope_semijoin(spark, d):
-    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
-    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    bridge = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return grid.in_scope(table(spark, d, "customer"), bridge, "c_custkey", ["1-URGENT"], "o_orderpriority").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def exclude_antijoin(spark, d):
     urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
-    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return grid.without(table(spark, d, "customer"), urgent, "c_custkey", "o_custkey").select("c_custkey")

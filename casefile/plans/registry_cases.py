@@ -38,9 +38,7 @@ def path_exclusion(spark, d):
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS row, CASE WHEN role = 'user' THEN 'right' ELSE 'left' END AS side FROM conversations QUALIFY row <= 2")
 def chat_page(spark, d):
-    w = grid.Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    rows = table(spark, d, "conversations").withColumn("row", F.row_number().over(w)).filter("row <= 2")
-    return rows.select("conv_id", "turn", "row", F.when(F.col("role") == "user", "right").otherwise("left").alias("side"))
+    return grid.chat_page(table(spark, d, "conversations"), "conv_id", "turn", 2, F.col("role") == "user").select("conv_id", "turn", "row", "side")
 
 
 @query("SELECT c_custkey, c_mktsegment || ',n' || c_nationkey AS keywords FROM customer")

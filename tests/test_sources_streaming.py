@@ -154,3 +154,17 @@ def test_empty_files(spark, text):
     f = files(spark, text)
     for parse in (lines.parse_chat, lines.parse_transcript, lines.parse_statement_lines, lines.parse_chat_json):
         assert parse(f, ["path"]).count() == 0
+
+
+def test_ingest_in_batches_and_append(spark, tmp_path):
+    """Three files in batches of one; a second run reads what is new only."""
+    source, told = tmp_path / "in", []
+    for i in range(3):
+        spark.createDataFrame([(i, "x"), (i, "x"), (10 + i, "y")], "id int, t string").coalesce(1).write.mode("append").json(str(source))
+    stream = lambda: spark.readStream.schema("id int, t string").option("maxFilesPerTrigger", 1).json(str(source))
+    for _ in range(2):
+        flows.ingest(stream(), str(tmp_path / "out"), str(tmp_path / "c1"), ["id"], lambda b, n: told.append((b, n))).awaitTermination(120)
+    assert sorted(told) == [(0, 2), (1, 2), (2, 2)]
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 10, 11, 12]
+    flows.append_hits(stream(), str(tmp_path / "csv"), str(tmp_path / "c2")).awaitTermination(120)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 9
