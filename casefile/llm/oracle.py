@@ -71,7 +71,7 @@ def top_k_sql(k: int, every: int) -> str:
     SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= {k}"""
 
 
-MIX_SQL = f"""WITH q AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END AS w FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+MIX_SQL = f"""WITH RECURSIVE q AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END AS w FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
     d AS (SELECT doc_id, source, coalesce(len({WORDS}), 0) AS size, -ln((CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / coalesce(w, 1.0)::DOUBLE AS key
     FROM documents LEFT JOIN q USING (doc_id)),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
@@ -81,11 +81,14 @@ MIX_SQL = f"""WITH q AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE
     t AS (SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM l),
     e AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END AS epochs FROM t),
     o AS (SELECT d.*, source_size, target, CAST(epochs AS INTEGER) AS epochs, target - epochs * source_size AS rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size) AS upto FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-    k AS (SELECT *, size > 0 AND upto <= rest AS picked FROM o),
+    row_number() OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size) AS i FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+    -- In key order every document is taken that still fits whole.
+    r AS (SELECT DISTINCT source, 0::BIGINT AS i, 0::BIGINT AS used FROM o UNION ALL
+    SELECT r.source, o.i, CASE WHEN r.used + o.size <= o.rest THEN r.used + o.size ELSE r.used END FROM r JOIN o ON o.source IS NOT DISTINCT FROM r.source AND o.i = r.i + 1),
+    k AS (SELECT o.*, size > 0 AND r.used + size <= rest AS picked FROM o JOIN r ON o.source IS NOT DISTINCT FROM r.source AND o.i = r.i + 1),
     g AS (SELECT source, any_value(rest) - sum(CASE WHEN picked THEN size ELSE 0 END) AS gap FROM k GROUP BY source),
-    b AS (SELECT k.source, arg_min(doc_id, (abs(gap - size), key)) AS last FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source WHERE NOT picked AND size > 0 AND abs(gap - size) < gap GROUP BY k.source)
-    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST((epochs + CAST(picked OR coalesce(doc_id = last, false) AS INTEGER)) * size AS BIGINT) AS taken FROM k LEFT JOIN b ON k.source IS NOT DISTINCT FROM b.source"""
+    b AS (SELECT k.source, arg_min(k.i, (abs(gap - size), key)) AS last FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source WHERE NOT picked AND size > 0 AND abs(gap - size) < gap GROUP BY k.source)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST((epochs + CAST(picked OR coalesce(i = last, false) AS INTEGER)) * size AS BIGINT) AS taken FROM k LEFT JOIN b ON k.source IS NOT DISTINCT FROM b.source"""
 
 HEX_BITS = "0000000100100011010001010110011110001001101010111100110111101111"
 FIVE = " + ".join(f"CAST(substr(b, i * 5 + {j + 1}, 1) AS INTEGER) * {16 >> j}" for j in range(5))
