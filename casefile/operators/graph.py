@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casefile.functions.text import ADDRESS, canonical_name, indel_ratio
+from casefile.functions.text import ADDRESS, canonical_name
+from casefile.operators.linking import groups, similar_pairs
 from casefile.operators.procurement import total
 
 
@@ -238,21 +239,20 @@ def vendor_nexus(rows: DataFrame, vendors: DataFrame, narration_key: Column, ven
     return r.join(v, "_k").groupBy(*vendor_cols, *keep, "direction").agg(F.count(F.lit(1)).alias("n"), total("_amount").alias("volume"))
 
 
-def resolve(names: DataFrame, id_col: str, name: str, least: float = 85.0, prefix: int = 3) -> DataFrame:
-    """id, key, entity: names whose canonical keys are equal or, within a block, similar enough are one entity.
+def resolve(names: DataFrame, id_col: str, name: str, least: int = 85) -> DataFrame:
+    """id, key, entity: names whose canonical keys are equal or, without blanks, similar by ``least`` percent or more are one entity.
 
-    A block is the first letters of a key and its length within two; each key takes the least key of its block that is
-    similar, which is followed once. New links do not wait for each other, unlike one insert after the other.
+    All similar pairs of keys count and their groups are whole, however the chain of names runs; the entity is the least key of its group. A
+    name without a letter or digit is an entity of its own (an empty key).
     """
     keyed = names.select(id_col, canonical_name(F.col(name)).alias("key"))
-    keys = keyed.select("key").distinct().filter("key <> ''").withColumn("block", F.substring("key", 1, prefix))
-    other = keys.select(F.col("key").alias("low"), F.col("block").alias("l_block"))
-    near = keys.join(other, (F.col("block") == F.col("l_block")) & (F.col("low") < F.col("key")) & (F.abs(F.length("low") - F.length("key")) <= 2))
-    near = near.filter(indel_ratio(F.replace("key", F.lit(" "), F.lit("")), F.replace("low", F.lit(" "), F.lit(""))) >= least)
-    first = near.groupBy("key").agg(F.min("low").alias("low"))
-    second = first.select(F.col("key").alias("s_key"), F.col("low").alias("s_low"))
-    rooted = first.join(second, F.col("low") == F.col("s_key"), "left").select(F.col("key").alias("r_key"), F.coalesce("s_low", "low").alias("root"))
-    return keyed.join(rooted, F.col("key") == F.col("r_key"), "left").select(id_col, "key", F.coalesce("root", "key").alias("entity"))
+    packed = F.replace("key", F.lit(" "), F.lit(""))
+    forms = keyed.select("key", packed.alias("form")).distinct().filter("form <> ''")
+    roots = groups(similar_pairs(forms, "form", least)).select(F.col("node").alias("r_form"), "root")
+    forms = forms.join(roots, F.col("form") == F.col("r_form"), "left").withColumn("root", F.coalesce("root", "form"))
+    entity = forms.groupBy("root").agg(F.min("key").alias("entity"))
+    found = forms.join(entity, "root").select(F.col("key").alias("e_key"), "entity")
+    return keyed.join(found, F.col("key") == F.col("e_key"), "left").select(id_col, "key", F.coalesce("entity", "key").alias("entity"))
 
 
 def extract_entities(docs: DataFrame, id_col: str, text: str) -> DataFrame:

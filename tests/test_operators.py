@@ -10,7 +10,7 @@ from decimal import Decimal
 import pandas as pd
 import pytest
 from casefile.functions import text as X
-from casefile.operators import bank, cases, entities, graph, grid, naming, procurement, screening, trail
+from casefile.operators import bank, cases, entities, graph, grid, linking, naming, procurement, screening, trail
 from casefile.plans import registry, registry_cases, registry_graph, registry_names, registry_records, registry_sources  # noqa: F401  (register their queries)
 from pyspark.sql import functions as F
 
@@ -328,6 +328,39 @@ def test_evidence_counts_once(spark):
     assert [tuple(r) for r in got] == [("a", "b", 3.0, 7, 2)]
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("percent", [85, 70])
+def test_similar_pairs_lose_none(spark, percent):
+    """Names that differ anywhere, in the first letters too, and in length."""
+    r = random.Random(percent)
+    words = ["ACMETRADERS", "NORTHMOTORS", "ZEDCO", "AB", "A", "VERYLONGNAMEOFAFIRMINTHEEAST"]
+    names = set(words)
+    for _ in range(110):
+        w = list(r.choice(words))
+        for _ in range(r.randint(1, 5)):
+            i = r.randrange(len(w) + 1)
+            w[i : i + r.choice((0, 1))] = r.choice(("", "X", "A", "QQ"))
+        names.add("".join(w))
+    names = sorted(n for n in names if n)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 200 * lcs(a, b) >= percent * (len(a) + len(b))}
+    got = linking.similar_pairs(spark.createDataFrame([(n,) for n in [*names, names[0], "", None]], "k string"), "k", percent)
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 40
+
+
+def test_resolution_of_other_first_letters_and_chains(spark):
+    rows = [(1, "Bcme Traders"), (2, "Acme Traders Ltd"), (3, "Acme Tradersx"), (4, "Acme Traderxx"), (5, "Zed"), (6, "..."), (7, None)]
+    got = {x.id: x.entity for x in graph.resolve(spark.createDataFrame(rows, "id int, name string"), "id", "name").collect()}
+    assert got == {1: "ACME TRADERS", 2: "ACME TRADERS", 3: "ACME TRADERS", 4: "ACME TRADERS", 5: "ZED", 6: "", 7: None}
+
+
 def test_alerts_by_hand(spark):
     who = spark.createDataFrame([(1, "Eve", "EMPLOYEE", True, 10), (2, "Vend", "VENDOR", False, 0), (3, "Sub", "COMPANY", False, 99)], "id int, name string, type string, target boolean, risk int")
     links = spark.createDataFrame([(1, 2, "EMAILED", "mail", 0.0, False), (3, 1, "SPOUSE", "chat", 0.0, False), (2, 1, "TRANSFERRED_FUNDS", "bank", 600_000.0, None)], "src int, dst int, relation string, module string, weight double, layering boolean")
