@@ -272,7 +272,7 @@ def extract_entities(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def sankey(edges: DataFrame, src: str, dst: str, amount: str) -> DataFrame:
-    """source, target, value with dense node numbers by name."""
+    """source, target, value with dense node numbers by name; the nodes of a drawing are few and numbered in one task."""
     w = Window.orderBy("name")
     nodes = edges.select(F.col(src).alias("name")).unionByName(edges.select(F.col(dst).alias("name"))).distinct().withColumn("node", F.row_number().over(w) - 1)
     a, b = nodes.select(F.col("name").alias("_a"), F.col("node").alias("source")), nodes.select(F.col("name").alias("_b"), F.col("node").alias("target"))

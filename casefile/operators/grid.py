@@ -51,16 +51,16 @@ def excluded_path(path: str, prefixes: Sequence[str], segments: Sequence[str], e
 def page_of(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """The page with row numbers, the total and the last page; a page beyond the last is the last.
 
-    The total comes from the same job as the page: rows are numbered once and the page is cut from the numbering.
+    Rows are counted first, so only those up to the page are ordered and only the page's own are numbered.
     """
     size = min(500, max(1, size))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    last = F.greatest(F.lit(1), F.ceil(F.col("total") / size))
-    want = total.withColumn("last_page", last.cast("int")).withColumn("page", F.least(F.lit(max(1, number)), F.col("last_page")))
-    top = rows.orderBy(*order).limit(max(1, number) * size)
-    ranked = top.withColumn("row", F.row_number().over(Window.orderBy(*order)))
-    cut = ranked.join(F.broadcast(want), (F.col("row") > (F.col("page") - 1) * size) & (F.col("row") <= F.col("page") * size))  # one row is broadcast
-    return cut
+    total = rows.count()
+    last = max(1, -(-total // size))
+    page = min(max(1, number), last)
+    before = (page - 1) * size
+    cut = rows.orderBy(*order).offset(before).limit(size)
+    row = F.row_number().over(Window.orderBy(*order)) + before  # a page of rows
+    return cut.withColumns({"row": row.cast("int"), "total": F.lit(total).cast("long"), "last_page": F.lit(last), "page": F.lit(page)})
 
 
 def visible_cases(cases: DataFrame, user: str, status: str = "status", creator: str = "creator") -> DataFrame:
