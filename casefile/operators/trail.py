@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -155,6 +156,56 @@ def beats(rows: DataFrame, case: str, order: Sequence[str], amount: str) -> Data
     return rows.withColumn("leg", F.concat(F.lit("L"), F.row_number().over(w).cast("string"))).withColumn("running", running)
 
 
+def case_story(direct: DataFrame, hops: DataFrame, loops: DataFrame) -> DataFrame:
+    """The legs of cases as beats in order of date (those without one last): case, n, edge_id, kind, title, date, from_node, to_node, via, amount, retained, cumulative.
+
+    direct: case, row, sender, recipient, amount, date; hops: case, row, sender, conduit, recipient, out_date, in_date, outflow,
+    inflow, retained; loops: case, row, originator, counterparty, amount, date; row is an id that orders a table. What one sender dispatches to
+    a conduit on a date is one beat, followed by what the conduit passes on. A return that a beat tells of (same ends without regard to
+    case, amounts less than one apart; the first such beat) makes it the return, else it is a beat of its own. A case ends with a
+    summary. Only beats of one case meet in a group.
+    """
+    clean = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    place = lambda part, first, leg: F.struct(F.lit(part).alias("part"), first.alias("first"), leg.alias("leg"))
+    long, zero = lambda c: F.col(c).cast("long"), F.lit(0).cast("long")
+
+    def beat(df: DataFrame, at: Column, kind: str, a: Column, b: Column, via: Column, amount: Column, kept: Column, date: Column, title: Column | None = None) -> DataFrame:
+        named = title if title is not None else F.concat(a, F.lit(" → "), b)
+        return df.select("case", at.alias("at"), F.lit(kind).alias("kind"), named.alias("title"), date.alias("date"), a.alias("from_node"), b.alias("to_node"), via.alias("via"), amount.alias("amount"), kept.alias("retained"))
+
+    none, nothing = F.lit(""), F.lit(0.0)
+    parts = [beat(direct, place(0, long("row"), zero), "direct", clean("sender"), clean("recipient"), none, F.col("amount"), nothing, clean("date"))]
+    dispatch = Window.partitionBy("case", "_sender", "_conduit", "_date")
+    hops = hops.withColumns({"_sender": clean("sender"), "_conduit": clean("conduit"), "_date": clean("out_date")}).withColumn("_first", F.min(long("row")).over(dispatch))
+    sent = hops.groupBy("case", "_sender", "_conduit", "_date").agg(total("outflow").alias("amount"), F.min("_first").alias("_first"))
+    parts.append(beat(sent, place(1, F.col("_first"), F.lit(-1).cast("long")), "hop", F.col("_sender"), F.col("_conduit"), F.col("_conduit"), F.col("amount"), nothing, F.col("_date")))
+    parts.append(beat(hops, place(1, F.col("_first"), long("row")), "hop", F.col("_conduit"), clean("recipient"), F.col("_conduit"), F.col("inflow"), F.col("retained"), clean("in_date")))
+    told = reduce(DataFrame.unionByName, parts)
+    back = loops.filter((F.col("amount") > 0) & ~clean("date").isin("", "-"))
+    back = back.select("case", F.col("row").alias("l_row"), clean("originator").alias("to"), clean("counterparty").alias("of"), F.col("amount").alias("l_amount"), clean("date").alias("l_date"))
+    known = told.select(F.col("case").alias("k_case"), F.col("at").alias("k_at"), F.col("from_node").alias("k_from"), F.col("to_node").alias("k_to"), F.col("amount").alias("k_amount"))
+    same = (F.col("case") == F.col("k_case")) & (F.lower("of") == F.lower("k_from")) & (F.lower("to") == F.lower("k_to")) & (F.abs(F.col("k_amount") - F.col("l_amount")) < 1)
+    met = back.join(known, same, "left").groupBy("case", "l_row", "to", "of", "l_amount", "l_date").agg(F.min("k_at").alias("k_at"))
+    title = F.concat(F.lit("Loop Return: "), F.col("of"), F.lit(" → "), F.col("to"))
+    # Of several returns that one beat tells of the last gives its title.
+    closes = met.filter("k_at is not null").groupBy(F.col("case").alias("c_case"), F.col("k_at").alias("c_at")).agg(F.max_by(title, "l_row").alias("c_title"))
+    told = told.join(closes, (F.col("case") == F.col("c_case")) & (F.col("at") == F.col("c_at")), "left")
+    closing = F.col("c_title").isNotNull()
+    told = told.withColumns({"kind": F.when(closing, "return").otherwise(F.col("kind")), "title": F.coalesce("c_title", "title")}).drop("c_case", "c_at", "c_title")
+    own = met.filter("k_at is null")
+    told = told.unionByName(beat(own, place(2, long("l_row"), zero), "return", F.col("of"), F.col("to"), F.col("of"), F.col("l_amount"), nothing, F.col("l_date"), title))
+    order = Window.partitionBy("case").orderBy(F.when(F.col("date") == "", "9999-99-99").otherwise(F.col("date")), "at")
+    running = F.sum(F.col("retained").cast("decimal(18,2)")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+    told = told.withColumn("n", F.row_number().over(order)).withColumn("cumulative", running).withColumn("edge_id", F.concat(F.lit("L"), F.col("n").cast("string")))
+    columns = ["case", "n", "edge_id", "kind", "title", "date", "from_node", "to_node", "via", "amount", "retained", "cumulative"]
+    last = told.groupBy("case").agg(F.max("n").alias("n"), total("retained").alias("cumulative"))
+    last = last.select(
+        "case", (F.col("n") + 1).alias("n"), none.alias("edge_id"), F.lit("summary").alias("kind"), F.lit("Case Position: Full Topology Reconciled").alias("title"), F.lit("All Dates").alias("date"),
+        none.alias("from_node"), none.alias("to_node"), none.alias("via"), nothing.alias("amount"), nothing.alias("retained"), "cumulative",
+    )
+    return told.select(columns).unionByName(last.select(columns))
+
+
 class Open:
     """Inflows of one account that still have money to pass on, in row order."""
 

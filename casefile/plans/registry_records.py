@@ -246,3 +246,28 @@ def cycle_legs(spark, d):
     none = spark.createDataFrame([], "sender string, recipient string, conduit string, outflow double, inflow double, out_date string, in_date string")
     return trail.cycle_metrics(cycles, "nodes", direct, none)
 
+
+
+STORY = HOPS + """, h AS (SELECT account AS c, in_row AS r, out_row AS o, in_amount, out_amount, retained FROM hops),
+    e AS (SELECT account AS c, 0 AS p, event_id AS f, 0 AS l, 'direct' AS kind, 'A' || account AS a, 'B' || (event_id % 3) AS b, '' AS via, amount, 0.0 AS kept, strftime(ts, '%Y-%m-%d') AS day FROM flow WHERE leg = 'OUT'
+    UNION ALL SELECT c, 1, min(r * 1000000 + o) AS f, -1, 'hop', 'S' || (r % 4), 'X' || (o % 2), 'X' || (o % 2), CAST(sum(CAST(in_amount AS DECIMAL(18,2))) AS DOUBLE), 0.0, '1999-01-0' || (r % 5 + 1) FROM h GROUP BY c, r % 4, o % 2, r % 5
+    UNION ALL SELECT c, 1, min(r * 1000000 + o) OVER (PARTITION BY c, r % 4, o % 2, r % 5), r * 1000000 + o, 'hop', 'X' || (o % 2), 'R' || (o % 6), 'X' || (o % 2), out_amount, retained, CASE WHEN o % 7 = 0 THEN '' ELSE '1999-02-0' || (o % 9 + 1) END FROM h),
+    n AS (SELECT *, row_number() OVER w AS n, CAST(sum(CAST(kept AS DECIMAL(18,2))) OVER (PARTITION BY c ORDER BY CASE WHEN day = '' THEN '9999-99-99' ELSE day END, p, f, l ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumulative FROM e WINDOW w AS (PARTITION BY c ORDER BY CASE WHEN day = '' THEN '9999-99-99' ELSE day END, p, f, l))
+    SELECT c AS "case", CAST(n AS INTEGER) AS n, kind, a || ' → ' || b AS title, day AS date, amount, kept AS retained, cumulative FROM n
+    UNION ALL SELECT c, CAST(max(n) + 1 AS INTEGER), 'summary', 'Case Position: Full Topology Reconciled', 'All Dates', 0.0, 0.0, CAST(sum(CAST(kept AS DECIMAL(18,2))) AS DOUBLE) FROM n GROUP BY c"""
+
+
+@query(STORY, (views.FLOW,))
+def case_story(spark, d):
+    name = lambda letter, c, n: F.concat(F.lit(letter), (F.col(c) % n).cast("string"))
+    direct = views.flow(spark, d).filter("leg = 'OUT'").select(
+        F.col("account").alias("case"), F.col("event_id").alias("row"), F.concat(F.lit("A"), F.col("account").cast("string")).alias("sender"), name("B", "event_id", 3).alias("recipient"), "amount", F.date_format("ts", "yyyy-MM-dd").alias("date")
+    )
+    h = hops(spark, d)
+    day = lambda month, c, n: F.concat(F.lit(month), (F.col(c) % n + 1).cast("string"))
+    through = h.select(
+        F.col("account").alias("case"), (F.col("in_row") * 1_000_000 + F.col("out_row")).alias("row"), name("S", "in_row", 4).alias("sender"), name("X", "out_row", 2).alias("conduit"), name("R", "out_row", 6).alias("recipient"),
+        day("1999-01-0", "in_row", 5).alias("out_date"), F.when(F.col("out_row") % 7 != 0, day("1999-02-0", "out_row", 9)).alias("in_date"), F.col("in_amount").alias("outflow"), F.col("out_amount").alias("inflow"), "retained",
+    )
+    loops = spark.createDataFrame([], "case bigint, row bigint, originator string, counterparty string, amount double, date string")
+    return trail.case_story(direct, through, loops).select("case", "n", "kind", "title", "date", "amount", "retained", "cumulative")

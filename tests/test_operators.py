@@ -223,6 +223,18 @@ def test_fallback_match_by_hand(spark):
     assert sorted((r.debit_row, r.credit_row) for r in left.collect()) == [(1, 11), (2, 12)]
 
 
+def test_case_story_by_hand(spark):
+    direct = spark.createDataFrame([(1, 1, "A", "B", 100.0, "2024-01-05"), (1, 2, "b", "A", 40.5, "2024-01-09"), (2, 3, "Q", "R", 1.0, None)], "case int, row int, sender string, recipient string, amount double, date string")
+    hops = spark.createDataFrame([(1, 1, "A", "Z", "C", "2024-01-01", "2024-01-02", 60.0, 50.0, 10.0), (1, 2, "A ", "Z", "D", "2024-01-01", "", 30.0, 29.5, 0.5)], "case int, row int, sender string, conduit string, recipient string, out_date string, in_date string, outflow double, inflow double, retained double")
+    loops = spark.createDataFrame([(1, 1, "a", "B", 40.0, "2024-01-09"), (1, 2, "A", "D", 5.0, "2024-02-01"), (1, 3, "A", "D", 5.0, "-")], "case int, row int, originator string, counterparty string, amount double, date string")
+    got = [(r.case, r.n, r.edge_id, r.kind, r.title, r.amount, r.cumulative) for r in trail.case_story(direct, hops, loops).orderBy("case", "n").collect()]
+    assert got == [
+        (1, 1, "L1", "hop", "A → Z", 90.0, 0.0), (1, 2, "L2", "hop", "Z → C", 50.0, 10.0), (1, 3, "L3", "direct", "A → B", 100.0, 10.0), (1, 4, "L4", "return", "Loop Return: B → a", 40.5, 10.0),
+        (1, 5, "L5", "return", "Loop Return: D → A", 5.0, 10.0), (1, 6, "L6", "hop", "Z → D", 29.5, 10.5), (1, 7, "", "summary", "Case Position: Full Topology Reconciled", 0.0, 10.5),
+        (2, 1, "L1", "direct", "Q → R", 1.0, 0.0), (2, 2, "", "summary", "Case Position: Full Topology Reconciled", 0.0, 0.0),
+    ]
+
+
 def test_cycle_metrics_by_hand(spark):
     cycles = spark.createDataFrame([("c1", ["A", "B", "C"])], "cycle string, nodes array<string>")
     direct = spark.createDataFrame([("A", "B", 100.0, "2024-01-02"), ("A", "B", 50.0, "2024-01-05"), ("C", "A", 30.0, "2024-02-01"), ("X", "Y", 1.0, "2024-01-01")], "sender string, recipient string, amount double, date string")
