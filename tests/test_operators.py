@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from casefile.functions import text as X
 from casefile.operators import bank, cases, entities, graph, grid, linking, naming, procurement, screening, trail
-from casefile.plans import registry, registry_cases, registry_graph, registry_names, registry_records, registry_sources  # noqa: F401  (register their queries)
+from casefile.plans import registry, registry_cases, registry_graph, registry_names, registry_records, registry_small, registry_sources  # noqa: F401  (register their queries)
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
