@@ -227,6 +227,29 @@ def test_stages(spark, tmp_path):
     assert seen[4][1].count() == seen[3][1].count()
 
 
+def test_stages_of_nothing_and_of_odd_rows(spark, tmp_path):
+    """Empty tables and tables of letterless, null, very long and repeated texts go through all stages."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = [(1, "123", "en", "s", 3), (2, None, None, None, None), (2**60, words(8, 60_000), "en", "s", 1), (2**60, words(8, 60_000), "aa", "s", 1), (5, "one word", "en", None, 1), (5, "other text here", "en", None, 1)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, COLUMNS)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = scratch.written(stage(spark, docs.withColumn("text_hash", F.lit("x")).withColumn("group", F.lit(0)), str(tmp_path)), "odd")
+            if name == "near_copies" and rows:
+                kept = sorted((r.doc_id, r.lang, len(r.text)) for r in docs.collect())
+                assert [k[:2] for k in kept] == [(5, "en"), (5, "en"), (2**60, "aa")]
+        assert (docs.count() > 0) == bool(rows)
+
+
+def test_near_copies_of_texts_that_share_an_id(spark):
+    """One of each group stays, whatever ids its texts have."""
+    base, other = words(1, 80), words(2, 80)
+    near = base.replace(base.split(" ")[40], "zzz", 1)
+    rows = [(3, base, "a", "s", 1), (5, near, "b", "s", 1), (5, other, "c", "s", 1), (5, other, "a", "s", 1), (7, base, "d", "s", 1), (9, near + " end", "e", "s", 1)]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(3, "a"), (5, "a")]
+
+
 def test_pipeline_runs_and_repeats(spark):
     d = "/root/testdata/sf0.001"
     a, b = (sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, d).select("doc_id", "ids_sha256").collect()) for _ in range(2))

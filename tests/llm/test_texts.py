@@ -127,6 +127,31 @@ def test_identify(spark):
     assert langid.identify(docs.limit(3), ()).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_a_language_with_a_short_sample():
+    """A twentieth of the other's labelled text is enough: phrases are weighed by the sample's length."""
+    r = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    own = {"long": syllables[:30], "short": syllables[30:]}
+    made = lambda lang: "".join(r.choice(own[lang] if r.random() < 0.75 else syllables) for _ in range(3))
+    say = lambda lang, n: " ".join(made(lang) for _ in range(n))
+    parser = langid.Parser((("long", say("long", 6000).encode()), ("short", say("short", 300).encode())))
+    texts = [(lang, say(lang, 40)) for lang in own for _ in range(60)]
+    counts, _ = parser.phrases([langid.symbols(t.encode()) for _, t in texts])
+    right = [np.mean([parser.languages[i] == lang for (lang, _), i in zip(texts, values.argmin(1), strict=True)]) for values in (counts * parser.weights, counts)]
+    assert right[0] >= 0.95 and right[0] > right[1]
+
+
+def test_very_many_languages(spark):
+    """Samples are bounded in bytes, of long texts too, and all tables of a worker together."""
+    rows = [(i * 100 + j, f"x{i} " + "".join(chr(97 + (i + k) % 26) for k in range(30)) * (2000 if j == 0 else 1), f"l{i}") for i in range(50) for j in range(3)]
+    docs = spark.createDataFrame([*rows, (None, "abc", "l1"), (7, None, "l2"), (8, "abc", None)], "doc_id long, text string, lang string")
+    samples = langid.labelled_samples(docs, F.lit(True), "doc_id", "text", "lang", 5_000, 10, 1 << 30)
+    assert len(samples) == 50 and all(len(s) <= 5_000 for _, s in samples) and max(len(s) for _, s in samples) == 5_000
+    small = langid.labelled_samples(docs, F.lit(True), "doc_id", "text", "lang", 5_000, 10, 1 << 20)
+    width = langid.Parser(small).width
+    assert len(small) == 50 and sum(len(s) for _, s in small) * 2 * 4 * width <= 1.1 * (1 << 20)
+
+
 def test_held_out_accuracy(spark):
     from casefile.llm.queries import op3_language_id, read
 
