@@ -86,13 +86,13 @@ def identifier(name: Column, kind: Column) -> Column:
 
 
 def candidates(text: Column, extra: Sequence[tuple[Column, str, str, float]] = ()) -> Column:
-    """All candidates of a text in the order in which they are found: structs of raw, category, role, confidence.
+    """All candidates of a text, cleaned, in the order in which they are found: structs of name, category, role, confidence.
 
     extra: arrays of names that are known beforehand (speakers, partners, authors), with category, role and confidence.
     """
 
     def listed(names: Column, category: str, role: str, confidence: float) -> Column:
-        return F.transform(names, lambda raw: F.struct(raw.alias("raw"), F.lit(category).alias("category"), F.lit(role).alias("role"), F.lit(confidence).alias("confidence")))
+        return F.transform(names, lambda raw: F.struct(clean_token(raw).alias("name"), F.lit(category).alias("category"), F.lit(role).alias("role"), F.lit(confidence).alias("confidence")))
 
     parts = []
     for i, (pattern, group, category, role, confidence) in enumerate(families()):
@@ -119,20 +119,21 @@ def names_of(
     each = docs.select(F.col(id_col).alias("id"), F.posexplode(candidates(F.col(text), extra)).alias("pos", "c")).select("id", "pos", "c.*")
     if profiles is not None:
         each = each.unionByName(profiled(docs, id_col, text, profiles))
-    each = each.withColumn("name", clean_token(F.col("raw"))).filter(valid_token(F.col("name"))).withColumn("key", F.lower("name"))
+    each = each.filter(valid_token(F.col("name"))).withColumn("key", F.lower("name"))
     best = F.struct((-F.col("confidence")).alias("c"), "pos")
     one = each.groupBy("id", "key").agg(
         F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"), F.min_by(F.struct("category", "role", "confidence"), best).alias("b"), F.count(F.lit(1)).alias("mentions")
     )
-    words = F.filter(F.split(F.regexp_replace("key", r"\.", " "), r"\s+"), lambda w: w != "")
-    longer = one.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), F.col("pos").alias("l_pos"), F.explode(F.array_distinct(words)).alias("word"))
-    single = one.filter(~F.col("key").contains(" ")).select("id", "key", "mentions")
-    taken = single.join(longer, (F.col("id") == F.col("l_id")) & (F.col("key") == F.col("word")) & (F.col("key") != F.col("l_key")))
-    taken = taken.groupBy("id", "key", "mentions").agg(F.min_by("l_key", "l_pos").alias("into"))
-    gone = taken.select(F.col("id").alias("g_id"), F.col("key").alias("g_key"))
-    more = taken.groupBy(F.col("id").alias("m_id"), F.col("into").alias("m_key")).agg(F.sum("mentions").alias("more"))
-    out = one.join(gone, (F.col("id") == F.col("g_id")) & (F.col("key") == F.col("g_key")), "left_anti").join(more, (F.col("id") == F.col("m_id")) & (F.col("key") == F.col("m_key")), "left")
-    out = out.withColumn("mentions", F.col("mentions") + F.coalesce("more", F.lit(0)))
+    # A name stands under itself and under each of its words; under a word the first longer name takes the single one in.
+    words = F.filter(F.split(F.regexp_replace("key", r"\.", " "), r"\s+"), lambda w: (w != "") & (w != F.col("key")))
+    places = F.concat(F.array(F.struct(F.col("key").alias("word"), F.lit(True).alias("own"))), F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.lit(False).alias("own"))))
+    under = one.withColumn("p", F.explode(places)).select("id", "key", "name", "pos", "b", "mentions", "p.*")
+    longer = F.min(F.when(~F.col("own"), F.struct("pos", F.col("key").alias("into")))).over(Window.partitionBy("id", "word"))
+    under = under.withColumn("longer", longer).filter("own")
+    target = F.when(~F.col("key").contains(" "), F.col("longer.into"))
+    under = under.withColumn("target", F.coalesce(target, "key"))
+    out = under.groupBy("id", F.col("target").alias("key")).agg(F.sum("mentions").alias("mentions"), F.min_by(F.struct("name", "b"), F.when(F.col("key") == F.col("target"), 0).otherwise(1)).alias("e"))
+    out = out.select("id", "key", "mentions", "e.*")
     category, sure = F.col("b.category"), F.col("b.confidence")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("mentions"), F.desc("b.confidence"), "name"))
     known = F.lit(False)
@@ -154,7 +155,7 @@ def profiled(docs: DataFrame, id_col: str, text: str, profiles: DataFrame) -> Da
     quoted = F.concat(F.lit(r"(?i)\b\Q"), F.col("p_name"), F.lit(r"\E\b"))
     met = said.join(names, F.col("word") == F.col("p_word")).filter(F.regexp_like("said", quoted)).select("id", "p_name").distinct()
     place = F.lit(1 << 30) + F.row_number().over(Window.partitionBy("id").orderBy("p_name"))
-    return met.select("id", place.cast("int").alias("pos"), F.col("p_name").alias("raw"), F.lit("AUDITEE").alias("category"), F.lit("Target Auditee / Custodian").alias("role"), F.lit(0.98).alias("confidence"))
+    return met.select("id", place.cast("int").alias("pos"), F.col("p_name").alias("name"), F.lit("AUDITEE").alias("category"), F.lit("Target Auditee / Custodian").alias("role"), F.lit(0.98).alias("confidence"))
 
 
 def citations(pages: DataFrame, doc: str, page: str, text: str, **known: DataFrame) -> DataFrame:
