@@ -151,9 +151,11 @@ def profiled(docs: DataFrame, id_col: str, text: str, profiles: DataFrame) -> Da
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     names = profiles.select(clean_token(F.col("name")).alias("p_name")).distinct().filter(F.length("p_name") >= 3)
     names = names.withColumn("p_word", F.try_element_at(words(F.col("p_name")), F.lit(1))).filter("p_word is not null")
-    said = docs.select(F.col(id_col).alias("id"), F.col(text).alias("said"), F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
+    seen = docs.select(F.col(id_col).alias("w_id"), F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
+    may = seen.join(names, F.col("word") == F.col("p_word")).select("w_id", "p_name").distinct()
+    said = docs.select(F.col(id_col).alias("id"), F.col(text).alias("said")).join(may, F.col("id") == F.col("w_id"))
     quoted = F.concat(F.lit(r"(?i)\b\Q"), F.col("p_name"), F.lit(r"\E\b"))
-    met = said.join(names, F.col("word") == F.col("p_word")).filter(F.regexp_like("said", quoted)).select("id", "p_name").distinct()
+    met = said.filter(F.regexp_like("said", quoted)).select("id", "p_name").distinct()
     place = F.lit(1 << 30) + F.row_number().over(Window.partitionBy("id").orderBy("p_name"))
     return met.select("id", place.cast("int").alias("pos"), F.col("p_name").alias("name"), F.lit("AUDITEE").alias("category"), F.lit("Target Auditee / Custodian").alias("role"), F.lit(0.98).alias("confidence"))
 
