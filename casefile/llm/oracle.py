@@ -126,7 +126,7 @@ def collocations_sql(longest: int = 5, least: int = 100, first: int = 2000) -> s
     b AS (SELECT lang, {part("words")} AS phrase, words, f AS a, l, r, n, score FROM v QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
     d AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN k ON k.lang = b.lang AND k.m > len(b.words) AND k.f >= b.a AND contains(' ' || {part("k.words")} || ' ', ' ' || b.phrase || ' '))
     SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM b ANTI JOIN d USING (lang, phrase)
-    QUALIFY rank <= {first} WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)"""
+    WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= {first}"""
 
 
 def audit_sql(filters: str = "ABCDE") -> str:
