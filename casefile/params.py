@@ -52,8 +52,27 @@ SOFTWARE_PENALTIES = (
     ("smallpdf", 25), ("sejda", 25), ("pdf24", 15), ("sodapdf", 15), ("pdf candy", 25),
 )
 
-# Fixed values of name extraction: titles, words of kin, speech and firms, given names, and what is no name.
+# Fixed values of name extraction: what a rule's names are (category, role, confidence), titles, words of kin, speech and firms, given names, and what is no name.
 HONORIFICS = ("Shri", "Smt", "Mr.", "Mrs.", "Ms.", "Dr.", "Thiru", "Tmt", "Selvi", "Er.", "Adv.", "Prof.")
+NAME_RULES = (
+    ("PERSON", "Identified Individual", 0.90), ("PERSON", "Patronymic Name", 0.88), ("KINSHIP", "Kinship / Associated Person", 0.92), ("ORGANIZATION", "Commercial Counterparty", 0.95),
+    ("CONVERSATION", "Directly Mentioned Party", 0.85), ("PARTNER", "Contract Signatory", 0.95), ("PERSON", "Identified Indian Name", 0.80), ("DIGITAL_ID", "Financial Identifier", 0.95),
+    ("DIGITAL_ID", "Contact Identifier", 0.90),
+)
+RAISED, RAISED_HIGH = ("KINSHIP", "CONVERSATION", "DIGITAL_ID"), ("KINSHIP", "CONVERSATION")
+RAISED_DOCUMENT = ("PARTNER", "RELATED_PARTY")
+PERSON_CONFIDENCE = 0.95
+SPEAKER, CHAT_PARTNER = ("SPEAKER", "Recorded Speaker", 75, "ent_spk_"), ("CHAT_PARTNER", "Conversation Partner", 80, "ent_chat_")
+AUTHOR, COMPANY = ("PERSON", "Author", 0.88), ("COMPANY", "Corporate Entity", 0.85)
+LISTED_FILE_ENDS = ("pdf", "docx", "doc", "xlsx", "xls", "csv", "txt", "json", "png", "jpg", "jpeg", "wav", "mp3")
+SPEAKER_BRACKETS, NO_SPEAKER = r"\(([^)]+)\)", r"(?i)^speaker(?: .*|\d*)$"
+SHORT_TITLES = ("Shri", "Smt", "Mr.", "Mrs.")
+TITLES = ("M/s", "M/s.", "Messrs", "Messrs.", *HONORIFICS)
+PERSON_STARTS, NAME_ENDS = ("aged", "resident", "son", "wife", "w/o", "s/o"), ("for", "and", "entered")
+PARTY_STARTS, PARTY_BRACKETS = ("aged", "resident", "son", "wife"), ("aadhar", "hereinafter")
+LEAD_INS = ("called regarding", "regarding", "about", "with", "for", "at", "spoke to", "talk to")
+FIRM_LEADS = ("Also", "The", "This", "Whereas", "Where", "Messrs", "M/s", "M/s.", "Called regarding", "Regarding", "For", "About", "With")
+SPEECH_LEADS = ("about", "regarding")
 KIN_WORDS = (
     "wife of", "w/o of", "w/o", "husband of", "son of", "s/o of", "s/o", "daughter of", "d/o of", "d/o", "father of", "mother of", "spouse of",
     "nominee is", "nominee",

@@ -385,65 +385,9 @@ def test_alerts_by_hand(spark):
     assert {tuple(r) for r in graph.raised_risk(who, links, found).collect()} == {(1, 95), (2, 60), (3, 99)}
 
 
-def names_by_hand(text, keywords=(), profiles=()):
-    """Names of one text with Python's patterns and lists, one after the other."""
-    import re
-
-    from casefile import params
-
-    def clean(t):
-        t = re.sub(r"^[^\w]+|[^\w]+$", "", " ".join(t.split()))
-        t = re.sub(r"(?i)^(?:M/s\.?|Messrs\.?|" + entities.HONORIFICS + r")\s+", "", t)
-        t = re.sub(r"(?i)^(?:called\s+regarding|regarding|about|with|for|at|spoke\s+to|talk\s+to)\s+", "", t)
-        t = re.sub(r"(?i)\s+(?:Spouse|Nominee|Wife|Son|Daughter|Father|Mother)$", "", t)
-        return " ".join(re.sub(r"(?i)^s\s+", "", t).split())
-
-    def fits(t):
-        u, bare = t.upper(), re.sub(r"[ .-]", "", t)
-        ends = any(u == w or u.startswith(w + " ") or u.endswith(" " + w) for w in (*params.NO_NAMES, *params.PLACE_WORDS))
-        mobile = re.fullmatch(r"[6-9]\d{9}", re.sub(r"[ -]", "", t))
-        return 3 <= len(t) <= 60 and not ends and not re.search(r"(?i)\.(pdf|docx?|xlsx?|csv|txt|json|png|jpe?g|wav|mp3|eml|msg)$", t) and not u.startswith("UNKNOWN") and not (bare.isdigit() and not mobile)
-
-    found = []
-    for i, (pattern, group, category, role, sure) in enumerate(entities.families()):
-        for m in re.finditer(pattern, text):
-            raw = m.group(group)
-            if i == entities.LISTED and raw.lower() not in params.GIVEN_NAMES:
-                continue
-            if i == entities.FIRM:
-                raw = re.sub(r"(?i)^(?:Also|The|This|Whereas|Where|Messrs|M/s\.?|Called\s+regarding|Regarding|For|About|With)\s+", "", raw)
-            found.append((raw, category, role, sure))
-    found += [(p, "AUDITEE", "Target Auditee / Custodian", 0.98) for p in profiles if re.search(rf"(?i)\b{re.escape(p)}\b", text)]
-    by = {}
-    for raw, category, role, sure in found:
-        t = clean(raw)
-        if not fits(t):
-            continue
-        e = by.setdefault(t.lower(), {"name": t, "n": 0, "sure": 0})
-        e["n"] += 1
-        if sure > e["sure"]:
-            e.update(sure=sure, category=category, role=role)
-    for k in [k for k in by if " " not in k]:
-        into = next((o for o in by if o != k and k in o.replace(".", " ").split()), None)
-        if into:
-            by[into]["n"] += by.pop(k)["n"]
-    order = sorted(by.items(), key=lambda x: (-x[1]["n"], -x[1]["sure"], x[1]["name"]))
-    return [(i + 1, e["name"], e["category"], e["role"], e["sure"], e["n"], k in keywords) for i, (k, e) in enumerate(order)]
-
-
-def test_names_equal_brute_force(spark):
-    got = {}
-    for r in registry_graph.entity_names(spark, SF).collect():
-        got.setdefault(r.doc_id, []).append((r.place, r.name, r.category, r.role, r.confidence, r.mentions, r.known))
-    texts = {r.doc_id: r.said for r in registry_graph.sentences(spark, SF).collect()}
-    want = {i: names_by_hand(t, ("maharajan",), ("Suresh", "ARR Enterprises")) for i, t in texts.items()}
-    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
-    assert len({x[2] for v in got.values() for x in v}) >= 6
-
-
 def test_names_with_speakers_and_pages(spark):
     df = spark.createDataFrame([("d", 1, "Mr. Ravi, came", ["Anita Rao"]), ("d", 2, "again Mr. Ravi, spoke", None), ("e", 1, None, None), ("e", 2, "", [])], "doc string, page int, t string, who array<string>")
-    got = entities.names_of(df.filter("page = 1"), "doc", "t", extra=[(F.col("who"), "PERSON", "Speaker", 0.95)]).collect()
+    got = entities.names_of(df.filter("page = 1"), "doc", "t", extra=[entities.Known(F.col("who"), "PERSON", "Speaker", 0.95)]).collect()
     assert {(r.doc, r.name, r.role, r.confidence) for r in got} == {("d", "Ravi", "Identified Individual", 0.9), ("d", "Anita Rao", "Speaker", 0.95)}
     assert [(r.doc, r.name, r.mentions, list(r.pages)) for r in entities.citations(df, "doc", "page", "t").collect()] == [("d", "Ravi", 2, [1, 2])]
 
