@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from casefile import params
 from casefile.functions.text import canonical_name
+from casefile.operators.lexicon import Lexicon, hits, small_list
 
 WORD, BLANKS, LETTERS, DIGITS = re.compile(r"\w+"), re.compile(r"\s*"), re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]+")
 #: A run of letters and full stops; one of letters, digits and "&"; one of either letters and full stops or blanks.
@@ -274,6 +275,16 @@ def address(text: str, sign: int, free: int) -> tuple[str, int]:
     return "", -1
 
 
+@cache
+def telling() -> re.Pattern[str]:
+    """Words that a rule may start at: capitalised, of speech or kin, ending in a digit, or before the @ of an address."""
+    speech = "|".join({p[0].lower() + p[1:].split(" ")[0] for p in params.SPEECH_WORDS})
+    kin_words = {WORD.match(p)[0] for p in params.KIN_WORDS}
+    slashed = "".join(w + w.upper() for w in kin_words if len(w) == 1)
+    ends = "|".join(f"(?<={w}|{w[0].upper()}{w[1:]})" for w in sorted(kin_words) if len(w) > 1)
+    return re.compile(rf"(?<!\w)(?:[A-Z]\w*+|(?:{speech})(?!\w)|\w++(?:(?<=[0-9])|(?=@|[-.][^@\s]{{0,{MOST_ADDRESS}}}@)|(?<=[{slashed}])(?=/)|{ends}))")
+
+
 def in_order(text: str) -> Iterator[tuple[int, Found]]:
     """(rule, candidate) as the words of a text come; a rule's own candidates do not overlap."""
     titles, kins, speech, names = phrases(params.HONORIFICS), phrases(params.KIN_WORDS), phrases(params.SPEECH_WORDS), frozenset(params.GIVEN_NAMES)
@@ -284,7 +295,7 @@ def in_order(text: str) -> Iterator[tuple[int, Found]]:
             free[rule] = end
             yield rule, Found(name, *params.NAME_RULES[rule])
 
-    for m in WORD.finditer(text):
+    for m in telling().finditer(text):
         word, at, end = m[0], m.start(), m.end()
         if is_capital(word[0]):
             for title in titles.get(word, ()):
@@ -436,6 +447,10 @@ class Known(NamedTuple):
     confidence: float
 
 
+#: A profile whose whole name stands in the text.
+AUDITEE = Known(None, "AUDITEE", "Target Auditee / Custodian", 0.98)
+
+
 def risk_of(category: str) -> tuple[int, str]:
     return (85 if category in params.RAISED else 70), ("HIGH" if category in params.RAISED_HIGH else "MEDIUM")
 
@@ -466,17 +481,25 @@ def names_of(
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(k.names.alias(f"k{i}") for i, k in enumerate(extra)))
     listed = list(extra)
+    listed_names = None
     if profiles is not None:
-        met = profiled(docs, id_col, text, profiles)
-        rows = rows.join(met, F.col("id") == F.col("p_id"), "left").drop("p_id")
-        listed.append(Known(F.lit(None), "AUDITEE", "Target Auditee / Custodian", 0.98))
+        cleaned = F.udf(lambda raw: None if raw is None else clean(raw), T.StringType())
+        names = profiles.select(cleaned("name").alias("name")).filter("length(name) >= 3").distinct()
+        listed_names = small_list(names, "name")
+        if listed_names is None:
+            met = hits(rows.select("id", "text"), names).groupBy(F.col("id").alias("p_id")).agg(F.array_sort(F.collect_set("name")).alias("p_names"))
+            rows = rows.join(met, F.col("id").eqNullSafe(F.col("p_id")), "left").drop("p_id")
+            listed.append(AUDITEE)
     plain = [k._replace(names=None) for k in listed]  # columns stay on the driver
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(listed_names) if listed_names is not None else None
         for batch in batches:
             ids, columns = [], [[] for _ in FIELDS]
             for i in range(batch.num_rows):
                 given = [(k, batch.column(2 + j)[i].as_py()) for j, k in enumerate(plain)]
+                if lexicon is not None:
+                    given.append((AUDITEE, sorted({name for _, name in lexicon.hits(batch.column(1)[i].as_py())})))
                 for row in entities_of(batch.column(1)[i].as_py(), given):
                     ids.append(i)
                     for values, value in zip(columns, row, strict=True):
@@ -493,20 +516,6 @@ def names_of(
     return out.select(F.col("id").alias(id_col), *(n for n, _, _ in FIELDS), known.alias("known"))
 
 
-def profiled(docs: DataFrame, id_col: str, text: str, profiles: DataFrame) -> DataFrame:
-    """(p_id, names): profiles whose whole name stands in a text; names are met over their first word, not text by text."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    cleaned = F.udf(lambda raw: None if raw is None else clean(raw), T.StringType())
-    names = profiles.select(cleaned("name").alias("p_name")).distinct().filter(F.length("p_name") >= 3)
-    names = names.withColumn("p_word", F.try_element_at(words(F.col("p_name")), F.lit(1))).filter("p_word is not null")
-    seen = docs.select(F.col(id_col).alias("w_id"), F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
-    may = seen.join(names, F.col("word") == F.col("p_word")).select("w_id", "p_name").distinct()
-    said = docs.select(F.col(id_col).alias("p_id"), F.col(text).alias("said")).join(may, F.col("p_id") == F.col("w_id"))
-    quoted = F.concat(F.lit(r"(?i)\b\Q"), F.col("p_name"), F.lit(r"\E\b"))
-    met = said.filter(F.regexp_like("said", quoted))
-    return met.groupBy("p_id").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
-
-
 def citations(pages: DataFrame, doc: str, page: str, text: str, **known: DataFrame) -> DataFrame:
     """The names of documents with the pages that they stand on: doc, name, category, mentions, pages (sorted)."""
     rows = pages.select(F.struct(doc, page).alias("at"), F.col(text).alias("said"))

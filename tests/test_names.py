@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casefile import params
-from casefile.operators import entities, mentions
+from casefile.operators import entities, lexicon, mentions
 
 PERSON, PATRONYMIC, KIN, FIRM, SPOKEN, PARTNER, LISTED, PAID, PHONE = (r[1] for r in params.NAME_RULES)
 
@@ -91,3 +91,12 @@ def test_profiles_and_odd_rows(spark):
     got = sorted(((r["i"], r["name"], r["category"], r["known"]) for r in entities.names_of(rows, "i", "t", keywords=spark.createDataFrame([("MIRA",), (None,)], "name string"), profiles=spark.createDataFrame([("Mr. Orwin Baxley",), ("xy",), (None,)], "name string")).collect()), key=repr)
     assert ("AUDITEE" in {g[2] for g in got}) and (1, "Orwin Baxley", "AUDITEE", False) in got and (1, "Mira", "CONVERSATION", True) in got and (None, "Mira", "CONVERSATION", True) in got
     assert rows.select(mentions.file_words(F.lit("a_b-c.PDF")).alias("w")).first().w == "a b c"
+
+
+def test_listed_names_either_way(spark):
+    rows = spark.createDataFrame([(1, "Orwin Baxley, orwin baxley; Orwin Baxleys x.y."), (1, "Baxley"), (2, None), (None, "(MIRA) mira_ Mira"), (3, "")], "id int, text string").selectExpr("*", "1 AS name", "2 AS word")
+    names = spark.createDataFrame([("Orwin Baxley",), ("Baxley",), ("Mira",), ("Mira",), (None,), ("x.y.",), ("(x",)], "name string")
+    want = {(1, "Orwin Baxley", 2, 0), (1, "Baxley", 2, 6), (1, "Baxley", 1, 0), (None, "Mira", 2, 1), (1, "x.y.", 1, 42)}
+    for most in (lexicon.MOST_LETTERS, 0):
+        assert {tuple(r) for r in lexicon.hits(rows, names, most).collect()} == want
+    assert lexicon.hits(rows, names.limit(0)).count() == 0
