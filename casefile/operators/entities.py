@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from casefile import params
 from casefile.functions.text import canonical_name
 from casefile.operators.lexicon import Lexicon, hits, small_list
+from casefile.session import spread
 
 WORD, BLANKS, LETTERS, DIGITS = re.compile(r"\w+"), re.compile(r"\s*"), re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]+")
 #: A run of letters and full stops; one of letters, digits and "&"; one of either letters and full stops or blanks.
@@ -508,7 +509,7 @@ def names_of(
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *arrays], ["id", *(n for n, _, _ in FIELDS)])
 
     schema = T.StructType([rows.schema["id"], *(T._parse_datatype_string(f"{n} {kind}")[0] for n, kind, _ in FIELDS)])
-    out = rows.mapInArrow(read, schema)
+    out = spread(rows).mapInArrow(read, schema)
     known = F.lit(False)
     if keywords is not None:
         marks = keywords.select(F.lower(F.trim("name")).alias("k")).distinct().withColumn("hit", F.lit(True))

@@ -58,14 +58,17 @@ def transcript_files(spark, d):
     return lines.parse_transcript(files, ["conv_id"]).select("conv_id", "seq", "starts", "ends", "speaker", "text")
 
 
-@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, role AS sender, 'said ' || turn AS text FROM conversations")
+@query(
+    """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS seq, role AS sender, 'said ' || turn AS text, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE conv_id % 7 <> 3
+    UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, 'Expecting value at character 0' FROM conversations WHERE conv_id % 7 = 3"""
+)
 def chat_json(spark, d):
     t = F.col("turn")
-    message = F.to_json(F.struct(F.when(t % 2 == 0, F.col("role")).alias("from"), F.when(t % 2 == 1, F.col("role")).alias("sender_name"), F.concat(F.lit("said "), t.cast("string")).alias("message")))
+    message = F.to_json(F.struct(F.when(t % 2 == 0, F.col("role")).alias("from"), F.when(t % 2 == 1, F.col("role")).alias("sender_name"), F.when(t % 3 == 0, F.to_json(F.array(F.lit("said "), t.cast("string")))).otherwise(F.concat(F.lit("said "), t.cast("string"))).alias("message")))
     files = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("ms"))
     listed = F.concat(F.lit("["), F.array_join(F.transform("ms", lambda x: x["m"]), ","), F.lit("]"))
-    files = files.select("conv_id", F.when(F.size("ms") % 2 == 0, listed).otherwise(F.concat(F.lit('{"messages": '), listed, F.lit("}"))).alias("body"))
-    return lines.parse_chat_json(files, ["conv_id"]).select("conv_id", "seq", "sender", "text")
+    files = files.select("conv_id", F.when(F.col("conv_id") % 7 == 3, F.concat(F.lit("broken "), listed)).when(F.size("ms") % 2 == 0, listed).otherwise(F.concat(F.lit('{"messages": '), listed, F.lit("}"))).alias("body"))
+    return lines.parse_chat_json(files, ["conv_id"]).select("conv_id", "seq", "sender", "text", "error")
 
 
 @query("SELECT row_number() OVER (ORDER BY n_nationkey) AS pos, 'Word ' || n_name AS keyword FROM nation")

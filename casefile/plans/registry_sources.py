@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from casefile.plans import views
 from casefile.plans.registry import query
 from casefile.session import put, table, work_dir
-from casefile.sources import ledger, lines, office, scan, tables
+from casefile.sources import images, ledger, lines, office, scan, tables
 
 KEYWORDS = ("secret", "audit")
 
 
-def zipped(members: dict[str, str]) -> bytes:
+def zipped(members: dict[str, str | bytes]) -> bytes:
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
         for name, text in members.items():
@@ -23,6 +23,22 @@ def zipped(members: dict[str, str]) -> bytes:
     return data.getvalue()
 
 
+def pdf_file(texts: list[str], info: dict[str, str] | None = None) -> bytes:
+    """A PDF with a page per text, objects in the reverse order of the pages, and document information."""
+    pages = [4 + 2 * i for i in range(len(texts))]
+    bodies = {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Count {len(texts)} /Kids [{' '.join(f'{p} 0 R' for p in pages)}] >>"}
+    bodies[3] = "<< " + " ".join(f"/{k} ({v})" for k, v in (info or {}).items()) + " >>"
+    for page, text in zip(reversed(pages), reversed(texts), strict=True):
+        shown = f"BT ({text}) Tj ET"
+        bodies |= {page: f"<< /Type /Page /Parent 2 0 R /Contents {page + 1} 0 R >>", page + 1: f"<< /Length {len(shown.encode())} >>\nstream\n{shown}\nendstream"}
+    out, places = b"%PDF-1.4\n", {}
+    for number, body in bodies.items():
+        places[number] = len(out)
+        out += f"{number} 0 obj\n{body}\nendobj\n".encode()
+    table = "".join(f"{places[n]:010d} 00000 n \n" for n in sorted(places))
+    return out + f"xref\n0 {len(places) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(places) + 1} /Root 1 0 R /Info 3 0 R >>\nstartxref\n{len(out)}\n%%EOF".encode()
+
+
 def evidence_file(k: int, name: str) -> tuple[str, bytes]:
     """A file of one of five kinds about a nation."""
     if k % 5 == 0:
@@ -32,7 +48,7 @@ def evidence_file(k: int, name: str) -> tuple[str, bytes]:
     if k % 5 == 2:
         return f"b{k}.zip", zipped({f"m{k}.txt": f"secret of {name}", f"audit{k}.csv": "x"})
     if k % 5 == 3:
-        return f"c{k}.pdf", b"%PDF-1.4\n" + b"".join(f"stream\nBT ({t}) Tj ET\nendstream\n".encode() for t in ("first", f"audit \\({name}\\)"))
+        return f"c{k}.pdf", pdf_file(["first", f"audit \\({name}\\)"])
     return f"d{k}.docx", zipped({"word/document.xml": f"<w:document><w:p><w:t>the</w:t> <w:t>secret {name}</w:t></w:p></w:document>"})
 
 
@@ -43,7 +59,8 @@ def evidence_file(k: int, name: str) -> tuple[str, bytes]:
     UNION ALL SELECT 'b' || k || '.zip', 'm' || k || '.txt', 'secret', 'ZIP_CONTENT', 1, 'secret of ' || name FROM n WHERE k % 5 = 2
     UNION ALL SELECT 'b' || k || '.zip', 'audit' || k || '.csv', 'audit', 'ZIP_NAME', 0, NULL FROM n WHERE k % 5 = 2
     UNION ALL SELECT 'c' || k || '.pdf', '', 'audit', 'PDF_CONTENT', 2, 'audit (' || name || ')' FROM n WHERE k % 5 = 3
-    UNION ALL SELECT 'd' || k || '.docx', '', 'secret', 'DOCX_CONTENT', 1, 'the secret ' || name FROM n WHERE k % 5 = 4"""
+    UNION ALL SELECT 'd' || k || '.docx', '', 'secret', 'DOCX_CONTENT', 1, 'the secret ' || name FROM n WHERE k % 5 = 4
+    UNION ALL SELECT 'e.zip', 'z.zip -> z.zip -> z.zip -> z.zip -> m.txt', 'audit', 'ZIP_CONTENT', 1, 'an audit' UNION ALL SELECT 'broken.zip', '', NULL, 'ERROR', 0, 'BadZipFile: File is not a zip file'"""
 )
 def scan_folder(spark, d):
     folder = work_dir(spark, "scan")
@@ -52,10 +69,50 @@ def scan_folder(spark, d):
         put(spark, f"{folder}/{name}", data)
         put(spark, f"{folder}/node_modules/{name}", data)
         put(spark, f"{folder}/{name}.tmp", data)
+    deep = zipped({"m.txt": "an audit"})
+    for _ in range(4):
+        deep = zipped({"z.zip": deep})
+    put(spark, f"{folder}/e.zip", deep)
+    put(spark, f"{folder}/broken.zip", b"PK\x03\x04 no archive")
     found = scan.hits(scan.walk(spark, folder, segments=["node_modules"], extensions=[".tmp"]), KEYWORDS)
     return found.select(F.substring_index("path", "/", -1).alias("file"), "member", "keyword", "match_type", "page", "snippet")
 
 
+def small_pdf(d_text, author, stamp):
+    """A PDF without a cross-reference, as a column."""
+    c = lambda x: F.lit(x) if isinstance(x, str) else x
+    parts = ("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Type/Pages/Kids[3 0 R 6 0 R]/Count 2>> endobj 3 0 obj <</Type/Page/Contents 4 0 R>> endobj 4 0 obj <<>> stream\nBT (", d_text, ") Tj ET\nendstream endobj ",
+             "6 0 obj <</Type/Page>> endobj trailer <</Root 1 0 R/Info 5 0 R>> 5 0 obj <</Author (", author, ")/Producer (Photoshop)/CreationDate (D:", stamp, ")>> endobj %%EOF")
+    return F.concat(*map(c, parts)).cast("binary")
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'PDF' END AS kind, CASE WHEN c_custkey % 5 <> 0 THEN 'Auth ' || c_custkey END AS author, CASE WHEN c_custkey % 5 <> 0 THEN 'Photoshop' END AS software,
+    CASE WHEN c_custkey % 5 <> 0 THEN '2024-01-' || (10 + c_custkey % 20) || ' 10:00:00' END AS created, CASE WHEN c_custkey % 5 <> 0 THEN 2 END AS pages, c_custkey % 5 = 0 AS broken, CASE WHEN c_custkey % 5 <> 0 THEN 'page of ' || c_name END AS said FROM customer"""
+)
+def document_properties(spark, d):
+    k = F.col("c_custkey")
+    stamp = F.concat(F.lit("202401"), (10 + k % 20).cast("string"), F.lit("100000"))
+    content = F.when(k % 5 == 0, F.lit("%PDF-1.4 nothing").cast("binary")).otherwise(small_pdf(F.concat(F.lit("page of "), "c_name"), F.concat(F.lit("Auth "), k.cast("string")), stamp))
+    files = table(spark, d, "customer").select(k.cast("string").alias("path"), content.alias("content"))
+    texts = scan.pages(files).filter("error is null and page = 1 and kind = 'PDF'").select(F.col("path").alias("t_path"), F.when(F.col("text").startswith("page of"), F.col("text")).alias("said"))
+    found = office.properties(files).join(texts, F.col("path") == F.col("t_path"), "left")
+    return found.select(F.col("path").cast("bigint").alias("c_custkey"), "kind", "author", "software", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"), "pages", F.col("error").isNotNull().alias("broken"), "said")
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN 'TIFF' END AS kind, CASE WHEN c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'GIMP' ELSE 'cam-' END || right('0000' || c_custkey % 10000, 4) END AS software,
+    CASE WHEN c_custkey % 7 <> 0 THEN 1 + c_custkey % 8 END AS orientation, c_custkey % 7 <> 0 AND c_custkey % 2 = 0 AS edited, CASE WHEN c_custkey % 7 = 0 THEN 'a directory at byte 8 of 8' END AS error FROM customer"""
+)
+def image_properties(spark, d):
+    k = F.col("c_custkey")
+    software = F.concat(F.when(k % 2 == 0, "GIMP").otherwise("cam-"), F.lpad((k % 10000).cast("string"), 4, "0"))
+    head = F.lit("49492A0008000000")
+    entries = F.concat(F.lit("0200" "31010200" "09000000" "26000000" "12010300" "01000000"), F.lpad(F.hex(1 + k % 8), 2, "0"), F.lit("000000" "00000000"), F.hex(software), F.lit("00"))
+    files = table(spark, d, "customer").select(k.cast("string").alias("path"), F.unhex(F.when(k % 7 == 0, head).otherwise(F.concat(head, entries))).alias("content"))
+    return images.properties(files).select(F.col("path").cast("bigint").alias("c_custkey"), "kind", "software", "orientation", "edited", "error")
+
+
 @query(
     """WITH l AS (SELECT doc_id, n, said FROM (SELECT doc_id, unnest(w) AS said, unnest(range(1, len(w) + 1)) AS n FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN 'Nominee: Ravi Kumar, aged' ELSE 'nothing' END || chr(10) || text, chr(10)) AS w FROM documents)))
     SELECT doc_id, CAST(n AS INTEGER) AS line, keyword, 85 AS risk FROM (SELECT *, CASE WHEN said LIKE 'Nominee: Ravi%' THEN 'Ravi Kumar' WHEN contains(lower(said), 'license') THEN 'license' WHEN contains(lower(said), 'the') THEN 'the' END AS keyword FROM l) WHERE keyword IS NOT NULL"""
@@ -124,13 +181,25 @@ def statement_csv(spark, d):
     return got.select(F.col("reference").cast("bigint").alias("txn_id"), F.date_format("txn_date", "yyyy-MM-dd").alias("day"), "narration", F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"), "party")
 
 
-@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, role AS sender, 'said ' || turn || chr(10) || 'and more' AS text FROM conversations")
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, make_timestamp(2024, 1, 5, CAST(turn % 24 AS INTEGER), 15, 0.0) AS sent_at, role AS sender, 'said ' || turn || chr(10) || 'and more' AS text FROM conversations")
 def chat_export(spark, d):
     t = F.col("turn").cast("string")
-    line = F.concat(F.lit("05/01/2024, 10:15 - "), "role", F.lit(": said "), t, F.lit("\nand more"))
+    line = F.concat(F.lit("05/01/2024, "), (F.col("turn") % 24).cast("string"), F.lit(":15 - "), "role", F.lit(": said "), t, F.lit("\nand more"))
     files = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("ls"))
     files = files.select("conv_id", F.concat(F.lit("header to skip\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("body"))
-    return lines.parse_chat(files, ["conv_id"]).select("conv_id", "seq", "sender", "text")
+    return lines.parse_chat(files, ["conv_id"]).select("conv_id", "seq", "sent_at", "sender", "text")
+
+
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, role AS sender, 'said ' || turn || chr(10) || 'and more' AS text FROM conversations")
+def chat_files(spark, d):
+    """Export files that are read in byte ranges."""
+    t = F.col("turn")
+    said = F.concat(F.lit("05/01/2024, 10:15 - "), "role", F.lit(": said "), t.cast("string"), F.lit("\nand more"))
+    path = work_dir(spark, "chat-files")
+    rows = table(spark, d, "conversations").select("conv_id", said.alias("value"), t.alias("t"))
+    rows.repartition("conv_id").sortWithinPartitions("conv_id", "t").select("conv_id", "value").write.partitionBy("conv_id").text(path)
+    got = lines.read_chat(spark, path)
+    return got.select(F.regexp_extract("path", "conv_id=(-?[0-9]+)", 1).cast("bigint").alias("conv_id"), "seq", "sender", "text")
 
 
 def workbook(sheets: dict[str, list[list[str]]]) -> bytes:

@@ -1,11 +1,14 @@
 """Line-oriented evidence: chat exports, transcripts, statement text. All of it by line numbers and windows in the JVM.
 
-Files are read whole per row (``wholetext``), split to numbered lines and stitched back by a running count of the
-lines that start a record, so a record may span lines and no order of partitions is assumed.
+Files of any size are read in byte ranges (``read_lines``): Spark's text reader cuts them, a range being a block with lines
+in order. Texts that are a column already are numbered in blocks of lines (``numbered``). Windows work within a block;
+what goes on across block ends, running counts and the line that follows, comes from a table with one row per block.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +22,47 @@ SYSTEM = r"(?i)(end-to-end encrypted|created group|added|left$|changed the subje
 MEDIA = (("IMAGE", r"(?i)<media omitted>|image omitted|\.(jpg|jpeg|png)\b"), ("AUDIO", r"(?i)audio omitted|\.(opus|mp3|m4a)\b"), ("VIDEO", r"(?i)video omitted|\.mp4\b"), ("DOCUMENT", r"(?i)document omitted|\.(pdf|docx|xlsx)\b"))
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, body) of text files."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+#: Lines of a text in a column that are ordered together.
+BLOCK_LINES = 1 << 14
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, block, n, line of text files in byte ranges of ``spark.sql.files.maxPartitionBytes``.
+
+    block is where a range begins, n orders its lines. A line that crosses the end of a range belongs to the one that it begins in.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    line = F.regexp_replace("value", "^\uFEFF|\r$", "")
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), line.alias("line"))
 
 
 def numbered(files: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
-    """keys, n, line."""
-    return files.select(*keys, F.posexplode(F.split(body, r"\r?\n")).alias("n", "line"))
+    """keys, block, n, line of texts in a column."""
+    lines = files.select(*keys, F.posexplode(F.split(body, r"\r?\n")).alias("n", "line"))
+    return lines.select(*keys, F.floor(F.col("n") / BLOCK_LINES).cast("long").alias("block"), F.col("n").cast("long").alias("n"), "line")
+
+
+def across_blocks(lines: DataFrame, keys: list[str], *counted: Column) -> DataFrame:
+    """``lines`` with counts and a look ahead: c0, c1, ... (rows so far, this one included, for which each of ``counted`` holds) and next, the line that follows.
+
+    Windows are within blocks; blocks are put together by a row each.
+    """
+    within = Window.partitionBy(*keys, "block").orderBy("n")
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    hits = [F.coalesce(c, F.lit(False)).cast("long") for c in counted]
+    names = [f"c{i}" for i in range(len(hits))]
+    rows = lines.withColumns({f"_{c}": F.sum(h).over(so_far) for c, h in zip(names, hits, strict=True)} | {"_next": F.lead("line").over(within)})
+    totals = lines.groupBy(*keys, "block").agg(*(F.sum(h).alias(f"_t{c}") for c, h in zip(names, hits, strict=True)), F.min_by("line", "n").alias("_first"))
+    ordered = Window.partitionBy(*keys).orderBy("block")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    ends = totals.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("block").alias("_block"), *(F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_b{c}") for c in names), F.lead("_first").over(ordered).alias("_after")
+    )
+    same = F.col("block") == F.col("_block")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.join(ends, same)
+    return rows.select(*lines.columns, *((F.col(f"_{c}") + F.col(f"_b{c}")).alias(c) for c in names), F.coalesce("_next", "_after").alias("next"))
 
 
 def first_time(text: Column, formats: list[str]) -> Column:
@@ -34,19 +70,31 @@ def first_time(text: Column, formats: list[str]) -> Column:
 
 
 def records(lines: DataFrame, keys: list[str], starts: Column) -> DataFrame:
-    """keys, rec, n (its first line), text: lines joined to the record that they belong to; those before the first go."""
-    w = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("rec", F.sum(starts.cast("int")).over(w)).filter("rec > 0")
-    joined = rows.groupBy(*keys, "rec").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("_l"))
-    return joined.select(*keys, "rec", "n", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
+    """keys, rec (from 1), text: lines joined to the record that they belong to, across blocks too; those before the first go.
+
+    A record is one row, so it has to fit one.
+    """
+    rows = across_blocks(lines, keys, starts).filter("c0 > 0")
+    joined = rows.groupBy(*keys, F.col("c0").alias("rec")).agg(F.array_sort(F.collect_list(F.struct("block", "n", "line"))).alias("_l"))
+    return joined.select(*keys, "rec", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
 
 
 def parse_chat(files: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """``chat_messages`` of exports in a column."""
+    return chat_messages(numbered(files, keys, body), keys)
+
+
+def read_chat(spark: SparkSession, path: str) -> DataFrame:
+    """``chat_messages`` of export files of any size, by path."""
+    return chat_messages(read_lines(spark, path), ["path"])
+
+
+def chat_messages(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Messages of a chat export: keys, seq, sent_at (null if no format fits), sender, text, kind, media, deleted.
 
     A line that starts with date and time begins a message; other lines go on with the one before.
     """
-    recs = records(numbered(files, keys, body), keys, F.col("line").rlike(CHAT_START))
+    recs = records(lines, keys, F.col("line").rlike(CHAT_START))
     head = r"(?s)" + CHAT_START
     rest = F.regexp_extract("text", head, 3)
     stamp = F.concat_ws(" ", F.regexp_extract("text", head, 1), F.upper(F.regexp_replace(F.regexp_extract("text", head, 2), r"\s+", " ")))
@@ -57,21 +105,48 @@ def parse_chat(files: DataFrame, keys: list[str], body: str = "body") -> DataFra
     for name, pattern in reversed(MEDIA):
         media = F.when(said.rlike(pattern), name).otherwise(media)
     return recs.select(
-        *keys, F.row_number().over(Window.partitionBy(*keys).orderBy("rec")).alias("seq"), first_time(stamp, [f"{d} {t}" for d in DATES for t in TIMES]).alias("sent_at"),
+        *keys, F.col("rec").cast("int").alias("seq"), first_time(stamp, [f"{d} {t}" for d in DATES for t in TIMES]).alias("sent_at"),
         sender.alias("sender"), F.trim(said).alias("text"), F.when(named, "USER").otherwise("SYSTEM").alias("kind"), media.alias("media"),
         said.rlike(r"(?i)(this message was deleted|you deleted this message)").alias("deleted"),
     )
 
 
+def why_broken(body: str) -> str:
+    """What is wrong with a JSON text, and where."""
+    try:
+        found = json.loads(body)
+    except json.JSONDecodeError as e:
+        return f"{e.msg} at character {e.pos}"
+    except RecursionError:
+        return "nested too deeply"
+    return "no list of messages" if not isinstance(found, dict) or not isinstance(found.get("messages"), list) else "messages of another shape"
+
+
 def parse_chat_json(files: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
-    """Messages of a JSON export, a list or an object with messages; several spellings of each field."""
-    item = "array<struct<sender:string,sender_name:string,from:string,text:string,message_text:string,message:string,sent_at:string,timestamp:string,date:string>>"
-    listed = F.when(F.ltrim(body).startswith("["), F.from_json(body, item)).otherwise(F.from_json(body, f"struct<messages:{item}>")["messages"])
-    rows = files.select(*keys, F.posexplode(listed).alias("seq", "m"))
-    pick = lambda *names: F.coalesce(*[F.nullif(F.col(f"m.`{n}`"), F.lit("")) for n in names])
+    """Messages of a JSON export, a list or an object with messages; several spellings of each field: keys, seq, sent_at, sender, text, error.
+
+    A text given in parts (a list of strings and of objects with a text) is joined. A body that is no such export gives one row with
+    ``error``, which says where it broke, and no seq; a null or blank body is an empty export.
+    """
+    names = ("sender", "sender_name", "from", "sent_at", "timestamp", "date")
+    item = "array<struct<" + ", ".join(f"`{n}`: string" for n in (*names, "text", "message_text", "message")) + ">>"
+    is_list = F.ltrim(body).startswith("[")
+    listed = F.when(is_list, F.from_json(body, item)).otherwise(F.from_json(body, f"struct<messages: {item}>")["messages"])
+    blank = F.coalesce(F.trim(body), F.lit("")) == ""
+    good = F.when(~blank & F.try_parse_json(body).isNotNull(), listed)
+    rows = files.select(*keys, good.alias("_m"), F.when(~blank & good.isNull(), F.col(body)).alias("_broken"))
+    said = rows.select(*keys, F.posexplode("_m").alias("seq", "m"))
+    pick = lambda *found: F.coalesce(*[F.nullif(F.col(f"m.`{n}`"), F.lit("")) for n in found])
     when = pick("sent_at", "timestamp", "date")
-    epoch = F.when(when.rlike(r"^\d{9,11}$"), F.timestamp_seconds(F.expr("try_cast(coalesce(m.sent_at, m.timestamp, m.`date`) as bigint)")))
-    return rows.select(*keys, (F.col("seq") + 1).alias("seq"), F.coalesce(epoch, F.try_to_timestamp(when)).alias("sent_at"), pick("sender", "sender_name", "from").alias("sender"), F.coalesce(pick("text", "message_text", "message"), F.lit("")).alias("text"))
+    epoch = F.when(when.rlike(r"^\d{9,11}$"), F.timestamp_seconds(when.try_cast("bigint")))
+    raw = F.coalesce(pick("text", "message_text", "message"), F.lit(""))
+    parts = F.transform(F.from_json(raw, "array<string>"), lambda p: F.when(p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).otherwise(p))
+    text = F.when(raw.startswith("["), F.coalesce(F.array_join(parts, ""), raw)).otherwise(raw)
+    good_rows = said.select(*keys, (F.col("seq") + 1).alias("seq"), F.coalesce(epoch, F.try_to_timestamp(when)).alias("sent_at"), pick("sender", "sender_name", "from").alias("sender"), text.alias("text"), F.lit(None).cast("string").alias("error"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    why = F.udf(why_broken, "string")  # broken files only
+    broken = rows.filter("_broken is not null").select(*keys, none("int", "seq"), none("timestamp", "sent_at"), none("string", "sender"), none("string", "text"), why("_broken").alias("error"))
+    return good_rows.unionByName(broken)
 
 
 def seconds_of(stamp: Column) -> Column:
@@ -82,17 +157,26 @@ def seconds_of(stamp: Column) -> Column:
 
 
 def parse_transcript(files: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """``transcript_segments`` of transcripts in a column."""
+    return transcript_segments(numbered(files, keys, body), keys)
+
+
+def read_transcript(spark: SparkSession, path: str) -> DataFrame:
+    """``transcript_segments`` of transcript files of any size, by path."""
+    return transcript_segments(read_lines(spark, path), ["path"])
+
+
+def transcript_segments(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Segments of VTT, SRT or [mm:ss] text: keys, seq, starts, ends, speaker, text.
 
     An interval line takes the next line that is not empty as its text; an inline stamp lasts five seconds. Segments
     without a named speaker take turns between two.
     """
-    lines = numbered(files, keys, body).filter(F.trim("line") != "")
-    w = Window.partitionBy(*keys).orderBy("n")
+    lines = lines.filter(F.trim("line") != "")
     interval = r"^\s*((?:\d+:)?\d+:\d+[.,]?\d*)\s*-->\s*((?:\d+:)?\d+:\d+[.,]?\d*)"
     inline = r"^\s*[\[(]?((?:\d+:)?\d{1,2}:\d{2})[\])]?\s+(?!-->)(\S.*)$"
-    rows = lines.withColumn("next", F.lead("line").over(w))
     is_interval, is_inline = F.col("line").rlike(interval), F.col("line").rlike(inline) & ~F.col("line").rlike(interval)
+    rows = across_blocks(lines, keys, is_interval | is_inline)
     starts = F.when(is_interval, seconds_of(F.regexp_extract("line", interval, 1))).otherwise(seconds_of(F.regexp_extract("line", inline, 1)))
     ends = F.when(is_interval, seconds_of(F.regexp_extract("line", interval, 2))).otherwise(F.col("starts") + 5)
     raw = F.when(is_interval, F.coalesce("next", F.lit(""))).otherwise(F.regexp_extract("line", inline, 2))
@@ -100,14 +184,19 @@ def parse_transcript(files: DataFrame, keys: list[str], body: str = "body") -> D
     voice = r"^\s*(?:<v\s+([^>]+)>|\[([^\]]+)\]|([A-Z][A-Za-z0-9 ._]{0,30}):)\s*(.*)$"
     named = F.coalesce(*[F.nullif(F.trim(F.regexp_extract("raw", voice, i)), F.lit("")) for i in (1, 2, 3)])
     said = F.when(F.col("raw").rlike(voice), F.regexp_extract("raw", voice, 4)).otherwise(F.col("raw"))
-    rows = rows.withColumn("seq", F.row_number().over(w))
+    rows = rows.withColumn("seq", F.col("c0").cast("int"))
     turn = F.concat(F.lit("Speaker "), ((F.col("seq") - 1) % 2 + 1).cast("string"))
     return rows.select(*keys, "seq", "starts", "ends", F.coalesce(named, turn).alias("speaker"), F.trim(F.regexp_replace(said, "</?v[^>]*>", "")).alias("text"))
 
 
 def parse_statement_lines(files: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """``statement_rows`` of statements in a column."""
+    return statement_rows(numbered(files, keys, body), keys)
+
+
+def statement_rows(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Statement text: a record starts with dd/mm/yyyy and ends in amount, balance and Dr or Cr."""
-    recs = records(numbered(files, keys, body), keys, F.col("line").rlike(r"^\s*\d{2}/\d{2}/\d{4}\b"))
+    recs = records(lines, keys, F.col("line").rlike(r"^\s*\d{2}/\d{2}/\d{4}\b"))
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
     tail = r"^(\d{2}/\d{2}/\d{4})\s+(.*?)\s+([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s*(Dr|Cr)?\.?$"
     part = lambda i: F.regexp_extract(flat, tail, i)

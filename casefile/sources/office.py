@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casefile.sources import pdf
+
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -151,43 +153,48 @@ def _contains_any(words: tuple[str, ...]):
     return test
 
 
+# Properties by the names that files give them.
+PDF_PROPERTIES = {"Producer": "software", "Creator": "software", "Author": "author", "CreationDate": "created", "ModDate": "modified"}
+OFFICE_PROPERTIES = {"creator": "author", "created": "created", "modified": "modified", "Application": "software", "revision": "revision", "TotalTime": "minutes", "Company": "company", "lastModifiedBy": "editor"}
+OFFICE_PARTS = ("docProps/core.xml", "docProps/app.xml")
+
+
+def properties_of(data: bytes) -> dict[str, object]:
+    """What a PDF or office file says of itself; other files say nothing."""
+    if data[:4] == b"%PDF":
+        told = pdf.properties(data)
+        return {"kind": "PDF", "updates": told["updates"], "pages": told["pages"]} | {name: told[key] for key, name in PDF_PROPERTIES.items() if key in told}
+    found: dict[str, object] = {}
+    if data[:2] == b"PK":
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for part in set(OFFICE_PARTS) & set(z.namelist()):
+                for _, e in ElementTree.iterparse(z.open(part)):
+                    name = OFFICE_PROPERTIES.get(e.tag.rpartition("}")[2])
+                    if name and e.text:
+                        found[name] = e.text
+        found["kind"] = "OFFICE"
+    return found
+
+
 def properties(files: DataFrame) -> DataFrame:
-    """path, sha256, kind, author, created, modified, software, revision, minutes, updates of office files and PDFs.
+    """path, sha256, kind, author, created, modified, software, revision, minutes, company, editor, updates, pages, error of office files and PDFs.
 
-    updates: ends of file in a PDF beyond the first, each an incremental save.
+    updates: ends of file in a PDF beyond the first, each an incremental save. A broken file gives ``error`` and nothing else.
     """
+    columns = ("kind", "author", "created", "modified", "software", "revision", "minutes", "company", "editor", "error")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for content in batch.content:
-                data, found = bytes(content), {}
-                if data[:4] == b"%PDF":
-                    found["updates"] = max(0, data.count(b"%%EOF") - 1)
-                    for key, name in ((b"Creator", "software"), (b"Producer", "software"), (b"Author", "author"), (b"CreationDate", "created"), (b"ModDate", "modified")):
-                        m = re.search(rb"/" + key + rb"\s*\(([^)]*)\)", data)
-                        if m:
-                            found[name] = m[1].decode("latin-1")
-                    found["kind"] = "PDF"
-                elif data[:2] == b"PK":
-                    try:
-                        with zipfile.ZipFile(io.BytesIO(data)) as z:
-                            for part in ("docProps/core.xml", "docProps/app.xml"):
-                                if part in z.namelist():
-                                    for _, e in ElementTree.iterparse(z.open(part)):
-                                        name = {"creator": "author", "created": "created", "modified": "modified", "Application": "software", "revision": "revision", "TotalTime": "minutes"}.get(e.tag.rpartition("}")[2])
-                                        if name and e.text:
-                                            found[name] = e.text
-                            found["kind"] = "OFFICE"
-                    except (zipfile.BadZipFile, ElementTree.ParseError):
-                        pass
-                out.append(found)
-            columns = ("kind", "author", "created", "modified", "software", "revision", "minutes")
-            yield pd.DataFrame({"path": batch.path, "sha256": batch.sha256, **{c: [f.get(c) for f in out] for c in columns}, "updates": [int(f.get("updates", 0)) for f in out]})
-
-    raw = files.select("path", "content", F.sha2("content", 256).alias("sha256")).mapInPandas(
-        work, "path string, sha256 string, kind string, author string, created string, modified string, software string, revision string, minutes string, updates int"
-    )
+                try:
+                    out.append(properties_of(bytes(content or b"")))
+                except BROKEN as e:
+                    out.append({"error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame({"path": batch.path, "sha256": batch.sha256, **{c: [f.get(c) for f in out] for c in columns}, "updates": [int(f.get("updates", 0)) for f in out], "pages": [f.get("pages") for f in out]})
+
+    schema = "path string, sha256 string, " + ", ".join(f"{c} string" for c in columns) + ", updates int, pages int"
+    raw = files.select("path", "content", F.sha2("content", 256).alias("sha256")).mapInPandas(work, schema)
     return raw.withColumn("created", document_date("created")).withColumn("modified", document_date("modified")).withColumn("revision", F.col("revision").try_cast("int")).withColumn("minutes", F.col("minutes").try_cast("int"))
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-import zlib
 from collections.abc import Iterator, Sequence
 from html import unescape
 
@@ -19,10 +18,11 @@ from pyspark.sql import functions as F
 
 from casefile.functions.text import snippet
 from casefile.operators.grid import excluded_path
+from casefile.sources import pdf
 from casefile.sources.office import BROKEN
 
-#: Archives within archives are opened down to this depth; a hit names the whole way.
-DEPTH = 3
+#: Bytes to which the archives of one file may unpack together; beyond it there is an error row.
+MOST_UNPACKED = 1 << 30
 # The parts of office files that hold text, by kind.
 OFFICE = {
     "DOCX": re.compile(r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml"),
@@ -38,68 +38,78 @@ def walk(spark: SparkSession, folder: str, prefixes: Sequence[str] = (), segment
     return files.filter(~excluded_path("path", prefixes, segments, extensions)).select("path", "content", "length", F.col("modificationTime").alias("modified"))
 
 
-def pdf_pages(data: bytes) -> Iterator[str]:
-    """The text of each content stream of a PDF, by its text operators; a file without any gives what is readable in it."""
-    some = False
-    for m in re.finditer(rb"stream\r?\n", data):
-        end = data.find(b"endstream", m.end())
-        raw = data[m.end() : end if end >= 0 else len(data)]
-        try:
-            raw = zlib.decompressobj().decompress(raw)
-        except zlib.error:
-            pass
-        said = []
-        for t in re.finditer(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\[\]])*)\]\s*TJ|(T\*|Td|TD|ET)\b", raw):
-            if t[3]:
-                said.append(" ")
-            else:
-                pieces = [t[1]] if t[1] is not None else re.findall(rb"\(((?:[^()\\]|\\.)*)\)", t[2])
-                said.append("".join(re.sub(rb"\\(.)", rb"\1", p).decode("latin-1") for p in pieces))
-        text = " ".join("".join(said).split())
-        if text:
-            some = True
-            yield text
-    if not some:
-        yield " ".join(x.decode("latin-1") for x in re.findall(rb"[\x20-\x7E]{4,}", data))
-
-
 def plain(xml: bytes) -> str:
     """Markup to blanks, white space as one."""
     return " ".join(unescape(re.sub(r"<[^>]*>", " ", xml.decode("utf-8", "replace"))).split())
 
 
-def parts_of(data: bytes, name: str, member: str, kind: str, depth: int) -> Iterator[tuple[str, str, int, str | None, str | None]]:
-    """(member, kind, page, text, error) of a file; kind says how a hit in it is to be called."""
-    try:
-        if data[:5] == b"%PDF-":
-            yield from ((member, f"{kind}PDF", i + 1, text, None) for i, text in enumerate(pdf_pages(data)))
-        elif data[:4] == b"PK\x03\x04":
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                names = z.namelist()
-                office = next((k for k, pattern in OFFICE.items() if any(pattern.fullmatch(n) for n in names)), None)
-                if office:
-                    found = sorted((n for n in names if OFFICE[office].fullmatch(n)), key=lambda n: (len(n), n))
-                    own = "ZIP_OFFICE" if kind else office
-                    yield from ((member, own, i + 1, plain(z.read(n)), None) for i, n in enumerate(found))
-                elif depth >= DEPTH:
-                    yield member, "ZIP", 0, None, f"archives beyond depth {DEPTH}"
-                else:
-                    for n in names:
-                        if not n.endswith("/"):
+class TooMuch(ValueError):
+    """An archive that unpacks to more than is allowed."""
+
+
+def member_of(archive: zipfile.ZipFile, name: str, left: int) -> bytes:
+    """A member's bytes, if they are no more than ``left``, whatever its header says."""
+    with archive.open(name) as f:
+        data = f.read(left + 1)
+    if len(data) > left:
+        raise TooMuch("archives unpack to more than is allowed")
+    return data
+
+
+def parts_of(data: bytes, most: int = MOST_UNPACKED) -> Iterator[tuple[str, str, int, str | None, str | None]]:
+    """(member, kind, page, text, error) of a file; kind says how a hit in it is to be called.
+
+    Archives within archives are opened to any depth, until they have unpacked to ``most`` bytes together.
+    """
+    todo = [("", "", data)]
+    left = most
+    while todo:
+        member, kind, data = todo.pop()
+        try:
+            if data[:5] == b"%PDF-":
+                try:
+                    yield from ((member, f"{kind}PDF", i + 1, text, None) for i, text in enumerate(pdf.page_texts(data)))
+                except pdf.Broken as e:  # the readable bytes of it, and that it is broken
+                    yield member, f"{kind}PDF", 1, " ".join(x.decode("latin-1") for x in re.findall(rb"[\x20-\x7E]{4,}", data)), None
+                    yield member, f"{kind}PDF", 0, None, f"Broken: {e}"
+            elif data[:4] == b"PK\x03\x04":
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    names = z.namelist()
+                    office = next((k for k, pattern in OFFICE.items() if any(pattern.fullmatch(n) for n in names)), None)
+                    if office:
+                        found = sorted((n for n in names if OFFICE[office].fullmatch(n)), key=lambda n: (len(n), n))
+                        for i, n in enumerate(found):
+                            part = member_of(z, n, left)
+                            left -= len(part)
+                            yield member, "ZIP_OFFICE" if kind else office, i + 1, plain(part), None
+                    else:
+                        inner = []
+                        for n in names:
+                            if n.endswith("/"):
+                                continue
                             way = f"{member} -> {n}" if member else n
                             yield way, "ZIP_NAME", 0, n, None
-                            yield from parts_of(z.read(n), n, way, "ZIP_", depth + 1)
-        else:
-            text = data.decode("utf-8", "replace")
-            if text.count("\x00") * 10 > len(text):
-                return  # no text
-            for i, page in enumerate(text.split("\f")):
-                yield member, "ZIP" if kind else "TEXT", i + 1, page, None
-    except BROKEN as e:
-        yield member, kind or "FILE", 0, None, f"{type(e).__name__}: {e}"
-
-
-def pages(files: DataFrame) -> DataFrame:
+                            try:
+                                part = member_of(z, n, left)
+                            except TooMuch:
+                                raise
+                            except (*BROKEN, RuntimeError) as e:  # this member is broken or encrypted, the others may be read
+                                yield way, "ZIP", 0, None, f"{type(e).__name__}: {e}"
+                                continue
+                            left -= len(part)
+                            inner.append((way, "ZIP_", part))
+                        todo += reversed(inner)
+            else:
+                text = data.decode("utf-8", "replace")
+                if text.count("\x00") * 10 > len(text):
+                    continue  # no text
+                for i, page in enumerate(text.split("\f")):
+                    yield member, "ZIP" if kind else "TEXT", i + 1, page, None
+        except BROKEN as e:
+            yield member, "ZIP" if kind else "FILE", 0, None, f"{type(e).__name__}: {e}"
+
+
+def pages(files: DataFrame, most: int = MOST_UNPACKED) -> DataFrame:
     """path, member (within archives, else empty), kind, page, text, error of every page of every file."""
     names = ["path", "member", "kind", "page", "text", "error"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
@@ -107,16 +117,17 @@ def pages(files: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                for row in parts_of(content.as_py(), path.as_py(), "", "", 0):
+                for row in parts_of(content.as_py() or b"", most):
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path.as_py(), *row), kinds, strict=True)], names)
 
     return files.select("path", "content").mapInArrow(work, PAGES)
 
 
-def hits(files: DataFrame, keywords: Sequence[str]) -> DataFrame:
+def hits(files: DataFrame, keywords: Sequence[str], most: int = MOST_UNPACKED) -> DataFrame:
     """path, member, keyword, match_type, page, snippet: keywords in file names, and the first place of each in a file's or member's text.
 
-    The text of a plain file is looked at only for files whose name holds no keyword.
+    The text of a plain file is looked at only for files whose name holds no keyword. A file or member that could not be
+    read is a row of match_type ERROR without keyword, whose snippet says why.
     """
     low = lambda c: F.lower(c)
     listed = [k.lower() for k in keywords]
@@ -125,10 +136,13 @@ def hits(files: DataFrame, keywords: Sequence[str]) -> DataFrame:
     named = files.select("path", F.explode(within(name)).alias("keyword"))
     none = F.lit(None)
     by_name = named.select("path", F.lit("").alias("member"), "keyword", F.lit("NAME").alias("match_type"), none.cast("int").alias("page"), none.cast("string").alias("snippet"))
-    read = pages(files).filter("text is not null").withColumn("named", F.size(within(name)) > 0).filter(~((F.col("kind") == "TEXT") & F.col("named")))
-    said = read.select("path", "member", "kind", "page", "text", F.explode(within(F.col("text"))).alias("keyword"))
-    kind = F.when(F.col("kind") == "ZIP_NAME", "ZIP_NAME").otherwise(F.concat(F.col("kind"), F.lit("_CONTENT")))
-    piece = F.when(F.col("kind") != "ZIP_NAME", snippet(F.col("text"), F.col("keyword")))
+    read = pages(files, most).withColumn("named", F.size(within(name)) > 0).filter(F.col("error").isNotNull() | ~((F.col("kind") == "TEXT") & F.col("named")))
+    failed = F.col("error").isNotNull()
+    # An error goes on as a hit of its own, so files are read once.
+    found = F.when(failed, F.array(none.cast("string"))).otherwise(within(F.coalesce("text", F.lit(""))))
+    said = read.select("path", "member", "kind", "page", "text", "error", F.explode(found).alias("keyword"))
+    kind = F.when(failed, "ERROR").when(F.col("kind") == "ZIP_NAME", "ZIP_NAME").otherwise(F.concat(F.col("kind"), F.lit("_CONTENT")))
+    piece = F.when(failed, F.col("error")).when(F.col("kind") != "ZIP_NAME", snippet(F.col("text"), F.col("keyword")))
     said = said.select("path", "member", "keyword", kind.alias("match_type"), "page", piece.alias("snippet"))
     first = said.groupBy("path", "member", "keyword", "match_type").agg(F.min(F.struct("page", "snippet")).alias("f"))
     return by_name.unionByName(first.select("path", "member", "keyword", "match_type", "f.page", "f.snippet"))

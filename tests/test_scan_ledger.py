@@ -33,8 +33,12 @@ def test_pages_of_archives_in_archives_and_broken_files(spark):
     assert rows["c.zip", "x/y.txt", 1] == ("ZIP", "inner") and rows["c.zip", "s.pptx", 1] == ("ZIP_OFFICE", "slide & text") and rows["c.zip", "x/y.txt", 0] == ("ZIP_NAME", "x/y.txt")
     assert "readable words" in rows["f.pdf", "", 1][1] and not [k for k in rows if k[0] == "b.bin"]
     errors = {r.f: r.error for r in got if r.error}
-    assert set(errors) == {"d.zip", "e.zip"} and "depth" in errors["e.zip"]
-    assert scan.hits(scan.walk(spark, folder, extensions=[".zip"]), ["TWO"]).select("match_type", "page", "snippet").collect() == [("TEXT_CONTENT", 2, "two")]
+    assert set(errors) == {"d.zip", "f.pdf"} and rows["e.zip", "z.zip -> z.zip -> z.zip -> z.zip -> in.txt", 1] == ("ZIP", "deepest")
+    failed = scan.hits(scan.walk(spark, folder), ["zzz"]).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.match_type, r.keyword) for r in failed} == {("d.zip", "ERROR", None), ("f.pdf", "ERROR", None)}
+    small = [r for r in scan.pages(scan.walk(spark, folder, extensions=[".txt", ".pdf", ".bin"]), most=8).collect() if r.error and "more than is allowed" in r.error]
+    assert {r.path.rsplit("/", 1)[1] for r in small} == {"c.zip", "e.zip"}
+    assert scan.hits(scan.walk(spark, folder, extensions=[".zip", ".pdf"]), ["TWO"]).select("match_type", "page", "snippet").collect() == [("TEXT_CONTENT", 2, "two")]
 
 
 def test_sheets_with_bad_strings_and_many_parts(spark):

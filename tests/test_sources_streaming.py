@@ -3,6 +3,7 @@ import io
 import zipfile
 
 import pytest
+from casefile.plans import registry_sources
 from casefile.sources import lines, office, tables
 from casefile.streaming import flows
 from pyspark.sql import functions as F
@@ -31,7 +32,10 @@ def test_chat_json(spark):
     a = '{"messages": [{"sender_name": "P", "sent_at": "2024-01-02T03:04:05", "message_text": "x"}, {"from": "Q", "date": "nonsense", "text": "y"}]}'
     b = '[{"sender": "R", "timestamp": "1700000000", "message": "z"}]'
     got = lines.parse_chat_json(files(spark, a, b, "no json"), ["path"]).orderBy("path", "seq").collect()
-    assert [(r.path, r.seq, r.sender, r.text) for r in got] == [("f0", 1, "P", "x"), ("f0", 2, "Q", "y"), ("f1", 1, "R", "z")]
+    assert [(r.path, r.seq, r.sender, r.text) for r in got] == [("f0", 1, "P", "x"), ("f0", 2, "Q", "y"), ("f1", 1, "R", "z"), ("f2", None, None, None)]
+    assert got[3].error == "Expecting value at character 0" and got[0].error is None
+    odd = lines.parse_chat_json(files(spark, None, " ", '{"messages": 3}', '[{"text": ["a", {"type": "bold", "text": "b"}, {"x": 1}]}, {"text": "[x"}', '[{"text": ["a", {"type": "bold", "text": "b"}, {"x": 1}]}, {"text": "[x"}]'), ["path"]).orderBy("path", "seq").collect()
+    assert [(r.path, r.seq, r.text, r.error) for r in odd] == [("f2", None, None, "no list of messages"), ("f3", None, None, "Expecting ',' delimiter at character 73"), ("f4", 1, "ab", None), ("f4", 2, "[x", None)]
     assert got[0].sent_at == dt.datetime(2024, 1, 2, 3, 4, 5) and got[1].sent_at is None and got[2].sent_at.year == 2023
 
 
@@ -44,6 +48,31 @@ def test_transcripts(spark):
     ]
 
 
+def test_files_in_ranges_equal_whole_texts(spark, tmp_path):
+    """A record, a transcript's segment and a count go on across the ends of ranges of a few bytes."""
+    chat = "banner\r\n" + "".join(f"{1 + i % 28:02d}/01/2024, 10:{i % 60:02d} - P {i % 3}: said {i}\r\n" + "more é\n" * (i % 4) + "\n" * (i % 2) for i in range(150))
+    vtt = "\ufeffWEBVTT\n\n" + "".join(f"00:{i // 60:02d}:{i % 60:02d}.000 --> 00:{i // 60:02d}:{i % 60:02d}.500\n\n{'<v Anna>' if i % 3 else ''}line {i}\n\n" for i in range(120)) + "[59:01] inline"
+    (tmp_path / "chat.txt").write_bytes(chat.encode())
+    (tmp_path / "t.vtt").write_bytes(vtt.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        assert lines.read_lines(spark, str(tmp_path / "chat.txt")).select("block").distinct().count() > 30
+        got = [r[1:] for r in lines.read_chat(spark, str(tmp_path / "chat.txt")).orderBy("seq").collect()]
+        cues = [r[1:] for r in lines.read_transcript(spark, str(tmp_path / "t.vtt")).orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [r[1:] for r in lines.parse_chat(files(spark, chat.removesuffix("\n")), ["path"]).orderBy("seq").collect()] and len(got) == 150
+    assert cues == [r[1:] for r in lines.parse_transcript(files(spark, vtt.removeprefix("\ufeff")), ["path"]).orderBy("seq").collect()] and len(cues) == 121
+
+
+def test_texts_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK_LINES", 3)
+    body = "\n".join(f"0{1 + i % 9}/02/2024 UPI {i}\n\n some one {i}.00 98,500.00 Dr" for i in range(40))
+    got = lines.parse_statement_lines(files(spark, body, None, "").withColumn("n", F.lit(1)).withColumn("c0", F.lit(2)).drop("n", "c0"), ["path"]).orderBy("row_order").collect()
+    assert [(r.row_order, r.narration, float(r.debit)) for r in got] == [(i + 1, f"UPI {i} some one", float(i)) for i in range(40)]
+
+
 def test_statement_text(spark):
     body = "HEADER\n01/02/2024 UPI to\n some one 1,500.00 98,500.00 Dr\n02/02/2024 SALARY 5,000.00 1,03,500.00 Cr\n03/02/2024 broken"
     got = lines.parse_statement_lines(files(spark, body), ["path"]).orderBy("row_order").collect()
@@ -86,7 +115,7 @@ def workbook() -> bytes:
 def test_office(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(workbook())
     (tmp_path / "bad.xlsx").write_bytes(b"PK nothing")
-    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4 /Producer (Tool) /CreationDate (D:20240102030405+05'30') %%EOF x %%EOF")
+    (tmp_path / "c.pdf").write_bytes(registry_sources.pdf_file(["x"], {"Producer": "Tool", "CreationDate": "D:20240102030405+05'30'"}) + b" x %%EOF")
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
         z.writestr("word/document.xml", f'<w:d xmlns:w="{w}"><w:tbl><w:tr><w:tc><w:t>a</w:t><w:t>b</w:t></w:tc><w:tc/></w:tr></w:tbl></w:d>')
@@ -97,7 +126,7 @@ def test_office(spark, tmp_path):
     found = {r.path.rsplit("/", 1)[1]: r for r in office.properties(office.read_binary(spark, str(tmp_path))).collect()}
     assert (found["a.xlsx"].kind, found["a.xlsx"].author, found["a.xlsx"].software, found["a.xlsx"].minutes) == ("OFFICE", "P", "Sheets", 7)
     assert found["c.pdf"].updates == 1 and found["c.pdf"].created.astimezone(dt.UTC) == dt.datetime(2024, 1, 1, 21, 34, 5, tzinfo=dt.UTC)
-    assert found["bad.xlsx"].kind is None and len(found["bad.xlsx"].sha256) == 64
+    assert found["bad.xlsx"].kind is None and len(found["bad.xlsx"].sha256) == 64 and "BadZipFile" in found["bad.xlsx"].error and found["c.pdf"].pages == 1
 
 
 EVENTS = "event long, acc long, ts timestamp, amount double, leg string, module string"
