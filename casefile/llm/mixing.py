@@ -4,8 +4,8 @@ Every source gets a word budget: its share by weight of the whole, at most ``max
 the excess going to the other sources by weight (water filling, in closed form). A budget is met by complete
 epochs over the source first; the rest is a weighted sample without replacement: each document draws an
 exponential key -ln(u)/w with u from a hash of its id and w its quality weight, and documents are taken in key
-order while their running size fits the rest. Documents that fit what is then missing go on in key order, in
-rounds until none fits; one more, the best fit, closes the gap. The running sum never needs a source in one task: keys are
+order while their running size fits the rest. Documents that fit what is then missing go on in key order, in at most as
+many rounds as the longest document's size has binary digits; one more, the best fit, closes the gap. The running sum never needs a source in one task: keys are
 binned, bins are summed with partial aggregation, whole bins are taken or left, and only the one bin per
 source in which the budget ends is sorted. That is done in ranges of its order, each a task, whose sums are added up
 first, so a bin may hold any number of rows, of one key too. Only the table of sources, a row each, is ordered in one task.
@@ -13,6 +13,8 @@ first, so a bin may hold any number of rows, of one key too. Only the table of s
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from .scratch import Workspace, written
 
 #: Bins of the key range within a source.
 BINS = 4096
+#: Documents, of all sources together, that are gone through one by one.
+SMALL = 1 << 20
 
 
 def unit(id_text: Column, seed: str) -> Column:
@@ -80,6 +84,67 @@ def taken_in_order(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return written(whole.unionByName(part).withColumn("picked", F.col("picked") & (F.col("size") > 0)).drop("fit", "bin_before"), "mix-cut")
 
 
+def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one source that are taken, in order, while they fit the gap, with the gap that is left."""
+    rows = rows.sort_values("pos")
+    gap, sizes = int(rows["gap"].iloc[0]), rows["size"].to_numpy()
+    least = np.minimum.accumulate(sizes[::-1])[::-1]  # of what still follows
+    taken = []
+    for i, size in enumerate(sizes):
+        if least[i] > gap:
+            break
+        if size <= gap:
+            taken.append(i)
+            gap -= int(size)
+    return rows.iloc[taken][["source", "row", "size"]]
+
+
+def filled(open_rows: DataFrame, gaps: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """What goes on to be taken of ``open_rows`` (source, key, id, size, row) in key order while it fits ``gaps`` (source, gap): (source, row, size), and the gaps left.
+
+    Documents are ordered once. A round takes a source from a gap of 2**k to 2**(k + 1) words to one below 2**k: documents of at
+    most 2**k words fit until then, so their running sum tells where it ends, and of the longer ones the first that
+    fits ends it at once. So there are no more rounds than the longest document's size has binary digits, however
+    the documents lie. As soon as at most ``small`` of them are left in all, they are gone through one by one.
+    """
+    per_source = lambda state: state.select(F.col("source").alias("g_source"), *(c for c in state.columns if c != "source"))
+    live = lambda rows, state: rows.join(per_source(state), F.col("source").eqNullSafe(F.col("g_source"))).filter("size <= gap and pos > after").drop("g_source")
+    state = gaps.withColumn("gap", F.floor("gap").cast("long")).withColumn("after", F.lit(-1).cast("long"))
+    tasks = int(open_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("source", "key", F.col("id").asc_nulls_first(), "size", "row")
+    fits = open_rows.join(per_source(gaps), F.col("source").eqNullSafe(F.col("g_source"))).filter("size <= gap").select("source", "key", "id", "size", "row")
+    ordered = fits.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    rows = written(ordered.select("source", "size", "row", F.monotonically_increasing_id().alias("pos"), F.spark_partition_id().alias("range")), "mix-order")
+    picked: list[DataFrame] = []
+    while (now := live(rows, state)).count() > small:
+        half = F.expr("shiftleft(1L, length(bin(gap)) - 1)")  # the largest power of two up to the gap
+        now = now.withColumn("half", half)
+        now = now.withColumn("low", F.when(F.col("size") <= F.col("half"), F.col("size")).otherwise(0))
+        sums = now.groupBy("source", "range").agg(F.sum("low").alias("range_low"))
+        earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("range_low").over(earlier), F.lit(0)).alias("used_before"))
+        now = now.join(sums, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
+        inside = Window.partitionBy("source", "range").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        now = now.withColumn("used", F.col("used_before") + F.coalesce(F.sum("low").over(inside), F.lit(0)))
+        ends = F.when(F.col("low") > 0, F.col("gap") - F.col("used") - F.col("size") < F.col("half")).otherwise(F.col("size") <= F.col("gap") - F.col("used"))
+        now = written(now.select("source", "row", "size", "pos", "low", "gap", ends.alias("ends")), "mix-round")
+        first = now.groupBy(F.col("source").alias("f_source")).agg(F.min(F.when(F.col("ends"), F.col("pos"))).alias("last"))
+        taken = now.join(first, F.col("source").eqNullSafe(F.col("f_source"))).filter("pos = last or low > 0 and (last is null or pos < last)")
+        taken = written(taken.select("source", "row", "size", F.coalesce("last", F.lit(2**62)).alias("last")), "mix-more")
+        picked.append(taken.select("source", "row", "size"))
+        used = taken.groupBy(F.col("source").alias("u_source")).agg(F.sum("size").alias("used"), F.max("last").alias("last"))
+        state = state.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
+        state = written(state.select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.coalesce("last", "after").alias("after")), "mix-state")
+    few = live(rows, state).groupBy("source").applyInPandas(greedy, fits.select("source", "row", "size").schema)
+    picked.append(written(few, "mix-last-rows"))
+    more = picked[0]
+    for other in picked[1:]:
+        more = more.unionByName(other)
+    used = more.groupBy(F.col("source").alias("u_source")).agg(F.sum("size").alias("used"))
+    left = gaps.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
+    return more, written(left.select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "mix-gaps-left")
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -122,29 +187,9 @@ def mix(
         cut = taken_in_order(slim, targets.select("source", "source_size", "target", "epochs", "rest"))
         gaps = cut.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0))).alias("gap"))
         gaps = written(gaps, "mix-gaps")
-        open_rows = written(cut.filter(~F.col("picked") & (F.col("size") > 0)).select("id", "source", "size", "key", "row"), "mix-open")
-        more = None
-        while True:
-            # What fits now goes on in key order; what does not fit now never will, as gaps only shrink. The bins are spread over
-            # the keys that are left, so that the bin in which a gap ends stays small.
-            fits = open_rows.join(gaps.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source"))).filter(F.col("size") <= F.col("gap"))
-            fits = written(fits.drop("g_source", "gap"), "mix-fits")
-            low = written(fits.groupBy("source").agg(F.min("key").alias("low"), F.max("key").alias("high")), "mix-low")
-            if low.isEmpty():
-                break
-            spread = fits.join(low.withColumnRenamed("source", "l_source"), F.col("source").eqNullSafe(F.col("l_source")))
-            place = (F.lit(1.0) - F.exp(F.col("low") - F.col("key"))) / F.greatest(F.lit(1.0) - F.exp(F.col("low") - F.col("high")), F.lit(1e-300))
-            spread = spread.withColumn("bin", F.floor(place * F.lit(bins)).cast("int")).select("id", "source", "size", "key", "bin", "row")
-            taken = taken_in_order(spread, gaps.withColumnRenamed("gap", "rest"))
-            picked = written(taken.filter("picked").select("source", "size", "row"), "mix-more")
-            more = picked if more is None else more.unionByName(picked)
-            used = picked.groupBy(F.col("source").alias("u_source")).agg(F.sum("size").alias("used"))
-            gaps = gaps.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
-            gaps = written(gaps.select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "mix-gaps")
-            open_rows = taken.filter(~F.col("picked")).select("id", "source", "size", "key", "row")
-        if more is not None:
-            added = more.select(F.col("row").alias("added_row"))
-            cut = written(cut.join(added, F.col("row") == F.col("added_row"), "left").withColumn("picked", F.col("picked") | F.col("added_row").isNotNull()).drop("added_row"), "mix-filled")
+        more, gaps = filled(cut.filter(~F.col("picked") & (F.col("size") > 0)), gaps)
+        added = more.select(F.col("row").alias("added_row"))
+        cut = written(cut.join(added, F.col("row") == F.col("added_row"), "left").withColumn("picked", F.col("picked") | F.col("added_row").isNotNull()).drop("added_row"), "mix-filled")
         left = cut.filter(~F.col("picked") & (F.col("size") > 0)).alias("c").join(gaps.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")))
         off = F.abs(F.col("gap") - F.col("size"))
         last = left.filter(off < F.col("gap")).groupBy("c.source").agg(F.min(F.struct(off.alias("off"), F.col("key"), F.col("row").alias("row"))).alias("best"))
