@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from casefile.llm import bpe, jaccard, langid, mixing, substrings
 from casefile.llm.queries import fold_of, quality_weights, read
-from casefile.llm.scratch import Workspace, new_path
+from casefile.llm.scratch import Workspace, delete, new_path
 from casefile.llm.words import n_words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language, learnt from the labelled rows outside the held-out fold."""
-    known = langid.learn_and_identify(docs, fold_of(F.col("doc_id")) != 0, keep=("doc_id", "text", "lang", "source", "n_chars"))
+    known = langid.learn_and_identify(docs.select(COLUMNS), fold_of(F.col("doc_id")) != 0, keep=("doc_id", "text", "lang", "source", "n_chars"))
     return known.filter("lang_pred <> 'und'").select(COLUMNS)
 
 
@@ -32,6 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that share an id are documents of their own; of those in one group the one with the least hash stays. Of rows
     that repeat id and text one stays, the first by language and source. Rows without a doc_id are in no group and stay.
     """
+    docs = docs.select(COLUMNS)  # other columns may have any name
     rows = jaccard.join_components(docs, k=5, percent=80, detail=True).filter("doc_id is not null")
     first = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
     stays = first.unionByName(rows.filter("group is null").select("doc_id", "text_hash")).distinct()
@@ -43,13 +44,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat earlier ones; n_chars is of the text that stays."""
-    out = substrings.remove_repeats(docs, keep=("lang", "source"))
+    out = substrings.remove_repeats(docs.select(COLUMNS), keep=("lang", "source"))
     return out.filter("n_words > n_removed").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; rows that repeat a doc_id are told apart by their text."""
-    text_hash = F.xxhash64("text")
+    docs, text_hash = docs.select(COLUMNS), F.xxhash64("text")
     labelled = quality_weights(read(spark, sf_dir, "labels")).withColumnRenamed("doc_id", "q_id")
     slim = docs.select("doc_id", text_hash.alias("h"), "source", n_words(F.col("text")).alias("words"))
     slim = slim.withColumn("row_id", F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h"))
@@ -65,20 +66,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, digests of every document."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("mixture", mixture), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what a stage returns is written to the shared folder."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; what a stage returns is written to the shared folder and goes when the next is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         with Workspace():  # what a stage works with goes when its result is written
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
 
 
