@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casefile.functions.text import indel_ratio
-from casefile.session import work_dir
+from casefile.functions.text import canonical_name, indel_ratio
+from casefile.operators.entities import identifier as entity_identifier
+from casefile.operators.fuzzynames import similar_names, word_set_ratio
+from casefile.session import Work
 
 
 def most_apart(n: Column, percent: int) -> Column:
@@ -53,20 +55,68 @@ def groups(links: DataFrame) -> DataFrame:
 
     A round takes the least label among the neighbours and follows it once; every round is written, which cuts the lineage, until none changes.
     """
-    spark = links.sparkSession
-
-    def written(df: DataFrame) -> DataFrame:
-        path = work_dir(spark, "groups")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
-    while True:
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("s_node")).agg(F.min("root").alias("low"))
-        step = labels.join(seen, F.col("node") == F.col("s_node")).select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        jump = step.select(F.col("node").alias("at"), F.col("root").alias("further"))
-        labels = written(step.join(jump, F.col("root") == F.col("at")).select("node", "old", F.least("root", "further").alias("root")))
-        if labels.filter("old <> root").isEmpty():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+    with Work(links.sparkSession) as work:
+        both = work.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "groups-links")
+        labels = work.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"), F.lit(True).alias("moved")), "groups")
+        while True:
+            seen = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("s_node")).agg(F.min("root").alias("low"))
+            step = labels.join(seen, F.col("node") == F.col("s_node")).select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
+            jump = step.select(F.col("node").alias("at"), F.col("root").alias("further"))
+            new = step.join(jump, F.col("root") == F.col("at")).select("node", F.least("root", "further").alias("root"), (F.col("old") != F.least("root", "further")).alias("moved"))
+            before, labels = labels, work.written(new, "groups")
+            work.drop(before)
+            if labels.filter("moved").isEmpty():
+                return work.keep(labels).select("node", "root")
+
+
+#: Kinds that may be one entity under different kinds.
+FIRM_KINDS = ("VENDOR", "COMPANY", "CUSTOMER")
+#: Likeness of names that an employee needs for more than the same name, unless the identifier is one of these.
+EMPLOYEE_LIKENESS, SURE_IDENTIFIERS = 65, ("PAN:", "EMAIL:")
+
+
+def resolve_entities(names: DataFrame, id_col: str, name: str, kind: str, identifier: str | None = None, aliases: DataFrame | None = None, least: int = 85) -> DataFrame:
+    """id, key, entity, step, score: the entity of each name (the id of its first name), and how it was found.
+
+    Names come in the order of their ids, which are distinct. One goes to an earlier one by the first step that finds any: the same name in any
+    case ("name"); the same identifier ("identifier"); an alias (id, alias) of an earlier id ("alias"); the most similar earlier
+    name of a kind that is compatible, by ``least`` percent or more, the earliest of equals ("similar", with its score). Chains
+    are followed to their first name. An employee goes by identifier or alias only to names that are alike by 65
+    percent, unless the identifier is a tax number or an address. A name without letters is never similar to another.
+    """
+    with Work(names.sparkSession) as work:
+        key, up = canonical_name(F.col(name)), F.upper(F.coalesce(kind, F.lit("")))
+        raw = F.col(identifier) if identifier else F.lit(None).cast("string")
+        rows = names.select(
+            F.col(id_col).alias("id"), F.lower(F.trim(name)).alias("said"), F.coalesce(key, F.lit("")).alias("key"), up.alias("kind"), F.when(up.isin(*FIRM_KINDS), "FIRM").otherwise(up).alias("cls"),
+            F.when(F.coalesce(F.trim(raw), F.lit("")) != "", entity_identifier(raw, up)).alias("identifier"),
+        )
+        rows = work.written(rows, "resolve-names")
+        same = lambda c: rows.filter(F.col(c) != "").groupBy(c).agg(F.min("id").alias("to")).join(rows, c).filter("id > to").select("id", "to")
+        by_name = same("said").select("id", "to", F.lit(1).alias("rank"), F.lit(100.0).alias("score"))
+        keys = rows.select(F.col("id").alias("to"), F.col("key").alias("to_key"))
+        likeness = F.udf(lambda a, b: float(word_set_ratio(a, b)), "double")  # of employees' names only
+        guard = lambda free: (F.col("kind") != "EMPLOYEE") | free | (F.when(F.col("kind") == "EMPLOYEE", likeness("key", "to_key")) >= EMPLOYEE_LIKENESS)
+        sure = F.coalesce(F.col("identifier").startswith(SURE_IDENTIFIERS[0]) | F.col("identifier").startswith(SURE_IDENTIFIERS[1]), F.lit(False))
+        by_identifier = same("identifier").join(rows, "id").join(keys, "to").filter(guard(sure)).select("id", "to", F.lit(2).alias("rank"), F.lit(100.0).alias("score"))
+        found = by_name.unionByName(by_identifier)
+        if aliases is not None:
+            known = aliases.select(F.lower(F.trim("alias")).alias("said"), F.col("id").alias("to")).filter("said <> ''").groupBy("said").agg(F.min("to").alias("to"))
+            by_alias = rows.join(known, "said").filter("id > to").join(keys, "to").filter(guard(F.lit(False)))
+            found = found.unionByName(by_alias.select("id", "to", F.lit(3).alias("rank"), F.lit(100.0).alias("score")))
+        forms = work.written(rows.filter("key <> ''").groupBy("cls", "key").agg(F.min("id").alias("first")), "resolve-forms")
+        pairs = work.written(similar_names(forms, least), "resolve-pairs")
+        both = pairs.select("cls", F.col("a").alias("key"), F.col("b").alias("other"), "score").unionByName(pairs.select("cls", F.col("b").alias("key"), F.col("a").alias("other"), "score"))
+        both = both.join(forms.select("cls", F.col("key").alias("other"), F.col("first").alias("to")), ["cls", "other"]).join(forms, ["cls", "key"]).filter("to < first")
+        best = both.groupBy("cls", "key").agg(F.max_by(F.struct("to", "score"), F.struct("score", (-F.col("to")).alias("early"))).alias("m")).select("cls", "key", "m.*")
+        of_key = rows.filter("key <> ''").join(forms, ["cls", "key"]).join(best, ["cls", "key"], "left")
+        # A key that was there before is the same key, else the best of the similar ones.
+        by_likeness = of_key.select("id", F.when(F.col("id") > F.col("first"), F.col("first")).otherwise(F.col("to")).alias("to"), F.lit(4).alias("rank"), F.when(F.col("id") > F.col("first"), 100.0).otherwise(F.col("score")).alias("score"))
+        found = found.unionByName(by_likeness.filter("to is not null"))
+        link = work.written(found.groupBy("id").agg(F.min_by(F.struct("to", "rank", "score"), F.struct("rank", "to")).alias("m")).select("id", "m.*"), "resolve-links")
+        roots = groups(link.select(F.col("id").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("id"), "root")
+        work.keep(rows)
+        work.keep(link)
+        step = F.when(F.col("rank") == 1, "name").when(F.col("rank") == 2, "identifier").when(F.col("rank") == 3, "alias").when(F.col("rank") == 4, "similar")
+        out = rows.join(roots, "id", "left").join(link, "id", "left")
+        return out.select(F.col("id").alias(id_col), "key", F.coalesce("root", "id").alias("entity"), step.alias("step"), "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casefile.operators import entities, mentions
+from casefile.operators import entities, linking, mentions
 from casefile.plans.registry import query
 from casefile.session import table
 
@@ -104,3 +104,21 @@ def names_in_documents(spark, d):
     found = F.array(F.struct(text("Par", x).alias("name"), F.lit("PARTNER").alias("category"), F.lit("Signatory").alias("role"), F.lit(2).alias("mentions"), F.lit(0.9).alias("confidence")))
     rows = table(spark, d, "customer").select("c_nationkey", "c_custkey", text("Fox", x, "_Agency 7.docx").alias("file"), found.alias("found"), text("Dr. Aut", x).alias("author"), text("Com", x).alias("company"))
     return mentions.names_in_documents(rows, "c_nationkey", "file", "found", "author", "company", "c_custkey", keywords=known(spark))
+
+
+@query(
+    """WITH n AS (SELECT c_custkey AS id, c_custkey // 6 AS g, c_custkey % 6 AS v, upper(md5(CAST(c_custkey // 6 AS VARCHAR))) AS h FROM customer),
+    m AS (SELECT id, g, v, h, min(id) OVER (PARTITION BY g) AS first, min(v) OVER (PARTITION BY g) AS v0 FROM n)
+    SELECT id AS c_custkey, CASE v WHEN 1 THEN 'Q' || substr(h, 9, 8) || ' V' || substr(h, 1, 8) WHEN 2 THEN 'V' || substr(h, 1, 8) || 'Q' || substr(h, 9, 8) WHEN 4 THEN 'ACME ' || substr(h, 17, 10) ELSE 'V' || substr(h, 1, 8) || ' Q' || substr(h, 9, 8) END AS key,
+    first AS entity, CASE WHEN id = first THEN NULL WHEN v = 5 AND v0 = 0 THEN 'name' WHEN v = 4 THEN 'identifier' ELSE 'similar' END AS step FROM m"""
+)
+def entity_steps(spark, d):
+    """Vendors under spellings of one name, or one identifier; an employee of the very same name."""
+    k = F.col("c_custkey")
+    v, h = k % 6, F.upper(F.md5(F.floor(k / 6).cast("string")))
+    one, two = F.concat(F.lit("V"), h.substr(1, 8)), F.concat(F.lit("Q"), h.substr(9, 8))
+    name = F.when(v == 1, text(two, " ", one)).when(v == 2, text(one, two)).when(v == 3, text(one, " ", two, " Pvt Ltd")).when(v == 4, text("Acme ", h.substr(17, 10))).otherwise(text(one, "  ", F.lower(two)))
+    kind = F.when(v == 5, "EMPLOYEE").when(v == 1, "COMPANY").otherwise("VENDOR")
+    number = F.when(v.isin(0, 4), F.concat(F.lit("ID "), F.floor(k / 6).cast("string")))
+    rows = table(spark, d, "customer").select("c_custkey", name.alias("name"), kind.alias("kind"), number.alias("number"))
+    return linking.resolve_entities(rows, "c_custkey", "name", "kind", "number").select("c_custkey", "key", "entity", "step")

@@ -49,3 +49,41 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
     out.write(bytearray(data))
     out.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Work:
+    """``with Work(spark) as work``: tables written within go when it ends, but for what was given to ``keep``."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self.kept = spark, {}, set()
+
+    def __enter__(self) -> Work:
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written to a work folder and read back, which ends its lineage."""
+        path = work_dir(self.spark, name)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = table
+        return table
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept |= {path for path, own in self.paths.items() if own is table}
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table that nothing reads any more."""
+        for path in [p for p, own in self.paths.items() if own is table]:
+            delete(self.spark, path)
+            del self.paths[path]
+
+    def __exit__(self, *failed: object) -> None:
+        for path in self.paths:
+            if path not in self.kept or failed[0]:
+                delete(self.spark, path)
