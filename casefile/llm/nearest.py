@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Workspace, written
-from .vectors import fit_centroids, in_groups, layout, list_facts, matrix, near_order, ranked, read_groups, sample_of, usable
+from .vectors import fit_centroids, in_groups, layout, list_facts, matrix, near_order, nearest_centroid, ranked, read_groups, sample_of, usable
 
 SCHEMA = "row long, query_id long, vec_id long, score double, limit double"
 
@@ -55,7 +55,7 @@ def probes_for(sample: np.ndarray, points: np.ndarray, asked: np.ndarray, centro
     sample are farther than those among all rows, so the number errs on the large side.
     """
     half = (centroids**2).sum(1)
-    own = (half - 2 * points @ centroids.T).argmin(1)
+    own, _ = nearest_centroid(points, centroids, half)
     who = np.arange(min(queries, len(sample)))
     order = np.argsort(half - 2 * asked[who] @ centroids.T, axis=1, kind="stable")
     place = np.empty_like(order)
@@ -157,7 +157,7 @@ def neighbours(
                 with np.errstate(over="ignore"):
                     beyond = (x**2).sum(1) > reach**2
                 x = np.where(beyond[:, None], 0, x)
-                own = (half - 2 * space.candidates(x) @ centroids.T).argmin(1) if len(x) else np.zeros(0)
+                own, _ = nearest_centroid(space.candidates(x), centroids, half)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(beyond, far, own), pa.int32())], ["row", "vec_id", "vec", "list"])
 
         dealt = written(rows.mapInArrow(deal, "row long, vec_id long, vec array<double>, list int"), "ann-lists")

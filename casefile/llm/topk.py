@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Workspace, written
-from .vectors import Layout, fit_centroids, in_groups, layout, list_facts, matrix, near_order, ranked, read_groups, sample_of, usable
+from .vectors import Layout, fit_centroids, in_groups, layout, list_facts, matrix, near_order, nearest_centroid, ranked, read_groups, sample_of, usable
 
 SCHEMA = "row long, query_id long, vec_id long, score long, wide binary"
 #: Queries whose bounds are worked out together.
@@ -181,7 +181,7 @@ def top_k(
             for batch in batches:
                 v = as_floats(integers(matrix(batch.column(2), dim), scale))
                 with np.errstate(all="ignore"):
-                    own = (half - v @ centroids.T).argmin(1) if len(v) else np.zeros(0)
+                    own, _ = nearest_centroid(v, centroids, half, 1.0)
                 own = np.where(np.abs(v).max(1, initial=0) > limit, lists - 1, own)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], ["row", "vec_id", "vec", "list"])
 

@@ -22,6 +22,9 @@ from .scratch import written
 #: Partial sums of tasks meet in this many parts before they meet in one.
 FANS = 64
 
+#: Points that are compared with all centroids at a time.
+SLICE = 1024
+
 
 def usable(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool) -> DataFrame:
     """(row, vec_id long, vec array<double>) of the rows that take part; ``row`` tells rows that share an id apart.
@@ -60,14 +63,23 @@ def sample_of(rows: DataFrame, n: int, size: int, dim: int, seed: int) -> np.nda
     return matrix(pa.array([r[0] for r in picked.select("vec").collect()], pa.list_(pa.float64())), dim)
 
 
+def nearest_centroid(points: np.ndarray, centroids: np.ndarray, norms: np.ndarray, times: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the centroid with the least ``norms`` - ``times`` * inner product, and that value; ``SLICE`` points at a time, so that memory does not grow with both."""
+    own, cost = np.zeros(len(points), np.int64), np.zeros(len(points))
+    for at in range(0, len(points), SLICE):
+        far = norms - times * (points[at : at + SLICE] @ centroids.T)
+        own[at : at + SLICE] = far.argmin(1)
+        cost[at : at + SLICE] = far.min(1)
+    return own, cost
+
+
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int, seed: int) -> np.ndarray:
     """k-means on the sample; a centroid that loses all points moves to the point worst served."""
     rng = np.random.default_rng(seed)
     centroids = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)].copy()
     for _ in range(rounds):
-        near = (centroids**2).sum(1) - 2 * sample @ centroids.T
-        own = near.argmin(1)
-        cost = near[np.arange(len(sample)), own] + (sample**2).sum(1)
+        own, cost = nearest_centroid(sample, centroids, (centroids**2).sum(1))
+        cost += (sample**2).sum(1)
         sums, counts = np.zeros_like(centroids), np.bincount(own, minlength=len(centroids))
         np.add.at(sums, own, sample)
         full = counts > 0

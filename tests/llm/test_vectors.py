@@ -213,3 +213,23 @@ def test_early_abandoning_reads_less():
 def test_ranges():
     assert nearest.ranges(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
     random.seed(1)
+
+
+def test_memory_of_comparing_with_many_centroids():
+    """10,000 points and 4,096 centroids in slices: the whole table of distances would take 330 MB."""
+    import tracemalloc
+
+    import numpy as np
+    from casefile.llm import vectors
+
+    rng = np.random.default_rng(1)
+    points, centroids = rng.normal(size=(10_000, 16)), rng.normal(size=(4096, 16))
+    norms = (centroids**2).sum(1)
+    tracemalloc.start()
+    own, cost = vectors.nearest_centroid(points, centroids, norms)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    plain = norms - 2 * points[:500] @ centroids.T
+    assert (own[:500] == plain.argmin(1)).all() and np.allclose(cost[:500], plain.min(1))
+    assert vectors.nearest_centroid(points[:0], centroids, norms)[0].shape == (0,)
