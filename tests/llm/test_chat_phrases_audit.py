@@ -81,7 +81,7 @@ def plain_collocations(rows, longest, least, first):
 
     counts, n = {}, Counter()
     for text, lang in rows:
-        lang, text = lang or "und", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        lang, text = "und" if lang is None else lang, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
             words = re.findall(r"[^\x20\x09]+", piece)
             n[lang] += len(words)
