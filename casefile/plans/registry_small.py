@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casefile.functions import text as X
-from casefile.operators import cases, grid, naming
+from casefile.operators import cases, graph, grid, naming
 from casefile.plans import views
 from casefile.plans.registry import LEVEL, META, query, scored_documents
 from casefile.session import put, table, work_dir
@@ -98,3 +98,32 @@ def visible_cases(spark, d):
     status = F.when(F.col("c_nationkey") % 3 == 0, "COMPLETED").when(F.col("c_nationkey") % 3 == 1, "ACTIVE").otherwise("DRAFT")
     rows = table(spark, d, "customer").select("c_custkey", status.alias("status"), (F.col("c_custkey") % 5).cast("string").alias("creator"))
     return grid.visible_cases(rows, "2").select("c_custkey")
+
+
+#: What is said, and whether it is a notice of the chat program.
+SAYINGS = (
+    ("Messages and calls are end-to-end encrypted. No one outside", True), ("\u200eYour security code with {} changed.", True), ("{}'s security code changed", True), ("{} is a contact", True), ("{} was added to your contacts.", True),
+    ('{} created group "x"', True), ('{} changed the subject to "y"', True), ("{} left", True), ("{} left the group.", True), ("{} added you to this group", True), ("{} removed ~bob-1", True), ("You're now an admin", True),
+    ("Waiting for this message. This may take a while.", True), ("left", False), ("{} left the building", False), ("what end-to-end encrypted means", False), ("{} added sugar to it", False), ("created group x", False), ("the contact of {}", False),
+)
+
+
+@query(
+    "SELECT c_custkey, CASE c_custkey % " + str(len(SAYINGS)) + " " + " ".join(f"WHEN {i} THEN {str(is_one).lower()}" for i, (_, is_one) in enumerate(SAYINGS)) + " END AS notice FROM customer"
+)
+def chat_notices(spark, d):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    said = F.element_at(F.array(*(F.replace(F.lit(t), F.lit("{}"), name) for t, _ in SAYINGS)), (k % len(SAYINGS) + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", lines.is_notice(said).alias("notice"))
+
+
+@query(
+    """, s AS (SELECT src, dst FROM redge WHERE transfers % 5 >= 2), u AS (SELECT src AS a, dst AS b FROM s UNION SELECT dst, src FROM s), h1 AS (SELECT DISTINCT b FROM u WHERE a = 'NATION_0' AND b <> 'NATION_0'),
+    h2 AS (SELECT DISTINCT u.b FROM h1 JOIN u ON u.a = h1.b WHERE u.b <> 'NATION_0' AND u.b NOT IN (SELECT b FROM h1))
+    SELECT 'NATION_0' AS name, 0 AS hop UNION ALL SELECT b, 1 FROM h1 UNION ALL SELECT b, 2 FROM h2""",
+    (views.EDGE, views.REGION_EDGE),
+)
+def bfs_confident(spark, d):
+    """Neighbours over edges of a confidence from 0.5 on."""
+    edges = views.region_edge(spark, d).withColumn("confidence", (F.col("transfers") % 5) / 4.0)
+    return graph.neighbourhood(edges, "src", "dst", "NATION_0", 2, confidence="confidence", least=0.5)

@@ -8,6 +8,7 @@ what goes on across block ends, running counts and the line that follows, comes
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,16 @@ from casefile.functions.text import money
 CHAT_START = r"^[‎‏]?\[?(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}),?\s+(\d{1,2}:\d{2}(?::\d{2})?(?:\s?[APap][Mm])?)\]?\s*(?:-\s*)?(.*)$"
 DATES = ("d/M/yyyy", "d/M/yy", "d-M-yyyy", "d.M.yyyy")
 TIMES = ("H:mm:ss", "H:mm", "h:mm:ss a", "h:mm a")
-SYSTEM = r"(?i)(end-to-end encrypted|created group|added|left$|changed the subject|changed this group|joined using|security code changed|missed (voice|video) call)"
+# How notices of the chat program itself begin, what they hold, what they are, and how they end behind a subject.
+NOTICE_STARTS = ("end-to-end encrypted", "messages and calls are end-to-end encrypted", "this chat is with business account", "this chat is with an official business account", "your security code with ")
+NOTICE_HOLDS = ("secured with end-to-end encryption", "'s security code changed")
+NOTICES = ("you're now an admin", "disappearing messages were turned on", "disappearing messages were turned off", "waiting for this message. this may take a while")
+NOTICE_ENDS = (
+    "is a contact", "is not in your contacts", "was added to your contacts", "left", "left the group", "added you", "added you to the group", "added you to this group", "removed you",
+    "added member", "added members", "added participant", "added participants", "changed the group description", "changed the group's icon",
+)
+NOTICE_QUOTES = ("created group", "changed the subject to")
+NOTICE_PERSON = r" (?:added|removed) ~?[\w+-]{2,25}$"
 MEDIA = (("IMAGE", r"(?i)<media omitted>|image omitted|\.(jpg|jpeg|png)\b"), ("AUDIO", r"(?i)audio omitted|\.(opus|mp3|m4a)\b"), ("VIDEO", r"(?i)video omitted|\.mp4\b"), ("DOCUMENT", r"(?i)document omitted|\.(pdf|docx|xlsx)\b"))
 
 
@@ -79,6 +89,19 @@ def records(lines: DataFrame, keys: list[str], starts: Column) -> DataFrame:
     return joined.select(*keys, "rec", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
 
 
+def is_notice(text: Column) -> Column:
+    """Whether a message is a notice of the chat program: of encryption, contacts, groups and members; direction marks, case and a full stop at the end do not count."""
+    low = F.lower(F.trim(F.regexp_replace(text, "[\u200e\u200f]", "")))
+    bare = F.regexp_replace(low, r"\.$", "")
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    # A security code notice names a person before it says that the code changed.
+    starts = any_of([low.startswith(x) & ~F.substring(low, len(x) + 1, 1).rlike(r"\w") for x in NOTICE_STARTS[:-1]]) | low.rlike(f"^{NOTICE_STARTS[-1]}.+ changed")
+    ends = any_of([bare.endswith(" " + x) & (F.length(bare) > len(x) + 1) for x in NOTICE_ENDS])
+    quotes = any_of([low.rlike(rf'^.+ {x} ".*"$') for x in NOTICE_QUOTES])
+    holds = any_of([F.contains(low, F.lit(x)) & ~low.startswith("'") for x in NOTICE_HOLDS])
+    return F.coalesce(starts | holds | bare.isin(*NOTICES) | ends | quotes | bare.rlike("." + NOTICE_PERSON), F.lit(False))
+
+
 def parse_chat(files: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """``chat_messages`` of exports in a column."""
     return chat_messages(numbered(files, keys, body), keys)
@@ -98,7 +121,7 @@ def chat_messages(lines: DataFrame, keys: list[str]) -> DataFrame:
     head = r"(?s)" + CHAT_START
     rest = F.regexp_extract("text", head, 3)
     stamp = F.concat_ws(" ", F.regexp_extract("text", head, 1), F.upper(F.regexp_replace(F.regexp_extract("text", head, 2), r"\s+", " ")))
-    named = rest.rlike(r"(?s)^[^:\n]{1,60}:\s") & ~F.substring_index(rest, ":", 1).rlike(SYSTEM)
+    named = rest.rlike(r"(?s)^[^:\n]{1,60}:\s") & ~is_notice(rest)
     sender = F.when(named, F.trim(F.substring_index(rest, ":", 1)))
     said = F.when(named, F.regexp_replace(rest, r"(?s)^[^:\n]{1,60}:\s", "")).otherwise(rest)
     media = F.lit(None).cast("string")
@@ -106,7 +129,7 @@ def chat_messages(lines: DataFrame, keys: list[str]) -> DataFrame:
         media = F.when(said.rlike(pattern), name).otherwise(media)
     return recs.select(
         *keys, F.col("rec").cast("int").alias("seq"), first_time(stamp, [f"{d} {t}" for d in DATES for t in TIMES]).alias("sent_at"),
-        sender.alias("sender"), F.trim(said).alias("text"), F.when(named, "USER").otherwise("SYSTEM").alias("kind"), media.alias("media"),
+        sender.alias("sender"), F.trim(said).alias("text"), F.when(named & ~is_notice(said), "USER").otherwise("SYSTEM").alias("kind"), media.alias("media"),
         said.rlike(r"(?i)(this message was deleted|you deleted this message)").alias("deleted"),
     )
 
