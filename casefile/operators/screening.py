@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casefile import params
 from casefile.functions import text as X
+from casefile.operators.fuzzynames import lcs
 
 
 def count_keywords(docs: DataFrame, id_col: str, text: str, keywords: Sequence[str]) -> DataFrame:
@@ -124,24 +128,53 @@ def top_keywords(hits: DataFrame, n: int = 10) -> DataFrame:
     return hits.groupBy("keyword").agg(F.count(F.lit(1)).alias("files"), F.max("risk").alias("max_risk")).orderBy(F.desc("files"), "keyword").limit(n)
 
 
+#: Tokens whose scores a task remembers.
+KNOWN_TOKENS = 1 << 20
+
+
 def fuzzy(rows: DataFrame, text: str, keywords: Sequence[str], least: float = 80.0) -> DataFrame:
-    """fuzzy_score and fuzzy_keyword: 100 if the squashed text holds the squashed keyword, else the best token's ratio.
+    """``rows`` with fuzzy_score and fuzzy_keyword, those of ``least`` and more: 100 if the squashed text holds the squashed keyword, else the best token's ratio in whole percent.
 
-    Ratios run only for tokens whose length alone lets them reach ``least``.
+    A task meets a token with the keywords once, by rows of bits, and remembers what came of it, so the work is in proportion to distinct
+    tokens. Of equal scores the first keyword counts; a null text has none.
     """
-    squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    body = squash(F.col(text))
-    tokens = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda t: F.length(t) > 0)
-
-    def score(k: str) -> Column:
-        kw = "".join(c for c in k.lower() if c.isalnum())
-        near = F.filter(tokens, lambda t: F.lit(200.0) * F.least(F.length(t), F.lit(len(kw))) >= least * (F.length(t) + len(kw)))
-        best = F.array_max(F.transform(near, lambda t: F.floor(X.indel_ratio(t, F.lit(kw))).cast("int")))
-        return F.when(body.contains(kw), 100).otherwise(F.coalesce(best, F.lit(0)))
-
-    ranked = F.array_max(F.array(*[F.struct(score(k).alias("s"), F.lit(-i).alias("p"), F.lit(k).alias("k")) for i, k in enumerate(keywords)]))
-    rows = rows.withColumn("_r", ranked).filter(F.col("_r.s") >= least)
-    return rows.withColumn("fuzzy_score", F.col("_r.s")).withColumn("fuzzy_keyword", F.col("_r.k")).drop("_r")
+    listed = [(k, re.sub("[^a-z0-9]", "", k.lower())) for k in keywords]
+
+    def scores(token: str) -> list[int]:
+        out = []
+        for _, k in listed:
+            both = len(token) + len(k)
+            near = both > 0 and 200 * min(len(token), len(k)) >= least * both
+            out.append(200 * lcs(token, k) // both if near else 0)
+        return out
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            at, score, found = [], [], []
+            for i, said in enumerate(batch.column(0).to_pylist()):
+                if said is None:
+                    continue
+                tokens = re.findall("[a-z0-9]+", said.lower())
+                body, best = "".join(tokens), [0] * len(listed)
+                for token in set(tokens):
+                    if token not in known:
+                        if len(known) >= KNOWN_TOKENS:
+                            known.clear()
+                        known[token] = scores(token)
+                    best = [max(a, b) for a, b in zip(best, known[token], strict=True)]
+                best = [100 if k in body else b for (_, k), b in zip(listed, best, strict=True)]
+                top = max(best, default=-1)
+                if top >= least:
+                    at.append(i)
+                    score.append(top)
+                    found.append(listed[best.index(top)][0])
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.array(score, pa.int32()), pa.array(found, pa.string())], [*batch.schema.names[1:], "fuzzy_score", "fuzzy_keyword"])
+
+    given = rows.select(F.col(text).alias("_said"), *rows.columns)
+    schema = T.StructType([*rows.schema.fields, T.StructField("fuzzy_score", T.IntegerType()), T.StructField("fuzzy_keyword", T.StringType())])
+    return given.mapInArrow(read, schema)
 
 
 def segments(rows: DataFrame, id_col: str, text: str, order: Sequence[str] = ()) -> DataFrame:

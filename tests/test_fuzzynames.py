@@ -4,7 +4,7 @@ import random
 
 import pytest
 from casefile.operators import fuzzynames as fz
-from casefile.operators import linking
+from casefile.operators import linking, screening
 
 SYLLABLES = ("KA", "RU", "MI", "TAN", "SEL", "VO", "BRI", "DEX", "LON", "PA", "TI", "GRA", "MO", "NER", "ZU", "HAL", "OP", "EN", "SH", "CO")
 ENDS = ("TRADERS", "ENGINEERS", "AGENCY", "A", "B")
@@ -39,6 +39,29 @@ def test_no_similar_pair_is_lost(spark, percent):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
 
 
+def test_fuzzy_search_equals_comparing_every_token(spark, monkeypatch):
+    import re
+
+    monkeypatch.setattr(screening, "KNOWN_TOKENS", 7)
+    rng, keywords = random.Random(4), ["Widget", "red-ring", "bolt", "bolts", "x"]
+    texts = [" ".join(rng.choice(["widgit", "Wid-get", "bold", "bolt.", "ring", "redring", "é", "widgets", "xx", "reding", "b o l t"]) for _ in range(rng.randint(0, 4))) for _ in range(200)] + [None, ""]
+
+    def plain(said):
+        tokens = re.findall("[a-z0-9]+", said.lower())
+        best = (-1, None)
+        for k in keywords:
+            kw = re.sub("[^a-z0-9]", "", k.lower())
+            ratios = [int(fz.ratio(t, kw)) for t in tokens]
+            score = 100 if kw in "".join(tokens) else max([r for r in ratios if r >= 80], default=0)
+            if score > best[0]:
+                best = (score, k)
+        return best
+
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["i"]: (r["fuzzy_score"], r["fuzzy_keyword"]) for r in screening.fuzzy(spark.createDataFrame(rows, "i int, t string"), "t", keywords).collect()}
+    assert got == {i: plain(t) for i, t in rows if t is not None and plain(t)[0] >= 80} and len({v for v in got.values()}) > 5
+
+
 def test_likeness():
     assert fz.lcs("ABCBDAB", "BDCABA") == 4 and fz.ratio("", "") == 100 and fz.ratio("AB", "AB") == 100 and fz.ratio("AB", "CD") == 0
     assert fz.word_set_ratio("ACME", "ACME TRADERS") == 100 and fz.word_set_ratio("B A", "A B") == 100 and fz.word_set_ratio("", "A") == 0
