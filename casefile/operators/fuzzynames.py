@@ -138,7 +138,8 @@ def over_letters(names: DataFrame, percent: int) -> DataFrame:
 
     each = spread(names).select("cls", "key").mapInArrow(read, "cls string, key string, g string, n int, rest int")
     a, b = (each.select("cls", "g", F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("rest").alias(f"rest_{s}")) for s in "ab")
-    met = a.join(b, ["cls", "g"]).filter("a < b")
+    # Spark takes what mapInArrow returns to be as small as what it read; without the hint small names' keys, hundreds of times as many, pass through the driver.
+    met = a.join(b.hint("merge"), ["cls", "g"]).filter("a < b")
     total = F.col("n_a") + F.col("n_b")
     most = F.floor(F.lit(100 - percent) * total / 100)
     d = most - F.pmod(most - total, F.lit(2))
@@ -156,14 +157,14 @@ def over_words(names: DataFrame, percent: int) -> DataFrame:
     """
     words = names.select("cls", "key", F.explode(F.array_distinct(F.split("key", " "))).alias("w")).filter("w <> ''")
     often = words.groupBy("cls", "w").agg(F.count(F.lit(1)).alias("often"))
-    each = words.join(often, ["cls", "w"])
+    each = words.join(often.hint("merge"), ["cls", "w"])
     by_rarity = Window.partitionBy("cls", "key").orderBy("often", "w")
     before = F.coalesce(F.sum(F.length("w") + 1).over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     letters = F.sum(F.length("w") + 1).over(Window.partitionBy("cls", "key")) - 1
     # Missing letters x with blanks: p * (1 + x) <= (200 - 2 * p) * s and s + 1 + x <= letters.
     spare = F.lit(200 - 2 * percent) * letters / F.lit(200 - percent)
     needed = each.withColumn("before", before).withColumn("spare", spare).filter("before <= spare").select("cls", "w", F.col("key").alias("x"))
-    met = needed.join(each.select("cls", "w", F.col("key").alias("y")), ["cls", "w"]).filter("x <> y")
+    met = needed.join(each.select("cls", "w", F.col("key").alias("y")).hint("merge"), ["cls", "w"]).filter("x <> y")
     return met.select("cls", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
