@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casefile.operators.crossref import contained
 from casefile.operators.procurement import total
 
 
@@ -134,16 +135,15 @@ def vault_matches(external: DataFrame, internal: DataFrame) -> DataFrame:
     """Profiles outside a case that its keywords meet: profile_id, name, shared.
 
     external: profile_id, name, keywords (array); internal: keyword. A profile matches if its name is a keyword, holds one, or it
-    shares one of three letters or more. Shared keywords are joined; keywords within names are met over the pieces of a name.
+    shares one of three letters or more. Shared keywords are joined; keywords within names are met over runs of letters.
     """
     words = internal.select(F.lower(F.trim("keyword")).alias("word")).filter(F.length("word") >= 3).distinct()
     each = external.select("profile_id", "name", F.explode_outer("keywords").alias("k"))
-    shared = each.join(words, F.lower(F.trim("k")) == F.col("word")).select("profile_id", "name", "word", F.lit(True).alias("own"))
-    low = F.lower("name")
-    # All pieces of three letters or more; a name has at most some hundreds.
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - 2)), lambda i: F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length(low) - i + 1)), lambda n: F.substring(low, i, n))))
-    inside = external.select("profile_id", "name", F.explode(F.array_distinct(pieces)).alias("piece")).join(words, F.col("piece") == F.col("word"))
-    both = shared.unionByName(inside.select("profile_id", "name", "word", F.lit(False).alias("own")))
+    # Exploded rows look as few as the profiles are, so without the hint they pass through the driver.
+    shared = each.join(words.hint("merge"), F.lower(F.trim("k")) == F.col("word")).select("profile_id", "name", "word", F.lit(True).alias("own"))
+    found = contained(external.select(F.lower("name").alias("text")), words.select(F.col("word").alias("needle")), 3)
+    inside = external.join(found.hint("merge"), F.lower("name") == F.col("text")).select("profile_id", "name", F.col("needle").alias("word"), F.lit(False).alias("own"))
+    both = shared.unionByName(inside)
     out = both.groupBy("profile_id", "name").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("own"), F.col("word")))), ", ").alias("shared"))
     return out.withColumn("shared", F.coalesce(F.nullif("shared", F.lit("")), F.col("name")))
 

@@ -41,3 +41,11 @@ def test_letter_pairs_stay_off_the_driver(spark, tmp_path):
     df = fuzzynames.similar_names(spark.read.parquet(f"{tmp_path}/names"), 85)
     assert "Broadcast" not in plan_of(df)
     assert [(r["a"], r["b"]) for r in df.collect()] == [("ACME TRADER", "ACME TRADERS")]
+
+
+def test_pieces_of_names_stay_off_the_driver(spark, tmp_path):
+    spark.createDataFrame([(1, "Big Customer#0012", ["x", "Audit "]), (2, "zed", ["ab"]), (3, "none", None)], "profile_id long, name string, keywords array<string>").write.parquet(f"{tmp_path}/profiles")
+    words = spark.createDataFrame([("AUDIT",), (" 0012",), ("zed",), ("ab",)], "keyword string")
+    df = records.vault_matches(spark.read.parquet(f"{tmp_path}/profiles"), words)
+    assert "Broadcast" not in plan_of(df)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "Big Customer#0012", "audit"), (2, "zed", "zed")]
