@@ -105,10 +105,12 @@ def vault_matches(spark, d):
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS a, 100000 + o_orderkey % 400 AS b FROM orders) SELECT DISTINCT x.a AS target, x.b AS document, y.a AS party FROM e x JOIN e y ON x.b = y.b WHERE x.a < 40 AND y.a >= 1400""")
 def document_bridges(spark, d):
-    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("x"), (F.lit(100_000) + F.col("o_orderkey") % 400).alias("y"), (F.col("o_orderkey") % 2 == 0).alias("f"))
+    # Documents are nodes with numbers below zero, as customers may have any other.
+    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("x"), (F.lit(-100_000) - F.col("o_orderkey") % 400).alias("y"), (F.col("o_orderkey") % 2 == 0).alias("f"))
     edges = edges.select(F.when(F.col("f"), F.col("x")).otherwise(F.col("y")).alias("src"), F.when(F.col("f"), F.col("y")).otherwise(F.col("x")).alias("dst"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    return records.bridges(edges, c.filter("id < 40"), edges.select(F.greatest("src", "dst").alias("id")), c.filter("id >= 1400"))
+    found = records.bridges(edges, c.filter("id < 40"), edges.select(F.least("src", "dst").alias("id")), c.filter("id >= 1400"))
+    return found.withColumn("document", -F.col("document"))
 
 
 @query("""WITH d AS (SELECT conv_id, turn // 2 AS label, arg_min(role || turn, turn) AS found FROM conversations WHERE length(text) % 2 = 0 GROUP BY 1, 2) SELECT c.conv_id, c.turn, found FROM conversations c LEFT JOIN d ON d.conv_id = c.conv_id AND d.label = c.turn // 2""")

@@ -49,3 +49,8 @@ def test_pieces_of_names_stay_off_the_driver(spark, tmp_path):
     df = records.vault_matches(spark.read.parquet(f"{tmp_path}/profiles"), words)
     assert "Broadcast" not in plan_of(df)
     assert sorted(tuple(r) for r in df.collect()) == [(1, "Big Customer#0012", "audit"), (2, "zed", "zed")]
+
+
+def test_document_numbers_are_not_customers(spark, spread_keys):
+    assert duckdb.sql(f"SELECT count(*) FROM '{spread_keys}/customer.parquet' WHERE c_custkey BETWEEN 100000 AND 100399").fetchall()[0][0]
+    same_as_sql(spark, "document_bridges", spread_keys)
