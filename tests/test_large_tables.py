@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
-from casefile.operators import fuzzynames, records
+from casefile.operators import fuzzynames, graph, records
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "nation", "region")
@@ -54,3 +54,15 @@ def test_pieces_of_names_stay_off_the_driver(spark, tmp_path):
 def test_document_numbers_are_not_customers(spark, spread_keys):
     assert duckdb.sql(f"SELECT count(*) FROM '{spread_keys}/customer.parquet' WHERE c_custkey BETWEEN 100000 AND 100399").fetchall()[0][0]
     same_as_sql(spark, "document_bridges", spread_keys)
+
+
+def test_sets_of_keywords_open_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MEMBERS", 2)
+    rows = [(i, ["aaa", "bbb"] if i % 2 else ["bbb", "aaa", "aaa", "zz", None]) for i in range(7)] + [(7, ["bbb", "ccc"]), (8, ["ccc"]), (9, None), (8, ["ddd", "aaa"])]
+    df = graph.keyword_nexus(spark.createDataFrame(rows, "id long, words array<string>"), "id", "words")
+    held = {i: {k for j, ks in rows if i == j for k in ks or [] if k and len(k) >= 3} for i, _ in rows}
+    want = {(a, b): ",".join(sorted(held[a] & held[b])) for a in held for b in held if a < b and held[a] & held[b]}
+    assert {(r["a"], r["b"]): r["keywords"] for r in df.collect()} == want and df.count() == len(want)
+    assert all(r["shared"] == len(r["keywords"].split(",")) for r in df.collect())
+    # Nothing is shuffled once pairs are opened.
+    assert "Exchange" not in plan_of(df).split("explode(y_ids")[0].rsplit("explode(x_ids", 1)[0]
