@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
-from casefile.operators import fuzzynames, graph, records
+from casefile.operators import crossref, fuzzynames, graph, records
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "nation", "region")
@@ -66,3 +66,11 @@ def test_sets_of_keywords_open_by_blocks(spark, monkeypatch):
     assert all(r["shared"] == len(r["keywords"].split(",")) for r in df.collect())
     # Nothing is shuffled once pairs are opened.
     assert "Exchange" not in plan_of(df).split("explode(y_ids")[0].rsplit("explode(x_ids", 1)[0]
+
+
+def test_vendors_meet_without_shuffling_pairs(spark):
+    rows = spark.createDataFrame([(1, "Acme", "pay 12345678 to Acme ACME/x"), (2, None, "tel 987654321"), (3, "zz", None)], "id long, party string, narration string")
+    vendors = spark.createDataFrame([(7, "A/C 2345678", "acme", " Acme", "pay", "+98 76543"), (8, None, None, "zz9", "tel", "9876"), (9, "12345", "", "ac", None, "87-654")], "vid long, bank string, code string, name string, owner string, phone string")
+    df = crossref.vendor_matches(rows, "id", "party", "narration", vendors, "vid")
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 7, "Bank A/C: A/C 2345678, Code: acme, Name:  Acme, Owner: pay"), (1, 9, "Bank A/C: 12345"), (2, 7, "Phone: +98 76543"), (2, 8, "Owner: tel"), (2, 9, "Phone: 87-654")]
+    assert "Aggregate" not in plan_of(df)
