@@ -74,3 +74,12 @@ def test_vendors_meet_without_shuffling_pairs(spark):
     df = crossref.vendor_matches(rows, "id", "party", "narration", vendors, "vid")
     assert sorted(tuple(r) for r in df.collect()) == [(1, 7, "Bank A/C: A/C 2345678, Code: acme, Name:  Acme, Owner: pay"), (1, 9, "Bank A/C: 12345"), (2, 7, "Phone: +98 76543"), (2, 8, "Owner: tel"), (2, 9, "Phone: 87-654")]
     assert "Aggregate" not in plan_of(df)
+
+
+def test_profiles_of_one_set_of_keywords_meet_vendors_once(spark):
+    vendors = spark.createDataFrame([(1, "Acme Ltd", "c1", "ravi", "a@acme.com", "123456", "999999"), (2, "Zed", "zed", "someone", None, None, None)], "vid long, name string, code string, owner string, email string, phone string, bank string")
+    profiles = spark.createDataFrame([(1, "Acme", ["acme", " ZED "]), (2, "nobody", ["zed", "Acme", "acme"]), (3, None, ["tel 23456"]), (4, "zed", None), (5, "zed", ["zz"])], "pid long, name string, keywords array<string>")
+    df = crossref.vendor_profiles(vendors, "vid", profiles, "pid")
+    got = {(r["vid"], r["pid"]): r["terms"] for r in df.collect()}
+    assert got == {(1, 1): "Acme, Email: a@acme.com, acme", (2, 1): "zed", (1, 2): "Email: a@acme.com, acme", (2, 2): "zed", (1, 3): "Phone: 123456", (2, 4): "zed", (2, 5): "zed"}
+    assert "Aggregate" not in "\n".join(plan_of(df).splitlines()[:4])  # pairs are not grouped last
