@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from casefile.functions.text import snippet
 from casefile.operators.grid import excluded_path
 from casefile.sources import pdf
+from casefile.sources.batches import batched
 from casefile.sources.office import BROKEN
 
 #: Bytes to which the archives of one file may unpack together; beyond it there is an error row.
@@ -114,11 +115,15 @@ def pages(files: DataFrame, most: int = MOST_UNPACKED) -> DataFrame:
     names = ["path", "member", "kind", "page", "text", "error"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                name = path.as_py()
                 for row in parts_of(content.as_py() or b"", most):
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path.as_py(), *row), kinds, strict=True)], names)
+                    yield name, *row
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(rows(batches), names, kinds)
 
     return files.select("path", "content").mapInArrow(work, PAGES)
 

@@ -3,8 +3,10 @@
 import io
 import zipfile
 
+import pyarrow as pa
+from __spark_entry__ import queries
 from casefile.session import put, work_dir
-from casefile.sources import ledger, office, scan
+from casefile.sources import batches, ledger, office, scan
 from pyspark.sql import functions as F
 
 
@@ -58,3 +60,18 @@ def test_reports_and_masters(spark):
     assert [tuple(r) for r in spark.read.option("header", True).csv(path).collect()] == [("a", "1.0"), ("b", "2.0")]
     assert spark.read.option("header", True).csv(path).columns == ["Party Name", "Total"]
     assert ledger.master(spark, [None]).count() == 0
+
+
+def test_pages_go_on_in_batches_of_bounded_size(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(scan, "batched", lambda rows, names, kinds: (made.append(b.num_rows) or b for b in batches.batched(rows, names, kinds, 3)))
+    works = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, work, schema: works.append(work))
+    scan.pages(spark.createDataFrame([("a", b"x")], "path string, content binary"))
+    given = pa.RecordBatch.from_arrays([pa.array(["a", "b", "n"]), pa.array([b"1\f2\f3", b"4", None])], ["path", "content"])
+    got = [r for b in works[0](iter([given])) for r in b.to_pylist()]
+    assert [(r["path"], r["page"], r["text"]) for r in got] == [("a", 1, "1"), ("a", 2, "2"), ("a", 3, "3"), ("b", 1, "4"), ("n", 1, "")] and made == [3, 2]
+
+
+def test_texts_of_files_stay_off_the_driver(spark):
+    assert "Broadcast" not in queries()["document_properties"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
