@@ -79,14 +79,28 @@ def first_time(text: Column, formats: list[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
-def records(lines: DataFrame, keys: list[str], starts: Column) -> DataFrame:
+def records(lines: DataFrame, keys: list[str], starts: Column, title: Column | None = None) -> DataFrame:
     """keys, rec (from 1), text: lines joined to the record that they belong to, across blocks too; those before the first go.
 
-    A record is one row, so it has to fit one.
+    A record is one row, so it has to fit one. title: of lines that begin a part; records are counted within a part then, and
+    ``part`` is the line that begins it. Lines before the first record of a part go, and so do those before the first part.
     """
-    rows = across_blocks(lines, keys, starts).filter("c0 > 0")
-    joined = rows.groupBy(*keys, F.col("c0").alias("rec")).agg(F.array_sort(F.collect_list(F.struct("block", "n", "line"))).alias("_l"))
-    return joined.select(*keys, "rec", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
+    if title is None:
+        rows = across_blocks(lines, keys, starts).filter("c0 > 0")
+        return joined_lines(rows, keys).select(*keys, F.col("c0").alias("rec"), "text")
+    rows = across_blocks(lines, keys, starts & ~title, title).filter("c1 > 0")
+    parts = rows.filter(title).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("c1").alias("_c1"), F.col("c0").alias("_before"), F.col("line").alias("part"))
+    same = F.col("c1") == F.col("_c1")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    recs = joined_lines(rows.filter(~title), [*keys, "c1"]).join(parts, same)
+    return recs.filter(F.col("c0") > F.col("_before")).select(*keys, "part", (F.col("c0") - F.col("_before")).alias("rec"), "text")
+
+
+def joined_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, c0, text: the lines of each record in their order."""
+    joined = rows.groupBy(*keys, "c0").agg(F.array_sort(F.collect_list(F.struct("block", "n", "line"))).alias("_l"))
+    return joined.select(*keys, "c0", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
 
 
 def is_notice(text: Column) -> Column:
@@ -107,17 +121,23 @@ def parse_chat(files: DataFrame, keys: list[str], body: str = "body") -> DataFra
     return chat_messages(numbered(files, keys, body), keys)
 
 
-def read_chat(spark: SparkSession, path: str) -> DataFrame:
-    """``chat_messages`` of export files of any size, by path."""
-    return chat_messages(read_lines(spark, path), ["path"])
+def read_chat(spark: SparkSession, path: str, title: str | None = None) -> DataFrame:
+    """``chat_messages`` of export files of any size, by path.
+
+    title: a pattern of the line that begins a chat, for files that hold many chats one after the other; what it catches is ``chat``.
+    A file for each chat is opened and closed for a few lines, so many small chats are read sooner from few files.
+    """
+    return chat_messages(read_lines(spark, path), ["path"], title)
 
 
-def chat_messages(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Messages of a chat export: keys, seq, sent_at (null if no format fits), sender, text, kind, media, deleted.
+def chat_messages(lines: DataFrame, keys: list[str], title: str | None = None) -> DataFrame:
+    """Messages of a chat export: keys, chat (if there is a ``title``), seq, sent_at (null if no format fits), sender, text, kind, media, deleted.
 
-    A line that starts with date and time begins a message; other lines go on with the one before.
+    A line that starts with date and time begins a message; other lines go on with the one before. A chat ends at the next one's title.
     """
-    recs = records(lines, keys, F.col("line").rlike(CHAT_START))
+    recs = records(lines, keys, F.col("line").rlike(CHAT_START), F.col("line").rlike(title) if title else None)
+    if title:
+        recs, keys = recs.withColumn("chat", F.regexp_extract("part", title, 1)), [*keys, "chat"]
     head = r"(?s)" + CHAT_START
     rest = F.regexp_extract("text", head, 3)
     stamp = F.concat_ws(" ", F.regexp_extract("text", head, 1), F.upper(F.regexp_replace(F.regexp_extract("text", head, 2), r"\s+", " ")))

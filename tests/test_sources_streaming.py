@@ -66,6 +66,27 @@ def test_files_in_ranges_equal_whole_texts(spark, tmp_path):
     assert cues == [r[1:] for r in lines.parse_transcript(files(spark, vtt.removeprefix("\ufeff")), ["path"]).orderBy("seq").collect()] and len(cues) == 121
 
 
+def test_chats_one_after_the_other_in_a_file(spark, tmp_path, monkeypatch):
+    """Titles, banners and messages go on across the ends of ranges; a chat may be empty or repeated."""
+    chat = lambda n: "banner\n" * (n % 3) + "".join(f"{1 + i % 28:02d}/01/2024, 10:{i % 60:02d} - P {i % 3}: said {n} {i}\n" + "more\n" * (i % 3) for i in range(5 * (n % 4)))
+    (tmp_path / "a.txt").write_text("01/01/2024, 10:00 - P: of no chat\n" + "".join(f"Chat: {n}\n{chat(n)}" for n in range(12)))
+    (tmp_path / "b.txt").write_text(f"Chat: -7\n{chat(3)}Chat: 5\n")
+    monkeypatch.setattr(registry_sources, "work_dir", lambda *_: str(tmp_path / "made"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        got = lines.read_chat(spark, str(tmp_path / "[ab].txt"), r"^Chat: (-?[0-9]+)$").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for n in range(12):
+        want = [tuple(r)[1:] for r in lines.parse_chat(files(spark, chat(n).removesuffix("\n")), ["path"]).orderBy("seq").collect()] if n % 7 == 3 else None
+        found = [tuple(r)[2:] for r in sorted(got, key=lambda r: r.seq) if r.chat == str(n) and r.path.endswith("a.txt")]
+        assert len(found) == 5 * (n % 4) and want in (None, found)
+    assert sorted(r.seq for r in got if r.path.endswith("b.txt")) == list(range(1, 16)) and {r.chat for r in got if r.path.endswith("b.txt")} == {"-7"}
+    registry_sources.chat_files(spark, "/root/testdata/sf0.01")
+    assert 0 < len(list((tmp_path / "made").rglob("part-*"))) <= 4  # for 100 conversations
+
+
 def test_texts_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK_LINES", 3)
     body = "\n".join(f"0{1 + i % 9}/02/2024 UPI {i}\n\n some one {i}.00 98,500.00 Dr" for i in range(40))
