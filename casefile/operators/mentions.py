@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from casefile import params
 from casefile.functions.text import slug
 from casefile.operators.entities import clean, is_name, scan
+from casefile.session import spread
 
 FILE_END = r"(?i)\.(?:" + "|".join(params.LISTED_FILE_ENDS) + ")$"
 FOUND = (("line", "long", pa.int64()), ("nth", "int", pa.int32()), ("name", "string", pa.string()), ("category", "string", pa.string()), ("role", "string", pa.string()), ("confidence", "double", pa.float64()))
@@ -39,6 +40,14 @@ def found_in(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.col("line").cast("long"), "text").mapInArrow(read, schema)
 
 
+def found_once(rows: DataFrame) -> DataFrame:
+    """``found_in`` with n, the number of an id's rows that say so: a text that an id repeats is scanned once, for its first line."""
+    texts = rows.groupBy("id", "text").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"))
+    # The number of a text's rows travels with its id.
+    found = found_in(texts.select(F.struct("id", "n").alias("id"), "line", "text"))
+    return found.select("id.*", *(n for n, _, _ in FOUND))
+
+
 def cleaned(raw: Column) -> Column:
     """A cleaned name, or null where it is none."""
     return F.udf(lambda x: name if x is not None and is_name(name := clean(x)) else None, T.StringType())(raw)
@@ -63,14 +72,19 @@ def one_each(found: DataFrame, by_best: bool = True) -> DataFrame:
 
 
 def singles_joined(one: DataFrame) -> DataFrame:
-    """Single words given to the first longer name of their id that holds them as a word."""
+    """Single words given to the first longer name of their id that holds them as a word.
+
+    A name goes to its own key and to each word that it holds, so names are scanned and exchanged once.
+    """
     words = F.filter(F.split(F.translate("key", ".", " "), r"\s+"), lambda w: (w != "") & (w != F.col("key")))
-    holders = one.select("id", "key", "pos", F.explode(F.array_distinct(words)).alias("word"))
-    first = holders.groupBy(F.col("id").alias("h_id"), "word").agg(F.min_by("key", "pos").alias("into"))
-    found = one.join(first, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("word")) & ~F.col("key").contains(" "), "left")
-    target = F.coalesce("into", "key")
-    whole = F.min_by(F.struct("name", "category", "role", "confidence"), F.when(F.col("into").isNull(), 0).otherwise(1))
-    return found.groupBy("id", target.alias("key")).agg(whole.alias("e"), F.sum("mentions").alias("mentions")).select("id", "key", "e.*", "mentions")
+    own = F.struct(F.col("key").alias("word"), F.struct("name", "category", "role", "confidence", "mentions").alias("e"))
+    held = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.lit(None).alias("e")))
+    met = one.select("id", "key", "pos", F.explode(F.concat(F.array(own), held)).alias("x")).select("id", "key", "pos", "x.*")
+    found = met.groupBy("id", F.col("word").alias("key")).agg(F.max("e").alias("e"), F.min_by("key", F.when(F.col("e").isNull(), F.col("pos"))).alias("into")).filter("e is not null")
+    into = F.when(~F.col("key").contains(" "), F.col("into"))
+    target = F.coalesce(into, "key")
+    whole = F.min_by(F.struct("e.name", "e.category", "e.role", "e.confidence"), F.when(into.isNull(), 0).otherwise(1))
+    return found.groupBy("id", target.alias("key")).agg(whole.alias("e"), F.sum("e.mentions").alias("mentions")).select("id", "key", "e.*", "mentions")
 
 
 def ranked(rows: DataFrame, id_col: str, keywords: DataFrame | None) -> DataFrame:
@@ -91,8 +105,7 @@ def with_risk(rows: DataFrame, raised: tuple[str, ...] = params.RAISED, high: tu
 def talk(messages: DataFrame, id_col: str, sender: str, text: str, line: str) -> DataFrame:
     """Names that are said in the lines ``sender: text`` of each id."""
     said = F.concat(F.coalesce(F.col(sender), F.lit("")), F.lit(": "), F.col(text))
-    found = found_in(messages.filter(F.length(text) > 0).select(F.col(id_col).alias("id"), F.col(line).alias("line"), said.alias("text")))
-    return with_risk(singles_joined(one_each(found.withColumn("n", F.lit(1)))))
+    return with_risk(singles_joined(one_each(found_once(messages.filter(F.length(text) > 0).select(F.col(id_col).alias("id"), F.col(line).alias("line"), said.alias("text"))))))
 
 
 def with_people(named: DataFrame, people: DataFrame, about: tuple[str, str, int, str]) -> DataFrame:
@@ -129,11 +142,14 @@ def names_in_chats(messages: DataFrame, id_col: str, sender: str, text: str, lin
 
 def names_in_hits(hits: DataFrame, id_col: str, file: str, snippet: str, author: str, line: str, keywords: DataFrame | None = None) -> DataFrame:
     """Names of each custodian's scanned files: in the words of file names, in snippets and of authors who have a name."""
-    of = F.when(cleaned(F.col(author)).isNotNull(), F.concat(F.lit("Author: "), F.col(author)))
-    texts = F.filter(F.array(file_words(F.col(file)), F.col(snippet), of), lambda t: F.length(t) > 0)
-    lines = hits.select(F.col(id_col).alias("id"), F.col(line).alias("at"), F.posexplode(texts).alias("i", "text"))
-    found = found_in(lines.select("id", (F.col("at") * 3 + F.col("i")).alias("line"), "text"))
-    return ranked(with_risk(singles_joined(one_each(found.withColumn("n", F.lit(1))))), id_col, keywords)
+    texts = F.array(file_words(F.col(file)), F.col(snippet), F.col(author))
+    each = spread(hits.select(id_col, file, snippet, author, line)).select(F.col(id_col).alias("id"), F.col(line).alias("at"), F.posexplode(texts).alias("i", "text")).filter(F.length("text") > 0)
+    # Files and authors come again with every hit; authors are judged once each.
+    each = each.groupBy("id", "i", "text").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    of = F.when(F.col("i") < 2, F.col("text")).when(cleaned(F.when(F.col("i") == 2, F.col("text"))).isNotNull(), F.concat(F.lit("Author: "), F.col("text")))
+    each = each.select(F.struct("id", "n").alias("id"), (F.col("at") * 3 + F.col("i")).alias("line"), of.alias("text")).filter("text is not null")
+    found = found_in(each).select("id.*", *(n for n, _, _ in FOUND))
+    return ranked(with_risk(singles_joined(one_each(found))), id_col, keywords)
 
 
 def names_in_documents(documents: DataFrame, id_col: str, file: str, found: str, author: str, company: str, line: str, keywords: DataFrame | None = None) -> DataFrame:
@@ -148,7 +164,7 @@ def names_in_documents(documents: DataFrame, id_col: str, file: str, found: str,
         category, role, sure = about
         return base.select("id", "line", F.lit(nth).alias("nth"), cleaned(F.col(column)).alias("name"), F.lit(category).alias("category"), F.lit(role).alias("role"), F.lit(sure).alias("confidence"), F.lit(1).alias("n"))
 
-    named = found_in(base.select("id", "line", file_words(F.col(file)).alias("text")))
+    named = found_in(spread(base.select("id", "line", file_words(F.col(file)).alias("text"))))
     # Within a file's name single words join longer ones before they are counted with the rest.
     of_file = singles_joined(one_each(named.select(F.struct("id", "line").alias("id"), "line", "nth", "name", "category", "role", "confidence", F.lit(1).alias("n"))))
     of_file = of_file.select("id.*", (F.lit(1 << 24) + F.row_number().over(Window.partitionBy("id").orderBy(F.desc("mentions"), F.desc("confidence"), "name"))).alias("nth"), "name", "category", "role", "confidence", F.col("mentions").alias("n"))

@@ -100,3 +100,29 @@ def test_listed_names_either_way(spark):
     for most in (lexicon.MOST_LETTERS, 0):
         assert {tuple(r) for r in lexicon.hits(rows, names, most).collect()} == want
     assert lexicon.hits(rows, names.limit(0)).count() == 0
+
+
+def test_texts_that_come_again_are_scanned_once(spark, tmp_path):
+    rows = [(i % 2, i, "Kum_Traders-x.pdf" if i % 3 else None, ["ask Orwin today", "Mr. Orwin Baxley, met Baxley", ""][i % 3], ["Mr. Orwin", "Scan", None][i % 3]) for i in range(60)]
+    hits = spark.createDataFrame(rows, "c long, line long, file string, snippet string, author string")
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(text, plain=mentions.scan):
+        count.add(1)
+        return plain(text)
+
+    mentions.scan, plain = counted, mentions.scan
+    try:
+        got = mentions.names_in_hits(hits, "c", "file", "snippet", "author", "line").collect()
+        said = mentions.names_in_chats(hits, "c", "author", "snippet", "line").collect()
+    finally:
+        mentions.scan = plain
+    one = {c: {} for c in (0, 1)}
+    for c, line, file, snippet, author in rows:
+        texts = [file and file.removesuffix(".pdf").replace("_", " ").replace("-", " "), snippet, author and entities.is_name(entities.clean(author)) and "Author: " + author]
+        for i, t in enumerate(texts):
+            for nth, f in enumerate(entities.scan(t or "")):
+                one[c].setdefault((line * 3 + i, nth), f)
+    want = {(c, name, category, role, n) for c, found in one.items() for _, name, category, role, _, n in entities.merged((found[k], 1) for k in sorted(found))}
+    assert {(r.c, r.name, r.category, r.role, r.mentions) for r in got} == want and any(n > 10 for *_, n in want)
+    assert {r.name for r in said} >= {"Orwin Baxley"} and 0 < count.value <= 2 * (4 + 3)
