@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.session import table
+from casefile.session import dealt, shares, table
 
 PRPO = """prpo AS (
   SELECT l_suppkey AS vendor, s_name AS vendor_name, l_partkey AS material, p_type AS material_type, p_name AS description,
@@ -35,9 +35,15 @@ REGION_EDGE = """redge AS (
 
 
 def prpo(spark: SparkSession, d: str) -> DataFrame:
-    """Receipts with their order, vendor and material; the small masters are left to the optimizer to broadcast."""
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """Receipts with their order, vendor and material; small masters are left to the optimizer to broadcast.
+
+    Large tables are dealt to as many tasks as they need. Orders come last, so what is grouped by order is not dealt again.
+    """
+    lines, orders, parts = (table(spark, d, t) for t in ("lineitem", "orders", "part"))
+    n = shares(lines)
+    rows = dealt(lines, n, "l_partkey").join(dealt(parts, n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = dealt(rows, n, "l_orderkey").join(dealt(orders, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     names = {
         "l_suppkey": "vendor", "s_name": "vendor_name", "l_partkey": "material", "p_type": "material_type", "p_name": "description",
         "l_orderkey": "po", "l_linenumber": "line", "o_orderdate": "po_date", "l_shipdate": "pstng_date", "p_size": "po_qty", "l_quantity": "gr_qty",

@@ -33,6 +33,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
+#: Bytes of input files for each partition of a large exchange.
+SHARE_BYTES = 4 << 20
+
+
+def shares(*dfs: DataFrame) -> int:
+    """Partitions for an exchange of all rows of ``dfs``: as many as their input files ask for, so a task's memory does not grow with them; 0 if the session's cores are enough."""
+    context = dfs[0].sparkSession.sparkContext
+    conf, size = context._jsc.hadoopConfiguration(), 0
+    for file in {f for df in dfs for f in df.inputFiles()}:
+        where = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(file))
+        size += where.getFileSystem(conf).getFileStatus(where).getLen()
+    n = -(-size // SHARE_BYTES)
+    return n if n > context.defaultParallelism else 0
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in ``n`` partitions, which are not put together again; as it is if ``n`` is 0."""
+    return df.repartition(n, *keys) if n else df
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors see: below spark.checkpoint.dir, or local where the session is."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")

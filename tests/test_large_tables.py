@@ -1,10 +1,13 @@
 """Faults that show on tables larger than the driver's small ones."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from casefile import session
 from casefile.operators import crossref, fuzzynames, graph, records
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +86,28 @@ def test_profiles_of_one_set_of_keywords_meet_vendors_once(spark):
     got = {(r["vid"], r["pid"]): r["terms"] for r in df.collect()}
     assert got == {(1, 1): "Acme, Email: a@acme.com, acme", (2, 1): "zed", (1, 2): "Email: a@acme.com, acme", (2, 2): "zed", (1, 3): "Phone: 123456", (2, 4): "zed", (2, 5): "zed"}
     assert "Aggregate" not in "\n".join(plan_of(df).splitlines()[:4])  # pairs are not grouped last
+
+
+def exchanges_of(df, kind: str) -> list[str]:
+    return [x for x in plan_of(df).splitlines() if "Exchange hashpartitioning" in x and kind in x]
+
+
+@pytest.mark.parametrize("name", ["open_po", "ledger_reader"])
+def test_tasks_grow_with_the_tables(spark, monkeypatch, name):
+    """Large tables are dealt to as many tasks as their files ask for, not to a number that the session has; results are the same."""
+    size = Path(f"{SF}/lineitem.parquet").stat().st_size
+    monkeypatch.setattr(session, "SHARE_BYTES", size // 9)
+    n = session.shares(spark.read.parquet(f"{SF}/lineitem.parquet"))
+    assert n in (9, 10) and session.shares(spark.createDataFrame([(1,)], "a int")) == 0
+    df = queries()[name](spark, SF)
+    dealt = exchanges_of(df, "REPARTITION_BY_NUM")
+    assert len([x for x in dealt if f", {n})" in x or f", {n}), " in x]) >= 4
+    if name == "open_po":
+        assert not exchanges_of(df, "ENSURE_REQUIREMENTS")
+    else:
+        assert any("G/L acct" in x and "PO" in x for x in dealt)
+    same_as_sql(spark, name, SF)
+
+
+def test_small_tables_are_not_dealt_again(spark):
+    assert not exchanges_of(queries()["open_po"](spark, SF), "REPARTITION_BY_NUM")
