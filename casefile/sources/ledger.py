@@ -5,12 +5,21 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casefile.session import dealt, shares
+
 # Headers as exports spell them and the columns that analyses use.
 RENAMED = {"Supplier": "Vendor", "G/L Acct": "G/L acct"}
 DATES, NUMBERS = ("PO Date", "Pstng Date"), ("PO Qty", "GR Qty", "Net price", "Amount LC")
+FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy")
+
+
+def may_fit(text: Column, form: str) -> Column:
+    """Whether a text has the signs of a format, and a time only if that has; a format that is tried in vain takes many times as long."""
+    signs = [F.contains(text, F.lit(s)) for s in "-./:" if s in form] + ([] if ":" in form else [~F.contains(text, F.lit(":"))])
+    return reduce(lambda a, b: a & b, signs)
 
 
 def orders_and_receipts(frames: Sequence[DataFrame], keep: Sequence[str], gl_master: DataFrame | None = None, renamed: Mapping[str, str] = RENAMED) -> DataFrame:
@@ -22,12 +31,15 @@ def orders_and_receipts(frames: Sequence[DataFrame], keep: Sequence[str], gl_mas
     """
     named = [df.withColumnsRenamed({a: b for a, b in renamed.items() if a in df.columns and b not in df.columns}) for df in frames]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    given = [f"`{c}`" for c in rows.columns]
     for c in (*DATES, *NUMBERS, "G/L acct", "Material"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     filled = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
-    rows = rows.withColumns({"G/L acct": filled("`G/L acct`", "0000"), "Material": filled("Material", "<NA>")}).dropDuplicates()
-    when = lambda c: F.coalesce(*[F.try_to_timestamp(F.col(f"`{c}`"), F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy")]).cast("date")
+    rows = rows.withColumns({"G/L acct": filled("`G/L acct`", "0000"), "Material": filled("Material", "<NA>")})
+    # By the columns that files have: with those that are null throughout, Spark would deal the rows once more.
+    rows = dealt(rows, shares(rows), *given).dropDuplicates()
+    when = lambda c: F.coalesce(*[F.when(may_fit(F.col(f"`{c}`"), f), F.try_to_timestamp(F.col(f"`{c}`"), F.lit(f))) for f in FORMATS]).cast("date")
     number = lambda c: F.regexp_replace(F.col(f"`{c}`"), "[, ]", "").try_cast("double")
     rows = rows.withColumns({**{c: when(c) for c in DATES}, **{c: number(c) for c in NUMBERS}}).filter("`Pstng Date` is not null")
     rows = rows.withColumn("G/L acct", F.coalesce(F.col("`G/L acct`").try_cast("double").cast("long"), F.lit(0).cast("long")))
