@@ -9,20 +9,26 @@ pairs, and three of the rarest few of each name's pairs, in one order for all na
 may follow bounds the overlap (position filter). Pairs within words, word ends included, do not depend on the order of
 words, so the same holds for sets of words. Names of which one holds most of the other's words meet over the words that the
 shorter one cannot do without, the rarest first. What meets is compared exactly.
+
+Letter pairs tell little of very many names, as the pairs that meet grow with the square of the names. So short ones among many names
+meet over what is left of them when a few letters are deleted (``shortnames``), and letter pairs are for pairs with a long name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casefile.operators.shortnames import is_long, over_deletions
 from casefile.session import spread
 
+#: Names up to which all meet over letter pairs.
+MANY = 20_000
 #: Letters of two names together up to which they meet over three letter pairs, and over two.
 TRIPLES, PAIRS = 44, 160
 
@@ -77,13 +83,13 @@ def shared(n: int, m: int, percent: int, ends: int) -> int:
 
 
 @cache
-def levels(n: int, percent: int, ends: int) -> dict[int, int]:
-    """How many letter pairs a string of n letters has to meet others over, with the least number that they share.
+def levels(n: int, percent: int, ends: int, least: int = 1) -> dict[int, int]:
+    """How many letter pairs a string of n letters has to meet others of ``least`` letters or more over, with the least number that they share.
 
     Three where similar strings of these lengths share so many; fewer for long strings, which have too many triples but rare pairs.
     """
     out: dict[int, int] = {}
-    for m in range(max(1, n * percent // (200 - percent)), n * (200 - percent) // percent + 2):
+    for m in range(max(1, least, n * percent // (200 - percent)), n * (200 - percent) // percent + 2):
         if (need := shared(n, m, percent, ends)) < 1 << 30:
             level = max(1, min(need, 3 if n + m <= TRIPLES else 2 if n + m <= PAIRS else 1))
             out[level] = min(out.get(level, need), need)
@@ -114,39 +120,45 @@ def letter_pairs(names: DataFrame) -> dict[str, int]:
     return {r["g"]: r["count"] for r in names.select(F.explode(pairs).alias("g")).groupBy("g").count().collect()}
 
 
-def over_letters(names: DataFrame, percent: int) -> DataFrame:
-    """(cls, a, b): names that share up to three of their rarest letter pairs and may share enough."""
+def over_letters(names: DataFrame, percent: int, short: int = 0) -> DataFrame:
+    """(cls, a, b): names that share up to three of their rarest letter pairs and may share enough; those of which one at least has more than ``short`` letters, or many words."""
+    names = names.select("cls", "key", is_long(short).alias("long"))
+    # Short names stand under what they may share with long ones only.
+    sets = F.array_join(F.array_distinct(F.filter(F.split("key", " "), lambda w: w != "")), " ")
+    shortest = names.filter("long").agg(F.min(F.length(F.replace("key", F.lit(" "), F.lit("")))), F.min(F.length(sets))).first()
+    if shortest[0] is None:
+        return names.select("cls", F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     common = letter_pairs(names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out = [], []
-            for i, key in enumerate(batch.column(1).to_pylist()):
+            for i, (key, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for ends, text in forms(key):
                     n = len(text) - 2 * ends
                     if not n:
                         continue
                     ordered = sorted(grams(text), key=lambda g: (common.get(g[:2], 0), g))
-                    for k, need in levels(n, percent, ends).items():
+                    for k, need in levels(n, percent, ends, 1 if own else shortest[ends]).items():
                         first = ordered[: max(0, len(ordered) - max(need, k) + k)]
                         for held in combinations(range(len(first)), k):
                             at.append(i)
                             out.append((f"{ends}{k}" + "".join(first[j] for j in held), n, len(ordered) - held[-1] - 1))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True))], ["cls", "key", "g", "n", "rest"])
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True))], ["cls", "key", "long", "g", "n", "rest"])
 
-    each = spread(names).select("cls", "key").mapInArrow(read, "cls string, key string, g string, n int, rest int")
-    a, b = (each.select("cls", "g", F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("rest").alias(f"rest_{s}")) for s in "ab")
+    each = spread(names).select("cls", "key", "long").mapInArrow(read, "cls string, key string, long boolean, g string, n int, rest int")
+    a, b = (each.select("cls", "g", F.col("key").alias(s), F.col("long").alias(f"long_{s}"), F.col("n").alias(f"n_{s}"), F.col("rest").alias(f"rest_{s}")) for s in "ab")
     # Spark takes what mapInArrow returns to be as small as what it read; without the hint small names' keys, hundreds of times as many, pass through the driver.
-    met = a.join(b.hint("merge"), ["cls", "g"]).filter("a < b")
+    met = a.filter("long_a").join(b.hint("merge"), ["cls", "g"]).filter("a < b OR (a <> b AND NOT long_b)")
     total = F.col("n_a") + F.col("n_b")
     most = F.floor(F.lit(100 - percent) * total / 100)
     d = most - F.pmod(most - total, F.lit(2))
     ends, k = F.substring("g", 1, 1).cast("int"), F.substring("g", 2, 1).cast("int")
     need = F.floor((total - 1 - 3 * d + 4 * ends) / 2)
     met = met.filter((d >= F.abs(F.col("n_a") - F.col("n_b"))) & (k + F.least("rest_a", "rest_b") >= need))
-    return met.select("cls", "a", "b")
+    return met.select("cls", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def over_words(names: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +188,8 @@ def similar_names(names: DataFrame, percent: int = 85) -> DataFrame:
     if not 70 <= percent <= 100:
         raise ValueError("percent is from 70 to 100")
     base = names.select("cls", "key").filter("key <> ''").distinct()
-    met = over_letters(base, percent).unionByName(over_words(base, percent)).distinct()
+    met, short = over_deletions(base, percent) if base.count() > MANY else (None, 0)
+    met = reduce(DataFrame.unionByName, [x for x in (met, over_letters(base, percent, short), over_words(base, percent)) if x is not None]).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

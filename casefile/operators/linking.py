@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casefile.functions.text import canonical_name, indel_ratio
 from casefile.operators.entities import identifier as entity_identifier
 from casefile.operators.fuzzynames import similar_names, word_set_ratio
-from casefile.session import Work
+from casefile.session import Work, spread
 
 
 def most_apart(n: Column, percent: int) -> Column:
@@ -87,7 +87,7 @@ def resolve_entities(names: DataFrame, id_col: str, name: str, kind: str, identi
     with Work(names.sparkSession) as work:
         key, up = canonical_name(F.col(name)), F.upper(F.coalesce(kind, F.lit("")))
         raw = F.col(identifier) if identifier else F.lit(None).cast("string")
-        rows = names.select(
+        rows = spread(names).select(
             F.col(id_col).alias("id"), F.lower(F.trim(name)).alias("said"), F.coalesce(key, F.lit("")).alias("key"), up.alias("kind"), F.when(up.isin(*FIRM_KINDS), "FIRM").otherwise(up).alias("cls"),
             F.when(F.coalesce(F.trim(raw), F.lit("")) != "", entity_identifier(raw, up)).alias("identifier"),
         )
