@@ -79,6 +79,22 @@ def test_vendors_meet_without_shuffling_pairs(spark):
     assert "Aggregate" not in plan_of(df)
 
 
+def test_vendors_that_share_an_attribute_are_counted_once(spark, monkeypatch):
+    vendors = spark.createDataFrame([(i, f"7654{i}", "x1", None, "mira" if i % 2 else None, "55 555") for i in range(4)] + [(9, None, None, None, "ed", "55555"), (8, None, "x1", "ravi", None, None)], "vid long, bank string, code string, name string, owner string, phone string")
+    rows = spark.createDataFrame([(1, "P", "tel 55555 5555", 1.0), (2, "P", "a/c 76541 55555 mira", 2.0), (3, "P", "MIRA x1", 4.0), (4, None, "76540", 8.0), (5, "P", "x1 ravi ravi", 16.0)], "id long, party string, narration string, amount double")
+    met = []
+    original = crossref.vendor_met
+    monkeypatch.setattr(crossref, "vendor_met", lambda *given: met.append(original(*given)) or met[-1])
+    df = crossref.vendor_flows(rows, "id", "party", "party", "narration", F.lit("IN"), F.col("amount"), vendors, "vid")
+    got = {(r["person"], r["vid"]): (r["n"], float(r["volume"]), r["attributes"]) for r in df.collect()}
+    code, phone, owner = "Code: x1", "Phone: 55 555", "Owner: mira"
+    want = {("P", 0): (4, 23.0, f"{code}, {phone}"), ("P", 1): (4, 23.0, f"Bank A/C: 76541, {code}, {owner}, {phone}"), ("P", 2): (4, 23.0, f"{code}, {phone}"), ("P", 3): (4, 23.0, f"{code}, {owner}, {phone}"), ("P", 9): (2, 3.0, "Phone: 55555"), ("P", 8): (2, 20.0, f"{code}, Name: ravi"), (None, 0): (1, 8.0, "Bank A/C: 76540")}
+    assert got == want
+    # The code and the telephone number of four vendors meet a transaction once, for all that have it as their main attribute.
+    shared = met[0][0].filter("vendor IS NULL").count()
+    assert 0 < shared <= 5
+
+
 def test_profiles_of_one_set_of_keywords_meet_vendors_once(spark):
     vendors = spark.createDataFrame([(1, "Acme Ltd", "c1", "ravi", "a@acme.com", "123456", "999999"), (2, "Zed", "zed", "someone", None, None, None)], "vid long, name string, code string, owner string, email string, phone string, bank string")
     profiles = spark.createDataFrame([(1, "Acme", ["acme", " ZED "]), (2, "nobody", ["zed", "Acme", "acme"]), (3, None, ["tel 23456"]), (4, "zed", None), (5, "zed", ["zz"])], "pid long, name string, keywords array<string>")
