@@ -79,6 +79,17 @@ def test_vendors_meet_without_shuffling_pairs(spark):
     assert "Aggregate" not in plan_of(df)
 
 
+def test_pairs_are_not_shuffled_to_many_vendors(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as if vendors were more than Spark sends by itself
+    try:
+        rows = spark.createDataFrame([(1, "Acme", "pay 12345678 to Acme ACME/x acme")], "id long, party string, narration string")
+        vendors = spark.createDataFrame([(7, "A/C 2345678", "acme", " Acme", "pay", "+98 76543")], "vid long, bank string, code string, name string, owner string, phone string")
+        df = crossref.vendor_matches(rows, "id", "party", "narration", vendors, "vid")
+        assert "Exchange" not in plan_of(df).replace("BroadcastExchange", "") and df.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_vendors_that_share_an_attribute_are_counted_once(spark, monkeypatch):
     vendors = spark.createDataFrame([(i, f"7654{i}", "x1", None, "mira" if i % 2 else None, "55 555") for i in range(4)] + [(9, None, None, None, "ed", "55555"), (8, None, "x1", "ravi", None, None)], "vid long, bank string, code string, name string, owner string, phone string")
     rows = spark.createDataFrame([(1, "P", "tel 55555 5555", 1.0), (2, "P", "a/c 76541 55555 mira", 2.0), (3, "P", "MIRA x1", 4.0), (4, None, "76540", 8.0), (5, "P", "x1 ravi ravi", 16.0)], "id long, party string, narration string, amount double")
