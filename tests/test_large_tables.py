@@ -71,6 +71,19 @@ def test_sets_of_keywords_open_by_blocks(spark, monkeypatch):
     assert "Exchange" not in plan_of(df).split("explode(y_ids")[0].rsplit("explode(x_ids", 1)[0]
 
 
+@pytest.mark.parametrize("sent", [6_000_000, 0])
+def test_blocks_of_ids_are_not_shuffled_for_each_pair_of_sets(spark, monkeypatch, sent):
+    monkeypatch.setattr(graph, "IDS_SENT", sent)
+    monkeypatch.setattr(graph, "MEMBERS", 2)
+    rows = [(i, [f"k{i % 3}x", "all"]) for i in range(9)]
+    df = graph.keyword_nexus(spark.createDataFrame(rows, "id long, words array<string>"), "id", "words")
+    assert sorted((r["a"], r["b"], r["shared"]) for r in df.collect()) == [(a, b, 2 if a % 3 == b % 3 else 1) for a in range(9) for b in range(a + 1, 9)]
+    # Pairs of sets are dealt out by their names and blocks; ids come after that.
+    final = plan_of(df).split("== Initial Plan ==")[-1]
+    above = final[: final.index("REPARTITION_BY_COL")]
+    assert ("Sort" in above) == (sent == 0)
+
+
 def test_vendors_meet_without_shuffling_pairs(spark):
     rows = spark.createDataFrame([(1, "Acme", "pay 12345678 to Acme ACME/x"), (2, None, "tel 987654321"), (3, "zz", None)], "id long, party string, narration string")
     vendors = spark.createDataFrame([(7, "A/C 2345678", "acme", " Acme", "pay", "+98 76543"), (8, None, None, "zz9", "tel", "9876"), (9, "12345", "", "ac", None, "87-654")], "vid long, bank string, code string, name string, owner string, phone string")
