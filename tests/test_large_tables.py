@@ -80,7 +80,7 @@ def test_blocks_of_ids_are_not_shuffled_for_each_pair_of_sets(spark, monkeypatch
     assert sorted((r["a"], r["b"], r["shared"]) for r in df.collect()) == [(a, b, 2 if a % 3 == b % 3 else 1) for a in range(9) for b in range(a + 1, 9)]
     # Pairs of sets are dealt out by their names and blocks; ids come after that.
     final = plan_of(df).split("== Initial Plan ==")[-1]
-    above = final[: final.index("REPARTITION_BY_COL")]
+    above = final[: final.index("REPARTITION_BY_NUM")]
     assert ("Sort" in above) == (sent == 0)
 
 
